@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, packing, pii, quality, simhash
+from tessera.llm import chunks, decontam, licenses, neighbours, packing, pii, quality, secrets, simhash, tokens
 from tessera.llm.common import table
 
 
@@ -17,6 +17,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+def op2_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     trees = quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -24,6 +33,14 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op4_license_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents", "doc_id", "text", "source"), secrets.train(secrets.made_findings(spark)))
+
+
 def op6_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
     shown = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
@@ -37,6 +54,10 @@ def op7_ball_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op8_count_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
@@ -53,6 +74,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_trees, op6_information_pii, op7_ball_simhash, op9_large_item_packing, op10_benchmark_alignment, pipeline)
-}
+    f.__name__: f
+    for f in (
+        op1_stable_projections, op2_gear_chunks, op3_quality_trees, op4_license_bands, op5_secret_forest, op6_information_pii,
+        op7_ball_simhash, op8_count_viterbi, op9_large_item_packing, op10_benchmark_alignment, pipeline,
+    )
+}
 ORACLES: dict[str, str] = {}

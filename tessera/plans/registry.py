@@ -1,7 +1,8 @@
-"""All queries of the library, by name, and their SQL."""
+"""All queries of the library's own operators, and their SQL."""
 
-from __future__ import annotations
+from tessera.plans import ingestion, retrieval
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+MODULES = (retrieval, ingestion)
+FLAGSHIP = "hybrid_retrieval"
+QUERIES = {name: f for m in MODULES for name, f in m.query.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.query.sql.items()}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import bounded_batches, materialize, text_or_empty
 
 WINDOW = 16
 #: A chunk ends where the hash is below 2**WINDOW / MEAN_BYTES and wasn't so within the last LEAST_GAP bytes.
@@ -87,6 +87,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             if rows:
                 yield _batch(parts)
 
+    bounded_batches(docs.sparkSession)
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     return source.mapInArrow(make, "doc_id long, start int, end int, digest long")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import bounded_batches, text_or_empty
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -151,6 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     ids are left out; repeated rows give repeated rows; empty tables give no rows.
     """
     spark, found = docs.sparkSession, None
+    bounded_batches(spark)
     documents = docs.count()
     for block in _blocks(benchmark):
         items = Items([(i, t) for i, t in block if len(words_of(t)) >= n], n)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shuffle_partitions, text_or_empty
+from tessera.llm.common import bounded_batches, materialize, shuffle_partitions, text_or_empty
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
@@ -130,6 +130,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, separ
     A null text counts as empty: one piece that holds the separator alone. Repeated rows are
     documents of their own.
     """
+    bounded_batches(docs.sparkSession)
     end = separator.to_bytes(4, "little")
 
     def block(doc_ids: list, texts: list[str]) -> pa.RecordBatch:

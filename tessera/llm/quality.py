@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import bounded_batches, text_or_empty
 
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, MIN_LEAF, RIDGE = 64, 80, 4, 0.15, 20, 1.0
@@ -155,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     The held-out fold and rows with a null in doc_id or quality take no part.
     """
+    bounded_batches(docs.sparkSession)
     usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(~held_out() & F.col("quality").isNotNull())
     # at most `sample` pairs of numbers, so the join sends a bounded table to the tasks
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
@@ -176,6 +177,7 @@ def score(docs: DataFrame, trees: Trees, name: str = "quality_score") -> DataFra
 
     A column of that name in ``docs`` is replaced.
     """
+    bounded_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name != name]
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], text_or_empty().alias("__text"))
     out = T.StructType([*kept, T.StructField(name, T.DoubleType())])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, text_or_empty
+from tessera.llm.common import bounded_batches, materialize, text_or_empty
 from tessera.llm.components import connected_components
 
 RADIUS = 4
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(make, "doc_id long, fp long")
 
 
@@ -76,7 +77,8 @@ def star_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     variants = fps.select("fp", F.explode(F.array(*map(F.lit, ball(64, radius // 2)))).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).where("a < top")
-    return variants.join(met, "variant").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
+    # the variants are far more rows than the plan can foresee: no side is to be broadcast
+    return variants.join(met.hint("merge"), "variant").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def half_variants(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -102,7 +104,7 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame
     """
     variants = half_variants(fps, radius)
     counted = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialize(variants.join(counted, "variant"), "met")
+    met = materialize(variants.join(counted.hint("merge"), "variant"), "met")
     few = met.where(F.col("n") <= crowd).select("variant", "fp")
     pairs = (
         few.withColumnRenamed("fp", "a")

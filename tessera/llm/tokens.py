@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import bounded_batches, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -128,4 +128,5 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             made = pa.array([count(t.as_py()) for t in batch.column(1)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), made], names=["doc_id", "n_tokens"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(make, "doc_id long, n_tokens long")

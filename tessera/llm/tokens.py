@@ -13,6 +13,7 @@ Only the best score and the number of pieces are carried. Equal words of a task
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from tessera.llm.common import bounded_batches, text_or_empty
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 LONGEST_CACHED = 64
 
 
@@ -35,6 +36,25 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+class WordCounts(dict):
+    """Pieces of words seen lately. Of two generations the older is dropped when the younger is full, so frequent words stay."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, word: str) -> int:
+        n = self.older.get(word)
+        if n is None:
+            n = self.make(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[word] = n
+        return n
+
+
 class UnigramCounter:
     """Counts the pieces of texts; ``pieces`` in the order of their ids, ``unknown`` the id of the unknown piece."""
 
@@ -50,42 +70,54 @@ class UnigramCounter:
         self.unknown_score = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.unknown = pieces[unknown][0]
         self.bytes = {b for b in range(256) if f"<0x{b:02X}>" in self.pieces}
-        self.known: dict[str, int] = {}
+        self.known = WordCounts(lambda word: self.word(MARK + word))
 
     def word(self, word: str) -> int:
         """Pieces of the best segmentation of a word."""
         n = len(word)
-        best: list[float | None] = [0.0] + [None] * n
-        # pieces before the open run of unknown characters, and where that run starts (-1: none is open)
-        count, run = [0] * (n + 1), [-1] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for last, (length, score) in self.automaton.iter(word):
-            ends[last + 1].append((last + 1 - length, score))
-        for end in range(1, n + 1):
-            starts = sorted(ends[end])
-            if not starts or starts[-1][0] != end - 1:
-                starts.append((end - 1, self.unknown_score))
-                unknown = end - 1
-            else:
-                unknown = -1
-            for start, score in starts:
-                made = best[start] + score
-                if best[end] is None or made > best[end]:
-                    best[end] = made
-                    if start == unknown or word[start:end] == self.unknown:
-                        count[end], run[end] = count[start], run[start] if run[start] >= 0 else start
-                    else:
-                        count[end], run[end] = self._closed(word, count[start], run[start], start) + 1, -1
-        return self._closed(word, count[n], run[n], n)
-
-    def _closed(self, word: str, count: int, run: int, end: int) -> int:
-        if run < 0:
-            return count
-        piece = word[run:end]
-        if piece in self.pieces:
-            return count + 1
-        octets = piece.encode()
-        return count + (len(octets) if self.bytes.issuperset(octets) else 1)
+        best, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        runs: dict[int, int] = {}  # where the run of unknown characters starts that is open at an end; count is that before it
+        unknown, size = self.unknown, len(self.unknown)
+
+        def closed(end: int) -> int:
+            if end not in runs:
+                return count[end]
+            piece = word[runs[end] : end]
+            if piece in self.pieces:
+                return count[end] + 1
+            octets = piece.encode()
+            return count[end] + (len(octets) if self.bytes.issuperset(octets) else 1)
+
+        def unknown_character(end: int) -> None:
+            made = best[end - 1] + self.unknown_score
+            if made > best[end]:
+                best[end], count[end], runs[end] = made, count[end - 1], runs.get(end - 1, end - 1)
+
+        at, single = 0, True  # the end whose pieces come now, and whether its last character is a piece
+        for last, (length, score) in self.automaton.iter(word):  # by end; of one end the longest first
+            end = last + 1
+            if end != at:
+                if not single:
+                    unknown_character(at)
+                for between in range(at + 1, end):
+                    unknown_character(between)
+                at, single = end, False
+            start = end - length
+            if length == 1:
+                single = True
+            made = best[start] + score
+            if made > best[end]:
+                best[end] = made
+                if length == size and word[start:end] == unknown:
+                    count[end], runs[end] = count[start], runs.get(start, start)
+                else:
+                    count[end] = (closed(start) if runs else count[start]) + 1
+                    runs.pop(end, None)
+        if not single:
+            unknown_character(at)
+        for between in range(at + 1, n + 1):
+            unknown_character(between)
+        return closed(n)
 
     def count(self, text: str) -> int:
         """Pieces of a whole text; an empty one has none."""
@@ -93,17 +125,7 @@ class UnigramCounter:
             return 0
         marked = text.replace(" ", MARK)
         words = (marked if marked[0] == MARK else MARK + marked).split(MARK)[1:]
-        total, known = 0, self.known
-        for word in words:
-            n = known.get(word)
-            if n is None:
-                n = self.word(MARK + word)
-                if len(word) <= LONGEST_CACHED:
-                    if len(known) >= CACHE_ENTRIES:
-                        known.clear()
-                    known[word] = n
-            total += n
-        return total
+        return sum(map(self.known.__getitem__, words))
 
 
 _COUNTERS: dict[str, UnigramCounter] = {}

@@ -107,7 +107,8 @@ def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     cut = chunks(docs)
     # the two smallest ids tell whether documents share a chunk: a few numbers for each digest, added up before the shuffle
     holders = cut.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
-    shared = cut.join(holders.hint("merge"), "digest").select("doc_id", "start", "end", "first_doc")
+    # read back, so that the join deals both sides anew and may split a digest that very many chunks have
+    shared = cut.join(materialize(holders, "holders").hint("merge"), "digest").select("doc_id", "start", "end", "first_doc")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")

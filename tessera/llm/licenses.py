@@ -89,7 +89,8 @@ def _hashes(words: Column) -> Column:
 def _minima(hashes: Column, n: int) -> Column:
     """One minimum for each band. Shingles' hashes are random, so flipping fixed bits reorders them at random."""
     flips = [int.from_bytes(((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)).to_bytes(8, "little"), "little", signed=True) for i in range(n)]
-    return F.array(*[F.array_min(F.transform(hashes, lambda x, f=f: x.bitwiseXOR(F.lit(f)))) for f in flips])
+    least = lambda flip: F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(flip))))
+    return F.array(*map(least, flips))
 
 
 def _table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:

@@ -27,7 +27,7 @@ from tessera.llm.common import bounded_batches, materialize, shuffle_partitions,
 
 CAPACITY = 2048
 SEPARATOR_ID = 0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 150_000
 BATCH_CHARS = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "length long, first_rank long, n long, per_sequence long, first_sequence long, offset long"

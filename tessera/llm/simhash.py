@@ -141,8 +141,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) ->
     doc_id names one of them.
     """
     found = near_duplicates(docs, radius, words)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept")
-    named = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")), "kept")
+    # the kept ids are hashed, so that whole texts are dealt but not sorted
+    named = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    if not kept.groupBy("__kept").count().where("count > 1").isEmpty():
+        named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -237,3 +237,74 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> tuple[Da
 
 def nearest_rank(share: float, n: int) -> int:
     return max(math.ceil(share * n), 1)
+
+
+IDENTIFIER = r"[/.]|_|[a-z][A-Z]|[A-Z]{2}[a-z]|[0-9]"
+PATH_SPAN = 120
+
+
+def identifier_tokens(questions: DataFrame, key: str = "question_id", question: str = "question") -> DataFrame:
+    """``(key, at, token, is_identifier)``: identifiers, and plain words of three letters or more that aren't stop words.
+
+    Hyphens separate words outside paths; of tokens that differ in case only the first stays.
+    """
+    clean = lambda t: F.regexp_replace(F.regexp_replace(t, r"^(?:\.?/|-)+", ""), r"[./-]+$", "")
+    raw = F.transform(F.regexp_extract_all(X.separate_scripts(question), F.lit(r"(?U)[\w./-]+"), F.lit(0)), clean)
+    parts = F.flatten(F.transform(raw, lambda t: F.when(t.rlike("[/.]"), F.array(t)).otherwise(F.transform(F.split(t, "-"), clean))))
+    plain = lambda t: (F.length(t) > 2) & ~F.lower(t).isin(X.STOP_WORDS) & t.rlike(r"^[\p{L}\p{N}]+$")
+    kept = F.filter(parts, lambda t: t.rlike(r"[\p{L}\p{N}]") & (t.rlike(IDENTIFIER) | plain(t)))
+    each = questions.select(key, F.posexplode(kept).alias("at", "token"))
+    first = each.groupBy(key, F.lower("token").alias("__low")).agg(F.min(F.struct("at", "token")).alias("t"))
+    return first.select(key, "t.at", "t.token", F.col("t.token").rlike(IDENTIFIER).alias("is_identifier"))
+
+
+def path_forms(files: DataFrame) -> DataFrame:
+    """``(path, form, weight)``: what a token may equal: the path, its suffixes with a folder, the name, the name's stem."""
+    parts = F.split("path", "/")
+    suffixes = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("form"), F.lit(0.95).alias("weight")))
+    own = F.array(*[F.struct(f.alias("form"), F.lit(w).alias("weight")) for f, w in ((F.col("path"), 1.0), (X.basename("path"), 0.9), (X.stem("path"), 0.8))])
+    return files.select("path", F.explode(F.concat(own, F.when(F.size(parts) > 2, suffixes).otherwise(F.array().cast("array<struct<form:string,weight:double>>")))).alias("f")).select("path", "f.form", "f.weight")
+
+
+def exact_candidates(tokens: DataFrame, forms: DataFrame, *units: str, key: str = "question_id", most: int = 20) -> DataFrame:
+    """``(key, *units, score, place)``: units of which a form equals a token, best first.
+
+    Another case costs a fifth, a plain word half. Of equal scores of a unit the earliest token counts.
+    """
+    met = tokens.withColumn("low", F.lower("token")).join(forms.withColumn("low", F.lower("form")), "low")
+    score = F.col("weight") * F.when(F.col("form") == F.col("token"), 1.0).otherwise(0.8) * F.when(F.col("is_identifier"), 1.0).otherwise(0.5)
+    best = met.groupBy(key, *units).agg(F.max(F.struct(F.round(score, 9).alias("score"), (-F.col("at")).alias("early"))).alias("b"))
+    order = Window.partitionBy(key).orderBy(F.desc("b.score"), F.desc("b.early"), *units)
+    return best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select(key, *units, F.col("b.score").alias("score"), "place")
+
+
+def symbol_first(fused: DataFrame, *keys: str) -> DataFrame:
+    """``place`` counted anew: symbols before all else, each in fused order."""
+    order = Window.partitionBy(*keys).orderBy(F.col("source_type") != "symbol", "place")
+    return fused.withColumn("place", F.row_number().over(order))
+
+
+def without_overlaps(hits: DataFrame, limit: int) -> DataFrame:
+    """Of hits ``(path, start_line, end_line, place, ...)``, a pool of bounded size, those that overlap no better one."""
+    names = hits.columns
+    pool = hits.agg(F.array_sort(F.collect_list(F.struct("place", *[c for c in names if c != "place"]))).alias("h"))
+    meets = lambda a, b: (a["path"] == b["path"]) & (a["start_line"] <= b["end_line"]) & (b["start_line"] <= a["end_line"])
+    kept = F.aggregate("h", F.slice("h", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: meets(k, x)) | (F.size(acc) >= limit), acc).otherwise(F.concat(acc, F.array(x))))
+    return pool.select(F.explode(kept).alias("x")).select(*[F.col(f"x.{c}") for c in names])
+
+
+def search_docs(chunks: DataFrame, inverted: DataFrame, terms: DataFrame, vector: list[float] | None, limit: int) -> DataFrame:
+    """``(path, start_line, end_line, score, place, degraded)``: keywords and vectors of one question, fused.
+
+    Each list has the larger of 20 and ``limit`` entries; without a vector the keywords alone count, marked as degraded.
+    """
+    pool, unit = max(20, limit), ("path", "start_line", "end_line")
+    scored = full_text_ranks(inverted, terms, "question_id", *unit).orderBy(F.desc("score"), *unit).limit(pool)
+    numbered = lambda df, no, *order: df.select(F.lit(no).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("rank"), F.struct(*unit).alias("item"))
+    lists = numbered(scored, 0, F.desc("score"), *unit)
+    if vector is not None:
+        distance = cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
+        near = chunks.select(*unit, distance.alias("distance")).where(~F.isnan("distance")).orderBy("distance", *unit).limit(pool)
+        lists = lists.unionByName(numbered(near, 1, "distance", *unit))
+    fused = reciprocal_rank_fusion(lists).select("item.*", "score", "place")
+    return without_overlaps(fused, limit).withColumn("degraded", F.lit(vector is None))

@@ -170,3 +170,25 @@ def overlay(files: DataFrame, renames: DataFrame, edits: DataFrame, adds: DataFr
     bad = edits.join(moved, "path", "left").where(F.coalesce(times, F.lit(0.0)) != 1).select("path", "find")
     edited = joined.select("path", F.when(F.col("find").isNotNull() & (times == 1), F.replace("content", F.col("find"), F.col("replace"))).otherwise(F.col("content")).alias("content"))
     return edited.join(adds, "path", "left_anti").unionByName(adds.select("path", "content")).join(removes, "path", "left_anti"), bad
+
+
+def candidate_tests(files: DataFrame, changed: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
+    """``(path, reason, names, place)``: unchanged tests that hold changed names (most names first), then tests named after a changed file."""
+    tests = files.join(changed.select("path"), "path", "left_anti").where(X.is_test_path("path"))
+    words = tests.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("name"))
+    holding = words.join(names.select("name").distinct(), "name").groupBy("path").agg(F.count(F.lit(1)).alias("names"), F.min("name").alias("first"))
+    subject = F.regexp_extract(X.basename("path"), r"^(?:test_)?(.+?)(?:_test|\.test|\.spec)?\.[^.]*$", 1)
+    subjects = changed.where(~X.is_test_path("path")).groupBy(X.stem("path").alias("subject")).agg(F.min("path").alias("of"))
+    named = tests.join(holding, "path", "left_anti").withColumn("subject", subject).join(subjects, "subject")
+    both = holding.select("path", F.concat(F.lit("refers to "), "first").alias("reason"), "names").unionByName(named.select("path", F.concat(F.lit("named after "), "of").alias("reason"), F.lit(0).cast("long").alias("names")))
+    ranked = both.orderBy(F.desc("names"), "path").limit(most)
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("names"), "path")))
+
+
+def build_decisions(requests: DataFrame, snapshots: DataFrame, failures: DataFrame) -> DataFrame:
+    """``decision`` of each request (repository_id, commit, version): reuse a ready snapshot, skip a commit that can't be built, or build."""
+    unit = ["repository_id", "commit", "version"]
+    ready = snapshots.where("status = 'ready'").select(*unit).distinct().withColumn("ready", F.lit(True))
+    failed = failures.where("permanent AND error <> 'access'").select("repository_id", "commit").distinct().withColumn("failed", F.lit(True))
+    joined = requests.join(ready, unit, "left").join(failed, ["repository_id", "commit"], "left")
+    return joined.withColumn("decision", F.when(F.col("ready"), "reuse").when(F.col("failed"), "skip").otherwise("build")).drop("ready", "failed")

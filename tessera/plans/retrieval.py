@@ -212,3 +212,67 @@ def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = fused_paths(spark, sf_dir).select("question_id", F.col("item").alias("path"), "place").alias("fused")
     ranked = merged.join(fused, ["question_id", "path"]).select("question_id", "path", "start_line", "end_line", F.row_number().over(order).alias("place"))
     return R.build_evidence(ranked, files(spark, sf_dir)).drop("excerpt")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions, each with a file's name and the end of a path."""
+    n = F.col("question_id").cast("string")
+    return questions(spark, sf_dir).select("question_id", F.concat("question", F.lit(" see Doc_"), n, F.lit(".txt or (./en/doc_"), n, F.lit(".txt) and well-known Thation-x")).alias("question"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+_clean = lambda t: f"regexp_replace(regexp_replace({t}, '^(?:\\.?/|-)+', ''), '[./-]+$', '')"
+_ident = "'[/.]|_|[a-z][A-Z]|[A-Z]{2}[a-z]|[0-9]'"
+TOKENS_SQL = f"""questions AS (SELECT conv_id AS question_id, arg_min(text, (turn, text)) || ' see Doc_' || conv_id || '.txt or (./en/doc_' || conv_id || '.txt) and well-known Thation-x' AS question FROM conversations WHERE role = 'user' GROUP BY conv_id),
+tr AS (SELECT question_id, list_transform(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_./-]+'), lambda t: {_clean("t")}) AS raw FROM questions),
+tp AS (SELECT question_id, list_filter(flatten(list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[/.]') THEN [t] ELSE list_transform(string_split(t, '-'), lambda u: {_clean("u")}) END)),
+  lambda t: regexp_matches(t, '[\\p{{L}}\\p{{N}}]') AND (regexp_matches(t, {_ident}) OR (length(t) > 2 AND lower(t) NOT IN ({_STOP}) AND regexp_full_match(t, '[\\p{{L}}\\p{{N}}]+')))) AS p FROM tr),
+te AS (SELECT question_id, unnest(p) AS token, generate_subscripts(p, 1) - 1 AS n FROM tp),
+tokens AS (SELECT question_id, min(n) AS n, arg_min(token, n) AS token FROM te GROUP BY question_id, lower(token))"""
+
+
+@query(f"WITH {TOKENS_SQL} SELECT question_id, CAST(n AS INT) AS seq, token, regexp_matches(token, {_ident}) AS is_identifier FROM tokens")
+def identifier_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.identifier_tokens(asked(spark, sf_dir)).withColumnRenamed("at", "seq")
+
+
+@query(f"""WITH {FILES_SQL}, {TOKENS_SQL}, fp AS (SELECT path, string_split(path, '/') AS p FROM files),
+forms AS (SELECT path, path AS form, 1.0::DOUBLE AS weight FROM fp UNION ALL SELECT path, p[-1], 0.9 FROM fp UNION ALL SELECT path, regexp_replace(p[-1], '^(.+)\\.[^.]*$', '\\1'), 0.8 FROM fp UNION ALL SELECT path, array_to_string(p[i:], '/'), 0.95 FROM (SELECT path, p, unnest(range(2, len(p))) AS i FROM fp)),
+s AS (SELECT question_id, path, n, round(weight * CASE WHEN form = token THEN 1.0 ELSE 0.8 END::DOUBLE * CASE WHEN regexp_matches(token, {_ident}) THEN 1.0 ELSE 0.5 END::DOUBLE, 9) AS score FROM tokens JOIN forms ON lower(form) = lower(token)),
+b AS (SELECT question_id, path, max(score) AS score, arg_max(n, (score, -n)) AS n FROM s GROUP BY ALL)
+SELECT question_id, path, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n, path) AS INT) AS place FROM b QUALIFY place <= 20""")
+def path_token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.exact_candidates(R.identifier_tokens(asked(spark, sf_dir)), R.path_forms(files(spark, sf_dir)), "path")
+
+
+@query(f"""WITH {FILES_SQL}, {TOKENS_SQL}, {SYMBOLS_SQL},
+s AS (SELECT question_id, path, name, line, n, round(CASE WHEN name = token THEN 1.0 ELSE 0.8 END::DOUBLE * CASE WHEN regexp_matches(token, {_ident}) THEN 1.0 ELSE 0.5 END::DOUBLE, 9) AS score FROM tokens JOIN symbols ON lower(name) = lower(token)),
+b AS (SELECT question_id, path, line, name, max(score) AS score, arg_max(n, (score, -n)) AS n FROM s GROUP BY ALL)
+SELECT question_id, path, line, name, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n, path, line, name) AS INT) AS place FROM b QUALIFY place <= 20""")
+def symbol_token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = R.declared_symbols(files(spark, sf_dir)).select("path", "line", "name", F.col("name").alias("form"), F.lit(1.0).alias("weight"))
+    return R.exact_candidates(R.identifier_tokens(asked(spark, sf_dir)), forms, "path", "line", "name")
+
+
+@query(f"""WITH {CANDIDATES_SQL}, t AS (SELECT question_id, item, place, item IN (SELECT path FROM symr s WHERE s.question_id = p.question_id) AS symbol FROM placed p)
+SELECT question_id, item, CAST(row_number() OVER (PARTITION BY question_id ORDER BY NOT symbol, place) AS INT) AS place FROM t""")
+def symbol_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = path_candidates(spark, sf_dir).select("question_id", F.col("path").alias("item")).distinct().withColumn("source_type", F.lit("symbol"))
+    fused = fused_paths(spark, sf_dir).join(symbols, ["question_id", "item"], "left").withColumn("source_type", F.coalesce("source_type", F.lit("code")))
+    return R.symbol_first(fused, "question_id").select("question_id", "item", "place")
+
+
+@query()
+def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords and vectors of one question over all windows of all documents."""
+    from tessera.operators.ingestion import hash_embedding, with_embeddings
+
+    unit, question = ("path", "start_line", "end_line"), "bleed reaning license heating"
+    chunks = R.window_chunks(files(spark, sf_dir), 60, 10, "path")
+    terms = R.query_terms(spark.range(1).select(F.lit(1).alias("question_id"), F.lit(question).alias("question")))
+    return R.search_docs(with_embeddings(chunks), R.postings(chunks, *unit), terms, hash_embedding(question, 64), 20)
+
+
+@query("SELECT page_id, 'https://example.com/r/' || replace(replace(url_encode(url), '%2F', '/'), '+', '%20') AS link, length(html) / 3.5 AS tokens FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages", "page_id", "url", "html").select("page_id", X.quoted_url("https://example.com/r/", "url").alias("link"), X.estimated_tokens("html").alias("tokens"))

@@ -148,3 +148,34 @@ def tree_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.where("doc_id % 5 = 0").select(new.alias("path")),
     )
     return made.select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
+TESTED_SQL = """f AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'tests/test_d' || (doc_id % 90) || '_' || doc_id || '.py' WHEN doc_id % 4 = 1 THEN 'tests/test_d' || (doc_id + 1) || '.py' ELSE 'src/d' || doc_id || '.py' END AS path, doc_id, text AS content FROM documents),
+c AS (SELECT path FROM f WHERE doc_id % 9 = 2), nm AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: length(x) >= 11)) AS name FROM benchmark),
+t AS (SELECT * FROM f WHERE path LIKE 'tests/%' AND path NOT IN (SELECT path FROM c))"""
+
+
+@query(f"""WITH {TESTED_SQL}, w AS (SELECT DISTINCT path, unnest(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM t), h AS (SELECT path, count(*) AS names, min(name) AS first FROM w JOIN nm USING (name) GROUP BY path),
+s AS (SELECT regexp_replace(string_split(path, '/')[-1], '^(.+)\\.[^.]*$', '\\1') AS subject, min(path) AS o FROM c WHERE path NOT LIKE 'tests/%' GROUP BY 1),
+n AS (SELECT path, o FROM (SELECT path, regexp_extract(string_split(path, '/')[-1], '^test_(.+)\\.py$', 1) AS subject FROM t WHERE path NOT IN (SELECT path FROM h)) JOIN s USING (subject)),
+b AS (SELECT path, 'refers to ' || first AS reason, names FROM h UNION ALL SELECT path, 'named after ' || o, 0 FROM n)
+SELECT path, reason, names, CAST(row_number() OVER (ORDER BY names DESC, path) AS INT) AS place FROM b QUALIFY place <= 40""")
+def candidate_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    path = F.when(i % 4 == 0, F.concat(F.lit("tests/test_d"), i % 90, F.lit("_"), i, F.lit(".py"))).when(i % 4 == 1, F.concat(F.lit("tests/test_d"), i + 1, F.lit(".py"))).otherwise(F.concat(F.lit("src/d"), i, F.lit(".py")))
+    f = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", path.alias("path"), F.col("text").alias("content"))
+    words = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= 11)
+    names = table(spark, sf_dir, "benchmark", "text").select(F.explode(words).alias("name"))
+    return T.candidate_tests(f, f.where("doc_id % 9 = 2"), names, 40)
+
+
+@query("""WITH r AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS repository_id, l_partkey % 50 AS commit, l_linenumber % 2 AS version FROM lineitem)
+SELECT repository_id, commit, version, count(*) AS requests, CASE WHEN EXISTS (SELECT 1 FROM lineitem s WHERE s.l_returnflag = 'R' AND s.l_suppkey = r.repository_id AND s.l_partkey % 50 = r.commit AND s.l_linenumber % 2 = r.version) THEN 'reuse'
+  WHEN EXISTS (SELECT 1 FROM lineitem s WHERE s.l_returnflag = 'A' AND s.l_linestatus = 'F' AND s.l_quantity < 10 AND s.l_suppkey = r.repository_id AND s.l_partkey % 50 = r.commit) THEN 'skip' ELSE 'build' END AS decision FROM r GROUP BY ALL""")
+def build_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity").select(  # noqa: E741
+        F.col("l_suppkey").alias("repository_id"), (F.col("l_partkey") % 50).alias("commit"), (F.col("l_linenumber") % 2).alias("version"),
+        F.when(F.col("l_returnflag") == "R", "ready").otherwise("other").alias("status"), ((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 10)).alias("permanent"), F.when(F.col("l_linestatus") == "F", "syntax").otherwise("access").alias("error"),
+    )
+    requests = l.groupBy("repository_id", "commit", "version").agg(F.count(F.lit(1)).alias("requests"))
+    return T.build_decisions(requests, l, l)

@@ -195,3 +195,33 @@ def test_set_digest_does_not_depend_on_order(spark):
     a = rows(spark, "n string, c string", ("x", "1"), ("y", "2"))
     b = rows(spark, "n string, c string", ("y", "2"), ("x", "1"))
     assert evaluation.set_digest(a, "n", "c").first() == evaluation.set_digest(b, "n", "c").first()
+
+
+def test_overlapping_hits_give_way_to_better_ones(spark):
+    h = rows(spark, "path string, start_line int, end_line int, place int", ("a", 1, 60, 1), ("a", 51, 110, 2), ("b", 51, 110, 3), ("a", 111, 150, 4), ("c", 1, 1, 5))
+    got = {(r.path, r.start_line) for r in retrieval.without_overlaps(h, 3).collect()}
+    assert got == {("a", 1), ("b", 51), ("a", 111)}
+
+
+def test_docs_search_is_degraded_without_a_vector(spark):
+    files = rows(spark, "path string, content string", ("a", "license text\nmore"), ("b", "other words"))
+    chunks = ingestion.with_embeddings(retrieval.window_chunks(files, 60, 10, "path"), 8)
+    unit = ("path", "start_line", "end_line")
+    terms = retrieval.query_terms(rows(spark, "question_id int, question string", (1, "what license")))
+    keywords = retrieval.search_docs(chunks, retrieval.postings(chunks, *unit), terms, None, 5).collect()
+    assert [(r.path, r.degraded) for r in keywords] == [("a", True)]
+    both = retrieval.search_docs(chunks, retrieval.postings(chunks, *unit), terms, ingestion.hash_embedding("other words", 8), 5).orderBy("place").collect()
+    assert {r.path for r in both} == {"a", "b"} and not both[0].degraded
+
+
+def test_tokens_of_questions(spark):
+    q = rows(spark, "question_id int, question string", (1, "What does ./getUser.py do with user_id, HTTPServer and well-known Getuser.PY things v2?"))
+    got = [(r.token, r.is_identifier) for r in retrieval.identifier_tokens(q).orderBy("at").collect()]
+    assert got == [("getUser.py", True), ("user_id", True), ("HTTPServer", True), ("well", False), ("known", False), ("things", False), ("v2", True)]
+
+
+def test_paths_match_by_form_and_case(spark):
+    files = rows(spark, "path string", ("src/app/Main.py",), ("main.py",))
+    q = rows(spark, "question_id int, question string", (1, "app/Main.py"), (2, "main.py"), (3, "Main"))
+    got = {(r.question_id, r.path): r.score for r in retrieval.exact_candidates(retrieval.identifier_tokens(q), retrieval.path_forms(files), "path").collect()}
+    assert got == {(1, "src/app/Main.py"): 0.95, (2, "src/app/Main.py"): 0.72, (2, "main.py"): 1.0, (3, "src/app/Main.py"): 0.4, (3, "main.py"): 0.32}

@@ -57,7 +57,9 @@ def alert_conditions(failures: DataFrame, heartbeats: DataFrame, waiting: DataFr
     """One row: seconds since the last heartbeat, since the oldest runnable job, most failures in an hour, since the last backup."""
     at = F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp"))
     age = lambda c: ((at - F.unix_micros(c.cast("timestamp"))) / 1e6).cast("long")
-    recent = failing_window(failures, 60).where(F.col("finished_at") >= F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 60 MINUTES"))
+    since = lambda minutes: F.col("finished_at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES")
+    # the windows of the last hour's failures reach two hours back: the single task of the window gets no more
+    recent = failing_window(failures.where(since(120)), 60).where(since(60))
     silent = heartbeats.agg(age(F.max("beat_at")).alias("worker_silence"))
     oldest = waiting.where(F.col("run_after") <= F.lit(now).cast("timestamp_ntz")).agg(age(F.min("run_after")).alias("oldest_runnable"))
     most = recent.agg(F.coalesce(F.max("count_in_window"), F.lit(0)).alias("failures_in_window"))
@@ -93,10 +95,14 @@ def within_two_quotas(calls: DataFrame, own_limit: int, shared_limit: int, key:
     A key's calls past its own limit never count, so the shared limit is spent by the rest in order.
     """
     own = Window.partitionBy(key, F.to_date(at)).orderBy(at, order)
-    first = calls.withColumn("__fits", F.row_number().over(own) <= own_limit)
-    # days are many; within one the running count is the quota's own order
-    shared = Window.partitionBy(F.to_date(at)).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
-    return first.withColumn("accepted", F.col("__fits") & (F.count_if("__fits").over(shared) <= shared_limit)).drop("__fits")
+    first = calls.withColumn("__fits", F.row_number().over(own) <= own_limit).withColumn("__minute", F.date_trunc("minute", F.col(at)))
+    # counted by minute first, so that no task gets all calls of a day
+    minutes = first.groupBy("__minute").agg(F.count_if("__fits").alias("__n"))
+    before = Window.partitionBy(F.to_date("__minute")).orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    bases = minutes.select("__minute", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__minute").orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = first.join(bases, "__minute").withColumn("__upto", F.col("__base") + F.count_if("__fits").over(within))
+    return counted.withColumn("accepted", F.col("__fits") & (F.col("__upto") <= shared_limit)).drop("__fits", "__minute", "__base", "__upto")
 
 
 def sliding_limiter(calls: DataFrame, limit: int, seconds: int, key: str) -> DataFrame:

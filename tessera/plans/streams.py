@@ -50,3 +50,11 @@ def stream_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.array(*map(F.lit, ("loss", "pause", "resume", "restore"))), (F.col("event_id") % 4).cast("int") + 1)
     e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "event_id", "ts", kind.alias("kind"))
     return S.finished(S.access(e), "access")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, session""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = S.finished(S.session_counts(events(spark, sf_dir), "12 hours", "user_id"), "sessions", "complete")
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))

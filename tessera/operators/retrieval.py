@@ -100,14 +100,16 @@ def query_terms(questions: DataFrame, question: str = "question", key: str = "qu
 def full_text_ranks(inverted: DataFrame, terms: DataFrame, key: str = "question_id", *units: str) -> DataFrame:
     """``(key, *units, score)``: a tenth for each position that one of the question's terms matches.
 
-    Whole terms are an equality join. Stems have four letters at least, so prefixes are an equality join
-    on the first four, with the rest tested behind it.
+    Which terms of the vocabulary a question matches is settled first, on distinct terms: whole ones, and those
+    that a stem starts. Stems have four letters at least, so that is an equality join on the first four with the
+    rest tested behind it. Positions are added up by term before they meet the questions; ``units`` name a chunk.
     """
     head = lambda c: F.substring(c, 1, X.LEAST_STEM)
-    whole = inverted.join(terms.where("not prefix").select(key, "term"), "term").select(key, *units, "pos")
+    counts = inverted.groupBy(*units, "term").agg(F.count(F.lit(1)).alias("n"))
     stems = terms.where("prefix").select(key, F.col("term").alias("stem"), head("term").alias("head"))
-    started = inverted.withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select(key, *units, "pos")
-    return whole.unionByName(started).groupBy(key, *units).agg(F.count_distinct("pos").alias("n")).select(key, *units, (F.col("n") * 0.1).alias("score"))
+    started = inverted.select("term").distinct().withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select(key, "term")
+    matched = terms.where("not prefix").select(key, "term").unionByName(started).distinct()
+    return counts.join(matched, "term").groupBy(key, *units).agg(F.sum("n").alias("n")).select(key, *units, (F.col("n") * 0.1).alias("score"))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

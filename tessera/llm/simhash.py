@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialize, text_or_empty
+from tessera.llm.common import bounded_batches, materialize, shuffle_partitions, text_or_empty
 from tessera.llm.components import connected_components
 
 RADIUS = 4
@@ -104,7 +104,8 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame
     ``fps`` holds distinct fingerprints. Variants of up to ``crowd`` members have their pairs
     verified; the members of fuller ones are linked by their whole balls.
     """
-    variants = half_variants(fps, radius)
+    # each row becomes 66: the few rows of a file are dealt out before that
+    variants = half_variants(fps.repartition(4 * shuffle_partitions(fps.sparkSession), "fp"), radius)
     counted = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(variants.join(counted.hint("merge"), "variant"), "met")
     few = met.where(F.col("n") <= crowd).select("variant", "fp")

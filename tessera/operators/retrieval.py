@@ -5,7 +5,6 @@ Many questions run in one job: wherever a question takes part, rows are keyed by
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 
 import pandas as pd
@@ -81,17 +80,13 @@ def query_terms(questions: DataFrame, question: str = "question", key: str = "qu
     """``(key, term, prefix)``: distinct terms of each question without stop words; stems match as prefixes."""
     dropped = [*X.STOP_WORDS, *X.CODE_KEYWORDS]
     words = F.filter(F.array_distinct(X.split_identifiers(X.separate_scripts(question))), lambda t: (F.length(t) >= 2) & ~t.isin(dropped))
-    out = None
-    for suffix in X.SUFFIXES:
-        rule = lambda t, s=suffix: F.endswith(t, F.lit(s)) & (F.length(t) - len(s) >= X.LEAST_STEM)
-        out = [*(out or []), (rule, len(suffix))]
 
     def stemmed(t: Column) -> Column:
-        cut = None
-        for rule, n in out:
-            made = F.struct(t.substr(F.lit(1), F.length(t) - n).alias("term"), F.lit(True).alias("prefix"))
-            cut = F.when(rule(t), made) if cut is None else cut.when(rule(t), made)
-        return cut.otherwise(F.struct(t.alias("term"), F.lit(False).alias("prefix")))
+        whole = F.struct(t.alias("term"), F.lit(False).alias("prefix"))
+        for suffix in reversed(X.SUFFIXES):  # the first suffix that holds is the outermost test
+            cut = F.struct(t.substr(F.lit(1), F.length(t) - len(suffix)).alias("term"), F.lit(True).alias("prefix"))
+            whole = F.when(F.endswith(t, F.lit(suffix)) & (F.length(t) - len(suffix) >= X.LEAST_STEM), cut).otherwise(whole)
+        return whole
 
     kept = F.slice(F.array_distinct(F.transform(words, stemmed)), 1, MAX_TERMS)
     return questions.select(key, F.explode(kept).alias("t")).select(key, "t.term", "t.prefix")
@@ -237,10 +232,6 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> tuple[Da
     return rows.limit(size), cursor
 
 
-def nearest_rank(share: float, n: int) -> int:
-    return max(math.ceil(share * n), 1)
-
-
 IDENTIFIER = r"[/.]|_|[a-z][A-Z]|[A-Z]{2}[a-z]|[0-9]"
 PATH_SPAN = 120
 

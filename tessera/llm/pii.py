@@ -128,24 +128,36 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _source(docs).mapInArrow(make, FOUND)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``(term, n)``: rows of ``docs`` that hold each term. Each task adds up before the shuffle."""
+def copies(found: DataFrame) -> DataFrame:
+    """``(text_key, copies)``: each distinct text and the rows that have it."""
+    return found.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(term, n)``: distinct texts of ``docs`` that hold each term; ``known`` is its :func:`copies`.
+
+    Each task adds up rows by term and number of copies before the shuffle. All copies of a text are
+    counted under the same number, so that dividing by it leaves each text once, exactly.
+    """
 
     def rows(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in total], pa.string()), pa.array([c for _, c in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "copies", "n"])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                total.update(set(TERM.findall(text.as_py().lower())))
+            for text, times in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total.update((t, times) for t in set(TERM.findall(text.as_py().lower())))
                 if len(total) > COUNTER_ROWS:
                     yield rows(total)
                     total.clear()
         yield rows(total)
 
-    counted = docs.select(text_or_empty().alias("text")).mapInArrow(make, "term string, n long")
-    return counted.groupBy("term").agg(F.sum("n").alias("n"))
+    # texts without copies need no entry; where few have some, Spark sends those to the tasks and no text is shuffled
+    several = known.where("copies > 1")
+    told = _source(docs).join(several, "text_key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counted = told.mapInArrow(make, "term string, copies long, n long").groupBy("term", "copies").agg(F.sum("n").alias("n"))
+    return counted.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n"))
 
 
 def disclosing_pairs(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -161,8 +173,9 @@ def disclosing_pairs(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
         return pairs.select("entity", "term", F.lit(1.0).alias("share"))
     entities = seen.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     wanted = pairs.select("term").distinct()
-    terms = term_counts(docs).join(wanted, "term", "left_semi").withColumnRenamed("n", "n_term")
-    total = F.lit(float(max(docs.count(), 1)))
+    known = materialize(copies(found), "copies")
+    terms = term_counts(docs, known).join(wanted, "term", "left_semi").withColumnRenamed("n", "n_term")
+    total = F.lit(float(max(known.count(), 1)))
     content = -F.log2(F.col("n_entity") / total)
     gain = F.log2(total * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     return pairs.join(entities, "entity").join(terms, "term").where(F.col("n_entity") < total).withColumn("share", gain / content).where(F.col("share") >= disclosure).select("entity", "term", "share")

@@ -270,6 +270,18 @@ def test_op6_terms_that_give_an_entity_away(spark):
     assert "Zebulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[12] == texts[12]
 
 
+def test_op6_copies_are_no_evidence(spark):
+    rng = random.Random(16)
+    rows = [(i, f"{prose(rng, 8)} write Zebulon at zeb@mail.example.com soon") for i in range(3)] + [(10 + i, f"{prose(rng, 4)} plain words") for i in range(300)]
+    want = {s.start for s in pii.personal_data(frame(spark, rows)).where("doc_id = 0").first().added}
+    assert rows[0][1].index("Zebulon") in want
+    for copied in (rows[0][1], rows[20][1]):  # of a text with the entity, and of one without
+        more = rows + [(1000 + i, copied) for i in range(700)]
+        found = pii.find(frame(spark, more))
+        assert {r.term: r.n for r in pii.term_counts(frame(spark, more), pii.copies(found)).where("term in ('zebulon', 'plain')").collect()} == {"zebulon": 3, "plain": 300}
+        assert {s.start for s in pii.personal_data(frame(spark, more)).where("doc_id = 0").first().added} == want
+
+
 # --- 7: simhash ---------------------------------------------------------------------------------------
 
 

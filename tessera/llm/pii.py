@@ -1,10 +1,11 @@
 """Personal data: identifiers by pattern, and terms that give them away by information content.
 
-Base spans are found by pattern and check digit. Around each, the neighbouring words are candidate terms.
-Over all distinct texts, a term t discloses an entity e by its pointwise mutual information
-``log2(N n(t,e) / (n(t) n(e)))``, n counting texts. A term is generalised (to its kind of word) where
-that reaches ``DISCLOSURE`` of the entity's own information content ``-log2(n(e) / N)`` and at least
-``SUPPORT`` distinct texts show the pair, and removed where it reaches ``REMOVAL``.
+Base spans are found by pattern and check digit. All words of a text outside its spans are candidate terms
+of the entities that it holds. Over all distinct texts, a term t discloses an entity e by its pointwise
+mutual information ``log2(N n(t,e) / (n(t) n(e)))``, n counting texts. In the texts that hold e, each
+occurrence of t is generalised (to its kind of word) where that reaches ``DISCLOSURE`` of the entity's own
+information content ``-log2(n(e) / N)`` and at least ``SUPPORT`` distinct texts show the pair, and removed
+where it reaches ``REMOVAL``. In fewer texts every word that stands nowhere else would reach both.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import types as T
 from tessera.llm.common import bounded_batches, materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW = 6
 SUPPORT = 3
 DISCLOSURE = 0.75
 REMOVAL = 0.95
 COUNTER_ROWS = 200_000
+#: Keys of 16 bytes that are sent to each task at most; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 # fixed values: the patterns of the contract, with a look-behind where a later start within the same
 # run of digits can't match either
@@ -81,28 +83,23 @@ def entity(kind: str, found: str) -> str:
     return f"{kind}:{found.lower() if kind == 'email' else found if kind == 'ip' else ''.join(DIGIT.findall(found))}"
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]], window: int = WINDOW) -> list[tuple[str, str, int, int]]:
-    """``(entity, term, start, end)`` of the words within ``window`` words of each span, outside all spans."""
-    out, reach = [], 64 * window  # a word longer than the reach is cut by it and left out
-    taken = sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        low = max(0, a - reach)
-        before = [m.span() for m in TERM.finditer(text, low, a)][-window:]
-        after = [m.span() for _, m in zip(range(window), TERM.finditer(text, b, min(len(text), b + reach)), strict=False)]
-        for s, e in [*before, *after]:
-            cut = (s > 0 and s == low and TERM.match(text, s - 1)) or (e < len(text) and e == b + reach and TERM.match(text, e))
-            if not cut and not any(s < y and x < e for x, y in taken):
-                out.append((name, text[s:e].lower(), s, e))
-    return out
+def terms_of(text: str) -> set[str]:
+    return {t.lower() for t in set(TERM.findall(text))}
+
+
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words of ``text`` that touch no span."""
+    taken, k, reached = sorted((a, b) for _, a, b in spans), 0, 0
+    for m in TERM.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reached, k = max(reached, taken[k][1]), k + 1
+        if m.start() >= reached:
+            yield m
 
 
-FOUND = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("text_key", T.LongType()),
-    T.StructField("base", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-    T.StructField("near", T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-])
+SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("base", SPANS), T.StructField("text", T.StringType())])
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -111,19 +108,18 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
-def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, text_key, base, near)`` of each row: its base spans and the words near them."""
+def find(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_key, base, text)`` of each row: its base spans, and its text where it has some."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, near = [], []
+            base, held = [], []
             for text in batch.column(2):
                 text = text.as_py()
                 spans = base_spans(text)
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                near.append([{"entity": n, "term": t, "start": a, "end": b} for n, t, a, b in neighbours(text, spans, window)])
-            types = [pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(base, types[0]), pa.array(near, types[1])], names=FOUND.names)
+                held.append(text if spans else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(base, pa.list_(SPAN)), pa.array(held, pa.string())], names=FOUND.names)
 
     return _source(docs).mapInArrow(make, FOUND)
 
@@ -147,54 +143,90 @@ def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
         total: Counter = Counter()
         for batch in batches:
             for text, times in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                total.update((t, times) for t in set(TERM.findall(text.as_py().lower())))
+                total.update((t, times) for t in terms_of(text.as_py()))
                 if len(total) > COUNTER_ROWS:
                     yield rows(total)
                     total.clear()
         yield rows(total)
 
-    # texts without copies need no entry; where few have some, Spark sends those to the tasks and no text is shuffled
+    # texts without copies need no entry; where the others' keys fit into the tasks, no text is shuffled
     several = known.where("copies > 1")
+    several = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
     told = _source(docs).join(several, "text_key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
     counted = told.mapInArrow(make, "term string, copies long, n long").groupBy("term", "copies").agg(F.sum("n").alias("n"))
     return counted.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n"))
 
 
-def disclosing_pairs(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(entity, term, share)``: pairs whose mutual information is ``share`` >= ``disclosure`` of the entity's content.
+def holders(found: DataFrame) -> DataFrame:
+    """``(text_key, text)``: each distinct text that holds an entity."""
+    return materialize(found.where("text is not null").groupBy("text_key").agg(F.first("text").alias("text")), "holders")
+
+
+def described(texts: DataFrame) -> DataFrame:
+    """``(text_key, entities, terms)`` of :func:`holders`, each named once."""
 
-    Pairs and entities are counted over distinct texts, so copies are no evidence; they are reduced
-    to counts before each shuffle. Only pairs with enough support look up their term's count.
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entities, terms = [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                spans = base_spans(text)
+                entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                terms.append(sorted({m[0].lower() for m in outside(text, spans)}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["text_key", "entities", "terms"])
+
+    return texts.mapInArrow(make, "text_key long, entities array<string>, terms array<string>")
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """``(text_key, entity, term, share)``: what a term discloses, ``share`` >= ``disclosure``, of an entity of the same text.
+
+    Pairs, entities and terms are counted over distinct texts, so copies are no evidence. As
+    n(t,e) <= n(t) and n(t,e) <= n(e), no pair whose term stands in fewer than ``support`` texts, or in more than
+    ``N ** (1 - disclosure) * n(e) ** disclosure``, can reach the measure; those are left out before pairs are made.
     """
-    texts = found.where(F.size("near") > 0).groupBy("text_key").agg(F.first("near").alias("near"))
-    seen = texts.select("text_key", F.explode("near").alias("x")).select("text_key", "x.entity", "x.term").distinct()
-    pairs = materialize(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support), "pairs")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(1.0).alias("share"))
-    entities = seen.select("entity", "text_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    wanted = pairs.select("term").distinct()
+    parts = described(texts)
+    each = parts.select("text_key", F.explode("entities").alias("entity"))
+    entities = materialize(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    if entities.isEmpty():
+        return each.select("text_key", "entity", F.lit("").alias("term"), F.lit(1.0).alias("share")).limit(0)
     known = materialize(copies(found), "copies")
-    terms = term_counts(docs, known).join(wanted, "term", "left_semi").withColumnRenamed("n", "n_term")
     total = F.lit(float(max(known.count(), 1)))
+    most = lambda n: F.pow(total, F.lit(1 - disclosure)) * F.pow(n, F.lit(disclosure)) * 1.000001
+    widest = entities.agg(F.max("n_entity")).first()[0]
+    counts = term_counts(docs, known).withColumnRenamed("n", "n_term").where((F.col("n_term") >= support) & (F.col("n_term") <= most(F.lit(float(widest)))))
+    held = each.join(entities, "entity").where(F.col("n_entity") < total)
+    words = parts.select("text_key", F.explode("terms").alias("term")).join(counts, "term")
+    near = materialize(held.join(words, "text_key").where(F.col("n_term") <= most(F.col("n_entity"))), "near")
+    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     content = -F.log2(F.col("n_entity") / total)
     gain = F.log2(total * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
-    return pairs.join(entities, "entity").join(terms, "term").where(F.col("n_entity") < total).withColumn("share", gain / content).where(F.col("share") >= disclosure).select("entity", "term", "share")
+    telling = pairs.where(F.col("n_pair") >= support).withColumn("share", gain / content).where(F.col("share") >= disclosure).select("entity", "term", "share")
+    return near.select("text_key", "entity", "term").join(telling, ["entity", "term"])
 
 
 def added_spans(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
-    """``(text_key, added)``: for each text, sorted spans ``(kind, start, end)`` of its disclosing terms."""
-    pairs = disclosing_pairs(docs, found, support, disclosure)
-    near = found.where(F.size("near") > 0).groupBy("text_key").agg(F.first("near").alias("near"))
-    terms = near.select("text_key", F.explode("near").alias("x")).select("text_key", "x.*").join(pairs, ["entity", "term"])
-    spans = terms.groupBy("text_key", "start", "end").agg(F.max("share").alias("share"))
-    span = F.struct(F.when(F.col("share") >= removal, "term_removed").otherwise("term_general").alias("kind"), "start", "end")
-    return spans.groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    """``(text_key, added)``: for each text, sorted spans ``(kind, start, end)`` of every occurrence of its disclosing terms."""
+    texts = holders(found)
+    marks = disclosing_terms(docs, found, texts, support, disclosure).groupBy("text_key", "term").agg((F.max("share") >= removal).alias("removed"))
+    marked = texts.join(marks.groupBy("text_key").agg(F.collect_list(F.struct("term", "removed")).alias("marks")), "text_key")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added = []
+            for text, marks in zip(batch.column(1), batch.column(2), strict=True):
+                text, kinds = text.as_py(), {m["term"]: "term_removed" if m["removed"] else "term_general" for m in marks.as_py()}
+                words = ((kinds.get(m[0].lower()), *m.span()) for m in outside(text, base_spans(text)))
+                added.append([{"kind": k, "start": a, "end": b} for k, a, b in words if k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, pa.list_(SPAN))], names=["text_key", "added"])
+
+    return marked.mapInArrow(make, T.StructType([T.StructField("text_key", T.LongType()), T.StructField("added", SPANS)]))
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
     """``(doc_id, base, added)`` of each row of ``docs``; null and empty texts have no spans."""
     found = materialize(find(docs), "found")
-    none = F.array().cast(FOUND["base"].dataType)
+    none = F.array().cast(SPANS)
     return found.join(added_spans(docs, found, **options), "text_key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 

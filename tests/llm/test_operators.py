@@ -282,6 +282,19 @@ def test_op6_copies_are_no_evidence(spark):
         assert {s.start for s in pii.personal_data(frame(spark, more)).where("doc_id = 0").first().added} == want
 
 
+def test_op6_terms_anywhere_in_the_text(spark):
+    rng = random.Random(26)
+    far = [(i, f"Zebulon {prose(rng, 30)} write to zeb@mail.example.com soon {prose(rng, 30)} by Zebulon, ZEBULON") for i in range(3)]
+    rows = far + [(5, f"Zebulon {prose(rng, 30)}")] + [(10 + i, prose(rng, 60) + " write soon") for i in range(200)]
+    texts, found = dict(rows), {r.doc_id: r.added for r in pii.personal_data(frame(spark, rows)).collect()}
+    for i, _ in far:
+        places = {m.span() for m in re.finditer("zebulon", texts[i], re.IGNORECASE)}
+        assert len(places) == 3 and places <= {(s.start, s.end) for s in found[i]} and "soon" not in {texts[i][s.start : s.end] for s in found[i]}
+    assert not found[5]  # holds the term but no identifier
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert all("zebulon" not in clean[i].lower() for i, _ in far) and clean[5] == texts[5]
+
+
 # --- 7: simhash ---------------------------------------------------------------------------------------
 
 

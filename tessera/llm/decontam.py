@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Every n-gram of the test items is counted in all training texts. An item's seeds are its rare
-n-grams; an item whose n-grams are all common keeps its rarest ones, so that no item is beyond
-reach. A seed in a text proposes a place for its item, and local alignment of the item with the words
-around that place scores exact, edited and partly paraphrased copies alike.
+Every n-gram of the test items, rare or common, is a seed: how often a copy stands in the corpus doesn't
+matter. A seed in a text proposes a place for its item. Places whose words can't reach the
+threshold in any order are left out, which loses no match; local alignment of the item with the words
+around the others scores exact, edited and partly paraphrased copies alike.
 """
 
 from __future__ import annotations
@@ -20,9 +20,6 @@ from tessera.llm.common import bounded_batches, text_or_empty
 
 NGRAM = 3
 THRESHOLD = 0.5
-RARE_SHARE = 1e-4
-RARE_FLOOR = 20
-RAREST = 6
 BLOCK_CHARS = 8_000_000
 PUNCTUATION = bytes(32 if 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 else b for b in range(256))
 HITS = "doc_id long, item_id long, score double, first_word long, last_word long"
@@ -115,32 +112,32 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield rows
 
 
-def gram_counts(docs: DataFrame, items: Items) -> dict[int, int]:
-    """Documents that hold each n-gram of ``items``; the result is bounded by the items' block."""
+def places(own: np.ndarray, coded: np.ndarray, starts: list[int], threshold: float) -> Iterator[tuple[int, int]]:
+    """Stretches of a text, first and end word, that hold every alignment through one of ``starts`` that may reach ``threshold``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                total[np.unique(items.found(items.code(text.as_py()))[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
-
-    counted = docs.select(text_or_empty().alias("text")).mapInArrow(count, "gram long, n long")
-    return {r.gram: r.n for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-
-
-def seed_mask(items: Items, counts: dict[int, int], documents: int) -> np.ndarray:
-    """Which n-grams are seeds: rare ones, and each item's rarest."""
-    often = np.array([counts.get(g, 0) for g in range(len(items.grams))], np.int64)
-    seeds = often <= max(RARE_FLOOR, RARE_SHARE * documents)
-    of_item = defaultdict(list)
-    for gram, places in enumerate(items.places):
-        for item, _ in places:
-            of_item[item].append(gram)
-    for grams in of_item.values():
-        seeds[sorted(set(grams), key=lambda g: (often[g], g))[:RAREST]] = True
-    return seeds
+    Such an alignment has at most twice (1 - threshold) of the item's words more than the item, and its score
+    is at most the item's share of words that the stretch holds too, in whatever order.
+    """
+    size = len(own)
+    slack = int(2 * size * (1 - threshold)) + 1
+    words, often = np.unique(own, return_counts=True)
+    low = end = None
+    for start in starts:
+        a, b = max(0, start - slack), min(len(coded), start + size + slack)
+        if end is not None and b <= end:
+            continue
+        slot = np.minimum(np.searchsorted(words, coded[a:b]), len(words) - 1)
+        there = np.bincount(slot[words[slot] == coded[a:b]], minlength=len(words))
+        if np.minimum(there, often).sum() < threshold * size:
+            continue
+        if end is not None and a <= end:
+            end = b
+        else:
+            if end is not None:
+                yield low, end
+            low, end = a, b
+    if end is not None:
+        yield low, end
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
@@ -152,31 +149,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     spark, found = docs.sparkSession, None
     bounded_batches(spark)
-    documents = docs.count()
     for block in _blocks(benchmark):
         items = Items([(i, t) for i, t in block if len(words_of(t)) >= n], n)
-        seeds = seed_mask(items, gram_counts(docs, items), documents)
 
-        def scan(batches: Iterator[pa.RecordBatch], items: Items = items, seeds: np.ndarray = seeds) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
             for batch in batches:
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     coded = items.code(text.as_py())
                     at, grams = items.found(coded)
-                    keep = seeds[grams]
                     spots = defaultdict(set)
-                    for p, g in zip(at[keep].tolist(), grams[keep].tolist(), strict=True):
+                    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
                         for item, place in items.places[g]:
                             spots[item].add(p - place)
                     for item, starts in sorted(spots.items()):
-                        size, best, done = len(items.coded[item]), (0.0, 0, 0), -1
-                        for start in sorted(starts):
-                            if start <= done:
-                                continue  # the window of an earlier start holds this one
-                            low = max(0, start - size // 2)
-                            window = coded[low : start + 2 * size]
-                            done = start + size // 2
+                        best = (0.0, 0, 0)
+                        for low, end in places(items.coded[item], coded, sorted(starts), threshold):
+                            window = coded[low:end]
                             key = (item, window.tobytes())
                             if key not in known:
                                 if len(known) > 20_000:

@@ -487,6 +487,29 @@ def test_op10_copies_edits_and_clean_texts(spark):
     assert {r.doc_id for r in kept.collect()} == {100 + i for i in range(20)}
 
 
+def test_op10_cut_and_edited_copies_of_a_hot_item(spark):
+    rng = random.Random(20)
+    item = prose(rng, 30)
+    words = item.split()
+    edited = [w if k % 5 else "changed" for k, w in enumerate(words)]
+    rows = [(i, f"{prose(rng, 20)} {item} {prose(rng, 20)}") for i in range(60)]
+    rows += [(100, f"{prose(rng, 30)} {' '.join(words[12:])} {prose(rng, 30)}"), (101, f"{prose(rng, 30)} {' '.join(edited)} {prose(rng, 30)}"), (102, f"{prose(rng, 30)} {' '.join(words[20:])} {prose(rng, 30)}")]
+    got = {r.doc_id: r for r in decontam.contaminated(frame(spark, rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert set(got) == {*range(60), 100, 101} and abs(got[100].score - 0.6) < 1e-9
+    assert (got[100].first_word, got[100].last_word) == (30, 47)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=3, max_size=8), st.lists(st.integers(-1, 4), min_size=3, max_size=40), st.sampled_from([0.5, 0.7, 0.9]))
+def test_op10_places_hold_what_all_words_hold(item, text, threshold):
+    own, coded = np.array(item), np.array(text)
+    starts = sorted({p - k for p in range(len(text) - 2) for k in range(len(item) - 2) if text[p : p + 3] == item[k : k + 3]})
+    best = max([0.0, *(decontam.align(own, coded[a:b])[0] for a, b in decontam.places(own, coded, starts, threshold))])
+    # around each start alone, with nothing left out
+    want = max([0.0, *(decontam.align(own, coded[max(0, s - 2 * len(item)) : s + 3 * len(item)])[0] for s in starts)])
+    assert best >= want or want < threshold or best >= threshold
+
+
 def test_op10_query_finds_all_containing_documents(spark, sf_dir, documents):
     got = {(r.doc_id, r.item_id) for r in queries.op10_benchmark_alignment(spark, sf_dir).collect()}
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()

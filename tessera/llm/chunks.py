@@ -97,11 +97,11 @@ def _batch(parts: list[list]) -> pa.RecordBatch:
 
 
 def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``(doc_id, start, end, first_doc)``: maximal runs of chunks that two documents or more hold.
+    """``(doc_id, start, end, first_doc)``: runs of chunks that two documents or more hold.
 
-    ``start`` and ``end`` are bytes of the UTF-8 text; ``first_doc`` is the smallest doc_id that holds
-    all the run's chunks' earliest copies, or the smallest of them where they differ. Whole copies are
-    one run. Rows with a null doc_id take no part; null and empty texts have no chunks; rows that share a
+    ``start`` and ``end`` are bytes of the UTF-8 text. A maximal run is broken where at least ``least_bytes``
+    that smaller documents hold begin or end: there ``first_doc`` is the smallest doc_id of the stretch's
+    chunks, elsewhere it is ``doc_id`` itself, as no smaller document holds the passage. Whole copies are one run. Rows with a null doc_id take no part; null and empty texts have no chunks; rows that share a
     doc_id are one document, and their runs are joined where they overlap; empty tables give no rows.
     """
     cut = chunks(docs)
@@ -111,10 +111,22 @@ def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     shared = cut.join(materialize(holders, "holders").hint("merge"), "digest").select("doc_id", "start", "end", "first_doc")
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")
-    runs = shared.withColumn("run", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
-    return spans.where(F.col("end") - F.col("start") >= least_bytes).select("doc_id", "start", "end", "first_doc")
+    new = F.coalesce(F.col("start") > reached, F.lit(True))
+    earlier = F.col("first_doc") < F.col("doc_id")
+    turn = new | (earlier != F.lag(earlier).over(order))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    runs = shared.select("*", earlier.alias("earlier"), F.sum(new.cast("int")).over(so_far).alias("run"), F.sum(turn.cast("int")).over(so_far).alias("stretch"))
+    extent = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc")]
+    stretches = runs.groupBy("doc_id", "run", "stretch", "earlier").agg(*extent)
+    # few shared bytes of smaller documents, as a common word, don't break a passage
+    later = F.col("earlier") & (F.col("end") - F.col("start") >= least_bytes)
+    order = Window.partitionBy("doc_id").orderBy("run", "stretch")
+    whole = Window.partitionBy("doc_id", "run")
+    told = stretches.withColumn("later", later).withColumn("bytes", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("bytes") >= least_bytes)
+    turned = F.coalesce((F.col("run") != F.lag("run").over(order)) | (F.col("later") != F.lag("later").over(order)), F.lit(True))
+    pieces = told.withColumn("turned", turned.cast("int")).withColumn("piece", F.sum("turned").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = pieces.groupBy("doc_id", "piece", "later").agg(*extent)
+    return spans.select("doc_id", "start", "end", F.when(F.col("later"), F.col("first_doc")).otherwise(F.col("doc_id")).alias("first_doc"))
 
 
 def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

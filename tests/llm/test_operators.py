@@ -106,6 +106,22 @@ def test_op2_finds_planted_passages_only(spark):
     assert len(cut[3]) == len(rows[3][1]) and len(cut[17]) < len(rows[17][1]) and cut[5] == rows[5][1]
 
 
+def test_op2_every_chunk_stays_in_its_smallest_document(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, f"{prose(rng, 40)} {a} {prose(rng, 40)}"), (5, f"{prose(rng, 40)} {a} {b} {prose(rng, 40)}"), (9, f"{prose(rng, 40)} {b} {prose(rng, 40)}")]
+    texts, docs = dict(rows), frame(spark, rows)
+    shown = lambda r: texts[r.doc_id].encode()[r.start : r.end].decode()
+    got = chunks.repeated_passages(docs).collect()
+    assert all(shown(r) in texts[r.first_doc] for r in got) and {(r.doc_id, r.first_doc) for r in got} == {(1, 1), (5, 1), (5, 5), (9, 5)}
+    cut = {r.doc_id: r.text for r in chunks.without_repeats(docs).collect()}
+    assert cut[1] == texts[1] and a not in cut[5] and b[60:-60] in cut[5] and b[60:-60] not in cut[9]
+    least = {}
+    for r in chunks.chunks(docs).orderBy("doc_id").collect():
+        least.setdefault(r.digest, (r.doc_id, shown(r)))
+    assert all(piece in cut[i] for i, piece in least.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=4000), st.binary(max_size=50))
 def test_cuts_come_back_after_an_insertion(data, extra):

@@ -1,4 +1,4 @@
-"""Secrets in texts: long candidates by pattern, and a random forest that removes the false ones.
+"""Secrets in texts: candidates by pattern or by a secret word before them, and a random forest that removes the false ones.
 
 Only DataFrame functions and Spark ML's JVM forest run here. A candidate's numbers are its length, how
 often neighbouring characters change their class, its characters' variety, the share of it that
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import text_or_empty
 
 LEAST = 16
+LEAST_TOLD = 6
 THRESHOLD = 0.5
 TREES, DEPTH, SEED = 24, 7, 5
 FINDINGS = 8000
@@ -44,6 +45,12 @@ DICTIONARY = (
 ).split()
 SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|apikey|access.?key|credential|bearer|private.?key|auth)"
 HARMLESS_WORDS = r"(?i)(commit|sha-?\d*\b|md5|checksum|digest|hash|uuid|guid|revision|etag|version|build|example|sample|dummy|placeholder|isbn|order|card|phone|e-?mail)"
+# fixed values: a value that a secret word assigns, or that stands quoted after it, in the last word of what is searched
+TOLD = SECRET_WORDS.replace("(token", "(?:token") + r"[\w.-]*[\"'`\])]*(?:\s*(?:=>|:=|[=:]+)\s*[(\[{]?"
+TOLD_VALUES = (
+    *(TOLD + rf"|\s+){q}([^\s{q}]{{{LEAST_TOLD},}}){q}(?=\S*$)" for q in "\"'`"),
+    TOLD + rf")([^\s\"'`(\[{{][^\s\"'`]{{{LEAST_TOLD - 2},}}[^\s\"'`,;)\]}}])(?=\S*$)",
+)
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|spec|fixtures?|examples?|samples?|docs?|mocks?|vendor)([/_.-]|$)"
 NUMBERS = (
     "length", "changes", "letter_digit_changes", "case_changes", "distinct", "digits", "upper", "hexadecimal", "longest_letters", "dictionary", "marks", "repeats",
@@ -60,9 +67,12 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     split = docs.select("doc_id", own.alias("path"), F.split(text_or_empty(), r"\s+").alias("w"))
     beside = lambda i: F.coalesce(F.get("w", i), F.lit(""))
     # get() of a negative index gives null
-    long = F.transform("w", lambda x, i: F.when(F.length(x) >= LEAST, F.struct(i.alias("word"), x.alias("own"), F.concat_ws(" ", beside(i - 2), beside(i - 1)).alias("before"), F.concat_ws(" ", beside(i + 1), beside(i + 2)).alias("after"))))
+    told = lambda x, i: (F.length(x) >= LEAST_TOLD) & F.concat_ws(" ", beside(i - 2), beside(i - 1), x).rlike(SECRET_WORDS)
+    long = F.transform("w", lambda x, i: F.when((F.length(x) >= LEAST) | told(x, i), F.struct(i.alias("word"), x.alias("own"), F.concat_ws(" ", beside(i - 2), beside(i - 1)).alias("before"), F.concat_ws(" ", beside(i + 1), beside(i + 2)).alias("after"))))
     found = split.select("doc_id", "path", F.explode(F.filter(long, lambda x: x.isNotNull())).alias("x")).select("doc_id", "path", "x.*")
-    each = found.select("doc_id", "path", "word", "own", "before", "after", F.explode(F.array_distinct(F.regexp_extract_all("own", F.lit(CANDIDATE), F.lit(0)))).alias("candidate"))
+    known = F.concat_ws(" ", "before", "own")
+    every = F.concat(F.regexp_extract_all("own", F.lit(CANDIDATE), F.lit(0)), *[F.regexp_extract_all(known, F.lit(v), F.lit(1)) for v in TOLD_VALUES])
+    each = found.select("doc_id", "path", "word", "own", "before", "after", F.explode(F.array_distinct(every)).alias("candidate"))
     ahead = F.concat_ws(" ", "before", F.expr("substring(own, 1, locate(candidate, own) - 1)"))
     behind = F.concat_ws(" ", F.expr("substring(own, locate(candidate, own) + length(candidate))"), "after")
     return each.select("doc_id", "word", "candidate", ahead.alias("before"), behind.alias("after"), "path")
@@ -152,6 +162,20 @@ def made_findings(spark: SparkSession, rows: int = FINDINGS, seed: int = SEED) -
             row = (harmless(), *plain, path, 0.0)
         found.append(row)
     found = [r for r in found if len(r[0]) >= LEAST]
+
+    def chosen() -> str:
+        """A password as people choose it: letters with digits, often with signs."""
+        parts = [rng.choice((word(), known(), known().title(), dense(3, 8))), some(string.digits, 1, 4), *rng.choice(((), (some("!@#$%^&*:?", 1, 2),), (some("!@#$%:&", 1, 1), dense(3, 8)), (dense(1, 4),)))]
+        if rng.random() < 0.5:
+            rng.shuffle(parts)
+        return "".join(parts).ljust(LEAST_TOLD, rng.choice(string.digits))
+
+    def plain_value() -> str:
+        return rng.choice((lambda: known().ljust(LEAST_TOLD, "s"), lambda: word().ljust(LEAST_TOLD, "e"), lambda: word().title().ljust(LEAST_TOLD, "n"), lambda: f"{known()}_{known()}", lambda: f"{known()}.{known()}", lambda: f"{known()}-{known()}", lambda: f"{known()}()".rjust(LEAST_TOLD, "g"), lambda: "${" + known().upper() + "}", lambda: f"<{known()}>".ljust(LEAST_TOLD, ">"), lambda: "*" * rng.randint(6, 12), lambda: some(string.digits, 6, 9)))()
+
+    for _ in range(rows // 4):
+        path = rng.choice(("src/app.py", "lib/main.js", "config/prod.env", "src3", "src17", ""))
+        found.append((chosen(), *told(), path, 1.0) if rng.random() < 0.5 else (plain_value(), *told(), path, 0.0))
     return spark.createDataFrame(found, "candidate string, before string, after string, path string, label double")
 
 

@@ -235,6 +235,17 @@ def test_op5_keeps_secrets_and_drops_look_alikes(spark):
     assert (scored.label == scored.prediction).mean() > 0.97
 
 
+def test_op5_short_and_broken_secrets(spark):
+    forest = secrets.train(secrets.made_findings(spark))
+    rows = [
+        (0, 'x password = "hunter2x" and', "hunter2x"), (1, "use password='P@ss:word!23xyz' here", "P@ss:word!23xyz"), (2, "api_key: Zk93mQ1x then", "Zk93mQ1x"),
+        (3, '{"secret":"tr0ub4dor&3"}', "tr0ub4dor&3"), (4, 'password: required, author = someone', None), (5, "the word hunter2x alone", None),
+    ]
+    docs = spark.createDataFrame([(i, t, "src1") for i, t, _ in rows], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.candidate) for r in secrets.secrets(docs, forest).where("predicted = 1").collect()}
+    assert got == {(i, value) for i, _, value in rows if value}
+
+
 # --- 6: personal data ---------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

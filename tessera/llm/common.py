@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a folder of our own set.
+    Where the session names none, a folder of our own is set if all runs on one machine; on a cluster that fails.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -44,6 +46,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: A key with more than this part of all rows is hot; there are no more hot keys than that.
+HOT_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, told: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``told``, which has one row for each ``key`` and the number of its rows in ``count``.
+
+    Of ``total`` rows, those of hot keys stay where they are and meet ``told`` by broadcast, of which there are at
+    most ``HOT_KEYS`` rows; all others are dealt by key. Both frames are read twice, so they should be written tables.
+    """
+    hot = F.broadcast(told.where(F.col(count) > total // HOT_KEYS).drop(count))
+    rest = told.where(F.col(count) <= total // HOT_KEYS).drop(count)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import join_counted, materialize
 
 MAX_ROUNDS = 100
 
@@ -16,14 +16,15 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def _nearest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Rows ``(node, root)`` of all nodes with an edge; ``root`` is the smallest node that is reachable.
 
     ``edges`` has two columns of one orderable type. Neighbours are reduced to their minimum before
-    each shuffle, and stars are rewired edge by edge, so no group of neighbours is ever collected.
+    each shuffle, and stars are rewired edge by edge, so no group of neighbours is ever collected; the edges of
+    a hub are not dealt by it.
     Loops, repeated edges and an empty table are allowed; a node whose only edge is a loop gets no row.
     """
     a, b = edges.columns
@@ -34,12 +35,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if not before[0]:
             break
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _nearest(both).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(_nearest(both).withColumn("m", F.least("u", "m")), "least")
+        large = join_counted(both.where("v > u"), least, "u", "n", 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
-        least = _nearest(large)
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "small-star")
+        least = materialize(_nearest(large), "least")
+        small = join_counted(large, least, "u", "n", before[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         after = _signature(stars)
         if after == before:
             break

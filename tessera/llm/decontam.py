@@ -72,31 +72,34 @@ class Items:
         return at[same], slot[same]
 
 
+def _best(item: np.ndarray, window: np.ndarray, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
+    """The best local score and the first cell, by row and then column, that has it. Two rows of the matrix are held."""
+    ramp = gap * np.arange(len(window) + 1)
+    row, best, at = np.zeros(len(window) + 1, np.int64), 0, (0, 0)
+    for i, word in enumerate(item):
+        open_ = np.zeros_like(row)
+        open_[1:] = np.maximum(row[:-1] + np.where(window == word, match, mismatch), row[1:] - gap)
+        # the chain of gaps within a row is a running maximum
+        row = np.maximum.accumulate(np.maximum(open_, 0) + ramp) - ramp
+        j = int(row.argmax())
+        if row[j] > best:
+            best, at = int(row[j]), (i + 1, j)
+    return best, *at
+
+
 def align(item: np.ndarray, window: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = 1) -> tuple[float, int, int]:
     """Best Smith-Waterman score as a share of a full match, and the first and last word it covers.
 
-    Rows of the matrix are vectors: the chain of gaps within a row is a running maximum.
+    Memory grows with the window alone. Where the alignment starts is found from its end: in the reversed words
+    up to there no other cell ends an alignment that good.
     """
     if not len(item) or not len(window):
         return 0.0, 0, 0
-    m = len(window)
-    ramp = gap * np.arange(m + 1)
-    rows = np.zeros((len(item) + 1, m + 1), np.int32)
-    for i, word in enumerate(item):
-        open_ = np.zeros(m + 1, np.int64)
-        open_[1:] = np.maximum(rows[i, :-1] + np.where(window == word, match, mismatch), rows[i, 1:] - gap)
-        rows[i + 1] = np.maximum.accumulate(np.maximum(open_, 0) + ramp) - ramp
-    best = int(rows.max())
-    i, j = np.unravel_index(int(rows.argmax()), rows.shape)
-    last = int(j) - 1
-    while i and j and rows[i, j]:
-        if rows[i, j] == rows[i - 1, j - 1] + (match if window[j - 1] == item[i - 1] else mismatch):
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] - gap:
-            i -= 1
-        else:
-            j -= 1
-    return best / (match * len(item)), int(j), max(last, 0)
+    best, i, j = _best(item, window, match, mismatch, gap)
+    if not best:
+        return 0.0, 0, 0
+    _, _, back = _best(item[:i][::-1], window[:j][::-1], match, mismatch, gap)
+    return best / (match * len(item)), j - back, j - 1
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -145,7 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     ``score`` is that share, ``first_word`` and ``last_word`` the words it covers. Items of fewer
     than ``n`` words have no n-gram and match nothing; null texts count as empty; items with null
-    ids are left out; repeated rows give repeated rows; empty tables give no rows.
+    ids are left out; repeated rows give repeated rows; empty tables give no rows. An edited copy that keeps no
+    ``n`` words of its item in a row is not found.
     """
     spark, found = docs.sparkSession, None
     bounded_batches(spark)

@@ -6,6 +6,7 @@ mutual information ``log2(N n(t,e) / (n(t) n(e)))``, n counting texts. In the te
 occurrence of t is generalised (to its kind of word) where that reaches ``DISCLOSURE`` of the entity's own
 information content ``-log2(n(e) / N)`` and at least ``SUPPORT`` distinct texts show the pair, and removed
 where it reaches ``REMOVAL``. In fewer texts every word that stands nowhere else would reach both.
+A text is known by its SHA-256, so that no other text gets its spans.
 """
 
 from __future__ import annotations
@@ -15,19 +16,19 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_batches, materialize, text_or_empty
+from tessera.llm.common import bounded_batches, join_counted, materialize, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 3
 DISCLOSURE = 0.75
 REMOVAL = 0.95
 COUNTER_ROWS = 200_000
-#: Keys of 16 bytes that are sent to each task at most; more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Keys of 32 bytes that are sent to each task at most; more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 # fixed values: the patterns of the contract, with a look-behind where a later start within the same
 # run of digits can't match either
@@ -99,13 +100,16 @@ def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("base", SPANS), T.StructField("text", T.StringType())])
+FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.BinaryType()), T.StructField("base", SPANS), T.StructField("text", T.StringType())])
+
+
+def text_key() -> Column:
+    return F.unhex(F.sha2(text_or_empty(), 256))
 
 
 def _source(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), text_or_empty().alias("text"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -151,8 +155,12 @@ def term_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     # texts without copies need no entry; where the others' keys fit into the tasks, no text is shuffled
     several = known.where("copies > 1")
-    several = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
-    told = _source(docs).join(several, "text_key", "left").select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    size, texts = several.agg(F.count(F.lit(1)).alias("keys"), F.sum("copies").alias("rows")).first(), _source(docs).select("text_key", "text")
+    if size["keys"] <= BROADCAST_KEYS:
+        told = texts.join(F.broadcast(several), "text_key", "left")
+    else:
+        told = join_counted(texts, several.withColumn("n", F.col("copies")), "text_key", "n", size["rows"], "left")
+    told = told.select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
     counted = told.mapInArrow(make, "term string, copies long, n long").groupBy("term", "copies").agg(F.sum("n").alias("n"))
     return counted.groupBy("term").agg(F.sum(F.expr("n div copies")).alias("n"))
 
@@ -175,7 +183,7 @@ def described(texts: DataFrame) -> DataFrame:
                 terms.append(sorted({m[0].lower() for m in outside(text, spans)}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entities, pa.list_(pa.string())), pa.array(terms, pa.list_(pa.string()))], names=["text_key", "entities", "terms"])
 
-    return texts.mapInArrow(make, "text_key long, entities array<string>, terms array<string>")
+    return texts.mapInArrow(make, "text_key binary, entities array<string>, terms array<string>")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -193,16 +201,21 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, texts: DataFrame, suppor
     known = materialize(copies(found), "copies")
     total = F.lit(float(max(known.count(), 1)))
     most = lambda n: F.pow(total, F.lit(1 - disclosure)) * F.pow(n, F.lit(disclosure)) * 1.000001
-    widest = entities.agg(F.max("n_entity")).first()[0]
-    counts = term_counts(docs, known).withColumnRenamed("n", "n_term").where((F.col("n_term") >= support) & (F.col("n_term") <= most(F.lit(float(widest)))))
-    held = each.join(entities, "entity").where(F.col("n_entity") < total)
-    words = parts.select("text_key", F.explode("terms").alias("term")).join(counts, "term")
+    sizes = entities.agg(F.max("n_entity").alias("most"), F.sum("n_entity").alias("rows")).first()
+    counts = term_counts(docs, known).withColumnRenamed("n", "n_term").where(F.col("n_term") >= support)
+    # terms that are too common to disclose stay until they are joined, so that their rows are dealt by a salt too: those
+    # of a thousandth of all texts are no more than a thousand times the terms of a text
+    counts = materialize(counts.withColumn("n", F.col("n_term")), "term-counts")
+    held = join_counted(each, entities.withColumn("n", F.col("n_entity")), "entity", "n", sizes["rows"]).where(F.col("n_entity") < total)
+    words = join_counted(parts.select("text_key", F.explode("terms").alias("term")), counts, "term", "n", known.count())
+    words = words.where(F.col("n_term") <= most(F.lit(float(sizes["most"]))))
     near = materialize(held.join(words, "text_key").where(F.col("n_term") <= most(F.col("n_entity"))), "near")
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     content = -F.log2(F.col("n_entity") / total)
     gain = F.log2(total * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
-    telling = pairs.where(F.col("n_pair") >= support).withColumn("share", gain / content).where(F.col("share") >= disclosure).select("entity", "term", "share")
-    return near.select("text_key", "entity", "term").join(telling, ["entity", "term"])
+    telling = pairs.where(F.col("n_pair") >= support).withColumn("share", gain / content).where(F.col("share") >= disclosure)
+    telling = materialize(telling.select("entity", "term", "share", "n_pair"), "telling")
+    return join_counted(near.select("text_key", "entity", "term"), telling, ["entity", "term"], "n_pair", near.count())
 
 
 def added_spans(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
@@ -220,7 +233,7 @@ def added_spans(docs: DataFrame, found: DataFrame, support: int = SUPPORT, discl
                 added.append([{"kind": k, "start": a, "end": b} for k, a, b in words if k])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, pa.list_(SPAN))], names=["text_key", "added"])
 
-    return marked.mapInArrow(make, T.StructType([T.StructField("text_key", T.LongType()), T.StructField("added", SPANS)]))
+    return marked.mapInArrow(make, T.StructType([T.StructField("text_key", T.BinaryType()), T.StructField("added", SPANS)]))
 
 
 def personal_data(docs: DataFrame, **options) -> DataFrame:
@@ -230,15 +243,21 @@ def personal_data(docs: DataFrame, **options) -> DataFrame:
     return found.join(added_spans(docs, found, **options), "text_key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
 
 
+def general(term: str) -> str:
+    """The kind of word that stands for a disclosing term: a number, a name (it has a capital first) or another word."""
+    return "[NUMBER]" if term[0].isdigit() else "[NAME]" if term[0].isupper() else "[WORD]"
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """``text`` with each span replaced by its kind in brackets, removed terms by nothing; overlaps are merged."""
+    """``text`` with each identifier replaced by its kind, each generalised term by that of :func:`general`, and removed
+    terms by nothing; overlaps are merged."""
     out, done = [], 0
     for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
         if start < done:
             if end > done:
                 done = end
             continue
-        out += [text[done:start], "" if kind == "term_removed" else "[TERM]" if kind == "term_general" else f"[{kind.upper()}]"]
+        out += [text[done:start], "" if kind == "term_removed" else general(text[start:end]) if kind == "term_general" else f"[{kind.upper()}]"]
         done = end
     return "".join([*out, text[done:]])
 
@@ -247,7 +266,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; all other columns and all rows stay, null texts too."""
     found = materialize(find(docs), "found")
     added = added_spans(docs, found, **options).withColumnRenamed("text_key", "__key").withColumnRenamed("added", "__added")
-    joined = docs.withColumn("__own", F.xxhash64(text_or_empty())).join(added, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+    joined = docs.withColumn("__own", text_key()).join(added, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
     at = docs.columns.index("text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

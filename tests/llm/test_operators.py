@@ -417,6 +417,59 @@ def test_op6_terms_anywhere_in_the_text(spark):
     assert all("zebulon" not in clean[i].lower() for i, _ in far) and clean[5] == texts[5]
 
 
+def terms_model(texts, support=3, disclosure=0.75):
+    """``{(text, entity, term): share}`` by the measure itself, over distinct texts."""
+    texts = sorted(set(texts))
+    entities, terms, held = defaultdict(set), defaultdict(set), {}
+    for k, text in enumerate(texts):
+        spans = base_model(text)
+        for kind, a, b in spans:
+            entities[pii.entity(kind, text[a:b])].add(k)
+        words = list(re.finditer(r"\w+", text))
+        for m in words:
+            terms[m[0].lower()].add(k)
+        held[k] = {m[0].lower() for m in words if all(m.end() <= a or m.start() >= b for _, a, b in spans)}
+    out = {}
+    for e, own in entities.items():
+        if len(own) < support or len(own) == len(texts):
+            continue
+        for t in set().union(*(held[k] for k in own)):
+            both = {k for k in own if t in held[k]}
+            share = np.log2(len(texts) * len(both) / (len(own) * max(len(terms[t]), len(both)))) / -np.log2(len(own) / len(texts))
+            if len(both) >= support and share >= disclosure:
+                out |= {(texts[k], e, t): share for k in both}
+    return out
+
+
+def test_op6_terms_against_brute_force(spark):
+    """Texts with shared identifiers and words, each with several copies."""
+    rng = random.Random(36)
+    names, mails = ["Zebulon", "Quill", "Ondine", "Brack"], [f"m{i}@mail.example.com" for i in range(4)]
+    texts = []
+    for _ in range(160):
+        k = rng.randrange(4)
+        known = [names[k] * (rng.random() < 0.9), mails[k] * (rng.random() < 0.5), mails[rng.randrange(4)] * (rng.random() < 0.1)]
+        texts.append(" ".join([prose(rng, 6), *known, "card 4111 1111 1111 1111" * (rng.random() < 0.1), "seldom" * (rng.random() < 0.05)]))
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(rng.choice([1, 1, 1, 5])))]
+    docs = frame(spark, rows)
+    found = pii.find(docs)
+    keys = {hashlib.sha256(t.encode()).digest(): t for t in texts}
+    got = {(keys[bytes(r.text_key)], r.entity, r.term): r.share for r in pii.disclosing_terms(docs, found, pii.holders(found)).collect()}
+    want = terms_model(texts)
+    assert set(got) == set(want) and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_op6_generalised_terms_name_their_kind():
+    assert pii.redact("Zebulon has 42 cats", [("term_general", 0, 7), ("term_general", 12, 14), ("term_general", 15, 19)]) == "[NAME] has [NUMBER] [WORD]"
+    assert pii.redact("see a@b.c now", [("email", 4, 9), ("term_removed", 10, 13)]) == "see [EMAIL] "
+
+
+def test_op6_very_many_spans():
+    text = " ".join(f"word{i} a{i}@mail.example.com" for i in range(20_000))
+    spans = pii.base_spans(text)
+    assert len(spans) == 20_000 and sum(1 for _ in pii.outside(text, spans)) == 20_000
+
+
 # --- 7: simhash ---------------------------------------------------------------------------------------
 
 
@@ -607,11 +660,51 @@ def align_model(a, b):
     return best / (2 * len(a)) if a else 0.0
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.lists(st.integers(0, 3), min_size=1, max_size=14))
 def test_op10_alignment(a, b):
     score, first, last = decontam.align(np.array(a), np.array(b))
-    assert abs(score - align_model(a, b)) < 1e-12 and 0 <= first <= last < len(b) or score == 0
+    assert abs(score - align_model(a, b)) < 1e-12 and (0 <= first <= last < len(b) or score == 0)
+    # the words from first to last reach the score, and no fewer at either end do
+    if score:
+        assert abs(align_model(a, b[first : last + 1]) - score) < 1e-12
+        assert align_model(a, b[first + 1 : last + 1]) < score or align_model(a, b[first:last]) < score
+
+
+def test_op10_very_long_item():
+    """A matrix of this item would take 2.4 GB; its two rows take less than a MB."""
+    import tracemalloc
+
+    item = np.random.default_rng(5).integers(0, 9000, 20_000)
+    tracemalloc.start()
+    score, first, last = decontam.align(item, np.concatenate((np.full(500, -1), item, np.full(500, -1))))
+    assert (score, first, last) == (1.0, 500, 20_499) and tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_op10_recall_on_edited_copies_of_real_items(spark, sf_dir, documents):
+    """Items of the tables with words replaced, dropped and added stand in real texts; all that align by 0.5 are wanted."""
+    rng = random.Random(30)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(decontam.words_of(r.text)) >= 12]
+    texts = [r.text for r in documents.collect() if r.text and 50 < len(r.text.split()) < 400]
+    rows, want = [], {}
+    for k in range(240):
+        item_id, text = items[k % len(items)]
+        rate = rng.choice([0.05, 0.1, 0.15, 0.2, 0.25])
+        words = []
+        for w in text.split():
+            words += rng.choice([["changed"], [], [w, "added"]]) if rng.random() < rate else [w]
+        host = rng.choice(texts).split()
+        at = rng.randrange(len(host))
+        rows.append((k, " ".join([*host[:at], *words, *host[at:]])))
+        own, code = decontam.words_of(text), {}
+        number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])
+        if decontam.align(number(own), number(decontam.words_of(rows[-1][1])))[0] >= 0.5:
+            want[k] = item_id
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    caught = sum((k, i) in got for k, i in want.items())
+    print(f"recall {caught}/{len(want)}")
+    assert len(want) > 150 and caught >= 0.99 * len(want)
 
 
 def test_op10_copies_edits_and_clean_texts(spark):

@@ -54,8 +54,40 @@ def test_op1_recall_and_scores(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_op1_recall_and_rows_verified(spark, monkeypatch):
+    """Many blocks of real vectors: the share of pairs that are verified, and the recall, against brute force."""
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 512)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = df.toPandas()
+    x, ids = np.stack(rows.embedding).astype(float), rows.vec_id.to_numpy()
+    unit = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    made = neighbours.candidates(df, df.where("vec_id % 50 = 0")).cache()
+    found = made.toPandas()
+    asked = ids[ids % 50 == 0]
+    share = found.verified.sum() / (len(asked) * (len(ids) - 1))
+    got = neighbours.ranked(made, 5).toPandas()
+    hit = 0
+    for q in asked:
+        s = unit @ unit[ids == q][0]
+        s[ids == q] = -9
+        hit += len(set(ids[np.lexsort((ids, -s))[:5]]) & set(got[got.query_id == q].vec_id))
+    print(f"verified {share:.3f}, recall {hit / 5 / len(asked):.3f}")
+    assert hit / 5 / len(asked) >= 0.9 and share < 0.5
+
+
+def test_op1_candidates_come_nearest_first():
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((700, neighbours.DIMENSIONS))
+    block = neighbours.Block(np.arange(700), points, points)
+    for q in points[:20] + 0.1:
+        parts = list(block.nearest_first(q, 30.0))
+        away = np.concatenate([a for _, a in parts])
+        want = np.sort(((points - q) ** 2).sum(axis=1))
+        assert np.allclose(away, want[want <= 30.0]) and (np.diff(away) >= 0).all()
+
+
 def test_op1_many_blocks_and_copies(spark, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 64), ("MAX_CELLS", 4), ("LEAF_ROWS", 8)):
+    for name, value in (("BLOCK_ROWS", 64), ("MAX_CELLS", 4), ("LEAF_ROWS", 8), ("DIMENSIONS", 8)):
         monkeypatch.setattr(neighbours, name, value)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16))

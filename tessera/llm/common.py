@@ -40,7 +40,7 @@ BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small, unless the session sets their rows itself."""
+    """Keep Arrow batches of whole texts to few rows, unless the session sets that itself. Spark bounds their bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(BATCH_ROWS))

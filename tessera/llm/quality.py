@@ -146,8 +146,8 @@ def _splits(binned: np.ndarray, at: np.ndarray, grad: np.ndarray, hess: np.ndarr
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Rows of the fold that training never sees."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0
+    """Rows of the fold that training never sees; rows without a doc_id have no labels and are in neither."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     The held-out fold and rows with a null in doc_id or quality take no part.
     """
     bounded_batches(docs.sparkSession)
-    usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(~held_out() & F.col("quality").isNotNull())
+    usable = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where(~held_out() & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     # at most `sample` pairs of numbers, so the join sends a bounded table to the tasks
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
 
@@ -166,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     joined = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = joined.select("doc_id", "quality", "text").mapInArrow(make, "doc_id long, quality int, x array<double>").toPandas()
+    made = joined.select("doc_id", "quality", "text").mapInArrow(make, "doc_id long, quality int, x array<double>")
+    # repeated rows of a doc_id are as many numbers each; `sample` holds for them too
+    rows = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("x")).limit(sample).toPandas()
     rows = rows.sort_values(["doc_id", "quality"], kind="stable")
     x = np.stack(rows.x.to_numpy()) if len(rows) else np.zeros((0, len(STATISTICS)))
     return grow(x, rows.quality.to_numpy(np.float64) if len(rows) else np.zeros(0))

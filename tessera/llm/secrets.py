@@ -189,7 +189,8 @@ def secrets(docs: DataFrame, forest: RandomForestClassificationModel, path: str
     """``(doc_id, word, candidate, score, predicted)``: every candidate, its score, and 1 where it is kept as a secret.
 
     Null and empty texts have no candidates; a missing or null path counts as empty; repeated rows give
-    repeated rows; null doc_ids stay; further columns are not read; empty tables give no rows.
+    repeated rows; null doc_ids stay; further columns are not read; empty tables give no rows. A candidate that
+    stands several times in one white-space-separated word is one row.
     """
     scored = forest.transform(with_features(candidates(docs, path)))
     chance = F.round(vector_to_array("probability")[1], 9)

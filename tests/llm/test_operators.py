@@ -303,18 +303,32 @@ def test_trees_are_walked_as_they_were_grown():
 # --- 4: licenses --------------------------------------------------------------------------------------
 
 
-def license_model(text):
+def license_model(text, margin=0):
+    """Templates of which a window holds 0.8 of the shingles; ``margin`` widens the windows as the operator's comparison may."""
     words = re.findall(r"[^\W_]+", text.lower())
     grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
     found = set()
     for name, template in licenses.TEMPLATES.items():
         own = licenses.template_words(template)
         want, n = set(licenses.shingles_of(own)), len(own)
-        if any(len(want & set(grams[s : s + max(1, n - 4)])) >= 0.8 * len(want) - 1e-9 for s in range(len(grams))):
+        more = margin * (licenses.stride(n) + n // 5)
+        if want & set(grams) and any(len(want & set(grams[max(0, s - more) : s + max(1, n - 4) + more])) >= 0.8 * len(want) - 1e-9 for s in range(len(grams))):
             found.add(name)
     return found
 
 
+def license_bounds(spark, rows):
+    got = defaultdict(set)
+    for r in licenses.license_notices(frame(spark, rows)).collect():
+        got[r.doc_id].add(r.license)
+    held = 0
+    for i, text in rows:
+        want = license_model(text)
+        assert want <= got[i] <= license_model(text, margin=1), (i, want, got[i])
+        held += len(want)
+    return held
+
+
 def test_op4_against_all_windows(spark):
     rng = random.Random(5)
     rows = []
@@ -324,14 +338,15 @@ def test_op4_against_all_windows(spark):
             words[rng.randrange(len(words))] = "other"
         rows.append((i, f"{prose(rng, rng.randint(0, 60))} {' '.join(words)} {prose(rng, rng.randint(0, 60))}"))
     rows += [(1000, prose(rng, 300)), (1001, "the license is public and the warranty too"), (1002, "")]
-    got = defaultdict(set)
-    for r in licenses.license_notices(frame(spark, rows)).collect():
-        got[r.doc_id].add(r.license)
-    want = {i: license_model(t) for i, t in rows}
-    missed = sum(len(want[i] - got[i]) for i in want)
-    assert missed <= 1 and sum(map(len, want.values())) > 50
-    # a wider stretch than one window may hold a template's shingles: only then more is found
-    assert all(got[i] <= set(licenses.TEMPLATES) for i in got) and not got[1000] and not got[1001]
+    assert license_bounds(spark, rows) > 50
+
+
+def test_op4_query_against_all_windows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert license_bounds(spark, rows) > 20
+    got = {r.doc_id for r in queries.op4_license_bands(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {i for i, text in rows if license_model(text)}
 
 
 def test_license_bands_keep_their_promise():
@@ -373,6 +388,17 @@ def test_op5_short_and_broken_secrets(spark):
     assert got == {(i, value) for i, _, value in rows if value}
 
 
+def test_op5_on_the_tables_own_secrets(spark):
+    """The tables plant keys of 40 hexadecimal digits as tokens: labels that the made findings don't know."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas()
+    want = {(r.doc_id, key) for r in docs.itertuples() for key in re.findall(r'(?<![0-9a-f])token = "([0-9a-f]{40})"', r.text or "")}
+    found = queries.op5_secret_forest(spark, sf).where("predicted = 1").collect()
+    got = {(r.doc_id, r.candidate) for r in found}
+    print(f"recall {len(want & got) / len(want):.3f}, precision {len(want & got) / len(got):.3f} of {len(want)}")
+    assert len(want & got) >= 0.99 * len(want) and len(want & got) >= 0.95 * len(got)
+
+
 # --- 6: personal data ---------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")

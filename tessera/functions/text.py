@@ -88,15 +88,22 @@ def escape_like(value: str) -> str:
 
 
 def split_identifiers(text: str | Column) -> Column:
-    """Lower-case terms: of each word its camel-case, underscore and digit parts, then the parts joined if several."""
-    words = F.regexp_extract_all(_c(text), F.lit(r"(?U)\w+"), F.lit(0))
-    part = r"(?U)[A-Z]+(?![^\W\d_A-Z])|[A-Z]?[^\W\d_A-Z]+|\d+"
+    """Lower-case terms: of each word its camel-case, underscore and digit parts, then the parts joined if several.
+
+    The places where words part are marked in one pass over the whole text; only words with a mark are taken apart.
+    """
+    mark, low = "\1", r"\p{IsAlphabetic}\p{M}\p{Pc}\u200c\u200d&&[^A-Z_]"
+    letter, digit = r"\p{IsAlphabetic}\p{M}\p{Pc}\u200c\u200d&&[^_]", r"\p{Nd}"
+    # what is rare in prose is tested first
+    parts = rf"_+|(?=[A-Z])(?:(?<=[{low}])|(?<=[A-Z])(?=.[{low}]))|(?={digit})(?<=[{letter}])|(?<={digit})(?=[{letter}])"
+    plain = F.translate(_c(text), mark, " ")
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(plain, parts, mark)), F.lit(rf"[\p{{IsAlphabetic}}\p{{M}}\p{{Nd}}\p{{Pc}}‌‍{mark}]+"), F.lit(0))
 
     def terms(word: Column) -> Column:
-        parts = F.transform(F.regexp_extract_all(word, F.lit(part), F.lit(0)), lambda x: F.lower(x))
-        return F.when(F.size(parts) > 1, F.concat(parts, F.array(F.array_join(parts, "")))).otherwise(parts)
+        own = F.filter(F.split(word, mark), lambda x: x != "")
+        return F.when(F.size(own) > 1, F.concat(own, F.array(F.array_join(own, "")))).otherwise(own)
 
-    return F.flatten(F.transform(words, terms))
+    return F.flatten(F.transform(words, lambda w: F.when(F.contains(w, F.lit(mark)), terms(w)).otherwise(F.array(w))))
 
 
 def separate_scripts(text: str | Column) -> Column:

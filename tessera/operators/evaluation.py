@@ -131,8 +131,19 @@ def round_robin_sample(rows: DataFrame, group: str, key: str, seed: int, rounds:
     return rows.withColumn("round", F.row_number().over(w)).where(F.col("round") <= rounds)
 
 
-def set_digest(rows: DataFrame, name: str, content: str, buckets: int = 64) -> Column | DataFrame:
-    """``digest`` of a set of named contents, order-free: digests of buckets by name, then of the buckets."""
-    each = rows.select(F.pmod(F.crc32(F.col(name).cast("string")), F.lit(buckets)).alias("b"), F.col(name).cast("string").alias("n"), F.sha2(content, 256).alias("h"))
-    inner = each.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: F.concat_ws("=", x["n"], x["h"])), "\n"), 256).alias("h"))
-    return inner.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("digest"))
+def set_digest(rows: DataFrame, name: str, content: str, fan: int = 64) -> DataFrame:
+    """``digest`` of a set of named contents, order-free: a tree of digests over buckets by name.
+
+    There are so many buckets that each holds about ``fan`` names, and each inner node has ``fan`` children, so
+    no task gets more of a set than that at once, however large it is. An empty set has the digest of no text.
+    """
+    each = rows.select(F.xxhash64(F.col(name).cast("string")).alias("b"), F.col(name).cast("string").alias("n"), F.sha2(content, 256).alias("h"))
+    levels, room = 1, fan * fan
+    count = rows.count()
+    while room < count:
+        levels, room = levels + 1, room * fan
+    joined = lambda parts: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda x: F.concat_ws("=", x["n"], x["h"])), "\n"), 256)
+    node = lambda level: F.pmod(F.col("b"), F.lit(fan**level))
+    for level in range(levels, -1, -1):
+        each = each.groupBy(node(level).alias("b")).agg(joined(F.struct("n", "h")).alias("h")).withColumn("n", F.col("b").cast("string"))
+    return each.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))

@@ -50,7 +50,8 @@ def unsafe_path(path: Column) -> Column:
 def skip_reason(path: Column, content: Column, kind: Column) -> Column:
     """Why a file doesn't count; null where it does. The first rule that holds names the reason.
 
-    A null content is that of a file above the size limit.
+    Members that are neither files nor links are unsafe. A null content is that of a file above the size limit;
+    a content that is no valid UTF-8 is told by its encoding.
     """
     name = X.basename(path)
     lower = F.lower(name)
@@ -61,11 +62,13 @@ def skip_reason(path: Column, content: Column, kind: Column) -> Column:
     return (
         F.when(unsafe_path(path), "unsafe_path")
         .when(kind == "link", "link")
+        .when(kind != "file", "unsafe_path")
         .when(excluded_folder(path).isNotNull(), "excluded_directory")
         .when(lower.rlike(glob_pattern(*CREDENTIAL_NAMES)) & ~lower.isin(*CREDENTIAL_EXCEPTIONS), "credential_file")
         .when(name.isin(*LOCKFILES) | lower.rlike(glob_pattern(*GENERATED_NAMES)) | marked, "generated")
         .when(content.isNull(), "too_large")
         .when(F.contains(content, F.lit("\0")), "binary")
+        .when(~F.is_valid_utf8(content), "encoding")
     )
 
 
@@ -210,12 +213,11 @@ def heading_chunks(files: DataFrame, most: int = SECTION_CHARS) -> DataFrame:
 
 
 def hash_embedding(text: str, width: int) -> list[float]:
-    """Counts of a text's words by hash, at unit length; an empty text gives zeros."""
+    """Counts of a text's words by hash, at unit length; a text without words counts as one, as it stands."""
     out = np.zeros(width)
-    for word in re.findall(r"\w+", text.lower()):
+    for word in re.findall(r"\w+", text.lower()) or [text]:
         out[int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") % width] += 1
-    norm = float(np.sqrt((out * out).sum()))
-    return (out / norm if norm else out).tolist()
+    return (out / np.sqrt((out * out).sum())).tolist()
 
 
 def with_embeddings(chunks: DataFrame, width: int = 64, text: str = "text") -> DataFrame:

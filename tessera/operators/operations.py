@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -105,25 +109,43 @@ def within_two_quotas(calls: DataFrame, own_limit: int, shared_limit: int, key:
     return counted.withColumn("accepted", F.col("__fits") & (F.col("__upto") <= shared_limit)).drop("__fits", "__minute", "__base", "__upto")
 
 
+def in_order(rows: DataFrame, key: str, first, step, told: str) -> DataFrame:
+    """``(key, event_id, *told)``: the rows ``(key, event_id, at, ...)`` of each key handled one after another in order of time.
+
+    ``step(state, at, ...)`` returns a row's values and the next state, the first of which is ``first``. Rows are sorted by
+    Spark and stream past, so a task holds one key's state, however many rows the key has.
+    """
+    schema = T.StructType([*rows.select(key, "event_id").schema.fields, *T.StructType.fromDDL(told).fields])
+    types = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, state = False, None, first
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for own, *values in zip(columns[0], *columns[2:], strict=True):
+                if not begun or own != now:
+                    begun, now, state = True, own, first
+                result, state = step(state, *values)
+                out.append(result)
+            made = [pa.array([r[i] for r in out], types.field(i + 2).type) for i in range(len(types) - 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=types.names)
+
+    return rows.repartition(key).sortWithinPartitions(key, "at", "event_id").mapInArrow(walk, schema)
+
+
 def sliding_limiter(calls: DataFrame, limit: int, seconds: int, key: str) -> DataFrame:
     """``(key, event_id, allowed, retry_after)``: allowed while fewer than ``limit`` allowed calls lie within the window.
 
     Refused calls don't count. Calls of a key are handled in order, holding only its last ``limit`` allowed ones.
     """
-    names = [key, "event_id", "allowed", "retry_after"]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], kind="stable")
-        recent: list[int] = []
-        rows = []
-        for k, event, at in zip(pdf[key], pdf.event_id, pdf["at"], strict=True):
-            allowed, wait, recent = limiter_step(recent, int(at), limit, seconds)
-            rows.append((k, event, allowed, wait))
-        return pd.DataFrame(rows, columns=names)
-
-    kind = dict(calls.dtypes)[key]
+
+    def step(recent: list[int], at: int) -> tuple[tuple, list[int]]:
+        allowed, wait, recent = limiter_step(recent, at, limit, seconds)
+        return (allowed, wait), recent
+
     timed = calls.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return timed.groupBy(key).applyInPandas(walk, f"{key} {kind}, event_id long, allowed boolean, retry_after int")
+    return in_order(timed, key, [], step, "allowed boolean, retry_after int")
 
 
 def limiter_step(recent: list[int], at: int, limit: int, seconds: int) -> tuple[bool, int, list[int]]:
@@ -181,16 +203,12 @@ def first_covering(pushes: DataFrame, runs: DataFrame) -> DataFrame:
 def idempotent_outcomes(requests: DataFrame, hours: int = 24) -> DataFrame:
     """``(key, event_id, outcome)``: new, replayed (same payload within the time) or conflict; time runs from each new one."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], kind="stable")
-        held, rows = None, []
-        for key, event, at, payload in zip(pdf["key"], pdf.event_id, pdf["at"], pdf.payload, strict=True):
-            outcome, held = idempotency_step(held, int(at), payload, hours)
-            rows.append((key, event, outcome))
-        return pd.DataFrame(rows, columns=["key", "event_id", "outcome"])
+    def step(held: tuple[int, str] | None, at: int, payload: str) -> tuple[tuple, tuple[int, str]]:
+        outcome, held = idempotency_step(held, at, payload, hours)
+        return (outcome,), held
 
     timed = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.sha2(F.coalesce("payload", F.lit("")), 256).alias("payload"))
-    return timed.groupBy("key").applyInPandas(walk, "key string, event_id long, outcome string")
+    return in_order(timed, "key", None, step, "outcome string")
 
 
 def idempotency_step(held: tuple[int, str] | None, at: int, payload: str, hours: int) -> tuple[str, tuple[int, str]]:
@@ -205,16 +223,20 @@ def access_states(events: DataFrame) -> DataFrame:
     A loss beats a pause and keeps the time of the first loss; ``restore`` ends a loss, ``resume`` a pause.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"], kind="stable")
-        state, since, rows = "active", None, []
-        for key, event, kind, at in zip(pdf["key"], pdf.event_id, pdf.kind, pdf["at"], strict=True):
-            state, since = access_step(state, since, kind, int(at))
-            rows.append((key, event, state, since))
-        return pd.DataFrame(rows, columns=["key", "event_id", "state", "since"]).astype({"since": "Int64"})
-
-    timed = events.select("key", "event_id", "kind", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return timed.groupBy("key").applyInPandas(walk, "key string, event_id long, state string, since long")
+    kind, at = F.col("kind"), F.unix_micros(F.col("ts").cast("timestamp"))
+    order = Window.partitionBy("key").orderBy("at", "event_id")
+    upto = lambda *keys: Window.partitionBy("key", *keys).orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    timed = events.select("key", "event_id", "kind", at.alias("at"))
+    lost = timed.withColumn("lost", F.coalesce(F.last(F.when(kind.isin("loss", "restore"), kind == "loss"), ignorenulls=True).over(upto()), F.lit(False)))
+    # a restored loss starts anew: earlier pauses are forgotten
+    anew = lost.withColumn("restored", ((kind == "restore") & F.coalesce(F.lag("lost").over(order), F.lit(False))).cast("int"))
+    spans = anew.withColumn("span", F.sum("restored").over(upto())).withColumn("resumed", F.sum(((kind == "resume") & ~F.col("lost")).cast("int")).over(upto()))
+    first_loss = F.min(F.when(kind == "loss", F.col("at"))).over(upto("span"))
+    first_pause = F.min(F.when((kind == "pause") & ~F.col("lost"), F.col("at"))).over(upto("span", "resumed"))
+    since = F.when(F.col("lost"), F.col("first_loss")).otherwise(F.col("first_pause"))
+    state = F.when(F.col("lost"), "access_lost").when(F.col("first_pause").isNotNull(), "paused").otherwise("active")
+    told = spans.withColumn("first_loss", first_loss).withColumn("first_pause", first_pause)
+    return told.select("key", "event_id", state.alias("state"), since.alias("since"))
 
 
 def access_step(state: str, since: int | None, kind: str, at: int) -> tuple[str, int | None]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.sources.shared import join_split, materialize
 
 RRF_K = 60
 EVIDENCE_ITEMS, EVIDENCE_TOKENS, ITEM_TOKENS = 12, 16_000, 4_000
@@ -97,26 +98,31 @@ def full_text_ranks(inverted: DataFrame, terms: DataFrame, key: str = "question_
 
     Which terms of the vocabulary a question matches is settled first, on distinct terms: whole ones, and those
     that a stem starts. Stems have four letters at least, so that is an equality join on the first four with the
-    rest tested behind it. Positions are added up by term before they meet the questions; ``units`` name a chunk.
+    rest tested behind it. Positions are added up by term once, into a written table, before they meet the
+    questions; the postings of a term that very many chunks hold are split. ``units`` name a chunk.
     """
     head = lambda c: F.substring(c, 1, X.LEAST_STEM)
-    counts = inverted.groupBy(*units, "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(inverted.groupBy(*units, "term").agg(F.count(F.lit(1)).alias("n")), "postings")
+    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("held"))
     stems = terms.where("prefix").select(key, F.col("term").alias("stem"), head("term").alias("head"))
-    started = inverted.select("term").distinct().withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select(key, "term")
-    matched = terms.where("not prefix").select(key, "term").unionByName(started).distinct()
-    return counts.join(matched, "term").groupBy(key, *units).agg(F.sum("n").alias("n")).select(key, *units, (F.col("n") * 0.1).alias("score"))
+    started = vocabulary.withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select(key, "term", "held")
+    whole = terms.where("not prefix").select(key, "term").join(vocabulary, "term").select(key, "term", "held")
+    matched = materialize(whole.unionByName(started).distinct(), "matched")
+    met = join_split(counts, matched, "term", "held", counts.count())
+    return met.groupBy(key, *units).agg(F.sum("n").alias("n")).select(key, *units, (F.col("n") * 0.1).alias("score"))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
+    """Null where a vector is null, zero, or holds a null."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return 1 - dot / (norm(a) * norm(b))
+    return 1 - F.try_divide(dot, norm(a) * norm(b))
 
 
 def exact_nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """``(vec_id, distance)`` of the ``k`` nearest by cosine, ties to the smaller id."""
+    """``(vec_id, distance)`` of the ``k`` nearest by cosine, ties to the smaller id; vectors without a distance take no part."""
     distance = cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query]))
-    return vectors.select("vec_id", distance.alias("distance")).orderBy("distance", "vec_id").limit(k)
+    return vectors.select("vec_id", distance.alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", "vec_id").limit(k)
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, *keys: str, item: str = "item", k: int = RRF_K) -> DataFrame:
@@ -297,7 +303,7 @@ def search_docs(chunks: DataFrame, inverted: DataFrame, terms: DataFrame, vector
     lists = numbered(scored, 0, F.desc("score"), *unit)
     if vector is not None:
         distance = cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
-        near = chunks.select(*unit, distance.alias("distance")).where(~F.isnan("distance")).orderBy("distance", *unit).limit(pool)
+        near = chunks.select(*unit, distance.alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", *unit).limit(pool)
         lists = lists.unionByName(numbered(near, 1, "distance", *unit))
     fused = reciprocal_rank_fusion(lists).select("item.*", "score", "place")
     return without_overlaps(fused, limit).withColumn("degraded", F.lit(vector is None))

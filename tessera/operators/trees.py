@@ -8,8 +8,10 @@ from __future__ import annotations
 import difflib
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,21 +73,34 @@ def changed_entries(changes: DataFrame, pairs: DataFrame) -> DataFrame:
     return own.unionByName(grouped.select("path", "change", F.lit(None).cast("string").alias("old_path"), "files"))
 
 
+def diff_lines(before: str, after: str) -> list[tuple[str, int | None, int | None, str]]:
+    """``(sign, number before, number after, line)`` of both texts' lines: removed ones, then added ones, of each change."""
+    old, new = (t.removesuffix("\n").split("\n") if t else [] for t in (before, after))
+    rows: list[tuple[str, int | None, int | None, str]] = []
+    p = q = 0
+    # the matching blocks end with an empty one behind both texts
+    for block in difflib.SequenceMatcher(None, old, new).get_matching_blocks():
+        rows += [("-", i + 1, None, old[i]) for i in range(p, block.a)] + [("+", None, j + 1, new[j]) for j in range(q, block.b)]
+        rows += [(" ", block.a + i + 1, block.b + i + 1, old[block.a + i]) for i in range(block.size)]
+        p, q = block.a + block.size, block.b + block.size
+    return rows
+
+
 def hunks_of(before: str, after: str, context: int = CONTEXT_LINES) -> list[tuple]:
-    """``(before_start, before_end, after_start, after_end, removed, added, text)``; an empty side's range is null."""
-    split = lambda t: t.split("\n")[:-1] if t.endswith("\n") or not t else t.split("\n")
-    a, b = split(before), split(after)
+    """``(before_start, before_end, after_start, after_end, removed, added, text)``; an empty side's range is null.
+
+    A hunk is a stretch of lines that are changed, or within ``context`` lines of a change.
+    """
+    rows = diff_lines(before, after)
+    near = sorted({i for at, row in enumerate(rows) if row[0] != " " for i in range(max(0, at - context), min(len(rows), at + context + 1))})
     out = []
-    for group in difflib.SequenceMatcher(None, a, b).get_grouped_opcodes(context):
-        a1, a2, b1, b2 = group[0][1], group[-1][2], group[0][3], group[-1][4]
-        rows = []
-        for tag, i1, i2, j1, j2 in group:
-            if tag == "equal":
-                rows += [f" {x}" for x in a[i1:i2]]
-            else:
-                rows += [f"-{x}" for x in a[i1:i2]] + [f"+{x}" for x in b[j1:j2]]
-        removed, added = sum(g[2] - g[1] for g in group if g[0] != "equal"), sum(g[4] - g[3] for g in group if g[0] != "equal")
-        out.append((a1 + 1 if a2 > a1 else None, a2 if a2 > a1 else None, b1 + 1 if b2 > b1 else None, b2 if b2 > b1 else None, removed, added, "\n".join(rows)))
+    # neighbours have the same difference of line and place among the lines that are kept
+    for _, own in groupby(enumerate(near), lambda x: x[1] - x[0]):
+        hunk = [rows[i] for _, i in own]
+        numbers = [[n for n in side if n is not None] for side in ([r[1] for r in hunk], [r[2] for r in hunk])]
+        ends = [f(side) if side else None for side in numbers for f in (min, max)]
+        signs = [r[0] for r in hunk]
+        out.append((*ends, signs.count("-"), signs.count("+"), "\n".join(sign + line for sign, _, _, line in hunk)))
     return out
 
 
@@ -119,22 +134,27 @@ def review_rank(path: Column) -> Column:
 def select_within(rows: DataFrame, limits: dict[str, float], *keys: str, order: str = "place") -> DataFrame:
     """Rows taken in order while all limits hold; one that doesn't fit is passed over, and later ones may still fit.
 
-    The choice of each group is one pass over its rows, of which the review's own limits allow few.
+    A group's rows stream past in order: a task holds what one group has used, however many rows it has. Ties of ``order`` fall anyhow.
     """
-    columns = list(limits)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        used, kept = dict.fromkeys(columns, 0.0), []
-        for row in pdf[columns].itertuples(index=False):
-            fits = all(used[c] + v <= limits[c] for c, v in zip(columns, row, strict=True))
-            kept.append(fits)
-            if fits:
-                for c, v in zip(columns, row, strict=True):
-                    used[c] += v
-        return pdf[kept]
-
-    return rows.groupBy(*keys).applyInPandas(take, rows.schema)
+    columns, names = list(limits), rows.columns
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, dict.fromkeys(columns, 0.0)
+        for batch in batches:
+            groups = zip(*(batch.column(names.index(k)).to_pylist() for k in keys), strict=True) if keys else ((),) * batch.num_rows
+            kept = []
+            for group, row in zip(groups, zip(*(batch.column(names.index(c)).to_pylist() for c in columns), strict=True), strict=True):
+                if group != now:
+                    now, used = group, dict.fromkeys(columns, 0.0)
+                fits = all(used[c] + v <= limits[c] for c, v in zip(columns, row, strict=True))
+                kept.append(fits)
+                if fits:
+                    for c, v in zip(columns, row, strict=True):
+                        used[c] += v
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, order).mapInArrow(take, rows.schema)
 
 
 def longest_prefix(rows: DataFrame, tokens: float, most: int, *keys: str, order: str = "place") -> DataFrame:

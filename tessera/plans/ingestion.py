@@ -23,18 +23,18 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % len(NAMES)).cast("int") + 1)
     path = F.replace(name, F.lit("%d"), F.col("doc_id").cast("string"))
-    return docs.select(F.col("doc_id").alias("member_no"), F.col("source").alias("archive"), path.alias("path"), F.when(F.col("doc_id") % 29 == 3, "link").otherwise("file").alias("kind"), F.length("text").cast("long").alias("size"), F.when(F.length("text") <= LIMIT_CHARS, F.col("text")).alias("content"))
+    return docs.select(F.col("doc_id").alias("member_no"), F.col("source").alias("archive"), path.alias("path"), F.when(F.col("doc_id") % 29 == 3, "link").when(F.col("doc_id") % 31 == 4, "device").otherwise("file").alias("kind"), F.length("text").cast("long").alias("size"), F.when(F.length("text") <= LIMIT_CHARS, F.col("text")).alias("content"))
 
 
 _names = ", ".join(f"'{n}'" for n in NAMES)
 _list = lambda items: ", ".join(f"'{i}'" for i in items)
 _glob = lambda items: "|".join(i.replace(".", "\\.").replace("*", ".*") for i in items)
 MEMBERS_SQL = f"""members AS (SELECT doc_id AS member_no, source AS archive, replace([{_names}][doc_id % {len(NAMES)} + 1], '%d', CAST(doc_id AS VARCHAR)) AS path,
-  CASE WHEN doc_id % 29 = 3 THEN 'link' ELSE 'file' END AS kind, CAST(length(text) AS BIGINT) AS size, CASE WHEN length(text) <= {LIMIT_CHARS} THEN text END AS content FROM documents),
+  CASE WHEN doc_id % 29 = 3 THEN 'link' WHEN doc_id % 31 = 4 THEN 'device' ELSE 'file' END AS kind, CAST(length(text) AS BIGINT) AS size, CASE WHEN length(text) <= {LIMIT_CHARS} THEN text END AS content FROM documents),
 m1 AS (SELECT *, string_split(path, '/') AS parts, string_split(path, '/')[-1] AS name, row_number() OVER (PARTITION BY path ORDER BY member_no) AS again FROM members),
 m2 AS (SELECT *, list_min(list_filter(range(1, len(parts)), lambda i: parts[i] IN ({_list(I.EXCLUDED_FOLDERS)}))) AS cut FROM m1),
 classified AS (SELECT member_no, archive, path, kind, size, content, CASE WHEN cut IS NOT NULL THEN array_to_string(parts[1:cut], '/') END AS folder, CASE
-  WHEN again > 1 OR path = '' OR starts_with(path, '/') OR list_contains(parts, '..') THEN 'unsafe_path' WHEN kind = 'link' THEN 'link' WHEN cut IS NOT NULL THEN 'excluded_directory'
+  WHEN again > 1 OR path = '' OR starts_with(path, '/') OR list_contains(parts, '..') THEN 'unsafe_path' WHEN kind = 'link' THEN 'link' WHEN kind <> 'file' THEN 'unsafe_path' WHEN cut IS NOT NULL THEN 'excluded_directory'
   WHEN regexp_full_match(lower(name), '{_glob(I.CREDENTIAL_NAMES)}') AND lower(name) <> '.env.example' THEN 'credential_file'
   WHEN name IN ({_list(I.LOCKFILES)}) OR regexp_full_match(lower(name), '{_glob(I.GENERATED_NAMES)}') OR contains(array_to_string(string_split(coalesce(content, ''), '\n')[1:5], '\n'), '@generated') OR contains(array_to_string(string_split(coalesce(content, ''), '\n')[1:5], '\n'), 'DO NOT EDIT') THEN 'generated'
   WHEN content IS NULL THEN 'too_large' WHEN contains(content, chr(0)) THEN 'binary' END AS reason FROM m2),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import retrieval as R
 from tessera.plans.common import Registry
+from tessera.sources.shared import dealt_out
 from tessera.sources.tables import FILES_SQL, files, table
 
 query = Registry()
@@ -79,7 +80,7 @@ r AS (SELECT * FROM s WHERE tier < 2 OR similarity >= 0.3 ORDER BY tier, similar
 SELECT r.path, name, line, CAST(tier AS INT) AS tier, similarity, array_to_string({lines_sql("content")}[line:line + 2], '\n') AS excerpt FROM r JOIN files USING (path)""")
 def search_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    return R.symbol_search(R.declared_symbols(f), f, SYMBOL, 50)
+    return R.symbol_search(R.declared_symbols(dealt_out(f.select("path", "content"))), f, SYMBOL, 50)
 
 
 @query(f"""WITH {FILES_SQL}, r AS (SELECT path, substring(path, length('src0/') + 1) AS rest, language, length(content) - length(replace(content, '\n', '')) + CASE WHEN content <> '' AND content NOT LIKE '%\n' THEN 1 ELSE 0 END AS n FROM files WHERE starts_with(path, 'src0/')),
@@ -154,10 +155,13 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score
 
 def ranked_chunks(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
     """The best ``most`` chunks of each question by full-text rank."""
-    inverted = R.postings(R.window_chunks(files(spark, sf_dir), 60, 10, "path"), "path", "start_line", "end_line")
-    scored = R.full_text_ranks(inverted, R.query_terms(questions(spark, sf_dir)), "question_id", "path", "start_line", "end_line")
+    unit = ("file_id", "start_line", "end_line")
+    inverted = R.postings(R.window_chunks(dealt_out(files(spark, sf_dir).select("file_id", "content")), 60, 10, "file_id"), *unit)
+    scored = R.full_text_ranks(inverted, R.query_terms(questions(spark, sf_dir)), "question_id", *unit)
+    # numbers name the chunks until here; paths order those of one score
+    named = scored.join(files(spark, sf_dir).select("file_id", "path"), "file_id").select("question_id", "path", *unit[1:], "score")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "path", "start_line")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 
 @query(f"WITH {RANKS_SQL} SELECT question_id, path, start_line, end_line, round(score, 6) AS score, CAST(place AS INT) AS place FROM ranked")
@@ -167,7 +171,7 @@ def full_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_candidates(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
     """Symbol matches: question terms that equal, in lower case, a declared name; longest names first."""
-    symbols = R.declared_symbols(files(spark, sf_dir)).select(F.lower("name").alias("term"), "path", "line")
+    symbols = R.declared_symbols(dealt_out(files(spark, sf_dir).select("path", "content"))).select(F.lower("name").alias("term"), "path", "line")
     words = R.query_terms(questions(spark, sf_dir)).where("not prefix").select("question_id", "term")
     hits = symbols.join(words, "term").groupBy("question_id", "path", "line").agg(F.max(F.length("term")).alias("n"))
     order = Window.partitionBy("question_id").orderBy(F.desc("n"), "path", "line")

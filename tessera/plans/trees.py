@@ -98,7 +98,7 @@ def review_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each folder, files in review order within all the limits."""
     s = sizes(spark, sf_dir).withColumn("folder", F.split_part("path", F.lit("/"), F.lit(1))).withColumn("lines", F.col("additions") + F.col("deletions")).withColumn("files", F.lit(1))
     placed = s.select("folder", "path", F.concat(T.review_rank(F.col("path")), F.lit(":"), "path").alias("place"), "files", "lines", "hunks", "tokens")
-    return T.select_within(placed, {"files": 3, "lines": T.MOST_LINES, "hunks": T.MOST_HUNKS, "tokens": 400.0}, "folder")
+    return T.select_within(placed, {"files": T.MOST_FILES, "lines": T.MOST_LINES, "hunks": T.MOST_HUNKS, "tokens": float(T.MOST_TOKENS)}, "folder")
 
 
 @query("""WITH r AS (SELECT source, doc_id, length(text) / 3.5 AS tokens, sum(length(text) / 3.5) OVER w AS used, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import re
 import tarfile
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import evaluation, ingestion, operations, retrieval, trees
@@ -101,7 +104,34 @@ def test_declarations():
 
 def test_embedding_is_of_unit_length():
     v = ingestion.hash_embedding("One two two", 16)
-    assert abs(sum(x * x for x in v) - 1) < 1e-12 and ingestion.hash_embedding("", 4) == [0.0] * 4
+    assert abs(sum(x * x for x in v) - 1) < 1e-12
+    for text in ("", "...", "\n"):  # without words: the text itself, hashed
+        at = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big") % 16
+        assert ingestion.hash_embedding(text, 16) == [float(i == at) for i in range(16)]
+
+
+def test_embeddings_query(spark, sf_dir):
+    from tessera.plans import ingestion as plans
+
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    for r in plans.hash_embeddings(spark, sf_dir).collect():
+        want = [0.0] * 64
+        for word in re.findall(r"\w+", texts[r.item_id].lower()) or [texts[r.item_id]]:
+            want[int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big") % 64] += 1
+        norm = sum(x * x for x in want) ** 0.5
+        assert all(abs(x - y / norm) < 1e-12 for x, y in zip(r.embedding, want, strict=True))
+
+
+def test_vectors_without_a_direction_take_no_part(spark):
+    df = rows(spark, "vec_id int, embedding array<double>", (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [0.0, 2.0]))
+    assert [(r.vec_id, r.distance) for r in retrieval.exact_nearest(df, [3.0, 0.0], 9).collect()] == [(2, 0.0), (6, 1.0)]
+    assert retrieval.exact_nearest(df, [0.0, 0.0], 9).count() == 0
+
+
+def test_members_of_other_kinds_and_encodings(spark):
+    df = rows(spark, "member_no int, path string, kind string, raw binary", (1, "dev", "device", None), (2, "a.txt", "file", bytearray(b"ok")), (3, "b.txt", "file", bytearray(b"\xff\xfe")), (4, "c.txt", "file", None), (5, "l", "link", None), (6, "d.bin", "file", bytearray(b"a\0\xff")))
+    got = ingestion.classify(df.withColumn("content", F.col("raw").cast("string"))).orderBy("member_no").collect()
+    assert [r.reason for r in got] == ["unsafe_path", None, "encoding", "too_large", "link", "binary"]
 
 
 # --- trees --------------------------------------------------------------------------------------------
@@ -112,6 +142,40 @@ def test_hunks():
     assert h == (1, 3, 1, 3, 1, 1, " a\n-b\n+x\n c")
     (h,) = trees.hunks_of("", "n\n")
     assert h[:4] == (None, None, 1, 1)
+    assert trees.hunks_of("a\n", "a\n") == [] and trees.hunks_of("", "") == []
+
+
+lines_ = st.lists(st.sampled_from("abcd"), max_size=25).map(lambda x: "".join(f"{line}\n" for line in x))
+
+
+@settings(max_examples=200, deadline=None)
+@given(lines_, lines_, st.integers(1, 3))
+def test_hunks_put_back_give_the_other_text(before, after, context):
+    """Each hunk's own lines are where it says; put in for each other they make one text of the other."""
+    old, new = before.split("\n")[:-1], after.split("\n")[:-1]
+    found = trees.hunks_of(before, after, context)
+    made, upto = [], 0
+    for a, b, c, d, removed, added, text in found:
+        body = text.split("\n")
+        assert [x[1:] for x in body if x[0] != "+"] == (old[a - 1 : b] if a else []) and [x[1:] for x in body if x[0] != "-"] == (new[c - 1 : d] if c else [])
+        assert removed == sum(x[0] == "-" for x in body) and added == sum(x[0] == "+" for x in body) and removed + added
+        start = a - 1 if a else upto + (c - 1 - len(made) - 0 if c else 0)
+        made += old[upto:start] + (new[c - 1 : d] if c else [])
+        upto = b if a else start
+        outer = [x[0] for x in body]
+        assert len("".join(outer)) - len("".join(outer).lstrip()) <= context and len("".join(outer)) - len("".join(outer).rstrip()) <= context
+    assert made + old[upto:] == new
+
+
+def test_hunks_query(spark, sf_dir):
+    from tessera.plans import trees as plans
+
+    texts = {r.path: r for r in plans.changed_texts(spark, sf_dir).collect()}
+    got = plans.diff_hunks(spark, sf_dir).collect()
+    for r in got:
+        body = r.text.split("\n")
+        assert "\n".join(x[1:] for x in body if x[0] != "-") in texts[r.path].after and "\n".join(x[1:] for x in body if x[0] != "+") in texts[r.path].before
+    assert {r.path for r in got} == {p for p, r in texts.items() if r.before != r.after}
 
 
 def test_selection_passes_over_what_does_not_fit(spark):
@@ -191,6 +255,29 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/json").count() == spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 1
 
 
+def test_review_selection_query(spark, sf_dir):
+    from tessera.plans import trees as plans
+
+    sizes = plans.sizes(spark, sf_dir).collect()
+    kind = lambda p: 2 if p.lower().endswith((".md", ".mdx", ".txt")) else 1 if "/tests/" in f"/{p}" else 0
+    want, used = set(), {}
+    for r in sorted(sizes, key=lambda r: (f"{kind(r.path)}:{r.path}")):
+        own = used.setdefault(r.path.split("/")[0], [0, 0, 0, 0.0])
+        more = [1, r.additions + r.deletions, r.hunks, r.tokens]
+        if all(x + y <= most for x, y, most in zip(own, more, (100, 2000, 80, 40_000), strict=True)):
+            want.add(r.path)
+            own[:] = [x + y for x, y in zip(own, more, strict=True)]
+    assert {r.path for r in plans.review_selection(spark, sf_dir).collect()} == want
+
+
+def test_set_digest_tells_sets_apart(spark):
+    many = [(str(i), str(i % 7)) for i in range(500)]
+    one = lambda values, **options: evaluation.set_digest(rows(spark, "n string, c string", *values), "n", "c", **options).first().digest
+    assert one(many, fan=4) == one(many[::-1], fan=4) != one([*many[:-1], ("499", "x")], fan=4)
+    assert one(many, fan=4) != one(many[:-1], fan=4)
+    assert evaluation.set_digest(rows(spark, "n string, c string", ("a", "b")).limit(0), "n", "c").first().digest == hashlib.sha256(b"").hexdigest()
+
+
 def test_set_digest_does_not_depend_on_order(spark):
     a = rows(spark, "n string, c string", ("x", "1"), ("y", "2"))
     b = rows(spark, "n string, c string", ("y", "2"), ("x", "1"))

@@ -132,6 +132,57 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
+def word_similarity(query: Column, text: str | Column, least: float) -> Column:
+    """The greatest similarity of ``query``'s trigrams and any stretch of ``text``'s, in order; zero where it is below ``least``.
+
+    A stretch that reaches ``least`` holds that share of the query's trigrams, so other texts are not looked into.
+    """
+    asked = trigrams(query)
+    words = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
+    at = lambda i: F.transform(F.sequence(i, F.size(grams)), lambda j: similarity(F.array_distinct(F.slice(grams, i, j - i + 1)), asked))
+    best = F.array_max(F.flatten(F.transform(F.sequence(F.lit(1), F.size(grams)), at)))
+    held = F.size(F.array_intersect(grams, asked))
+    return F.when((held > 0) & (held >= F.size(asked) * least), F.when(best >= least, best)).otherwise(0.0)
+
+
+# fixed values: what acts in Markdown where it is shown
+CODE_SPAN = r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)"
+ACTIVE = r"(?i)((?<![\w@])@[a-z0-9][\w-]*(?:/[\w.-]+)?|#\d+\b|\bGH-\d+\b)"
+BLOCK_MARK, NUMBER_MARK = r"^([#>+*=|~-])", r"^(\d+)([.)])"
+
+
+def neutral_markdown(text: str | Column, leading: bool = False) -> Column:
+    """A text as one line that does nothing when shown as Markdown: outside inline code, HTML, brackets, backslashes and stray
+    backticks are escaped and mentions become code; with ``leading``, what would open a block at a line's start too."""
+    flat = F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " "))
+
+    def plain(part: Column) -> Column:
+        for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            part = F.replace(part, F.lit(sign), F.lit(name))
+        return F.regexp_replace(F.regexp_replace(part, r"([\\`\[\]])", r"\\$1"), ACTIVE, "`$1`")
+
+    parts = F.transform(F.split(flat, CODE_SPAN, -1), plain)
+    code = F.regexp_extract_all(flat, F.lit(CODE_SPAN), F.lit(0))
+    out = F.array_join(F.zip_with(parts, code, lambda p, c: F.concat(p, F.coalesce(c, F.lit("")))), "")
+    return F.regexp_replace(F.regexp_replace(out, BLOCK_MARK, r"\\$1"), NUMBER_MARK, r"$1\\$2") if leading else out
+
+
+def cited_labels(result: str | Column, key: str = "evidence_ids") -> Column:
+    """Every string in a list named ``key`` anywhere in a JSON text, each once, by length and then value."""
+    lists = F.regexp_extract_all(_c(result), F.lit(rf'"{key}"\s*:\s*\[([^\]]*)\]'), F.lit(1))
+    labels = F.array_distinct(F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)))))
+    return F.transform(F.array_sort(F.transform(labels, lambda x: F.struct(F.length(x).alias("n"), x.alias("label")))), lambda x: x["label"])
+
+
+def merged_json(a: str | Column, b: str | Column) -> Column:
+    """Two JSON objects as one text: all keys of both by name, the second's values where both have one."""
+    read = lambda c: F.coalesce(F.from_json(_c(c), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    first, second = read(a), read(b)
+    both = F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second)
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(both)), lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.to_json(F.element_at(both, k)))), ","), F.lit("}"))
+
+
 def snippet(text: str | Column) -> Column:
     """The first three lines that aren't blank, without their common indent, at most 300 characters."""
     kept = F.transform(F.slice(F.filter(F.split(_c(text), "\n"), lambda x: F.trim(x) != ""), 1, SNIPPET_LINES), lambda x: F.rtrim(x))

@@ -147,3 +147,43 @@ def set_digest(rows: DataFrame, name: str, content: str, fan: int = 64) -> DataF
     for level in range(levels, -1, -1):
         each = each.groupBy(node(level).alias("b")).agg(joined(F.struct("n", "h")).alias("h")).withColumn("n", F.col("b").cast("string"))
     return each.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))
+
+
+def checklist_problems(items: DataFrame, changed: DataFrame, risks: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, item, problem)``: why a checklist item ``(paths, risk_ids)`` refers to no listed risk or changed file; null where it does."""
+    none = F.array().cast("array<string>")
+    known = changed.groupBy(*keys).agg(F.collect_set("path").alias("changed"))
+    listed = risks.groupBy(*keys).agg(F.collect_set("label").alias("listed"))
+    joined = items.join(known, list(keys), "left").join(listed, list(keys), "left")
+    ids, paths = F.coalesce("risk_ids", none), F.coalesce("paths", none)
+    unknown = F.filter(ids, lambda x: ~F.array_contains(F.coalesce("listed", none), x))
+    alone = (F.size(ids) == 0) & ~F.arrays_overlap(F.filter(paths, lambda x: x.isNotNull()), F.coalesce("changed", none))
+    problem = F.when(F.size(unknown) > 0, F.concat(F.lit("unlisted risks: "), F.array_join(unknown, ", "))).when(alone, "no changed file and no listed risk")
+    return joined.select(*keys, "item", problem.alias("problem"))
+
+
+def level_problems(results: DataFrame, risks: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, problem)``: where ``level`` isn't the gravest listed risk, or ``partial`` not whether a limit cut the review."""
+    gravest = risks.groupBy(*keys).agg(F.min_by("severity", severity_rank(F.col("severity"))).alias("gravest"))
+    expected = F.coalesce("gravest", F.lit("none"))
+    problem = F.when(~F.col("level").eqNullSafe(expected), F.concat(F.lit("level: expected "), expected)).when(F.coalesce("partial", F.lit(False)) != F.col("cut"), F.concat(F.lit("partial: expected "), F.col("cut").cast("string")))
+    return results.join(gravest, list(keys), "left").select(*keys, problem.alias("problem"))
+
+
+def of_one_run(levels: DataFrame, run: list[str]) -> DataFrame:
+    """``same_run``: whether a level's run columns are those of the lowest level, and ``twice`` whether its users stand twice."""
+    first = levels.agg(F.min_by(F.struct(*run), "users").alias("first"))
+    users = Window.partitionBy("users")
+    same = F.struct(*run) == F.col("first")
+    return levels.crossJoin(first).withColumn("same_run", same).withColumn("twice", F.count(F.lit(1)).over(users) > 1).drop("first")  # one row
+
+
+def sample_until(rows: DataFrame, group: str, key: str, seed: int, least_rows: int = 30, least_groups: int = 10) -> DataFrame:
+    """Rounds over all groups, one row of each, until ``least_rows`` rows of ``least_groups`` groups are taken, or all rows.
+
+    The first round takes each group once, so so many rows hold as many groups where there are enough; else all rows are taken.
+    """
+    shuffled = lambda c: F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(c).cast("string")), 256)
+    rounds = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(shuffled(key), key)))
+    enough = rows.select(group).distinct().limit(least_groups).count() >= least_groups
+    return rounds.orderBy("round", shuffled(group), group).limit(max(least_rows, least_groups)) if enough else rounds

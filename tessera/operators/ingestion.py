@@ -130,6 +130,13 @@ def marked_generated(files: DataFrame, rules: list[tuple[str, bool]]) -> DataFra
     return files.withColumn("generated", last)
 
 
+def after_attributes(marked: DataFrame) -> DataFrame:
+    """``reason`` of classified members once their root attributes are known: ``generated`` ones that were to count, or to be
+    left out for their content or size, are generated; other reasons stay."""
+    open_ = F.col("reason").isNull() | F.col("reason").isin("too_large", "binary", "encoding")
+    return marked.withColumn("reason", F.when(F.col("generated") & open_, "generated").otherwise(F.col("reason")))
+
+
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 HEADING = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?$")
 

@@ -257,3 +257,33 @@ def coalesced(requests: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("ts", "event_id")
     before = F.lag("kind").over(w)
     return requests.withColumn("action", F.when(F.col("kind") == "start", "start").when(before.isNull() | (before == "start"), "enqueue").otherwise("merge")).select("key", "event_id", "action")
+
+
+def merged_triggers(requests: DataFrame) -> DataFrame:
+    """``(key, event_id, trigger, pushed)`` of each job that waited: the request that made it, its trigger, and the newest commit pushed to it.
+
+    Requests ``(key, event_id, ts, kind, trigger, commit)`` while a job waits join it; a waiting ``check`` takes the first other trigger. A ``start`` takes it off.
+    """
+    upto = Window.partitionBy("key").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    spans = requests.withColumn("span", F.coalesce(F.count_if(F.col("kind") == "start").over(upto), F.lit(0))).where("kind <> 'start'")
+    at = F.struct("ts", "event_id")
+    other = F.min_by("trigger", F.when(F.col("trigger") != "check", at))
+    pushed = F.max_by("commit", F.when(F.col("commit").isNotNull(), at))
+    return spans.groupBy("key", "span").agg(F.min_by("event_id", at).alias("event_id"), F.coalesce(other, F.lit("check")).alias("trigger"), pushed.alias("pushed")).drop("span")
+
+
+def counted_with_refunds(changes: DataFrame, *keys: str, at: str = "ts", order: str = "event_id") -> DataFrame:
+    """``used`` after each change (+1 or a refund of -1) of a key's day, never below zero.
+
+    A counter with that floor is its plain sum less the lowest the sum has been, where that is below zero.
+    """
+    day = Window.partitionBy(*keys, F.to_date(at)).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = changes.withColumn("__sum", F.sum("change").over(day))
+    return summed.withColumn("used", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(day))).drop("__sum")
+
+
+def other_expired(runs: DataFrame, snapshots: DataFrame, now: str, days: int = 1) -> DataFrame:
+    """``(what, id)``: runs past their time, and failed or discarded snapshots older than ``days``."""
+    at = F.lit(now).cast("timestamp_ntz")
+    gone = snapshots.where(F.col("status").isin("failed", "discarded") & (F.col("created_at") < at - F.expr(f"INTERVAL {days} DAYS")))
+    return runs.where(F.col("expires_at") < at).select(F.lit("run").alias("what"), "id").unionByName(gone.select(F.lit("snapshot").alias("what"), "id"))

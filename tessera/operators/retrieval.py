@@ -32,14 +32,26 @@ def line_search(files: DataFrame, query: str, limit: int) -> DataFrame:
     return found.orderBy("path", "at").limit(limit).select("path", (F.col("at") + 1).alias("line"), X.line_snippet(F.col("text"), where).alias("snippet"))
 
 
+WORD_SIMILARITY = 0.6
+
+
+def similar(name: str, query: str, least: float) -> tuple[Column, Column]:
+    """Whether ``name`` resembles ``query``, as a whole or in a stretch of it, and the greater of the two scores."""
+    whole, part = X.similarity(X.trigrams(name), X.trigrams(F.lit(query))), X.word_similarity(F.lit(query), name, WORD_SIMILARITY)
+    part = F.coalesce(part, F.lit(0.0))
+    return (whole >= least) | (part >= WORD_SIMILARITY), F.round(F.greatest(whole, part), 9)
+
+
 def path_search(files: DataFrame, query: str, limit: int, least_similarity: float = 0.3) -> DataFrame:
-    """``(path, tier, similarity)``: exact path or name first, then substrings, then similar paths."""
+    """``(path, tier, similarity, start_line, end_line)``: exact path or name first, then substrings, then similar paths; all of the file's lines."""
     name = X.basename("path")
-    score = X.similarity(X.trigrams("path"), X.trigrams(F.lit(query)))
+    alike, score = similar("path", query, least_similarity)
     tier = F.when((F.col("path") == query) | (name == query), 0).when(X.contains_folded("path", query), 1).otherwise(2)
-    scored = files.select("path", tier.alias("tier"), F.round(score, 9).alias("similarity"))
-    kept = scored.where((F.col("tier") < 2) | (F.col("similarity") >= least_similarity))
-    return kept.orderBy("tier", F.desc("similarity"), F.length("path"), "path").limit(limit)
+    scored = files.select("path", tier.alias("tier"), score.alias("similarity"), alike.alias("alike"))
+    ranked = scored.where((F.col("tier") < 2) | F.col("alike")).drop("alike").orderBy("tier", F.desc("similarity"), F.length("path"), "path").limit(limit)
+    # at most `limit` rows read content
+    content = files.select("path", F.greatest(X.line_count("content"), F.lit(1)).alias("end_line"))
+    return content.join(F.broadcast(ranked), "path").select("path", "tier", "similarity", F.lit(1).alias("start_line"), "end_line")
 
 
 def declared_symbols(files: DataFrame, pattern: str = r"[\p{Lu}][\p{L}]{5,}") -> DataFrame:
@@ -51,10 +63,12 @@ def declared_symbols(files: DataFrame, pattern: str = r"[\p{Lu}][\p{L}]{5,}") ->
 
 def symbol_search(symbols: DataFrame, files: DataFrame, query: str, limit: int, least_similarity: float = 0.3) -> DataFrame:
     """``(path, name, line, tier, excerpt)``: symbols are ranked first; only the ranked ones read content."""
-    score = F.round(X.similarity(X.trigrams("name"), X.trigrams(F.lit(query))), 9)
-    tier = F.when(F.col("name") == query, 0).when(X.contains_folded("name", query), 1).otherwise(2)
-    scored = symbols.select("path", "name", "line", tier.alias("tier"), score.alias("similarity"))
-    ranked = scored.where((F.col("tier") < 2) | (F.col("similarity") >= least_similarity)).orderBy("tier", F.desc("similarity"), F.length("name"), "name", "path", "line").limit(limit)
+    # a qualified name counts where there is one; resemblance is that of the plain name
+    full = F.col("qualified_name") if "qualified_name" in symbols.columns else F.col("name")
+    alike, score = similar("name", query, least_similarity)
+    tier = F.when((F.col("name") == query) | (full == query), 0).when(X.contains_folded("name", query) | X.contains_folded(full, query), 1).otherwise(2)
+    scored = symbols.select("path", "name", "line", tier.alias("tier"), score.alias("similarity"), alike.alias("alike"))
+    ranked = scored.where((F.col("tier") < 2) | F.col("alike")).drop("alike").orderBy("tier", F.desc("similarity"), F.length("name"), "name", "path", "line").limit(limit)
     # at most `limit` rows
     content = files.select("path", "content").join(F.broadcast(ranked), "path")
     excerpt = F.array_join(F.slice(X.lines("content"), F.col("line"), F.lit(3)), "\n")

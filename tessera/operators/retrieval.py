@@ -37,8 +37,7 @@ WORD_SIMILARITY = 0.6
 
 def similar(name: str, query: str, least: float) -> tuple[Column, Column]:
     """Whether ``name`` resembles ``query``, as a whole or in a stretch of it, and the greater of the two scores."""
-    whole, part = X.similarity(X.trigrams(name), X.trigrams(F.lit(query))), X.word_similarity(F.lit(query), name, WORD_SIMILARITY)
-    part = F.coalesce(part, F.lit(0.0))
+    whole, part = X.similarity(X.trigrams(name), X.trigrams(F.lit(query))), X.word_similarity(query, name, WORD_SIMILARITY)
     return (whole >= least) | (part >= WORD_SIMILARITY), F.round(F.greatest(whole, part), 9)
 
 

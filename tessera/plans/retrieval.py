@@ -42,15 +42,13 @@ def similarity_sql(a: str, b: str) -> str:
     return f"(CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0.0 END)"
 
 
-def word_similarity_sql(query: str, text: str) -> str:
+def score_sql(rows: str, text: str, query: str) -> str:
+    """CTEs ``scored``: the rows of table ``rows`` with the resemblance of the whole ``text``, and of the best stretch of it."""
     words = f"list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), lambda w: '  ' || w || ' ')"
-    grams, asked = f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))))", trigrams_sql(query)
-    return f"coalesce(list_max(flatten(list_transform(range(1, len({grams}) + 1), lambda i: list_transform(range(i, len({grams}) + 1), lambda j: {similarity_sql(f'list_distinct(({grams})[i:j])', asked)})))), 0.0)"
-
-
-def score_sql(text: str, query: str) -> str:
-    """The resemblance of a row, and the part of it that counts."""
-    return f"{similarity_sql(trigrams_sql(text), trigrams_sql(query))} AS whole, {word_similarity_sql(query, text)} AS part"
+    grams = f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))))"
+    stretch = similarity_sql("list_distinct(g[i:j])", "q")
+    return f"""gr AS (SELECT *, {grams} AS g, {trigrams_sql(query)} AS q FROM {rows}), ga AS (SELECT *, list_filter(range(1, len(g) + 1), lambda i: list_contains(q, g[i])) AS hits FROM gr),
+scored AS (SELECT * EXCLUDE (g, q, hits), {similarity_sql("list_distinct(g)", "q")} AS whole, coalesce(list_max(flatten(list_transform(hits, lambda i: list_transform(list_filter(hits, lambda j: j >= i), lambda j: {stretch})))), 0.0) AS part FROM ga)"""
 
 
 QUERY, LIMIT = "license", 50
@@ -71,8 +69,8 @@ PATH_QUERY = "en/doc_12"
 
 
 @query(f"""
-WITH {FILES_SQL}, s AS (SELECT path, content, CASE WHEN path = '{PATH_QUERY}' OR string_split(path, '/')[-1] = '{PATH_QUERY}' THEN 0 WHEN contains(lower(path), '{PATH_QUERY}') THEN 1 ELSE 2 END AS tier,
-  {score_sql("path", f"'{PATH_QUERY}'")} FROM files)
+WITH {FILES_SQL}, {score_sql("files", "path", f"'{PATH_QUERY}'")},
+s AS (SELECT path, content, whole, part, CASE WHEN path = '{PATH_QUERY}' OR string_split(path, '/')[-1] = '{PATH_QUERY}' THEN 0 WHEN contains(lower(path), '{PATH_QUERY}') THEN 1 ELSE 2 END AS tier FROM scored)
 SELECT path, CAST(tier AS INT) AS tier, round(greatest(whole, CASE WHEN part >= 0.6 THEN part ELSE 0 END), 9) AS similarity, 1 AS start_line, CAST(greatest(len({lines_sql("content")}), 1) AS INT) AS end_line
 FROM s WHERE tier < 2 OR whole >= 0.3 OR part >= 0.6 ORDER BY tier, similarity DESC, length(path), path LIMIT 50""")
 def search_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +84,9 @@ symbols AS (SELECT path, name, CAST(min(n) AS INT) AS line FROM (SELECT path, n,
 
 @query(f"""
 WITH {FILES_SQL}, {SYMBOLS_SQL},
-s0 AS (SELECT name, {score_sql("name", f"'{SYMBOL}'")} FROM (SELECT DISTINCT name FROM symbols)),
+names AS (SELECT DISTINCT name FROM symbols), {score_sql("names", "name", f"'{SYMBOL}'")},
 s AS (SELECT path, name, line, CASE WHEN name = '{SYMBOL}' THEN 0 WHEN contains(lower(name), lower('{SYMBOL}')) THEN 1 ELSE 2 END AS tier,
-  whole, part, round(greatest(whole, CASE WHEN part >= 0.6 THEN part ELSE 0 END), 9) AS similarity FROM symbols JOIN s0 USING (name)),
+  whole, part, round(greatest(whole, CASE WHEN part >= 0.6 THEN part ELSE 0 END), 9) AS similarity FROM symbols JOIN scored USING (name)),
 r AS (SELECT * FROM s WHERE tier < 2 OR whole >= 0.3 OR part >= 0.6 ORDER BY tier, similarity DESC, length(name), name, path, line LIMIT 50)
 SELECT r.path, name, line, CAST(tier AS INT) AS tier, similarity, array_to_string({lines_sql("content")}[line:line + 2], '\n') AS excerpt FROM r JOIN files USING (path)""")
 def search_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:

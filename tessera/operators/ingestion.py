@@ -259,12 +259,51 @@ def declarations_of(content: str) -> list[tuple[str, str, str, int, int]]:
     return out
 
 
+NAMED = re.compile(r"\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|enum|type)\s+([A-Za-z_$][\w$]*)")
+ARROW = re.compile(r"\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]*)?=>")
+METHOD = re.compile(r"\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{;]*)?\{")
+NO_METHODS = frozenset("if for while switch catch function return with".split())
+QUOTED = re.compile(r"//[^\n]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|/\*.*?\*/", re.DOTALL)
+
+
+def script_declarations_of(content: str) -> list[tuple[str, str, str, int, int]]:
+    """As :func:`declarations_of`, of a TypeScript text: by line, each to where its braces close. Strings and comments are blanked first."""
+    blank = QUOTED.sub(lambda m: "".join(c if c == "\n" else " " for c in m[0]), content)
+    out: list[list] = []
+    open_: list[tuple[int, int, str, bool]] = []  # depth outside, index, qualified name, whether a class
+    depth = 0
+    for no, line in enumerate(blank.split("\n"), 1):
+        outer = open_[-1] if open_ else (0, -1, "", False)
+        within_class = outer[3] and depth == outer[0] + 1
+        found = None
+        if m := NAMED.match(line):
+            found = (m[2], {"function*": "function"}.get(m[1], m[1]))
+        elif m := ARROW.match(line):
+            found = (m[1], "function")
+        elif within_class and (m := METHOD.match(line)) and m[1] not in NO_METHODS:
+            found = (m[1], "method")
+        if found:
+            name = f"{outer[2]}.{found[0]}" if outer[2] else found[0]
+            out.append([found[0], name, found[1], no, no])
+            open_.append((depth, len(out) - 1, name, found[1] in ("class", "interface")))
+        depth += line.count("{") - line.count("}")
+        # what has no open brace ends with its line, or where the line after it closes
+        while open_ and depth <= open_[-1][0] and (line.count("}") or line.rstrip().endswith((";", ",")) or not line.strip()):
+            out[open_.pop()[1]][4] = no if line.strip() else no - 1
+    for _, at, _, _ in open_:
+        out[at][4] = max(out[at][4], len(content.rstrip("\n").split("\n")))
+    return [tuple(x) for x in out]
+
+
 def declarations(files: DataFrame) -> DataFrame:
-    """``(path, name, qualified_name, kind, start_line, end_line)`` of Python files."""
+    """``(path, name, qualified_name, kind, start_line, end_line)`` of Python and TypeScript files."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(path, *found) for path, content in zip(pdf.path, pdf.content, strict=True) for found in declarations_of(content or "")]
+            rows = []
+            for path, language, content in zip(pdf.path, pdf.language, pdf.content, strict=True):
+                rows += [(path, *found) for found in (declarations_of if language == "python" else script_declarations_of)(content or "")]
             yield pd.DataFrame(rows, columns=["path", "name", "qualified_name", "kind", "start_line", "end_line"])
 
-    return files.select("path", "content").mapInPandas(make, "path string, name string, qualified_name string, kind string, start_line int, end_line int")
+    known = files.select("path", "content", X.language("path").alias("language")).where(F.col("language").isin("python", "typescript", "tsx"))
+    return known.mapInPandas(make, "path string, name string, qualified_name string, kind string, start_line int, end_line int")

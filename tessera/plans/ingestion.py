@@ -154,3 +154,16 @@ def backup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.when(F.col("event_id") % 3 == 0, "dump").when(F.col("event_id") % 3 == 1, "manifest").otherwise("log")
     time = F.concat(F.lpad((F.col("user_id") % 24).cast("string"), 2, "0"), F.lit("00"))
     return archives.backup_groups(e.select(F.concat_ws("/", F.lit("b"), F.date_format("ts", "yyyy-MM-dd"), time, part).alias("key")), "2024-01-30", 14)
+
+
+@query("""WITH d AS (SELECT doc_id, 'src/m' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS path FROM documents WHERE doc_id % 3 < 2),
+k AS (SELECT * FROM (VALUES (0, 'class', 'C', 'C', 1, 3), (0, 'method', 'm', 'C.m', 2, 3), (0, 'function', 'f', 'f', 5, 6), (1, 'class', 'C', 'C', 1, 5), (1, 'method', 'm', 'C.m', 2, 4), (1, 'function', 'f', 'f', 6, 8), (1, 'function', 'g', 'g', 9, 9)) AS t(r, kind, name, qualified, a, b))
+SELECT path, CASE WHEN name = 'm' THEN 'm' ELSE name || doc_id END AS name, CASE qualified WHEN 'C.m' THEN 'C' || doc_id || '.m' ELSE qualified || doc_id END AS qualified_name, kind, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM d JOIN k ON k.r = d.doc_id % 2""")
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of small modules that are named by the documents' numbers."""
+    i = F.col("doc_id").cast("string")
+    python = F.concat(F.lit("class C"), i, F.lit(":\n    def m(self):\n        return 1\n\ndef f"), i, F.lit("():\n    pass\n"))
+    script = F.concat(F.lit("export class C"), i, F.lit(" {\n  m(a: string): void {\n    return\n  }\n}\nfunction f"), i, F.lit("() {\n  if (x) { y(\"}\") }\n}\nconst g"), i, F.lit(" = (a) => a + 1;\n"))
+    even = F.col("doc_id") % 2 == 0
+    modules = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 3 < 2").select(F.concat(F.lit("src/m"), i, F.when(even, ".py").otherwise(".ts")).alias("path"), F.when(even, python).otherwise(script).alias("content"))
+    return I.declarations(modules)

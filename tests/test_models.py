@@ -383,3 +383,70 @@ def test_word_similarity(spark):
         want = model(query, text)
         got = rows(spark, "t string", (text,)).select(X.word_similarity(query, "t", 0.5).alias("s")).first().s
         assert abs((got or 0.0) - (want if want >= 0.5 else 0.0)) < 1e-12, (query, text)
+
+
+def lines_of(text):
+    rows = text.split("\n")
+    return rows[:-1] if rows[-1] == "" else rows
+
+
+def test_question_evidence_query(spark, sf_dir):
+    """The budget spent again from the ranges and the fused order, each of which SQL checks."""
+    from tessera.plans import retrieval as plans
+
+    texts = {r.path: r.content for r in plans.files(spark, sf_dir).collect()}
+    place = {(r.question_id, r.item): r.place for r in plans.hybrid_retrieval(spark, sf_dir).collect()}
+    ranked = {}
+    for r in plans.merged_ranges(spark, sf_dir).collect():
+        ranked.setdefault(r.question_id, []).append((place[r.question_id, r.path], r.start_line, r.end_line, r.path))
+    want = set()
+    for question, found in ranked.items():
+        items = [(k, lines_of(texts[path])[start - 1 : end]) for k, (_, start, end, path) in enumerate(sorted(found)[:60])]
+        for n, (k, count) in enumerate(evidence_model(items, 16_000, 12, 4_000), 1):
+            _, start, _, path = sorted(found)[k]
+            want.add((question, f"E{n}", path, start, start + count - 1, hashlib.sha256("\n".join(items[k][1][:count]).encode()).hexdigest()))
+    got = {(r.question_id, r.label, r.path, r.start_line, r.end_line, r.excerpt_sha256) for r in plans.question_evidence(spark, sf_dir).collect()}
+    assert got == want and want
+
+
+def test_search_docs_query(spark, sf_dir):
+    """Keyword and vector ranks of every window, made again one window at a time."""
+    from tessera.plans import retrieval as plans
+
+    question = "bleed reaning license heating"
+    asked = {(r.term, r.prefix) for r in retrieval.query_terms(rows(spark, "question_id int, question string", (1, question))).collect()}
+    chunks = retrieval.window_chunks(plans.files(spark, sf_dir), 60, 10, "path").select("path", "start_line", "end_line", "text", X.split_identifiers("text").alias("terms")).collect()
+    unit = lambda r: (r.path, r.start_line, r.end_line)
+    score = {unit(r): sum(any(t == a or prefix and t.startswith(a) for a, prefix in asked) for t in r.terms) for r in chunks}
+    keywords = sorted((u for u in score if score[u]), key=lambda u: (-score[u], u))[:20]
+    vector = ingestion.hash_embedding(question, 64)
+    # vectors are of unit length
+    away = {unit(r): 1 - sum(x * y for x, y in zip(ingestion.hash_embedding(r.text, 64), vector, strict=True)) for r in chunks}
+    near = sorted(away, key=lambda u: (round(away[u], 12), u))[:20]
+    fused = {}
+    for no, found in enumerate((keywords, near)):
+        for rank, u in enumerate(found, 1):
+            total, first = fused.get(u, (0.0, (no, rank)))
+            fused[u] = (total + 1 / (60 + rank), first)
+    kept = []
+    for u in sorted(fused, key=lambda u: (-round(fused[u][0], 12), fused[u][1])):
+        if len(kept) < 20 and not any(k[0] == u[0] and k[1] <= u[2] and u[1] <= k[2] for k in kept):
+            kept.append(u)
+    got = plans.search_docs(spark, sf_dir).orderBy("place").collect()
+    assert [unit(r) for r in got] == kept and not any(r.degraded for r in got)
+
+
+def test_heading_chunks_query(spark, sf_dir):
+    """No line that isn't blank is lost or told twice."""
+    from tessera.plans import ingestion as plans
+
+    texts = {r.path: "# " + r.content for r in plans.files(spark, sf_dir).collect()}
+    told = {}
+    for r in plans.heading_chunks(spark, sf_dir).collect():
+        own = texts[r.path].split("\n")[r.start_line - 1 : r.end_line]
+        assert hashlib.sha256("\n".join(own).encode()).hexdigest() == r.text_sha256
+        told.setdefault(r.path, []).extend(range(r.start_line, r.end_line + 1))
+    for path, numbers in told.items():
+        assert len(numbers) == len(set(numbers))
+        missing = [x for n, x in enumerate(texts[path].split("\n"), 1) if n not in set(numbers) and x.strip()]
+        assert all(re.match(r" {0,3}#{1,6}([ \t]|$)", x) for x in missing)

@@ -167,7 +167,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score
 def ranked_chunks(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
     """The best ``most`` chunks of each question by full-text rank."""
     unit = ("file_id", "start_line", "end_line")
-    inverted = R.postings(R.window_chunks(dealt_out(files(spark, sf_dir).select("file_id", "content")), 60, 10, "file_id"), *unit)
+    # texts are dealt by file once; the far larger postings are then counted without another exchange
+    inverted = R.postings(R.window_chunks(files(spark, sf_dir).select("file_id", "content").repartition("file_id"), 60, 10, "file_id"), *unit)
     scored = R.full_text_ranks(inverted, R.query_terms(questions(spark, sf_dir)), "question_id", *unit)
     # numbers name the chunks until here; paths order those of one score
     named = scored.join(files(spark, sf_dir).select("file_id", "path"), "file_id").select("question_id", "path", *unit[1:], "score")

@@ -187,3 +187,27 @@ def sample_until(rows: DataFrame, group: str, key: str, seed: int, least_rows: i
     rounds = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(shuffled(key), key)))
     enough = rows.select(group).distinct().limit(least_groups).count() >= least_groups
     return rounds.orderBy("round", shuffled(group), group).limit(max(least_rows, least_groups)) if enough else rounds
+
+
+def citation_faults(points: DataFrame, evidence: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, position, unknown, no_change)`` of points ``(*keys, position, cited)`` that fail.
+
+    ``unknown`` are cited labels that the evidence ``(*keys, label, is_change)`` doesn't hold; ``no_change`` says that none
+    cited is of a changed line. Labels are joined one by one, so no review's evidence is gathered.
+    """
+    each = points.select(*keys, "position", F.posexplode_outer("cited").alias("__at", "label"))
+    known = evidence.groupBy(*keys, "label").agg(F.bool_or("is_change").alias("is_change"))
+    joined = each.join(known, [*keys, "label"], "left")
+    stray = F.collect_list(F.when(F.col("label").isNotNull() & F.col("is_change").isNull(), F.struct("__at", "label")))
+    found = joined.groupBy(*keys, "position").agg(F.transform(F.array_sort(stray), lambda x: x["label"]).alias("unknown"), (~F.coalesce(F.bool_or("is_change"), F.lit(False))).alias("no_change"))
+    return found.where((F.size("unknown") > 0) | F.col("no_change"))
+
+
+def renumbered(items: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
+    """``items`` (*keys, item, indexes) with positions of the rows that are kept: ``kept`` (*keys, position) are those rows, in
+    their old positions from 0; indexes of rows that went are left out."""
+    new = F.row_number().over(Window.partitionBy(*keys).orderBy("position")) - 1
+    moved = kept.select(*keys, F.col("position").alias("__old"), new.alias("__new"))
+    each = items.select(*keys, "item", F.posexplode_outer("indexes").alias("__at", "__old")).join(moved, [*keys, "__old"], "left")
+    own = F.array_sort(F.collect_list(F.when(F.col("__new").isNotNull(), F.struct("__at", "__new"))))
+    return each.groupBy(*keys, "item").agg(F.transform(own, lambda x: x["__new"]).alias("indexes"))

@@ -287,3 +287,29 @@ def other_expired(runs: DataFrame, snapshots: DataFrame, now: str, days: int = 1
     at = F.lit(now).cast("timestamp_ntz")
     gone = snapshots.where(F.col("status").isin("failed", "discarded") & (F.col("created_at") < at - F.expr(f"INTERVAL {days} DAYS")))
     return runs.where(F.col("expires_at") < at).select(F.lit("run").alias("what"), "id").unionByName(gone.select(F.lit("snapshot").alias("what"), "id"))
+
+
+def review_states(reviews: DataFrame) -> DataFrame:
+    """``state`` of a review from its job's ``status``, its ``head`` and the ``current_head``; one without a job is queued."""
+    done = F.when(F.col("head") == F.col("current_head"), "current").otherwise("outdated")
+    state = F.when(F.col("status").isin("running", "retry_wait"), "running").when(F.col("status") == "succeeded", done).when(F.col("status").isin("failed", "canceled"), "failed")
+    return reviews.withColumn("state", state.otherwise("queued"))
+
+
+def access_views(repositories: DataFrame, keep_days: int) -> DataFrame:
+    """``(repository_id, access, purge_after, updates)``: what is shown of a repository's access and its automatic updates."""
+    lost = F.col("access_state") == "access_lost"
+    access = F.when(lost, "lost").when(F.col("checked_at").isNull(), "unknown").otherwise("verified")
+    purge = F.when(lost, F.col("lost_at") + F.expr(f"INTERVAL {keep_days} DAYS"))
+    return repositories.select("repository_id", access.alias("access"), purge.alias("purge_after"), F.when(F.col("access_state") == "paused", "paused").otherwise("on").alias("updates"))
+
+
+def audit_events(attempts: DataFrame) -> DataFrame:
+    """One row of the audit log for each attempt ``(at, actor, action, resource, allowed)``; what was not allowed is a denial."""
+    action = F.when(F.col("allowed"), F.col("action")).otherwise("access_denied")
+    return attempts.select("at", "actor", action.alias("action"), F.when(F.col("allowed"), "ok").otherwise("denied").alias("outcome"), "resource")
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add rows to the log, a folder for each day; rows that are there never change."""
+    rows.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(path)

@@ -212,3 +212,60 @@ def build_decisions(requests: DataFrame, snapshots: DataFrame, failures: DataFra
     failed = failures.where("permanent AND error <> 'access'").select("repository_id", "commit").distinct().withColumn("failed", F.lit(True))
     joined = requests.join(ready, unit, "left").join(failed, ["repository_id", "commit"], "left")
     return joined.withColumn("decision", F.when(F.col("ready"), "reuse").when(F.col("failed"), "skip").otherwise("build")).drop("ready", "failed")
+
+
+# fixed values: names that tell nothing of a change, and the sizes of what is kept
+COMMON_NAMES = ("main", "init", "__init__", "get", "set", "run", "test")
+LEAST_NAME, MOST_NAMES = 4, 30
+AROUND, MATCHES, EXCERPT_LINES = 6, 2, 40
+MOST_LABELS = 200
+
+
+def useful_names(names: DataFrame, *keys: str, most: int = MOST_NAMES) -> DataFrame:
+    """``(*keys, name, place)``: distinct names of ``(*keys, position, name)`` by first position, without short and common ones."""
+    telling = names.where((F.length("name") >= LEAST_NAME) & ~F.lower("name").isin(*COMMON_NAMES))
+    first = telling.groupBy(*keys, "name").agg(F.min("position").alias("position"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("position", "name"))
+    return first.select(*keys, "name", place.alias("place")).where(F.col("place") <= most)
+
+
+def excerpts(chosen: DataFrame, files: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, path, start_line, end_line, excerpt)`` of the files ``(*keys, path)``.
+
+    It reaches from ``AROUND`` lines before the first line that holds one of ``names`` (*keys, name) as a word to as many
+    after the second such line; a file without one gives its first lines, an empty file nothing.
+    """
+    own = chosen.select(*keys, "path").join(files.select("path", X.lines("content").alias("__lines")), "path")
+    each = own.select(*keys, "path", F.posexplode("__lines").alias("__at", "__line"))
+    words = each.select(*keys, "path", (F.col("__at") + 1).alias("__n"), F.explode(F.array_distinct(F.regexp_extract_all("__line", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("name"))
+    asked = names.select(*keys, "name").distinct()
+    met = words.join(asked, [*keys, "name"], "left_semi").select(*keys, "path", "__n").distinct()
+    order = Window.partitionBy(*keys, "path").orderBy("__n")
+    two = met.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= MATCHES).groupBy(*keys, "path").agg(F.min("__n").alias("__first"), F.max("__n").alias("__second"))
+    size = F.size("__lines")
+    start = F.coalesce(F.greatest(F.lit(1), F.col("__first") - AROUND), F.lit(1))
+    end = F.when(F.col("__first").isNull(), F.least(size, F.lit(1 + 2 * AROUND))).otherwise(F.least(size, F.col("__second") + AROUND, F.col("start_line") + EXCERPT_LINES - 1))
+    placed = own.join(two, [*keys, "path"], "left").where(size > 0).withColumn("start_line", start).withColumn("end_line", end)
+    return placed.select(*keys, "path", "start_line", "end_line", F.array_join(F.slice("__lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("excerpt"))
+
+
+def labelled_evidence(made: DataFrame, context: DataFrame, tokens: float, *keys: str, most: int = MOST_LABELS) -> DataFrame:
+    """``(*keys, label, rank, source_type, side, path, start_line, end_line)`` of a review.
+
+    ``made`` are hunks with their ``tokens``: by path and hunk, the lines after the change and then those before it; none is
+    left out. Then ``context`` (*keys, place, source_type, path, start_line, end_line, tokens) in order of place, of which
+    the tail goes that the budget or ``most`` labels leave no room for.
+    """
+    after = F.struct(F.lit("after").alias("side"), F.col("after_start").alias("start_line"), F.col("after_end").alias("end_line"), (F.col("added") > 0).alias("stands"))
+    before = F.struct(F.lit("before").alias("side"), F.col("before_start").alias("start_line"), F.col("before_end").alias("end_line"), (F.col("removed") > 0).alias("stands"))
+    sides = F.filter(F.array(after, before), lambda s: s.stands & s.start_line.isNotNull())
+    each = made.select(*keys, "path", "hunk", F.posexplode(sides).alias("__turn", "__side"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("path", "hunk", "__turn"))
+    change = each.select(*keys, rank.alias("rank"), F.lit("change").alias("source_type"), "__side.side", "path", "__side.start_line", "__side.end_line")
+    taken = made.groupBy(*keys).agg(F.sum("tokens").alias("__diff"), F.sum(F.size(sides)).alias("__items"))
+    order = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    running = context.withColumn("__used", F.sum("tokens").over(order)).withColumn("__n", F.count(F.lit(1)).over(order)).join(taken, list(keys), "left")
+    items = F.coalesce("__items", F.lit(0))
+    fits = (F.col("__used") <= tokens - F.coalesce("__diff", F.lit(0.0))) & (F.col("__n") + items <= most)
+    rest = running.where(fits).select(*keys, (F.col("__n") + items).cast("int").alias("rank"), "source_type", F.lit("after").alias("side"), "path", "start_line", "end_line")
+    return change.unionByName(rest).withColumn("label", F.concat(F.lit("E"), F.col("rank").cast("string")))

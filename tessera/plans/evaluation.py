@@ -9,7 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import evaluation as V
 from tessera.plans.common import Registry
 from tessera.plans.retrieval import RANKS_SQL, ranked_chunks
-from tessera.sources.tables import table
+from tessera.sources.tables import ONCE_SQL, lines_once, table
 
 query = Registry()
 
@@ -202,3 +202,23 @@ def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.format_string('{"a": {"evidence_ids": ["E%d", "E1"]}, "b": [{"evidence_ids": ["E%d"]}]}', n, n * 7)
     first, second = F.format_string('{"k": %d, "x": "y"}', n), F.format_string('{"k": "%s", "z": [1, 2]}', F.col("l_returnflag"))
     return l.select(F.col("l_orderkey").alias("review"), n.cast("int").alias("n"), F.array_join(X.cited_labels(body), ",").alias("cited"), X.merged_json(first, second).alias("merged"))
+
+
+@query(f"""WITH {ONCE_SQL}, p AS (SELECT review, n AS position, CASE pk % 4 WHEN 0 THEN [] WHEN 1 THEN ['E1'] WHEN 2 THEN ['E9', 'E2', 'E8'] ELSE ['E2', 'E3'] END AS cited FROM one),
+e AS (SELECT review, list('E' || n) AS known, list('E' || n) FILTER (WHERE n % 2 = 1) AS change FROM one GROUP BY 1),
+j AS (SELECT p.review, position, list_filter(cited, lambda x: NOT list_contains(known, x)) AS unknown, NOT coalesce(list_has_any(cited, change), false) AS no_change FROM p JOIN e ON p.review = e.review)
+SELECT review, position, array_to_string(unknown, ',') AS unknown, no_change FROM j WHERE len(unknown) > 0 OR no_change""")
+def citation_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, n, kind, labels = lines_once(spark, sf_dir), F.col("n"), F.col("pk") % 4, lambda *x: F.array(*map(F.lit, x)).cast("array<string>")  # noqa: E741
+    cited = F.when(kind == 0, labels()).when(kind == 1, labels("E1")).when(kind == 2, labels("E9", "E2", "E8")).otherwise(labels("E2", "E3"))
+    evidence = l.select("review", F.concat(F.lit("E"), n.cast("string")).alias("label"), (n % 2 == 1).alias("is_change"))
+    return V.citation_faults(l.select("review", n.alias("position"), cited.alias("cited")), evidence, "review").withColumn("unknown", F.array_join("unknown", ","))
+
+
+@query(f"""WITH {ONCE_SQL}, k AS (SELECT review, n - 1 AS old, row_number() OVER (PARTITION BY review ORDER BY n) - 1 AS new FROM one WHERE pk % 3 > 0),
+i AS (SELECT review, n AS item, unnest([n % 4, 0, n - 1]) AS old, unnest([0, 1, 2]) AS pos FROM one),
+j AS (SELECT i.review, item, string_agg(CAST(new AS VARCHAR), ',' ORDER BY pos) AS indexes FROM i LEFT JOIN k ON i.review = k.review AND i.old = k.old GROUP BY i.review, item) SELECT review, item, coalesce(indexes, '') AS indexes FROM j""")
+def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, n = lines_once(spark, sf_dir), F.col("n")  # noqa: E741
+    items = l.select("review", n.alias("item"), F.array(n % 4, F.lit(0), n - 1).alias("indexes"))
+    return V.renumbered(items, l.where("pk % 3 > 0").select("review", (n - 1).alias("position")), "review").withColumn("indexes", F.array_join(F.transform("indexes", lambda x: x.cast("string")), ","))

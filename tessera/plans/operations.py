@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import operations as O
 from tessera.plans.common import Registry
+from tessera.sources.shared import fresh
 from tessera.sources.tables import table
 
 query = Registry()
@@ -210,3 +211,28 @@ def other_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "discarded").otherwise("ready")
     snapshots = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
     return O.other_expired(runs, snapshots, "1995-06-01 00:00:00")
+
+
+@query("""SELECT o_orderkey AS review, CASE o_orderkey % 6 WHEN 0 THEN 'running' WHEN 1 THEN 'running' WHEN 2 THEN CASE WHEN o_custkey % 2 = o_orderkey % 5 % 2 THEN 'current' ELSE 'outdated' END WHEN 3 THEN 'failed' WHEN 4 THEN 'failed' ELSE 'queued' END AS state FROM orders""")
+def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    status = F.when(k % 6 == 0, "running").when(k % 6 == 1, "retry_wait").when(k % 6 == 2, "succeeded").when(k % 6 == 3, "failed").when(k % 6 == 4, "canceled")
+    return O.review_states(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(k.alias("review"), status.alias("status"), (F.col("o_custkey") % 2).alias("head"), (k % 5 % 2).alias("current_head"))).select("review", "state")
+
+
+@query("""SELECT o_orderkey AS repository_id, CASE WHEN o_orderstatus = 'F' THEN 'lost' WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE 'verified' END AS access, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 30 DAY END AS purge_after, CASE WHEN o_orderstatus = 'P' THEN 'paused' ELSE 'on' END AS updates FROM orders""")
+def access_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.when(F.col("o_orderstatus") == "F", "access_lost").when(F.col("o_orderstatus") == "P", "paused").otherwise("active")
+    repositories = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate").select(F.col("o_orderkey").alias("repository_id"), state.alias("access_state"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate")).alias("checked_at"), F.col("o_orderdate").alias("lost_at"))
+    return O.access_views(repositories, 30)
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, user_id AS actor, CASE WHEN event_id % 9 = 0 THEN 'access_denied' ELSE event_type END AS action, CASE WHEN event_id % 9 = 0 THEN 'denied' ELSE 'ok' END AS outcome, count(*) AS times FROM events GROUP BY ALL""")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in two appends to a log by day, and what it then holds."""
+    e = events(spark, sf_dir)
+    rows = O.audit_events(e.select(F.col("ts").alias("at"), F.col("user_id").alias("actor"), F.col("event_type").alias("action"), F.col("event_id").alias("resource"), (F.col("event_id") % 9 > 0).alias("allowed")))
+    path = fresh(spark, "audit")
+    for part in (rows.where("resource % 2 = 0"), rows.where("resource % 2 = 1")):
+        O.append_audit(part, path)
+    return spark.read.parquet(path).groupBy("day", "actor", "action", "outcome").agg(F.count(F.lit(1)).alias("times"))

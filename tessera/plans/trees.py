@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import trees as T
 from tessera.plans.common import Registry
-from tessera.sources.tables import table
+from tessera.plans.retrieval import lines_sql
+from tessera.sources.tables import ONCE_SQL, lines_once, table
 
 query = Registry()
 SUFFIX = "\nAdded line token_name here."
@@ -179,3 +180,43 @@ def build_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     requests = l.groupBy("repository_id", "commit", "version").agg(F.count(F.lit(1)).alias("requests"))
     return T.build_decisions(requests, l, l)
+
+
+@query("""WITH w AS (SELECT item_id, unnest(t) AS name, generate_subscripts(t, 1) AS n FROM (SELECT item_id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+') AS t FROM benchmark)),
+f AS (SELECT item_id, name, min(n) AS n FROM w WHERE length(name) >= 4 AND lower(name) NOT IN ('main', 'init', '__init__', 'get', 'set', 'run', 'test') GROUP BY ALL)
+SELECT item_id, name, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n) AS INT) AS place FROM f QUALIFY place <= 30""")
+def useful_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return T.useful_names(table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.posexplode(words).alias("position", "name")), "item_id")
+
+
+NAMES_SQL = """nm AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'), lambda x: length(x) >= 8))) AS name FROM benchmark)"""
+
+
+@query(f"""WITH {NAMES_SQL}, w AS (SELECT DISTINCT source || '/' || doc_id AS path, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM documents),
+r AS (SELECT item_id, path FROM (SELECT item_id, path, count(DISTINCT w.name) AS names FROM w JOIN nm ON w.name = nm.name GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY names DESC, path) <= 8),
+fl AS (SELECT source || '/' || doc_id AS path, {lines_sql("text")} AS l FROM documents),
+e AS (SELECT item_id, path, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM r JOIN fl USING (path)),
+m AS (SELECT DISTINCT e.item_id, e.path, n FROM (SELECT item_id, path, n, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM e) e JOIN nm ON nm.item_id = e.item_id AND nm.name = e.name),
+t AS (SELECT item_id, path, min(n) AS a, max(n) AS b FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY item_id, path ORDER BY n) <= 2) GROUP BY ALL),
+s AS (SELECT item_id, path, l, greatest(1, a - 6) AS s, b FROM t JOIN fl USING (path))
+SELECT item_id, path, CAST(s AS INT) AS start_line, CAST(least(len(l), b + 6, s + 39) AS INT) AS end_line, sha256(array_to_string(l[s:least(len(l), b + 6, s + 39)], '\n')) AS excerpt_sha256 FROM s""")
+def related_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "text").select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), lambda x: F.length(x) >= 8)
+    names = table(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.explode(words).alias("name"))
+    return T.excerpts(related_files(spark, sf_dir), docs, names, "item_id").withColumn("excerpt_sha256", F.sha2("excerpt", 256)).drop("excerpt")
+
+
+@query(f"""WITH {ONCE_SQL}, h AS (SELECT review, 'p' || n AS path, pk % 3 AS added, sk % 2 AS removed, CAST(pk % 50 + 1 AS INT) AS a, CAST(sk % 40 + 1 AS INT) AS b, q AS tokens, n AS place FROM one),
+c AS (SELECT review, path, 0 AS turn, 'after' AS side, a AS s, a + 4 AS e FROM h WHERE added > 0 UNION ALL SELECT review, path, 1, 'before', b, b + 2 FROM h WHERE removed > 0),
+x AS (SELECT review, row_number() OVER (PARTITION BY review ORDER BY path, turn) AS rank, 'change' AS source_type, side, path, s, e FROM c),
+d AS (SELECT review, sum(tokens) AS diff, CAST(sum(CASE WHEN added > 0 THEN 1 ELSE 0 END + CASE WHEN removed > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n FROM h GROUP BY review),
+k AS (SELECT review, place, sum(tokens * 2) OVER (PARTITION BY review ORDER BY place ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (PARTITION BY review ORDER BY place) AS m FROM h WHERE review % 4 < 3),
+u AS (SELECT * FROM x UNION ALL SELECT k.review, n + m, CASE WHEN place < 4 THEN 'reference' ELSE 'test' END, 'after', 'c' || place, 1, 5 FROM k JOIN d ON k.review = d.review WHERE used <= 300 - diff AND m + n <= 8)
+SELECT review, 'E' || rank AS label, CAST(rank AS INT) AS rank, source_type, side, path, s AS start_line, e AS end_line FROM u""")
+def labelled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, n, a, b = lines_once(spark, sf_dir), F.col("n"), (F.col("pk") % 50 + 1).cast("int"), (F.col("sk") % 40 + 1).cast("int")  # noqa: E741
+    made = l.select("review", F.concat(F.lit("p"), n.cast("string")).alias("path"), F.lit(0).alias("hunk"), (F.col("pk") % 3).alias("added"), (F.col("sk") % 2).alias("removed"), a.alias("after_start"), (a + 4).alias("after_end"), b.alias("before_start"), (b + 2).alias("before_end"), F.col("q").alias("tokens"))
+    context = l.where("review % 4 < 3").select("review", n.alias("place"), F.when(n < 4, "reference").otherwise("test").alias("source_type"), F.concat(F.lit("c"), n.cast("string")).alias("path"), F.lit(1).alias("start_line"), F.lit(5).alias("end_line"), (F.col("q") * 2).alias("tokens"))
+    return T.labelled_evidence(made, context, 300.0, "review", most=8)

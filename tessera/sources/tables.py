@@ -20,3 +20,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same view in SQL, for the queries' oracles.
 FILES_SQL = "files AS (SELECT doc_id AS file_id, source AS snapshot_id, concat_ws('/', source, lang, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt') AS path, lang AS language, text AS content FROM documents)"
+
+
+def lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(review, n, pk, sk, q)``: one row for each number of an order's lines."""
+    l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")  # noqa: E741
+    return l.groupBy(F.col("l_orderkey").alias("review"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").alias("q"))
+
+
+ONCE_SQL = "one AS (SELECT l_orderkey AS review, l_linenumber AS n, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity) AS q FROM lineitem GROUP BY ALL)"

@@ -307,3 +307,12 @@ def declarations(files: DataFrame) -> DataFrame:
 
     known = files.select("path", "content", X.language("path").alias("language")).where(F.col("language").isin("python", "typescript", "tsx"))
     return known.mapInPandas(make, "path string, name string, qualified_name string, kind string, start_line int, end_line int")
+
+
+def index_summary(classified: DataFrame, symbols: DataFrame, code_chunks: DataFrame, doc_chunks: DataFrame, unsupported: DataFrame, embeddings: bool) -> DataFrame:
+    """One row of what an index holds, and how much it leaves out: entries, texts of unsupported syntax, and vectors that couldn't be had."""
+    out = coverage_summary(classified)
+    for name, df in (("symbols", symbols), ("code_chunks", code_chunks), ("doc_chunks", doc_chunks), ("unsupported", unsupported)):
+        out = out.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    skipped = F.col("skipped") + F.col("unsupported") + (0 if embeddings else 1)
+    return out.select("files", "lines", "bytes", "symbols", "code_chunks", "doc_chunks", skipped.alias("skipped"), F.lit(embeddings).alias("embeddings_available"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import text as X
 from tessera.operators import ingestion as I
+from tessera.operators import retrieval as R
 from tessera.plans.common import Registry
-from tessera.plans.retrieval import FILES_SQL, lines_sql, terms_sql
+from tessera.plans.retrieval import CHUNKS_SQL, FILES_SQL, SYMBOLS_SQL, lines_sql, terms_sql
 from tessera.sources import archives
+from tessera.sources.shared import dealt_out, fresh
 from tessera.sources.tables import files, table
 
 query = Registry()
@@ -96,8 +99,9 @@ def eligible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FILES_SQL} SELECT file_id, CAST(len(t) AS INT) AS terms, sha256(array_to_string(t, ' ')) AS terms_sha256 FROM (SELECT file_id, {terms_sql('content')} AS t FROM files)")
 def identifier_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.split_identifiers("content")
-    return files(spark, sf_dir).select("file_id", F.size(t).alias("terms"), F.sha2(F.array_join(t, " "), 256).alias("terms_sha256"))
+    # the terms are made in a step of their own, as two columns read them
+    split = dealt_out(files(spark, sf_dir).select("file_id", "content")).select("file_id", X.split_identifiers("content").alias("t"))
+    return split.select("file_id", F.size("t").alias("terms"), F.sha2(F.array_join("t", " "), 256).alias("terms_sha256"))
 
 
 @query(f"""WITH {MEMBERS_SQL} SELECT member_no, path AS whole, string_split(path, '/')[-1] AS name, regexp_replace(string_split(path, '/')[-1], '^(.+)\\.[^.]*$', '\\1') AS stem,
@@ -167,3 +171,34 @@ def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("doc_id") % 2 == 0
     modules = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 3 < 2").select(F.concat(F.lit("src/m"), i, F.when(even, ".py").otherwise(".ts")).alias("path"), F.when(even, python).otherwise(script).alias("content"))
     return I.declarations(modules)
+
+
+@query("""SELECT CASE WHEN doc_id % 10 <> 3 THEN CAST(doc_id AS VARCHAR) END AS doc_id, CASE doc_id % 10 WHEN 3 THEN 'unreadable' WHEN 4 THEN 'missing value' WHEN 5 THEN 'repeated key' END AS problem FROM documents""")
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as JSON lines, some broken, and how each is judged."""
+    own, path = F.col("doc_id") % 10, fresh(spark, "lines")
+    line = F.when(own == 3, "{broken").when(own == 4, F.to_json(F.struct("doc_id"))).otherwise(F.to_json(F.struct("doc_id", "n_chars")))
+    times = F.when(own == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    table(spark, sf_dir, "documents", "doc_id", "n_chars").select(line.alias("value"), F.explode(times).alias("t")).select("value").write.text(path)
+    good, bad = archives.read_json_lines(spark, path, T.StructType([T.StructField("doc_id", T.LongType(), False), T.StructField("n_chars", T.LongType(), False)]), "doc_id")
+    return good.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("problem")).unionByName(bad)
+
+
+@query("""SELECT form, source, n FROM (SELECT source, CAST(count(*) AS VARCHAR) AS n FROM documents GROUP BY 1), (SELECT unnest(['csv', 'json', 'markdown']) AS form)""")
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source as a report in three forms, each read back."""
+    folder = fresh(spark, "report")
+    archives.write_reports(table(spark, sf_dir, "documents", "source").groupBy("source").agg(F.count(F.lit(1)).alias("n")), folder)
+    cells = F.split(F.regexp_replace("value", r"^\| | \|$", ""), r" \| ")
+    told = {"csv": spark.read.option("header", True).csv(f"{folder}/csv"), "json": spark.read.json(f"{folder}/json"), "markdown": spark.read.text(f"{folder}/markdown").select(cells[0].alias("source"), cells[1].alias("n"))}
+    parts = [df.select(F.lit(form).alias("form"), "source", F.col("n").cast("string").alias("n")) for form, df in told.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""WITH {MEMBERS_SQL}, {FILES_SQL}, {CHUNKS_SQL}, {SYMBOLS_SQL.replace("l AS", "sl AS", 1).replace("FROM l)", "FROM sl)")},
+g AS (SELECT count(*) AS files, CAST(coalesce(sum({line_count_sql("content")}), 0) AS BIGINT) AS lines, CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS bytes FROM classified WHERE reason IS NULL)
+SELECT files, lines, bytes, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM chunks) AS code_chunks, (SELECT count(*) FROM pages) AS doc_chunks, (SELECT count(*) FROM entries) + (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) + 1 AS skipped, false AS embeddings_available FROM g""")
+def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    unsupported = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 7 = 0")
+    return I.index_summary(I.classify(members(spark, sf_dir)), R.declared_symbols(f), R.window_chunks(f, 60, 10, "path"), table(spark, sf_dir, "pages", "page_id"), unsupported, False)

@@ -450,3 +450,45 @@ def test_heading_chunks_query(spark, sf_dir):
         assert len(numbers) == len(set(numbers))
         missing = [x for n, x in enumerate(texts[path].split("\n"), 1) if n not in set(numbers) and x.strip()]
         assert all(re.match(r" {0,3}#{1,6}([ \t]|$)", x) for x in missing)
+
+
+def test_excerpts_around_names(spark):
+    body = "\n".join(f"line {i}" for i in range(1, 101))
+    files = rows(spark, "path string, content string", ("near", body.replace("line 20", "call getUser(x)").replace("line 25", "getUser_2 getUser")), ("far", body.replace("line 3\n", "getUser\n").replace("line 90", "getUser")), ("none", body), ("short", "a\nb"), ("empty", ""), ("unknown", None))
+    chosen = rows(spark, "k int, path string", *[(1, p) for p in ("near", "far", "none", "short", "empty", "unknown", "absent")], (2, "near"))
+    names = rows(spark, "k int, name string", (1, "getUser"), (1, "getUser"), (2, "getUser_2"), (2, None))
+    got = {(r.k, r.path): (r.start_line, r.end_line) for r in trees.excerpts(chosen, files, names, "k").collect()}
+    # an excerpt whose matches are far apart ends after forty lines
+    assert got == {(1, "near"): (14, 31), (1, "far"): (1, 40), (1, "none"): (1, 13), (1, "short"): (1, 2), (2, "near"): (19, 31)}
+    assert trees.excerpts(chosen.limit(0), files, names, "k").count() == 0
+    whole = trees.excerpts(chosen.where("path = 'short'"), files, names, "k").first()
+    assert whole.excerpt == "a\nb"
+
+
+def test_useful_names(spark):
+    names = rows(spark, "k int, position int, name string", (1, 3, "loadUser"), (1, 1, "Main"), (1, 2, "abc"), (1, 9, "loadUser"), (1, 0, None), (1, 4, "saveUser"), (2, 0, "test"))
+    assert [(r.k, r.name, r.place) for r in trees.useful_names(names, "k").orderBy("k", "place").collect()] == [(1, "loadUser", 1), (1, "saveUser", 2)]
+    assert trees.useful_names(names, "k", most=1).count() == 1
+
+
+def test_labels_of_a_review(spark):
+    made = rows(spark, "k int, path string, hunk int, added int, removed int, after_start int, after_end int, before_start int, before_end int, tokens double", (1, "b", 0, 1, 1, 5, 6, 7, 8, 10.0), (1, "a", 1, 0, 2, None, None, 3, 4, 10.0), (1, "a", 0, 2, 0, 1, 2, None, None, 10.0))
+    context = rows(spark, "k int, place int, source_type string, path string, start_line int, end_line int, tokens double", (1, 1, "reference", "c", 1, 9, 30.0), (1, 2, "test", "d", 1, 9, 41.0), (1, 3, "test", "e", 1, 9, 0.0), (2, 1, "test", "f", 1, 9, 100.0))
+    got = sorted((r.k, r["rank"], r.label, r.side, r.path) for r in trees.labelled_evidence(made, context, 100.0, "k").collect())
+    # the second context item runs over the budget, and all after it goes with it; a review without hunks has its whole budget
+    assert got == [(1, 1, "E1", "after", "a"), (1, 2, "E2", "before", "a"), (1, 3, "E3", "after", "b"), (1, 4, "E4", "before", "b"), (1, 5, "E5", "after", "c"), (2, 1, "E1", "after", "f")]
+    assert trees.labelled_evidence(made, context, 100.0, "k", most=4).where("k = 1").count() == 4
+
+
+def test_faults_of_citations(spark):
+    points = rows(spark, "k int, position int, cited array<string>", (1, 1, ["E1"]), (1, 2, ["E2"]), (1, 3, ["E9", "E1", "E8"]), (1, 4, []), (1, 5, None), (2, 1, ["E1"]))
+    evidence = rows(spark, "k int, label string, is_change boolean", (1, "E1", True), (1, "E2", False), (1, "E2", False))
+    got = {(r.k, r.position): (r.unknown, r.no_change) for r in evaluation.citation_faults(points, evidence, "k").collect()}
+    assert got == {(1, 2): ([], True), (1, 3): (["E9", "E8"], False), (1, 4): ([], True), (1, 5): ([], True), (2, 1): (["E1"], True)}
+
+
+def test_positions_after_rows_went(spark):
+    items = rows(spark, "k int, item int, indexes array<int>", (1, 1, [0, 2, 3]), (1, 2, [1]), (1, 3, None), (2, 1, [0, 0]))
+    kept = rows(spark, "k int, position int", (1, 0), (1, 3), (2, 0))
+    got = {(r.k, r.item): r.indexes for r in evaluation.renumbered(items, kept, "k").collect()}
+    assert got == {(1, 1): [0, 1], (1, 2): [], (1, 3): [], (2, 1): [0, 0]}

@@ -8,7 +8,7 @@ import json
 import re
 import tarfile
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -25,25 +25,26 @@ def rows(spark, schema, *values):
 
 
 def evidence_model(items, tokens, most, item_tokens):
-    kept, left = [], tokens
+    """What is used is added up item by item, and the room is what that leaves: sums in another order round otherwise."""
+    kept, used = [], 0.0
     for position, lines in items:
         if len(kept) >= most:
             return kept
-        n = 0
+        left, n = tokens - used, 0
         while n < len(lines) and len("\n".join(lines[: n + 1])) / 3.5 <= min(left, item_tokens):
             n += 1
         if n == 0:
             continue
         kept.append((position, n))
-        ended = n < len(lines) and left <= item_tokens
-        left -= len("\n".join(lines[:n])) / 3.5
-        if ended:
+        if n < len(lines) and left <= item_tokens:
             return kept
+        used += len("\n".join(lines[:n])) / 3.5
     return kept
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.text("ab", max_size=9), min_size=1, max_size=5), max_size=8), st.integers(1, 40), st.integers(1, 5), st.integers(1, 12))
+@example([["", "a", "a", "aaaaaa", "aaaaaa"], ["aa", "aaaaa", "aaaaaaaaa"], ["a", "aa", "aa", "aaaaaaaaa", "aaaaaaaaa"]], 18, 3, 8)
 def test_evidence_budget(items, tokens, most, item_tokens):
     numbered = list(enumerate(items))
     assert retrieval.take_evidence(numbered, tokens, most, item_tokens) == evidence_model(numbered, tokens, most, item_tokens)

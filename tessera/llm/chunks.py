@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -115,13 +116,13 @@ def windows_of(raw: bytes) -> tuple[np.ndarray, ...]:
 LENGTHS = 1 << 10
 COUNTS = 1 << 9
 VERSIONS = 1 << 24
-WINDOWS = "doc_id long, span long, words long, a long, b long"
-OWN = ["doc_id", "version"]
+WINDOWS = "doc_id long, text_key long, span long, words long, a long, b long"
+#: Texts that share a doc_id are told apart by 64 bits and 24 more of another hash.
+OWN = ["doc_id", "text_key", "version"]
 
 
-def version() -> Column:
-    """Tells the texts that share a doc_id apart."""
-    return F.crc32(text_or_empty().cast("binary")) % VERSIONS
+def told_apart() -> list[Column]:
+    return [F.xxhash64(text_or_empty()).alias("text_key"), (F.crc32(text_or_empty().cast("binary")) % VERSIONS).alias("version")]
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -131,9 +132,9 @@ def windows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             parts: list[tuple] = []
             rows = 0
-            for doc_id, own, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+            for doc_id, key, own, text in zip(*(c.to_numpy() for c in batch.columns[:3]), batch.column(3), strict=True):
                 start, end, low, high, digests = windows_of(text.as_py().encode())
-                parts.append((np.full(len(start), doc_id), start * LENGTHS + end - start, (low * COUNTS + high - low) * VERSIONS + own, digests[:, 0], digests[:, 1]))
+                parts.append((np.full(len(start), doc_id), np.full(len(start), key), start * LENGTHS + end - start, (low * COUNTS + high - low) * VERSIONS + own, digests[:, 0], digests[:, 1]))
                 rows += len(start)
                 if rows > 100_000:
                     yield _batch(parts)
@@ -142,7 +143,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 yield _batch(parts)
 
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), version().alias("version"), text_or_empty().alias("text"))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), *told_apart(), text_or_empty().alias("text"))
     return source.mapInArrow(make, WINDOWS)
 
 
@@ -151,7 +152,7 @@ def _batch(parts: list[tuple]) -> pa.RecordBatch:
 
 
 def shared_windows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, version, run, start, end, first_doc)``: windows that stand elsewhere too, in runs that may hold ``least_words``.
+    """``(doc_id, text_key, version, run, start, end, first_doc)``: windows that stand elsewhere too, in runs that may hold ``least_words``.
 
     ``first_doc`` is the smallest document that holds the window; ``LAST`` stands for a null doc_id.
     """
@@ -163,7 +164,7 @@ def shared_windows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     start, told = F.expr(f"span div {LENGTHS}"), F.expr(f"words div {VERSIONS}")
     low = F.expr(f"words div {VERSIONS * COUNTS}")
     parts = {"version": F.col("words") % VERSIONS, "start": start, "end": start + F.col("span") % LENGTHS, "low": low, "high": low + told % COUNTS}
-    shared = shared.select("doc_id", "first_doc", *(c.cast("int").alias(name) for name, c in parts.items()))
+    shared = shared.select("doc_id", "text_key", "first_doc", *(c.cast("int").alias(name) for name, c in parts.items()))
     order = Window.partitionBy(*OWN).orderBy("start")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     runs = shared.withColumn("new", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
@@ -176,7 +177,7 @@ def shared_windows(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
 
 
 def stretches(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, version, start, end, first_doc)``: neighbouring shared windows with one ``first_doc``."""
+    """``(doc_id, text_key, version, start, end, first_doc)``: neighbouring shared windows with one ``first_doc``."""
     order = Window.partitionBy(*OWN).orderBy("start")
     turn = F.coalesce((F.col("run") != F.lag("run").over(order)) | (F.col("first_doc") != F.lag("first_doc").over(order)), F.lit(True))
     turned = shared_windows(docs, least_words).withColumn("turn", turn.cast("int"))
@@ -207,9 +208,10 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     found = materialize(stretches(docs, least_words), "repeats")
     span = F.struct("start", "end", (F.col("first_doc") < F.col("doc_id")).alias("later"))
     spans = found.groupBy(*OWN).agg(F.array_sort(F.collect_set(span)).alias("__spans")).where(F.exists("__spans", lambda s: s.later))
-    spans = spans.withColumnRenamed("doc_id", "__doc").withColumnRenamed("version", "__version")
-    own = docs.withColumn("__own", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__text", version())
-    joined = own.join(spans, (F.col("__own") == F.col("__doc")) & (F.col("__text") == F.col("__version")), "left").select(*docs.columns, "__spans")
+    spans = spans.withColumnsRenamed({c: f"__of_{c}" for c in OWN})
+    own = docs.select("*", *(c.alias(f"__{name}") for name, c in zip(OWN, [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), *told_apart()], strict=True)))
+    same = [F.col(f"__{c}") == F.col(f"__of_{c}") for c in OWN]
+    joined = own.join(spans, reduce(Column.__and__, same), "left").select(*docs.columns, "__spans")
     at = docs.columns.index("text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -77,3 +77,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Columns that tell texts apart by 128 bits.
+TEXT_KEYS = ("k1", "k2")
+
+
+def text_keys(column: str = "text") -> list[Column]:
+    """Two hashes of 64 bits with seeds of their own; a null text has those of an empty one."""
+    return [F.xxhash64(F.lit(seed), text_or_empty(column)).alias(name) for seed, name in enumerate(TEXT_KEYS)]

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_or_empty
+from tessera.llm.common import TEXT_KEYS, text_keys, text_or_empty
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -104,7 +104,7 @@ def license_notices(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cont
 
     ``containment`` is the largest share of the template's shingles in a window, ``first_word`` the word
     (from 0) at which the first such window starts. Null and empty texts match nothing; rows of one doc_id
-    count as one document, null doc_ids too; further columns are not read; empty tables give no rows.
+    and text count as one document, and unlike texts of one doc_id, or of none, each have rows of their own; further columns are not read; empty tables give no rows.
     """
     spark = docs.sparkSession
     words = {name: template_words(text) for name, text in templates.items()}
@@ -113,12 +113,12 @@ def license_notices(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cont
     anchors = sorted(set().union(*(anchors_of(w, containment) for w in words.values())))
     known = _table(spark, templates)
 
-    text = F.lower(text_or_empty())
-    some = docs.select("doc_id", text.alias("text")).where(F.col("text").rlike("|".join(anchors)))
-    split = some.select("doc_id", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+    own, text = ("doc_id", *TEXT_KEYS), F.lower(text_or_empty())
+    some = docs.select("doc_id", *text_keys(), text.alias("text")).where(F.col("text").rlike("|".join(anchors)))
+    split = some.select(*own, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
     is_anchor = lambda x: x.isin(anchors)
-    placed = split.select("doc_id", F.filter(F.transform("w", lambda x, i: F.when(is_anchor(x), i)), lambda i: i.isNotNull()).alias("at"), "w").where(F.size("at") > 0)
-    hashed = placed.select("doc_id", "at", _hashes(F.col("w")).alias("h"))
+    placed = split.select(*own, F.filter(F.transform("w", lambda x, i: F.when(is_anchor(x), i)), lambda i: i.isNotNull()).alias("at"), "w").where(F.size("at") > 0)
+    hashed = placed.select(*own, "at", _hashes(F.col("w")).alias("h"))
 
     def windows(n: int) -> Column:
         step, wide = stride(n), stride(n) + n // 5
@@ -132,11 +132,11 @@ def license_notices(docs: DataFrame, templates: dict[str, str] = TEMPLATES, cont
             lambda s: F.struct(F.lit(n).alias("words"), s.alias("start"), F.slice("h", s + 1, shingles).alias("own"), F.slice("h", first(s) + 1, s + F.lit(shingles + wide) - first(s)).alias("near")),
         )
 
-    spread = hashed.select("doc_id", F.explode(F.concat(*map(windows, lengths))).alias("x")).select("doc_id", "x.*")
-    keyed = spread.select("doc_id", "words", "start", "near", F.posexplode(_minima(F.col("own"), count)).alias("band", "least"))
+    spread = hashed.select(*own, F.explode(F.concat(*map(windows, lengths))).alias("x")).select(*own, "x.*")
+    keyed = spread.select(*own, "words", "start", "near", F.posexplode(_minima(F.col("own"), count)).alias("band", "least"))
     template_bands = known.select("license", "words", "hashes", F.posexplode(_minima(F.col("hashes"), count)).alias("band", "least"))
     # as many rows as templates times bands, whatever the documents hold
     met = keyed.join(F.broadcast(template_bands), ["words", "band", "least"])
     share = F.size(F.array_intersect("near", "hashes")) / F.size("hashes")
-    found = met.select("doc_id", "license", "start", share.alias("share")).where(F.col("share") >= containment - 1e-9)
-    return found.groupBy("doc_id", "license").agg(F.max("share").alias("containment"), F.min("start").alias("first_word"))
+    found = met.select(*own, "license", "start", share.alias("share")).where(F.col("share") >= containment - 1e-9)
+    return found.groupBy(*own, "license").agg(F.max("share").alias("containment"), F.min("start").alias("first_word")).drop(*TEXT_KEYS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -19,14 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.bits import bit_set, is_set
 from tessera.llm.common import bounded_batches, materialize, text_or_empty
 
 LEAST_COUNT, LONGEST, SCALE, REPORTED = 30, 4, 2_000_000, 2000
 #: A phrase goes where a longer one has so many hundredths of its occurrences.
 CONTAINED = 80
 NO_LANG = "und"
-#: The bits sent to the tasks: 16 for each frequent (k-1)-gram, 16 MB at most.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 #: Words that a task holds before it counts them.
 HELD_WORDS = 2_000_000
 BREAK = b"\xff"  # stands in no UTF-8 text
@@ -54,41 +54,18 @@ def joined(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
     return mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + following)
 
 
-def bits_of(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a set of ``size`` bits, a power of two, that stand for each hash."""
-    return (hashes & np.uint64(size - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(size - 1)).astype(np.int64)
-
-
-def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    found = np.ones(len(hashes), bool)
-    for at in bits_of(hashes, 8 * len(bits)):
-        found &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return found
-
-
-def bit_set(grams: DataFrame, n: int, most: int = MOST_BITS) -> np.ndarray:
-    """The bits of the ``n`` phrases ``(lang, phrase)``, set in the tasks and put together by position."""
-    size = LEAST_BITS
-    while size < min(16 * n, most):
-        size *= 2
+def hashed(grams: DataFrame) -> DataFrame:
+    """``(hash)`` of phrases ``(lang, phrase)``, as :func:`joined` makes them word by word."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            made = np.zeros(batch.num_rows, np.uint64)
+            for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 own = word_hashes(phrase.encode().split(b" "), lang)
-                h = own[:1]
-                for i in range(1, len(own)):
-                    h = joined(h, own[i : i + 1])
-                made.append(h)
-            if made:
-                at = np.unique(np.concatenate(bits_of(np.concatenate(made), size)))
-                yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], names=["slot", "bits"])
+                made[i] = reduce(joined, (own[k : k + 1] for k in range(len(own))))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=["hash"])
 
-    rows = grams.select("lang", "phrase").mapInArrow(make, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(size // 32, np.uint32)
-    bits[rows["slot"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return bits.view(np.uint8)
+    return grams.select("lang", "phrase").mapInArrow(make, "hash long")
 
 
 def counted_block(lang: str, coded: np.ndarray, words: list[bytes], k: int, frequent: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
@@ -185,7 +162,7 @@ def frequent_grams(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LON
         n = level.count()
         if not n:
             break
-        level = materialize(grams(own, k, bit_set(level, n)).where(F.col("n") >= least), f"grams-{k}")
+        level = materialize(grams(own, k, bit_set(hashed(level), n)).where(F.col("n") >= least), f"grams-{k}")
         levels = levels.unionByName(level)
     return levels, words.where("phrase is null").select("lang", "n")
 

@@ -1,28 +1,35 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-Every n-gram of the test items, rare or common, is a seed: how often a copy stands in the corpus doesn't
-matter. A seed in a text proposes a place for its item. Places whose words can't reach the
-threshold in any order are left out, which loses no match; local alignment of the item with the words
-around the others scores exact, edited and partly paraphrased copies alike.
+The n-grams of the test items are a table. One pass over the corpus counts how common each is, by the words that stand
+around it, so that copies of an item don't make its n-grams common; a second one joins the texts with the items on
+the rare n-grams. A seed in a text proposes a place for its item. Places whose words can't reach the threshold in
+any order are left out, which loses no match; local alignment of the item with the words around the others scores
+exact, edited and partly paraphrased copies alike. Neither the items nor the corpus come to the driver: what is sent to
+the tasks is a bit set of bounded size.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, text_or_empty
+from tessera.llm.bits import bit_set, is_set
+from tessera.llm.common import TEXT_KEYS, bounded_batches, join_counted, materialize, text_keys, text_or_empty
 
 NGRAM = 3
 THRESHOLD = 0.5
-BLOCK_CHARS = 8_000_000
+#: An n-gram is rare with so many pairs of words around it, or fewer.
+RARE = 1000
+LEAST_SEEDS = 20
+#: Words whose hashes a task keeps.
+HELD_WORDS = 200_000
 PUNCTUATION = bytes(32 if 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 else b for b in range(256))
-HITS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
 def words_of(text: str) -> list[bytes]:
@@ -30,46 +37,31 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(PUNCTUATION).split()
 
 
-class Items:
-    """Test items as word ids, and where each of their n-grams stands."""
-
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.n, self.ids = n, [item for item, _ in rows]
-        self.words = [words_of(text or "") for _, text in rows]
-        self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words in self.words for w in words))}
-        self.coded = [np.array([self.vocabulary[w] for w in words], np.int64) for words in self.words]
-        places = defaultdict(list)
-        for k, coded in enumerate(self.coded):
-            for at, key in enumerate(self.keys(coded).tolist()):
-                places[key].append((k, at))
-        self.grams = np.array(sorted(places), np.int64)
-        self.places = [places[g] for g in self.grams.tolist()]
-
-    def keys(self, coded: np.ndarray) -> np.ndarray:
-        """The n-grams as numbers; -1 where a word is not the items'. Short items are one n-gram."""
-        n = min(self.n, len(coded))
-        if not n:
-            return np.zeros(0, np.int64)
-        key, known = np.zeros(len(coded) - n + 1, np.int64), np.ones(len(coded) - n + 1, bool)
-        for k in range(n):
-            part = coded[k : len(coded) - n + 1 + k]
-            key, known = key * (len(self.vocabulary) + 1) + part + 1, known & (part >= 0)
-        return np.where(known, key, -1)
-
-    def code(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-
-    def found(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in a text and the numbers of the n-grams that start there, for n-grams of n words."""
-        if len(coded) < self.n or not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys = self.keys(coded)
-        at = np.flatnonzero(keys >= 0)
-        slot = np.minimum(np.searchsorted(self.grams, keys[at]), len(self.grams) - 1)
-        same = self.grams[slot] == keys[at]
-        return at[same], slot[same]
+class WordHashes(dict):
+    """The hashes of words, which are kept up to a number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= HELD_WORDS:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, which differs with their order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams_of(coded: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of a text's n-grams, by their first word; none for fewer words."""
+    if len(coded) < n:
+        return np.zeros(0, np.uint64)
+    return reduce(joined, (coded[k : len(coded) - n + 1 + k] for k in range(n)))
 
 
 def _best(item: np.ndarray, window: np.ndarray, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
@@ -102,19 +94,6 @@ def align(item: np.ndarray, window: np.ndarray, match: int = 2, mismatch: int =
     return best / (match * len(item)), j - back, j - 1
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of bounded size, so that what is sent to the tasks is bounded too."""
-    rows, chars = [], 0
-    for row in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), text_or_empty()).distinct().toLocalIterator():
-        if chars + len(row[1]) > BLOCK_CHARS and rows:
-            yield rows
-            rows, chars = [], 0
-        rows.append((row[0], row[1]))
-        chars += len(row[1])
-    if rows:
-        yield rows
-
-
 def places(own: np.ndarray, coded: np.ndarray, starts: list[int], threshold: float) -> Iterator[tuple[int, int]]:
     """Stretches of a text, first and end word, that hold every alignment through one of ``starts`` that may reach ``threshold``.
 
@@ -143,54 +122,148 @@ def places(own: np.ndarray, coded: np.ndarray, starts: list[int], threshold: flo
         yield low, end
 
 
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """``(item, item_id, text)``: distinct test items; ``item`` tells unlike texts of one id apart."""
+    own = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), text_or_empty().alias("text"))
+    return own.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item"])
+
+
+def item_grams(items: DataFrame, n: int) -> DataFrame:
+    """``(item, gram, place)`` of the n-grams of each item; items of fewer words have none."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1), strict=True):
+                grams = grams_of(hashes.of(words_of(text.as_py())), n).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), item.as_py())), pa.array(grams), pa.array(np.arange(len(grams), dtype=np.int32))], names=["item", "gram", "place"])
+
+    return items.select("item", "text").mapInArrow(make, "item long, gram long, place int")
+
+
+def met_grams(docs: DataFrame, bits: np.ndarray, n: int, contexts: bool) -> DataFrame:
+    """Where n-grams of the set ``bits`` stand: ``(gram, context)``, the words beside them, or ``(k1, k2, gram, at)``, the text and the word."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            parts: list[tuple] = []
+            for k1, k2, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                coded = hashes.of(words_of(text.as_py()))
+                grams = grams_of(coded, n)
+                at = np.flatnonzero(is_set(sent.value, grams))
+                if not len(at):
+                    continue
+                if contexts:
+                    edged = np.concatenate((np.zeros(1, np.uint64), coded, np.zeros(1, np.uint64)))
+                    parts.append((grams[at].view(np.int64), joined(edged[at], edged[at + n + 1]).view(np.int64)))
+                else:
+                    parts.append((np.full(len(at), k1), np.full(len(at), k2), grams[at].view(np.int64), at.astype(np.int32)))
+            if parts:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                if contexts:  # each once in a batch
+                    columns = list(np.unique(np.stack(columns), axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+
+    schema = "gram long, context long" if contexts else "k1 long, k2 long, gram long, at int"
+    return docs.select(*text_keys(), text_or_empty().alias("text")).mapInArrow(make, schema)
+
+
+def rare_seeds(docs: DataFrame, grams: DataFrame, n: int, rare: int = RARE, least: int = LEAST_SEEDS) -> DataFrame:
+    """``(item, gram, place)``: the n-grams of each item that are rare in the corpus, or its ``least`` rarest ones if they are more.
+
+    An n-gram is as common as there are words around it: the pairs of the words before and after it, over the
+    whole corpus, and the items that hold it. Copies of an item don't count, as there the same words stand beside its n-grams.
+    """
+    every = grams.select("gram").distinct()
+    around = met_grams(docs, bit_set(every, every.count()), n, True).groupBy("gram").agg(F.approx_count_distinct("context").alias("around"))
+    held = grams.groupBy("gram").agg(F.count_distinct("item").alias("items"))
+    told = held.join(around, "gram", "left").select("gram", (F.coalesce("around", F.lit(0)) + F.col("items")).alias("common"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("common", "gram", "place"))
+    return grams.join(told, "gram").withColumn("rank", rank).where((F.col("common") <= rare) | (F.col("rank") <= least)).select("item", "gram", "place")
+
+
+def candidates(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """``(k1, k2, item, starts)``: texts that hold a seed of an item, and where the item would start by each."""
+    every = seeds.select("gram").distinct()
+    # copies of a text are one text
+    hits = materialize(met_grams(docs, bit_set(every, every.count()), n, False).distinct(), "hits")
+    counted = seeds.join(hits.groupBy("gram").agg(F.count(F.lit(1)).alias("hits")), "gram")
+    met = join_counted(hits, materialize(counted, "seeds-met"), "gram", "hits", hits.count())
+    return met.groupBy(*TEXT_KEYS, "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("starts"))
+
+
+def only_keys(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+    """``(k1, k2, text)`` of the rows whose key ``k1`` is in the set, or seems to be."""
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            here = np.flatnonzero(is_set(sent.value, batch.column(0).to_numpy().view(np.uint64)))
+            if len(here):
+                yield batch.take(pa.array(here))
+
+    return docs.select(*text_keys(), text_or_empty().alias("text")).mapInArrow(make, "k1 long, k2 long, text string")
+
+
+def found_in_texts(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
+    """``(k1, k2, item_id, score, first_word, last_word)`` of each distinct text and item whose best alignment reaches ``threshold``."""
+    bounded_batches(docs.sparkSession)
+    items = materialize(items_of(benchmark), "items")
+    grams = materialize(item_grams(items, n), "item-grams")
+    pairs = materialize(candidates(docs, materialize(rare_seeds(docs, grams, n), "seeds"), n), "candidates")
+    told = pairs.join(items, "item").groupBy(*TEXT_KEYS).agg(F.collect_list(F.struct("item_id", "text", "starts")).alias("items"))
+    keys = pairs.select("k1").distinct()
+    texts = only_keys(docs, bit_set(keys, keys.count())).dropDuplicates(list(TEXT_KEYS))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, known = WordHashes(), {}
+        for batch in batches:
+            for k1, k2, text, own in zip(*batch.columns, strict=True):
+                coded, out = hashes.of(words_of(text.as_py())), []
+                for x in own.as_py():
+                    item, best = hashes.of(words_of(x["text"])), (0.0, 0, 0)
+                    for low, end in places(item, coded, sorted(x["starts"]), threshold):
+                        window = coded[low:end]
+                        key = (item.tobytes(), window.tobytes())
+                        if key not in known:
+                            if len(known) > 2_000:
+                                known.clear()
+                            known[key] = align(item, window)
+                        score, a, b = known[key]
+                        if score > best[0]:
+                            best = (score, low + a, low + b)
+                    if best[0] >= threshold:
+                        out.append((k1.as_py(), k2.as_py(), x["item_id"], *best))
+                if out:
+                    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=FOUND_NAMES)
+
+    return texts.join(told, list(TEXT_KEYS)).select(*TEXT_KEYS, "text", "items").mapInArrow(verify, FOUND)
+
+
+FOUND = "k1 long, k2 long, item_id long, score double, first_word long, last_word long"
+FOUND_NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
-    """One row per document row and item whose best alignment reaches ``threshold`` of a full match.
+    """``(doc_id, item_id, score, first_word, last_word)``: one row per document row and item whose best alignment reaches ``threshold`` of a full match.
 
     ``score`` is that share, ``first_word`` and ``last_word`` the words it covers. Items of fewer
     than ``n`` words have no n-gram and match nothing; null texts count as empty; items with null
-    ids are left out; repeated rows give repeated rows; empty tables give no rows. An edited copy that keeps no
-    ``n`` words of its item in a row is not found.
+    ids are left out; repeated rows give repeated rows; empty tables give no rows. An edited copy that keeps none of its item's
+    seeds is not found.
     """
-    spark, found = docs.sparkSession, None
-    bounded_batches(spark)
-    for block in _blocks(benchmark):
-        items = Items([(i, t) for i, t in block if len(words_of(t)) >= n], n)
-
-        def scan(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            known: dict[tuple[int, bytes], tuple[float, int, int]] = {}
-            for batch in batches:
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    coded = items.code(text.as_py())
-                    at, grams = items.found(coded)
-                    spots = defaultdict(set)
-                    for p, g in zip(at.tolist(), grams.tolist(), strict=True):
-                        for item, place in items.places[g]:
-                            spots[item].add(p - place)
-                    for item, starts in sorted(spots.items()):
-                        best = (0.0, 0, 0)
-                        for low, end in places(items.coded[item], coded, sorted(starts), threshold):
-                            window = coded[low:end]
-                            key = (item, window.tobytes())
-                            if key not in known:
-                                if len(known) > 20_000:
-                                    known.clear()
-                                known[key] = align(items.coded[item], window)
-                            score, a, b = known[key]
-                            if score > best[0]:
-                                best = (score, low + a, low + b)
-                        if best[0] >= threshold:
-                            for column, value in zip(out, (doc_id, items.ids[item], *best), strict=True):
-                                column.append(value)
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "item_id", "score", "first_word", "last_word"])
-
-        part = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(scan, HITS)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], HITS) if found is None else found
+    found = materialize(found_in_texts(docs, benchmark, threshold, n), "found")
+    # the found texts are told once each; of copies Spark may split the rows
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys()).join(found, list(TEXT_KEYS)).drop(*TEXT_KEYS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents that hold a test item. A null doc_id with a hit drops all null ids."""
-    hits = contaminated(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(hits, docs.doc_id.eqNullSafe(hits.doc_id), "left_anti")
+    """``docs`` without the rows whose text holds a test item; other rows of their doc_id stay."""
+    found = materialize(found_in_texts(docs, benchmark, threshold).select(*(F.col(k).alias(f"__{k}") for k in TEXT_KEYS)).distinct(), "found")
+    own = docs.select("*", *(key.alias(f"__own_{name}") for name, key in zip(TEXT_KEYS, text_keys(), strict=True)))
+    same = (F.col("__own_k1") == F.col("__k1")) & (F.col("__own_k2") == F.col("__k2"))
+    # the found keys are hashed, so that whole texts are dealt but not sorted
+    return own.join(found.hint("shuffle_hash"), same, "left_anti").select(*docs.columns)

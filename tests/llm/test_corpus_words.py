@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import collocations, mixing, queries, spelling
+from tessera.llm import bits, collocations, mixing, queries, spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -249,7 +249,7 @@ def test_op13_planted(spark, monkeypatch, most_bits):
     rows = [(rng.choice(["en", "en", "en", None, "und", ""]), text()) for _ in range(400)] + [(None, None), ("en", ""), ("de", "the the the the the the " * 40), ("en", "the " * 30_000)]
     rows += [("en", "so be it. " * 29), ("fr", "so be it. " * 30)]
     monkeypatch.setattr(collocations, "HELD_WORDS", 700)
-    monkeypatch.setattr(collocations, "LEAST_BITS", 64)
+    monkeypatch.setattr(bits, "LEAST_BITS", 64)
     real = collocations.bit_set
     monkeypatch.setattr(collocations, "bit_set", lambda grams, n: real(grams, n, most_bits))
     df = spark.createDataFrame(rows, "lang string, text string").withColumn("n", collocations.F.lit(1)).withColumn("phrase", collocations.F.lit("clash")).repartition(3)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.sources.shared import join_split, materialize
+from tessera.operators.fulltext import full_text_top
 
 RRF_K = 60
 EVIDENCE_ITEMS, EVIDENCE_TOKENS, ITEM_TOKENS = 12, 16_000, 4_000
@@ -106,25 +106,6 @@ def query_terms(questions: DataFrame, question: str = "question", key: str = "qu
     return questions.select(key, F.explode(kept).alias("t")).select(key, "t.term", "t.prefix")
 
 
-def full_text_ranks(inverted: DataFrame, terms: DataFrame, key: str = "question_id", *units: str) -> DataFrame:
-    """``(key, *units, score)``: a tenth for each position that one of the question's terms matches.
-
-    Which terms of the vocabulary a question matches is settled first, on distinct terms: whole ones, and those
-    that a stem starts. Stems have four letters at least, so that is an equality join on the first four with the
-    rest tested behind it. Positions are added up by term once, into a written table, before they meet the
-    questions; the postings of a term that very many chunks hold are split. ``units`` name a chunk.
-    """
-    head = lambda c: F.substring(c, 1, X.LEAST_STEM)
-    counts = materialize(inverted.groupBy(*units, "term").agg(F.count(F.lit(1)).alias("n")), "postings")
-    vocabulary = counts.groupBy("term").agg(F.count(F.lit(1)).alias("held"))
-    stems = terms.where("prefix").select(key, F.col("term").alias("stem"), head("term").alias("head"))
-    started = vocabulary.withColumn("head", head("term")).join(stems, "head").where(F.startswith("term", F.col("stem"))).select(key, "term", "held")
-    whole = terms.where("not prefix").select(key, "term").join(vocabulary, "term").select(key, "term", "held")
-    matched = materialize(whole.unionByName(started).distinct(), "matched")
-    met = join_split(counts, matched, "term", "held", counts.count())
-    return met.groupBy(key, *units).agg(F.sum("n").alias("n")).select(key, *units, (F.col("n") * 0.1).alias("score"))
-
-
 def cosine_distance(a: Column, b: Column) -> Column:
     """Null where a vector is null, zero, or holds a null."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -305,13 +286,13 @@ def without_overlaps(hits: DataFrame, limit: int) -> DataFrame:
     return pool.select(F.explode(kept).alias("x")).select(*[F.col(f"x.{c}") for c in names])
 
 
-def search_docs(chunks: DataFrame, inverted: DataFrame, terms: DataFrame, vector: list[float] | None, limit: int) -> DataFrame:
+def search_docs(chunks: DataFrame, index: DataFrame, terms: DataFrame, vector: list[float] | None, limit: int) -> DataFrame:
     """``(path, start_line, end_line, score, place, degraded)``: keywords and vectors of one question, fused.
 
     Each list has the larger of 20 and ``limit`` entries; without a vector the keywords alone count, marked as degraded.
     """
     pool, unit = max(20, limit), ("path", "start_line", "end_line")
-    scored = full_text_ranks(inverted, terms, "question_id", *unit).orderBy(F.desc("score"), *unit).limit(pool)
+    scored = full_text_top(index, terms, pool).orderBy(F.desc("score"), *unit).limit(pool)
     numbered = lambda df, no, *order: df.select(F.lit(no).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("rank"), F.struct(*unit).alias("item"))
     lists = numbered(scored, 0, F.desc("score"), *unit)
     if vector is not None:

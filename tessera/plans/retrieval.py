@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import retrieval as R
+from tessera.operators.fulltext import full_text_index, full_text_top
 from tessera.plans.common import Registry
 from tessera.sources.shared import dealt_out
 from tessera.sources.tables import FILES_SQL, files, table
@@ -157,21 +158,27 @@ def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RANKS_SQL = f"""{FILES_SQL}, {CHUNKS_SQL}, {TERMS_SQL},
-post AS (SELECT path, start_line, end_line, unnest(tt) AS term, generate_subscripts(tt, 1) AS pos FROM (SELECT *, {terms_sql("text")} AS tt FROM chunks)),
-hits AS (SELECT question_id, path, start_line, end_line, pos FROM post JOIN terms ON NOT prefix AND post.term = terms.term
-  UNION ALL SELECT question_id, path, start_line, end_line, pos FROM post JOIN terms ON prefix AND left(post.term, 4) = left(terms.term, 4) AND starts_with(post.term, terms.term)),
-scored AS (SELECT question_id, path, start_line, end_line, CAST(count(DISTINCT pos) AS DOUBLE) * 0.1 AS score FROM hits GROUP BY ALL),
+post AS (SELECT path, start_line, end_line, unnest(tt) AS term, generate_subscripts(tt, 1) AS pos FROM (SELECT *, {terms_sql("substring(text, 1, 100000)")} AS tt FROM chunks)),
+counts AS (SELECT path, start_line, end_line, term, least(256, count(DISTINCT least(pos, 16383))) AS n FROM post GROUP BY ALL),
+asked AS (SELECT question_id, c.term FROM (SELECT DISTINCT term FROM counts) c JOIN terms ON NOT prefix AND c.term = terms.term
+  UNION SELECT question_id, c.term FROM (SELECT DISTINCT term FROM counts) c JOIN terms ON prefix AND left(c.term, 4) = left(terms.term, 4) AND starts_with(c.term, terms.term)),
+scored AS (SELECT question_id, path, start_line, end_line, CAST(sum(n) AS DOUBLE) * 0.1 AS score FROM counts JOIN asked USING (term) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, path, start_line) AS place FROM scored QUALIFY place <= 20)"""
 
 
+CHUNK = ("file_id", "start_line", "end_line")
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full-text index of the windows of all files; texts are dealt by file once."""
+    return full_text_index(R.window_chunks(files(spark, sf_dir).select("file_id", "content").repartition("file_id"), 60, 10, "file_id"), *CHUNK)
+
+
 def ranked_chunks(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:
     """The best ``most`` chunks of each question by full-text rank."""
-    unit = ("file_id", "start_line", "end_line")
-    # texts are dealt by file once; the far larger postings are then counted without another exchange
-    inverted = R.postings(R.window_chunks(files(spark, sf_dir).select("file_id", "content").repartition("file_id"), 60, 10, "file_id"), *unit)
-    scored = R.full_text_ranks(inverted, R.query_terms(questions(spark, sf_dir)), "question_id", *unit)
+    scored = full_text_top(chunk_index(spark, sf_dir), R.query_terms(questions(spark, sf_dir)), most)
     # numbers name the chunks until here; paths order those of one score
-    named = scored.join(files(spark, sf_dir).select("file_id", "path"), "file_id").select("question_id", "path", *unit[1:], "score")
+    named = scored.join(files(spark, sf_dir).select("file_id", "path"), "file_id").select("question_id", "path", *CHUNK[1:], "score")
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "path", "start_line")
     return named.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
@@ -286,7 +293,7 @@ def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit, question = ("path", "start_line", "end_line"), "bleed reaning license heating"
     chunks = R.window_chunks(files(spark, sf_dir), 60, 10, "path")
     terms = R.query_terms(spark.range(1).select(F.lit(1).alias("question_id"), F.lit(question).alias("question")))
-    return R.search_docs(with_embeddings(chunks), R.postings(chunks, *unit), terms, hash_embedding(question, 64), 20)
+    return R.search_docs(with_embeddings(chunks), full_text_index(chunks, *unit), terms, hash_embedding(question, 64), 20)
 
 
 @query("SELECT page_id, 'https://example.com/r/' || replace(replace(url_encode(url), '%2F', '/'), '+', '%20') AS link, length(html) / 3.5 AS tokens FROM pages")

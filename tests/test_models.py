@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import evaluation, ingestion, operations, retrieval, trees
+from tessera.operators import evaluation, fulltext, ingestion, operations, retrieval, trees
 from tessera.sources import archives
 
 
@@ -331,9 +331,9 @@ def test_docs_search_is_degraded_without_a_vector(spark):
     chunks = ingestion.with_embeddings(retrieval.window_chunks(files, 60, 10, "path"), 8)
     unit = ("path", "start_line", "end_line")
     terms = retrieval.query_terms(rows(spark, "question_id int, question string", (1, "what license")))
-    keywords = retrieval.search_docs(chunks, retrieval.postings(chunks, *unit), terms, None, 5).collect()
+    keywords = retrieval.search_docs(chunks, fulltext.full_text_index(chunks, *unit), terms, None, 5).collect()
     assert [(r.path, r.degraded) for r in keywords] == [("a", True)]
-    both = retrieval.search_docs(chunks, retrieval.postings(chunks, *unit), terms, ingestion.hash_embedding("other words", 8), 5).orderBy("place").collect()
+    both = retrieval.search_docs(chunks, fulltext.full_text_index(chunks, *unit), terms, ingestion.hash_embedding("other words", 8), 5).orderBy("place").collect()
     assert {r.path for r in both} == {"a", "b"} and not both[0].degraded
 
 

@@ -11,7 +11,7 @@ from tessera.operators import ingestion as I
 from tessera.operators import retrieval as R
 from tessera.plans.common import Registry
 from tessera.plans.retrieval import CHUNKS_SQL, FILES_SQL, SYMBOLS_SQL, lines_sql, terms_sql
-from tessera.sources import archives
+from tessera.sources import archives, tarballs
 from tessera.sources.shared import dealt_out, fresh
 from tessera.sources.tables import files, table
 
@@ -70,6 +70,34 @@ def archive_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.archive_limits(members(spark, sf_dir), 40, 60_000, "archive")
 
 
+#: Names as they stand in archives, and what is read of them: path, kind and detail.
+PACKED = {
+    "top/src/a_%d.py": ("src/a_%d.py", "file", None), "./top//docs/./b_%d.md": ("docs/b_%d.md", "file", None), "other/c_%d.txt": ("other/c_%d.txt", "unsafe_path", "outside the top-level directory"),
+    "/top/d_%d.txt": ("/top/d_%d.txt", "unsafe_path", "absolute path"), "top/../e_%d.txt": ("../e_%d.txt", "unsafe_path", "parent directory segment"), "f_%d.txt": ("f_%d.txt", "unsafe_path", "outside the top-level directory"),
+    "top/lib/g_%d.ts": ("lib/g_%d.ts", "file", None), "top/same.txt": ("same.txt", "file", None),
+}
+_packed = lambda at: ", ".join("NULL" if x is None else f"'{x}'" for x in ((k, *v)[at] for k, v in PACKED.items()))
+
+
+@query(f"""WITH m AS (SELECT source AS archive, doc_id, coalesce(text, '') AS text, replace([{_packed(1)}][doc_id % 8 + 1], '%d', CAST(doc_id AS VARCHAR)) AS path,
+  CASE WHEN doc_id % 29 = 0 AND [{_packed(2)}][doc_id % 8 + 1] = 'file' THEN 'link' ELSE [{_packed(2)}][doc_id % 8 + 1] END AS kind,
+  CASE WHEN doc_id % 29 = 0 AND [{_packed(2)}][doc_id % 8 + 1] = 'file' THEN 'symbolic link' ELSE [{_packed(3)}][doc_id % 8 + 1] END AS detail FROM documents),
+n AS (SELECT *, kind = 'file' AND row_number() OVER (PARTITION BY archive, path, kind ORDER BY doc_id) > 1 AS again FROM m)
+SELECT archive, path, CASE WHEN again THEN 'unsafe_path' ELSE kind END AS kind, CASE WHEN again THEN 'duplicate path' ELSE detail END AS detail, CASE WHEN doc_id % 29 = 0 THEN 0 ELSE strlen(text) END AS size,
+  CASE WHEN kind = 'file' AND NOT again THEN sha256(text) END AS sha256, kind = 'file' AND NOT again AND strlen(text) <= {LIMIT_CHARS} AS kept FROM n""")
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents packed into an archive for each source, under good and bad names, and read back."""
+    folder = fresh(spark, "archives")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    name = F.replace(F.element_at(F.array(*map(F.lit, PACKED)), (F.col("doc_id") % len(PACKED)).cast("int") + 1), F.lit("%d"), F.col("doc_id").cast("string"))
+    kind = F.when(F.col("doc_id") % 29 == 0, "link").otherwise("file")
+    packed = docs.select(F.col("source").alias("archive"), F.col("doc_id").alias("member_no"), name.alias("path"), kind.alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    tops = docs.select(F.col("source").alias("archive"), F.lit(-1).cast("long").alias("member_no"), F.lit("top").alias("path"), F.lit("directory").alias("kind"), F.lit(None).cast("binary").alias("content")).distinct()
+    tarballs.write_archives(packed.unionByName(tops), folder)
+    read = tarballs.read_archives(spark, folder, most_bytes=LIMIT_CHARS)
+    return read.select(F.regexp_extract("archive", r"([^/]*)\.tar\.gz$", 1).alias("archive"), "path", "kind", "detail", "size", "sha256", F.col("content").isNotNull().alias("kept"))
+
+
 ATTRIBUTES = ("# rules", "*.ts linguist-generated", "lib/Main1*.ts -linguist-generated", "docs/** linguist-generated=true", "build/ linguist-generated", "/src/a_?.py linguist-generated text")
 
 

@@ -1,53 +1,11 @@
-"""Sources and sinks: tar archives, checked JSON lines, listings of backups, table counts, reports."""
+"""Sources and sinks: checked JSON lines, listings of backups, table counts, reports."""
 
 from __future__ import annotations
 
-import hashlib
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MEMBERS = "archive string, member_no int, path string, kind string, size long, content binary, sha256 string"
-
-
-def read_archives(spark: SparkSession, path: str, most_bytes: int = 2**20, most_members: int = 100_000, most_total: int = 2**30) -> DataFrame:
-    """Members of ``.tar.gz`` files below their top folder, an archive a task, each read once and in order.
-
-    ``kind`` is ``file``, ``link`` or ``device``; files above ``most_bytes`` have no content. An archive with
-    more members or bytes than the limits ends with a row of kind ``limit``.
-    """
-
-    def untar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, raw in zip(pdf.path, pdf.content, strict=True):
-                rows, total = [], 0
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r|gz") as tar:
-                    for no, member in enumerate(m for m in tar if not m.isdir()):
-                        total += member.size
-                        if no >= most_members or total > most_total:
-                            rows.append((name, no, "", "limit", total, None, None))
-                            break
-                        kind = "link" if member.issym() or member.islnk() else "file" if member.isfile() else "device"
-                        inner = member.name.partition("/")[2]
-                        content = tar.extractfile(member).read() if kind == "file" and member.size <= most_bytes else None
-                        rows.append((name, no, inner, kind, member.size, content, hashlib.sha256(content).hexdigest() if content is not None else None))
-                        if len(rows) >= 200:
-                            yield pd.DataFrame(rows, columns=MEMBER_NAMES)
-                            rows = []
-                yield pd.DataFrame(rows, columns=MEMBER_NAMES)
-
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar.gz").load(path).select("path", "content")
-    return found.mapInPandas(untar, MEMBERS)
-
-
-MEMBER_NAMES = [f.split()[0] for f in MEMBERS.split(", ")]
-
-
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, and ``(key, problem)`` of the others: unreadable lines, missing values, repeated keys."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])

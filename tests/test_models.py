@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import re
-import tarfile
 
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -258,21 +256,6 @@ def test_access_keeps_the_first_loss():
 # --- sources ------------------------------------------------------------------------------------------
 
 
-def test_archives_are_read_in_order_and_within_limits(spark, tmp_path):
-    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
-        for name, data in (("top/a.py", b"x = 1\n"), ("top/b/c.txt", b"y" * 50)):
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-        link = tarfile.TarInfo("top/l")
-        link.type, link.linkname = tarfile.SYMTYPE, "a.py"
-        tar.addfile(link)
-    got = archives.read_archives(spark, str(tmp_path), most_bytes=20).orderBy("member_no").collect()
-    assert [(r.path, r.kind, r.content is not None) for r in got] == [("a.py", "file", True), ("b/c.txt", "file", False), ("l", "link", False)]
-    cut = archives.read_archives(spark, str(tmp_path), most_members=1).orderBy("member_no").collect()
-    assert [r.kind for r in cut] == ["file", "limit"]
-
-
 def test_json_lines_are_checked(spark, tmp_path):
     from pyspark.sql import types as T
 

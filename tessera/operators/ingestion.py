@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ast
 import hashlib
 import re
 from collections.abc import Iterator
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.declared import python_declarations, script_declarations
 
 # fixed values: folders, names and marks by which files are left out
 EXCLUDED_FOLDERS = (".git", "node_modules", "vendor", ".venv", "venv", "site-packages", "__pycache__", "dist", "build", ".next", "coverage")
@@ -235,78 +235,33 @@ def with_embeddings(chunks: DataFrame, width: int = 64, text: str = "text") -> D
     return chunks.withColumn("embedding", embed(text))
 
 
-def declarations_of(content: str) -> list[tuple[str, str, str, int, int]]:
-    """``(name, qualified_name, kind, start_line, end_line)`` of a Python text; none where it can't be parsed."""
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
-        return []
-    out = []
-
-    def walk(node: ast.AST, outer: tuple[str, ...], within_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                is_class = isinstance(child, ast.ClassDef)
-                kind = "class" if is_class else "method" if within_class else "function"
-                names = (*outer, child.name)
-                first = min([child.lineno, *(d.lineno for d in child.decorator_list)])
-                out.append((child.name, ".".join(names), kind, first, child.end_lineno))
-                walk(child, names, is_class)
-            else:
-                walk(child, outer, within_class)
-
-    walk(tree, (), False)
-    return out
+PARSED = "path string, has_errors boolean, declared array<struct<name: string, qualified_name: string, kind: string, start_line: int, end_line: int>>"
 
 
-NAMED = re.compile(r"\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(function\*?|class|interface|enum|type)\s+([A-Za-z_$][\w$]*)")
-ARROW = re.compile(r"\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]*)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]*)?=>")
-METHOD = re.compile(r"\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*([A-Za-z_$#][\w$]*)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::[^{;]*)?\{")
-NO_METHODS = frozenset("if for while switch catch function return with".split())
-QUOTED = re.compile(r"//[^\n]*|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"|`(?:[^`\\]|\\.)*`|/\*.*?\*/", re.DOTALL)
-
-
-def script_declarations_of(content: str) -> list[tuple[str, str, str, int, int]]:
-    """As :func:`declarations_of`, of a TypeScript text: by line, each to where its braces close. Strings and comments are blanked first."""
-    blank = QUOTED.sub(lambda m: "".join(c if c == "\n" else " " for c in m[0]), content)
-    out: list[list] = []
-    open_: list[tuple[int, int, str, bool]] = []  # depth outside, index, qualified name, whether a class
-    depth = 0
-    for no, line in enumerate(blank.split("\n"), 1):
-        outer = open_[-1] if open_ else (0, -1, "", False)
-        within_class = outer[3] and depth == outer[0] + 1
-        found = None
-        if m := NAMED.match(line):
-            found = (m[2], {"function*": "function"}.get(m[1], m[1]))
-        elif m := ARROW.match(line):
-            found = (m[1], "function")
-        elif within_class and (m := METHOD.match(line)) and m[1] not in NO_METHODS:
-            found = (m[1], "method")
-        if found:
-            name = f"{outer[2]}.{found[0]}" if outer[2] else found[0]
-            out.append([found[0], name, found[1], no, no])
-            open_.append((depth, len(out) - 1, name, found[1] in ("class", "interface")))
-        depth += line.count("{") - line.count("}")
-        # what has no open brace ends with its line, or where the line after it closes
-        while open_ and depth <= open_[-1][0] and (line.count("}") or line.rstrip().endswith((";", ",")) or not line.strip()):
-            out[open_.pop()[1]][4] = no if line.strip() else no - 1
-    for _, at, _, _ in open_:
-        out[at][4] = max(out[at][4], len(content.rstrip("\n").split("\n")))
-    return [tuple(x) for x in out]
-
-
-def declarations(files: DataFrame) -> DataFrame:
-    """``(path, name, qualified_name, kind, start_line, end_line)`` of Python and TypeScript files."""
+def parsed_files(files: DataFrame) -> DataFrame:
+    """``(path, has_errors, declared)`` of each Python and TypeScript file of ``(path, content)``; a broken file tells what can still be read."""
+    names = ("name", "qualified_name", "kind", "start_line", "end_line")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for path, language, content in zip(pdf.path, pdf.language, pdf.content, strict=True):
-                rows += [(path, *found) for found in (declarations_of if language == "python" else script_declarations_of)(content or "")]
-            yield pd.DataFrame(rows, columns=["path", "name", "qualified_name", "kind", "start_line", "end_line"])
+                found, broken = python_declarations(content or "") if language == "python" else script_declarations(content or "", language == "tsx")
+                rows.append((path, broken, [dict(zip(names, d, strict=True)) for d in found]))
+            yield pd.DataFrame(rows, columns=["path", "has_errors", "declared"])
 
     known = files.select("path", "content", X.language("path").alias("language")).where(F.col("language").isin("python", "typescript", "tsx"))
-    return known.mapInPandas(make, "path string, name string, qualified_name string, kind string, start_line int, end_line int")
+    return known.mapInPandas(make, PARSED)
+
+
+def declarations(parsed: DataFrame) -> DataFrame:
+    """``(path, name, qualified_name, kind, start_line, end_line)`` of parsed files: the symbols table."""
+    return parsed.select("path", F.explode("declared").alias("d")).select("path", "d.*")
+
+
+def unsupported_syntax(parsed: DataFrame) -> DataFrame:
+    """``(path, entry_type, reason, detail)``: coverage entries of the files that are broken, and count as texts only."""
+    return parsed.where("has_errors").select("path", F.lit("file").alias("entry_type"), F.lit("unsupported_syntax").alias("reason"), F.lit("indexed as text").alias("detail"))
 
 
 def index_summary(classified: DataFrame, symbols: DataFrame, code_chunks: DataFrame, doc_chunks: DataFrame, unsupported: DataFrame, embeddings: bool) -> DataFrame:

@@ -61,17 +61,20 @@ def declared_symbols(files: DataFrame, pattern: str = r"[\p{Lu}][\p{L}]{5,}") ->
 
 
 def symbol_search(symbols: DataFrame, files: DataFrame, query: str, limit: int, least_similarity: float = 0.3) -> DataFrame:
-    """``(path, name, line, tier, excerpt)``: symbols are ranked first; only the ranked ones read content."""
-    # a qualified name counts where there is one; resemblance is that of the plain name
-    full = F.col("qualified_name") if "qualified_name" in symbols.columns else F.col("name")
+    """``(path, name, qualified_name, kind, start_line, end_line, tier, similarity, excerpt)`` of declarations, by name or qualified name.
+
+    Symbols are ranked first; only the ranked ones read content, three lines of their own at most. Resemblance is that of the plain name.
+    """
     alike, score = similar("name", query, least_similarity)
-    tier = F.when((F.col("name") == query) | (full == query), 0).when(X.contains_folded("name", query) | X.contains_folded(full, query), 1).otherwise(2)
-    scored = symbols.select("path", "name", "line", tier.alias("tier"), score.alias("similarity"), alike.alias("alike"))
-    ranked = scored.where((F.col("tier") < 2) | F.col("alike")).drop("alike").orderBy("tier", F.desc("similarity"), F.length("name"), "name", "path", "line").limit(limit)
+    either = lambda test: test(F.col("name")) | test(F.col("qualified_name"))
+    tier = F.when(either(lambda c: c == query), 0).when(either(lambda c: X.contains_folded(c, query)), 1).otherwise(2)
+    own = ("path", "name", "qualified_name", "kind", "start_line", "end_line")
+    scored = symbols.select(*own, tier.alias("tier"), score.alias("similarity"), alike.alias("alike"))
+    ranked = scored.where((F.col("tier") < 2) | F.col("alike")).drop("alike").orderBy("tier", F.desc("similarity"), F.length("name"), "path", "start_line", "qualified_name").limit(limit)
     # at most `limit` rows
     content = files.select("path", "content").join(F.broadcast(ranked), "path")
-    excerpt = F.array_join(F.slice(X.lines("content"), F.col("line"), F.lit(3)), "\n")
-    return content.select("path", "name", "line", "tier", "similarity", excerpt.alias("excerpt"))
+    excerpt = F.array_join(F.slice(X.lines("content"), F.col("start_line"), F.least(F.lit(X.SNIPPET_LINES), F.col("end_line") - F.col("start_line") + 1)), "\n")
+    return content.select(*own, "tier", "similarity", X.snippet(excerpt).alias("excerpt"))
 
 
 def window_chunks(files: DataFrame, size: int = CHUNK_LINES, overlap: int = CHUNK_OVERLAP, *keys: str) -> DataFrame:

@@ -10,10 +10,10 @@ from tessera.functions import text as X
 from tessera.operators import ingestion as I
 from tessera.operators import retrieval as R
 from tessera.plans.common import Registry
-from tessera.plans.retrieval import CHUNKS_SQL, FILES_SQL, SYMBOLS_SQL, lines_sql, terms_sql
+from tessera.plans.retrieval import CHUNKS_SQL, FILES_SQL, terms_sql
 from tessera.sources import archives, tarballs
-from tessera.sources.shared import dealt_out, fresh
-from tessera.sources.tables import files, table
+from tessera.sources.shared import dealt_out, fresh, materialize
+from tessera.sources.tables import DECLARED_SQL, code, files, table
 
 query = Registry()
 
@@ -188,17 +188,15 @@ def backup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.backup_groups(e.select(F.concat_ws("/", F.lit("b"), F.date_format("ts", "yyyy-MM-dd"), time, part).alias("key")), "2024-01-30", 14)
 
 
-@query("""WITH d AS (SELECT doc_id, 'src/m' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS path FROM documents WHERE doc_id % 3 < 2),
-k AS (SELECT * FROM (VALUES (0, 'class', 'C', 'C', 1, 3), (0, 'method', 'm', 'C.m', 2, 3), (0, 'function', 'f', 'f', 5, 6), (1, 'class', 'C', 'C', 1, 5), (1, 'method', 'm', 'C.m', 2, 4), (1, 'function', 'f', 'f', 6, 8), (1, 'function', 'g', 'g', 9, 9)) AS t(r, kind, name, qualified, a, b))
-SELECT path, CASE WHEN name = 'm' THEN 'm' ELSE name || doc_id END AS name, CASE qualified WHEN 'C.m' THEN 'C' || doc_id || '.m' ELSE qualified || doc_id END AS qualified_name, kind, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM d JOIN k ON k.r = d.doc_id % 2""")
+@query(f"WITH {DECLARED_SQL} SELECT * FROM declared")
 def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of small modules that are named by the documents' numbers."""
-    i = F.col("doc_id").cast("string")
-    python = F.concat(F.lit("class C"), i, F.lit(":\n    def m(self):\n        return 1\n\ndef f"), i, F.lit("():\n    pass\n"))
-    script = F.concat(F.lit("export class C"), i, F.lit(" {\n  m(a: string): void {\n    return\n  }\n}\nfunction f"), i, F.lit("() {\n  if (x) { y(\"}\") }\n}\nconst g"), i, F.lit(" = (a) => a + 1;\n"))
-    even = F.col("doc_id") % 2 == 0
-    modules = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 3 < 2").select(F.concat(F.lit("src/m"), i, F.when(even, ".py").otherwise(".ts")).alias("path"), F.when(even, python).otherwise(script).alias("content"))
-    return I.declarations(modules)
+    """Of the documents' modules, broken ones too."""
+    return I.declarations(I.parsed_files(dealt_out(code(spark, sf_dir))))
+
+
+@query(f"WITH {DECLARED_SQL} SELECT path, 'file' AS entry_type, 'unsupported_syntax' AS reason, 'indexed as text' AS detail FROM cn WHERE doc_id % 5 = 0")
+def unsupported_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.unsupported_syntax(I.parsed_files(dealt_out(code(spark, sf_dir))))
 
 
 @query("""SELECT CASE WHEN doc_id % 10 <> 3 THEN CAST(doc_id AS VARCHAR) END AS doc_id, CASE doc_id % 10 WHEN 3 THEN 'unreadable' WHEN 4 THEN 'missing value' WHEN 5 THEN 'repeated key' END AS problem FROM documents""")
@@ -223,10 +221,10 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(f"""WITH {MEMBERS_SQL}, {FILES_SQL}, {CHUNKS_SQL}, {SYMBOLS_SQL.replace("l AS", "sl AS", 1).replace("FROM l)", "FROM sl)")},
+@query(f"""WITH {MEMBERS_SQL}, {FILES_SQL}, {CHUNKS_SQL}, {DECLARED_SQL},
 g AS (SELECT count(*) AS files, CAST(coalesce(sum({line_count_sql("content")}), 0) AS BIGINT) AS lines, CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS bytes FROM classified WHERE reason IS NULL)
-SELECT files, lines, bytes, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM chunks) AS code_chunks, (SELECT count(*) FROM pages) AS doc_chunks, (SELECT count(*) FROM entries) + (SELECT count(*) FROM documents WHERE doc_id % 7 = 0) + 1 AS skipped, false AS embeddings_available FROM g""")
+SELECT files, lines, bytes, (SELECT count(*) FROM declared) AS symbols, (SELECT count(*) FROM chunks) AS code_chunks, (SELECT count(*) FROM pages) AS doc_chunks, (SELECT count(*) FROM entries) + (SELECT count(*) FROM cn WHERE doc_id % 5 = 0) + 1 AS skipped, false AS embeddings_available FROM g""")
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    unsupported = table(spark, sf_dir, "documents", "doc_id").where("doc_id % 7 = 0")
-    return I.index_summary(I.classify(members(spark, sf_dir)), R.declared_symbols(f), R.window_chunks(f, 60, 10, "path"), table(spark, sf_dir, "pages", "page_id"), unsupported, False)
+    parsed = materialize(I.parsed_files(dealt_out(code(spark, sf_dir))), "parsed")
+    chunks = R.window_chunks(files(spark, sf_dir), 60, 10, "path")
+    return I.index_summary(I.classify(members(spark, sf_dir)), I.declarations(parsed), chunks, table(spark, sf_dir, "pages", "page_id"), I.unsupported_syntax(parsed), False)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.operators import ingestion as I
 from tessera.operators import retrieval as R
 from tessera.operators.fulltext import full_text_index, full_text_top
 from tessera.plans.common import Registry
 from tessera.sources.shared import dealt_out
-from tessera.sources.tables import FILES_SQL, files, table
+from tessera.sources.tables import DECLARED_SQL, FILES_SQL, code, files, table
 
 query = Registry()
 
@@ -78,21 +79,34 @@ def search_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.path_search(files(spark, sf_dir), PATH_QUERY, 50)
 
 
-SYMBOL = "Thation"
+DECLARED = "AttionBox"
 SYMBOLS_SQL = f"""l AS (SELECT path, unnest({lines_sql("content")}) AS line, generate_subscripts({lines_sql("content")}, 1) AS n FROM files),
 symbols AS (SELECT path, name, CAST(min(n) AS INT) AS line FROM (SELECT path, n, unnest(regexp_extract_all(line, '[\\p{{Lu}}][\\p{{L}}]{{5,}}')) AS name FROM l) GROUP BY ALL)"""
 
 
 @query(f"""
-WITH {FILES_SQL}, {SYMBOLS_SQL},
-names AS (SELECT DISTINCT name FROM symbols), {score_sql("names", "name", f"'{SYMBOL}'")},
-s AS (SELECT path, name, line, CASE WHEN name = '{SYMBOL}' THEN 0 WHEN contains(lower(name), lower('{SYMBOL}')) THEN 1 ELSE 2 END AS tier,
-  whole, part, round(greatest(whole, CASE WHEN part >= 0.6 THEN part ELSE 0 END), 9) AS similarity FROM symbols JOIN scored USING (name)),
-r AS (SELECT * FROM s WHERE tier < 2 OR whole >= 0.3 OR part >= 0.6 ORDER BY tier, similarity DESC, length(name), name, path, line LIMIT 50)
-SELECT r.path, name, line, CAST(tier AS INT) AS tier, similarity, array_to_string({lines_sql("content")}[line:line + 2], '\n') AS excerpt FROM r JOIN files USING (path)""")
+WITH {DECLARED_SQL},
+names AS (SELECT DISTINCT name FROM declared), {score_sql("names", "name", f"'{DECLARED}'")},
+s AS (SELECT declared.*, CASE WHEN name = '{DECLARED}' OR qualified_name = '{DECLARED}' THEN 0 WHEN contains(lower(name), lower('{DECLARED}')) OR contains(lower(qualified_name), lower('{DECLARED}')) THEN 1 ELSE 2 END AS tier,
+  whole, part, round(greatest(whole, CASE WHEN part >= 0.6 THEN part ELSE 0 END), 9) AS similarity FROM declared JOIN scored USING (name)),
+r AS (SELECT * FROM s WHERE tier < 2 OR whole >= 0.3 OR part >= 0.6 ORDER BY tier, similarity DESC, length(name), path, start_line, qualified_name LIMIT 50)
+SELECT path, name, qualified_name, kind, start_line, end_line, CAST(tier AS INT) AS tier, similarity, CASE kind
+  WHEN 'class' THEN CASE WHEN name = 'Open' THEN 'export class Open {{' WHEN path LIKE '%.py' THEN 'class ' || name || '(Base):
+    def ' || lower(left(name, -3)) || '_m(self, a='')''):
+        return a'
+    ELSE 'export class ' || name || ' {{
+  ' || lower(left(name, -3)) || '_m(a: string): void {{
+    return `${{a}} {{` + /[{{]/.source' END
+  WHEN 'method' THEN CASE WHEN path LIKE '%.py' THEN 'def ' || name || '(self, a='')''):
+    return a' ELSE name || '(a: string): void {{
+  return `${{a}} {{` + /[{{]/.source
+}}' END
+  ELSE CASE WHEN name = 'broken' THEN 'def broken(:' WHEN path LIKE '%.py' THEN 'def ' || name || '():
+    pass' ELSE 'export const ' || name || ' = (a) => a + 1;' END END AS excerpt FROM r""")
 def search_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    return R.symbol_search(R.declared_symbols(dealt_out(f.select("path", "content"))), f, SYMBOL, 50)
+    """In the declarations of the documents' modules, by plain and qualified name."""
+    own = code(spark, sf_dir)
+    return R.symbol_search(I.declarations(I.parsed_files(dealt_out(own))), own, DECLARED, 50)
 
 
 @query(f"""WITH {FILES_SQL}, r AS (SELECT path, substring(path, length('src0/') + 1) AS rest, language, length(content) - length(replace(content, '\n', '')) + CASE WHEN content <> '' AND content NOT LIKE '%\n' THEN 1 ELSE 0 END AS n FROM files WHERE starts_with(path, 'src0/')),

@@ -29,3 +29,29 @@ def lines_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ONCE_SQL = "one AS (SELECT l_orderkey AS review, l_linenumber AS n, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity) AS q FROM lineitem GROUP BY ALL)"
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file_id, path, content)``: two thirds of the documents as Python and TypeScript modules.
+
+    The text stands in comments, the names are made from its first long word, and one module in five is broken at its end.
+    """
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").where("doc_id % 3 < 2")
+    i, w = F.col("doc_id").cast("string"), F.regexp_extract("text", "[A-Za-z]{5,}", 0)
+    big, low = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 99), F.lit("Box")), F.concat(F.lower(w), F.lit("_"))
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit(""))
+    python = F.concat(F.lit("# "), F.replace(plain, F.lit("\n"), F.lit("\n# ")), F.lit("\nclass "), big, F.lit("(Base):\n    def "), low, F.lit("m(self, a=')'):\n        return a\n\ndef "), low, F.lit("f():\n    pass\n"), F.when(F.col("doc_id") % 5 == 0, "def broken(:\n").otherwise(""))
+    script = F.concat(F.lit("/*"), plain, F.lit("*/\nexport class "), big, F.lit(" {\n  "), low, F.lit("m(a: string): void {\n    return `${a} {` + /[{]/.source\n  }\n}\nexport const "), low, F.lit("f = (a) => a + 1;\nconst hidden = (a) => a;\n"), F.when(F.col("doc_id") % 5 == 0, "export class Open {\n").otherwise(""))
+    even = F.col("doc_id") % 3 == 0
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("mod_"), i, F.when(even, ".py").otherwise(".ts")))
+    return docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), F.when(even, python).otherwise(script).alias("content"))
+
+
+#: What the modules of :func:`code` declare, in SQL.
+DECLARED_SQL = """cd AS (SELECT doc_id, doc_id % 3 = 0 AS py, concat_ws('/', source, lang, 'mod_' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.ts' END) AS path, regexp_extract(text, '[A-Za-z]{5,}') AS w,
+  CAST(length(replace(coalesce(text, ''), '*/', '')) - length(replace(replace(coalesce(text, ''), '*/', ''), chr(10), '')) + 1 AS INT) AS n FROM documents WHERE doc_id % 3 < 2),
+cn AS (SELECT *, upper(left(w, 1)) || substring(w, 2) || 'Box' AS big, lower(w) || '_' AS low FROM cd),
+declared AS (SELECT path, big AS name, big AS qualified_name, 'class' AS kind, n + 1 AS start_line, CASE WHEN py THEN n + 3 ELSE n + 5 END AS end_line FROM cn
+  UNION ALL SELECT path, low || 'm', big || '.' || low || 'm', 'method', n + 2, CASE WHEN py THEN n + 3 ELSE n + 4 END FROM cn
+  UNION ALL SELECT path, low || 'f', low || 'f', 'function', CASE WHEN py THEN n + 5 ELSE n + 6 END, n + 6 FROM cn
+  UNION ALL SELECT path, CASE WHEN py THEN 'broken' ELSE 'Open' END, CASE WHEN py THEN 'broken' ELSE 'Open' END, CASE WHEN py THEN 'function' ELSE 'class' END, CASE WHEN py THEN n + 7 ELSE n + 8 END, CASE WHEN py THEN n + 7 ELSE n + 8 END FROM cn WHERE doc_id % 5 = 0)"""

@@ -95,47 +95,6 @@ def test_headings_fences_and_long_sections():
     assert "\n".join(t for *_, t in parts) == long and all(len(t) <= 200 for *_, t in parts)
 
 
-def test_declarations():
-    got = ingestion.declarations_of("@d\ndef f():\n    def g(): pass\nclass C:\n    def m(self):\n        return 1\n")
-    assert [(q, k, a, b) for _, q, k, a, b in got] == [("f", "function", 1, 3), ("f.g", "function", 3, 3), ("C", "class", 4, 6), ("C.m", "method", 5, 6)]
-    assert ingestion.declarations_of("def (") == []
-
-
-def test_script_declarations():
-    text = """import { a } from "./a"; // class No {
-export interface Shape {
-  area(): number;
-}
-export default class Box extends Base {
-  private size = { a: 1 };
-  static async load(path: string): Promise<Box> {
-    if (path) {
-      return new Box()
-    }
-  }
-  get area() { return 1 }
-}
-export const make = async (n: number): Promise<Box> => {
-  return new Box()
-}
-type Id = string;
-enum Color {
-  Red,
-}
-const text = `function no() {`;
-async function last<T>(x: T) {
-  function inner() {}
-  return inner
-}
-"""
-    got = [(q, k, a, b) for _, q, k, a, b in ingestion.script_declarations_of(text)]
-    assert got == [
-        ("Shape", "interface", 2, 4), ("Box", "class", 5, 13), ("Box.load", "method", 7, 11), ("Box.area", "method", 12, 12), ("make", "function", 14, 16),
-        ("Id", "type", 17, 17), ("Color", "enum", 18, 20), ("last", "function", 22, 25), ("last.inner", "function", 23, 23),
-    ]
-    assert ingestion.script_declarations_of("") == [] and ingestion.script_declarations_of("class A {")[0][3:] == (1, 1)
-
-
 def test_embedding_is_of_unit_length():
     v = ingestion.hash_embedding("One two two", 16)
     assert abs(sum(x * x for x in v) - 1) < 1e-12

@@ -191,13 +191,6 @@ def neutral_markdown(text: str | Column, leading: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(out, BLOCK_MARK, r"\\$1"), NUMBER_MARK, r"$1\\$2") if leading else out
 
 
-def cited_labels(result: str | Column, key: str = "evidence_ids") -> Column:
-    """Every string in a list named ``key`` anywhere in a JSON text, each once, by length and then value."""
-    lists = F.regexp_extract_all(_c(result), F.lit(rf'"{key}"\s*:\s*\[([^\]]*)\]'), F.lit(1))
-    labels = F.array_distinct(F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(x, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)))))
-    return F.transform(F.array_sort(F.transform(labels, lambda x: F.struct(F.length(x).alias("n"), x.alias("label")))), lambda x: x["label"])
-
-
 def merged_json(a: str | Column, b: str | Column) -> Column:
     """Two JSON objects as one text: all keys of both by name, the second's values where both have one."""
     read = lambda c: F.coalesce(F.from_json(_c(c), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
@@ -206,22 +199,43 @@ def merged_json(a: str | Column, b: str | Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(both)), lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.to_json(F.element_at(both, k)))), ","), F.lit("}"))
 
 
+#: White space as texts have it; Java's class lacks the separators of information.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def stripped(text: Column, left: bool = True, right: bool = True) -> Column:
+    """A text without white space of any kind at its ends."""
+    text = F.regexp_replace(text, f"(?U)^{SPACE}+", "") if left else text
+    return F.regexp_replace(text, f"(?U){SPACE}+$", "") if right else text
+
+
+def common_start(a: Column, b: Column) -> Column:
+    """What two texts begin with."""
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda i: a.substr(F.lit(1), i) == b.substr(F.lit(1), i))
+    return a.substr(F.lit(1), F.array_max(same))
+
+
 def snippet(text: str | Column) -> Column:
-    """The first three lines that aren't blank, without their common indent, at most 300 characters."""
-    kept = F.transform(F.slice(F.filter(F.split(_c(text), "\n"), lambda x: F.trim(x) != ""), 1, SNIPPET_LINES), lambda x: F.rtrim(x))
-    indent = F.array_min(F.transform(kept, lambda x: F.length(x) - F.length(F.ltrim(x))))
-    out = F.trim(F.array_join(F.transform(kept, lambda x: x.substr(indent + 1, F.length(x))), "\n"))
-    return F.when(F.length(out) <= SNIPPET_CHARS, out).otherwise(F.concat(F.rtrim(F.substring(out, 1, SNIPPET_CHARS - 1)), F.lit("…")))
+    """The first three lines that aren't blank, without the blanks and tabs that all of them begin with, at most 300 characters."""
+    kept = F.slice(F.filter(F.split(_c(text), "\n"), lambda x: stripped(x) != ""), 1, SNIPPET_LINES)
+    kept = F.transform(kept, lambda x: stripped(x, left=False))
+    indents = F.transform(kept, lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
+    indent = F.length(F.aggregate(F.slice(indents, 2, SNIPPET_LINES), F.coalesce(F.get(indents, F.lit(0)), F.lit("")), common_start))
+    out = stripped(F.array_join(F.transform(kept, lambda x: x.substr(indent + 1, F.length(x))), "\n"))
+    return F.when(F.length(out) <= SNIPPET_CHARS, out).otherwise(F.concat(stripped(F.substring(out, 1, SNIPPET_CHARS - 1), left=False), F.lit("…")))
 
 
 def line_snippet(line: Column, position: Column) -> Column:
-    """A line without outer blanks; a long one is cut to a window around ``position`` (from 0)."""
-    left = F.ltrim(line)
-    at, text = position - (F.length(line) - F.length(left)), F.rtrim(left)
-    start = F.greatest(F.lit(0), F.least(at - SNIPPET_CHARS // 3, F.length(text) - SNIPPET_CHARS))
-    head = F.when(start > 0, F.concat(F.lit("…"), text.substr(start + 2, F.lit(SNIPPET_CHARS - 1)))).otherwise(text.substr(start + 1, F.lit(SNIPPET_CHARS)))
-    cut = F.when(start + SNIPPET_CHARS < F.length(text), F.concat(F.substring(head, 1, SNIPPET_CHARS - 1), F.lit("…"))).otherwise(head)
-    return F.when(F.length(text) <= SNIPPET_CHARS, text).otherwise(cut)
+    """A line without outer white space; a long one is cut to a window around ``position`` (from 0), and ``…`` stands where it is cut."""
+    left = stripped(line, right=False)
+    text = stripped(left, left=False)
+    size, at = F.length(text), position - (F.length(line) - F.length(left))
+    first = F.greatest(F.lit(0), F.least(at - SNIPPET_CHARS // 3, size - SNIPPET_CHARS))
+    last = F.least(size, first + SNIPPET_CHARS)
+    before, behind = (first > 0).cast("int"), (last < size).cast("int")
+    inner = text.substr(first + before + 1, last - first - before - behind)
+    mark = lambda shown: F.when(shown == 1, "…").otherwise("")
+    return F.when(size <= SNIPPET_CHARS, text).otherwise(F.concat(mark(before), inner, mark(behind)))
 
 
 def estimated_tokens(text: str | Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import with_meets
+from tessera.sources.shared import materialize
+
 
 def rate(hit: Column, of: Column) -> Column:
     """Share of the rows ``of`` that ``hit``; null where there are none."""
@@ -21,10 +24,9 @@ def recall_at_k(labelled: DataFrame, retrieved: DataFrame, k: int = 5, key: str
 
     Both are ``(key, path, start_line, end_line)``; retrieved ones have a ``rank``. Ranges are inclusive.
     """
-    found = retrieved.where(F.col("rank") <= k).select(F.col(key).alias("q"), F.col("path").alias("p"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    meets = (F.col(key) == F.col("q")) & (F.col("path") == F.col("p")) & (F.col("start_line") <= F.col("e")) & (F.col("s") <= F.col("end_line"))
-    hit = labelled.distinct().join(found, meets, "left").groupBy(key, "path", "start_line", "end_line").agg(F.max(F.col("q").isNotNull().cast("int")).alias("hit"))
-    return hit.groupBy(key).agg(F.avg("hit").alias("recall"))
+    own = labelled.select(key, "path", "start_line", "end_line").distinct()
+    hit = with_meets(own, retrieved.where(F.col("rank") <= k), "hit", key, "path")
+    return hit.groupBy(key).agg(F.avg(F.col("hit").cast("int")).alias("recall"))
 
 
 def latency_summary(calls: DataFrame, limits: dict[str, float], category: str = "category") -> DataFrame:
@@ -65,7 +67,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     until = F.lead("from_day").over(Window.orderBy("from_day"))
     spans = prices.withColumn("to_day", until)
     meets = (F.col("day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day")))
-    return usage.join(F.broadcast(spans), meets, "left").withColumn("cost", (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6)
+    return usage.join(spans, meets, "left").withColumn("cost", (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6)
 
 
 def citation_problems(citations: DataFrame, files: DataFrame) -> DataFrame:
@@ -84,10 +86,7 @@ def citation_problems(citations: DataFrame, files: DataFrame) -> DataFrame:
 
 def defects_found(defects: DataFrame, risks: DataFrame) -> DataFrame:
     """``found``: whether a medium or high risk of the same item, side and path overlaps the defect's lines."""
-    strong = risks.where(F.col("severity").isin("medium", "high")).select(F.col("item_id").alias("i"), F.col("side").alias("d"), F.col("path").alias("p"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    meets = (F.col("item_id") == F.col("i")) & (F.col("side") == F.col("d")) & (F.col("path") == F.col("p")) & (F.col("start_line") <= F.col("e")) & (F.col("s") <= F.col("end_line"))
-    hits = defects.join(strong, meets, "left_semi").withColumn("found", F.lit(True))
-    return defects.join(hits.select("defect_id", "found"), "defect_id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return with_meets(defects, risks.where(F.col("severity").isin("medium", "high")), "found", "item_id", "side", "path")
 
 
 def severity_rank(severity: Column) -> Column:
@@ -211,3 +210,29 @@ def renumbered(items: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
     each = items.select(*keys, "item", F.posexplode_outer("indexes").alias("__at", "__old")).join(moved, [*keys, "__old"], "left")
     own = F.array_sort(F.collect_list(F.when(F.col("__new").isNotNull(), F.struct("__at", "__new"))))
     return each.groupBy(*keys, "item").agg(F.transform(own, lambda x: x["__new"]).alias("indexes"))
+
+
+def cited_labels(results: DataFrame, *keys: str, json: str = "result", name: str = "evidence_ids") -> DataFrame:
+    """``(*keys, labels)``: every string in a list called ``name`` anywhere in a JSON text, each once, by length and then value.
+
+    The values are walked level by level, as variants: what lies in objects and lists is one row each, so no text is searched
+    and a text may be nested as it likes. What is no JSON, or null, has no labels. ``keys`` name a row.
+    """
+    spark = results.sparkSession
+    level = results.select(*keys, F.try_parse_json(F.col(json)).alias("v"))
+    kind = lambda c: F.schema_of_variant(c)
+    found = results.select(*keys, F.lit(None).cast("string").alias("label"))
+    while True:
+        inner = level.where("v is not null").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*keys, "key", "value")
+        told = inner.where((F.col("key") == name) & F.startswith(kind("value"), F.lit("ARRAY")))
+        items = told.select(*keys, F.col("value").alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*keys, "value")
+        strings = items.where(kind("value") == "STRING").select(*keys, F.expr("variant_get(value, '$', 'string')").alias("label"))
+        found = found.unionByName(strings)
+        is_list = F.startswith(kind("value"), F.lit("ARRAY"))
+        rest = inner.where((F.startswith(kind("value"), F.lit("OBJECT")) | is_list) & ~(F.col("key").eqNullSafe(F.lit(name)) & is_list))
+        level = materialize(rest.select(*keys, F.col("value").alias("v")), "json-level")
+        if level.isEmpty():
+            break
+    labels = F.array_sort(F.collect_set(F.struct(F.length("label").alias("n"), F.col("label").alias("label"))))
+    labelled = F.filter(labels, lambda x: x["label"].isNotNull())
+    return found.groupBy(*keys).agg(F.transform(labelled, lambda x: x["label"]).alias("labels"))

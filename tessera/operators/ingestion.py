@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -123,11 +124,12 @@ def attribute_rules(attributes: DataFrame) -> DataFrame:
 
 
 def marked_generated(files: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
-    """``files`` with ``generated`` by ordered rules ``(regex, generated)`` of one attributes file: the last match wins."""
-    last = F.lit(False)
-    for regex, generated in rules:
-        last = F.when(F.col("path").rlike(regex), F.lit(generated)).otherwise(last)
-    return files.withColumn("generated", last)
+    """``files`` with ``generated`` by ordered rules ``(regex, generated)`` of one attributes file: the last match wins.
+
+    Rules in a row that say the same are one pattern."""
+    outcomes = [(generated, "|".join(f"(?:{regex})" for regex, _ in own)) for generated, own in groupby(rules, lambda r: r[1])]
+    told = [F.when(F.col("path").rlike(pattern), F.lit(generated)) for generated, pattern in reversed(outcomes)]
+    return files.withColumn("generated", F.coalesce(*told, F.lit(False)))
 
 
 def after_attributes(marked: DataFrame) -> DataFrame:

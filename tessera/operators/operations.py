@@ -109,11 +109,26 @@ def within_two_quotas(calls: DataFrame, own_limit: int, shared_limit: int, key:
     return counted.withColumn("accepted", F.col("__fits") & (F.col("__upto") <= shared_limit)).drop("__fits", "__minute", "__base", "__upto")
 
 
-def in_order(rows: DataFrame, key: str, first, step, told: str) -> DataFrame:
+def spells(rows: DataFrame, key: str, quiet: int) -> DataFrame:
+    """``rows`` (key, at, ...) with ``spell``: a key's rows with no time of ``quiet`` microseconds without any between them, or more.
+
+    Rows are counted by stretches of that length first: where a whole one is empty, a spell ends. No task meets all rows of a key.
+    """
+    stretch = F.floor(F.col("at") / F.lit(quiet))
+    held = rows.where(F.col("at").isNotNull()).select(key, stretch.alias("__stretch")).distinct()
+    order = Window.partitionBy(key).orderBy("__stretch")
+    begins = held.withColumn("__new", (F.coalesce(F.col("__stretch") - F.lag("__stretch").over(order), F.lit(2)) > 1).cast("int"))
+    numbered = begins.select(F.col(key).alias("__key"), "__stretch", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("spell"))
+    own = rows.withColumn("__own", stretch)
+    return own.join(numbered, own[key].eqNullSafe(F.col("__key")) & F.col("__own").eqNullSafe(F.col("__stretch")), "left").drop("__key", "__stretch", "__own")
+
+
+def in_order(rows: DataFrame, key: str, first, step, told: str, quiet: int) -> DataFrame:
     """``(key, event_id, *told)``: the rows ``(key, event_id, at, ...)`` of each key handled one after another in order of time.
 
-    ``step(state, at, ...)`` returns a row's values and the next state, the first of which is ``first``. Rows are sorted by
-    Spark and stream past, so a task holds one key's state, however many rows the key has.
+    ``step(state, at, ...)`` returns a row's values and the next state, the first of which is ``first`` and which ``quiet``
+    microseconds without a row bring back. Rows are sorted by Spark and stream past, so a task holds one key's state, however
+    many rows the key has; a key's spells go to different tasks.
     """
     schema = T.StructType([*rows.select(key, "event_id").schema.fields, *T.StructType.fromDDL(told).fields])
     types = to_arrow_schema(schema)
@@ -123,7 +138,7 @@ def in_order(rows: DataFrame, key: str, first, step, told: str) -> DataFrame:
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             out = []
-            for own, *values in zip(columns[0], *columns[2:], strict=True):
+            for *own, values in zip(columns[0], columns[-1], zip(*columns[2:-1], strict=True), strict=True):
                 if not begun or own != now:
                     begun, now, state = True, own, first
                 result, state = step(state, *values)
@@ -131,7 +146,7 @@ def in_order(rows: DataFrame, key: str, first, step, told: str) -> DataFrame:
             made = [pa.array([r[i] for r in out], types.field(i + 2).type) for i in range(len(types) - 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=types.names)
 
-    return rows.repartition(key).sortWithinPartitions(key, "at", "event_id").mapInArrow(walk, schema)
+    return spells(rows, key, quiet).repartition(key, "spell").sortWithinPartitions(key, "spell", "at", "event_id").mapInArrow(walk, schema)
 
 
 def sliding_limiter(calls: DataFrame, limit: int, seconds: int, key: str) -> DataFrame:
@@ -145,7 +160,7 @@ def sliding_limiter(calls: DataFrame, limit: int, seconds: int, key: str) -> Dat
         return (allowed, wait), recent
 
     timed = calls.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
-    return in_order(timed, key, [], step, "allowed boolean, retry_after int")
+    return in_order(timed, key, [], step, "allowed boolean, retry_after int", max(1, seconds) * 1_000_000)
 
 
 def limiter_step(recent: list[int], at: int, limit: int, seconds: int) -> tuple[bool, int, list[int]]:
@@ -195,8 +210,9 @@ def first_covering(pushes: DataFrame, runs: DataFrame) -> DataFrame:
     """
     p = pushes.select("repository_id", F.col("pushed_at").alias("at"), "push_id", F.lit(None).cast("long").alias("run_id"), F.lit(0).alias("side"))
     r = runs.select("repository_id", F.col("finished_at").alias("at"), F.lit(None).cast("long").alias("push_id"), "run_id", F.lit(1).alias("side"))
-    w = Window.partitionBy("repository_id").orderBy("at", "side", "run_id").rowsBetween(0, Window.unboundedFollowing)
-    met = p.unionByName(r).withColumn("found", F.first(F.when(F.col("side") == 1, F.struct(F.col("at").alias("finished_at"), "run_id")), ignorenulls=True).over(w))
+    # from the last row back, so that the frame only grows and one pass serves all rows
+    w = Window.partitionBy("repository_id").orderBy(F.desc("at"), F.desc("side"), F.desc("run_id")).rowsBetween(Window.unboundedPreceding, 0)
+    met = p.unionByName(r).withColumn("found", F.last(F.when(F.col("side") == 1, F.struct(F.col("at").alias("finished_at"), "run_id")), ignorenulls=True).over(w))
     return met.where("side = 0").select("repository_id", "push_id", F.col("at").alias("pushed_at"), F.col("found.finished_at").alias("finished_at"), F.col("found.run_id").alias("run_id"))
 
 
@@ -208,7 +224,7 @@ def idempotent_outcomes(requests: DataFrame, hours: int = 24) -> DataFrame:
         return (outcome,), held
 
     timed = requests.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.sha2(F.coalesce("payload", F.lit("")), 256).alias("payload"))
-    return in_order(timed, "key", None, step, "outcome string")
+    return in_order(timed, "key", None, step, "outcome string", max(1, hours) * 3_600_000_000)
 
 
 def idempotency_step(held: tuple[int, str] | None, at: int, payload: str, hours: int) -> tuple[str, tuple[int, str]]:

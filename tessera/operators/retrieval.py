@@ -151,15 +151,6 @@ def capped_spans(ranges: DataFrame, span: int = SYMBOL_SPAN) -> DataFrame:
     return ranges.withColumn("end_line", end)
 
 
-def overlapping(left: DataFrame, right: DataFrame, *keys: str) -> Column:
-    """Join condition: the same keys, and inclusive line ranges that share a line."""
-    same = [left[k] == right[k] for k in keys]
-    rule = (left["start_line"] <= right["end_line"]) & (right["start_line"] <= left["end_line"])
-    for s in same:
-        rule = s & rule
-    return rule
-
-
 def take_evidence(items: Iterable[tuple[int, list[str]]], tokens: float = EVIDENCE_TOKENS, most: int = EVIDENCE_ITEMS, item_tokens: float = ITEM_TOKENS) -> list[tuple[int, int]]:
     """``(position, lines)`` of the items kept: whole lines within the item's and the overall budget.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.ingestion import CREDENTIAL_EXCEPTIONS, CREDENTIAL_NAMES, excluded_folder, glob_pattern
+from tessera.operators.ranges import same_lines, with_meets
 
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 CONTEXT_LINES = 3
@@ -134,7 +135,7 @@ def review_rank(path: Column) -> Column:
 def select_within(rows: DataFrame, limits: dict[str, float], *keys: str, order: str = "place") -> DataFrame:
     """Rows taken in order while all limits hold; one that doesn't fit is passed over, and later ones may still fit.
 
-    A group's rows stream past in order: a task holds what one group has used, however many rows it has. Ties of ``order`` fall anyhow.
+    A group's rows stream past in order: a task holds what one group has used, however many rows it has. Of rows with an equal ``order`` the hash of their columns decides.
     """
     columns, names = list(limits), rows.columns
 
@@ -154,7 +155,7 @@ def select_within(rows: DataFrame, limits: dict[str, float], *keys: str, order:
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     dealt = rows.repartition(*keys) if keys else rows.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, order).mapInArrow(take, rows.schema)
+    return dealt.sortWithinPartitions(*keys, order, F.xxhash64(*names)).mapInArrow(take, rows.schema)
 
 
 def longest_prefix(rows: DataFrame, tokens: float, most: int, *keys: str, order: str = "place") -> DataFrame:
@@ -177,19 +178,47 @@ def related_files(files: DataFrame, names: DataFrame, most: int, *keys: str) ->
 
 def holding_changed_lines(declared: DataFrame, lines: DataFrame) -> DataFrame:
     """Declarations ``(path, start_line, end_line, ...)`` that hold a changed line ``(path, line)``."""
-    at = lines.select(F.col("path").alias("p"), "line")
-    return declared.join(at, (F.col("path") == F.col("p")) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_semi")
+    return with_meets(declared, lines.select("path", *same_lines("line")), "__held", "path").where("__held").drop("__held")
 
 
 def overlay(files: DataFrame, renames: DataFrame, edits: DataFrame, adds: DataFrame, removes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Files after renames ``(old, new)``, edits ``(path, find, replace)``, adds ``(path, content)`` and removes
-    ``(path)``, in that order; and the edits whose text isn't there exactly once."""
-    moved = files.select("path", "content").join(renames.withColumnRenamed("old", "path"), "path", "left").select(F.coalesce("new", "path").alias("path"), "content")
-    joined = moved.join(edits, "path", "left")
-    times = (F.length("content") - F.length(F.replace("content", F.col("find"), F.lit("")))) / F.length("find")
-    bad = edits.join(moved, "path", "left").where(F.coalesce(times, F.lit(0.0)) != 1).select("path", "find")
-    edited = joined.select("path", F.when(F.col("find").isNotNull() & (times == 1), F.replace("content", F.col("find"), F.col("replace"))).otherwise(F.col("content")).alias("content"))
-    return edited.join(adds, "path", "left_anti").unionByName(adds.select("path", "content")).join(removes, "path", "left_anti"), bad
+    """``(path, content)`` after renames ``(old, new)``, edits ``(path, position, find, replace)``, adds ``(path, content)`` and
+    removes ``(path)``, in that order; and the ``(step, path, fault)`` of those that can't be done, which change nothing.
+
+    A file's edits are folded over its text in order of position: what an edit looks for must stand exactly once in what
+    the edits before it made. A rename needs a file, one for each old path, and a new path that no other file has or gets
+    (of several the first old path in order holds); one that needs another rename first isn't done. What is added
+    must not be there, what is removed must.
+    """
+    here = files.select("path", F.lit(True).alias("__here"))
+    turn = F.row_number().over(Window.partitionBy("new").orderBy("old"))
+    own = renames.groupBy("old").agg(F.min("new").alias("new")).withColumn("__turn", turn)
+    asked = own.join(here.withColumnRenamed("path", "old"), "old", "left").join(here.select(F.col("path").alias("new"), F.col("__here").alias("__taken")), "new", "left")
+    judged = asked.withColumn("fault", F.when(F.col("__here").isNull(), "no such file").when(F.col("__taken") | (F.col("__turn") > 1), "already exists"))
+    fault = lambda df, step, path: df.where("fault is not null").select(F.lit(step).alias("step"), F.col(path).alias("path"), "fault")
+    moved = files.select("path", "content").join(judged.where("fault is null").select(F.col("old").alias("path"), "new"), "path", "left").select(F.coalesce("new", "path").alias("path"), "content")
+
+    listed = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "find", "replace"))).alias("__edits"))
+    joined = moved.withColumn("__here", F.lit(True)).join(listed, "path", "full_outer")
+
+    def step(state: Column, e: Column) -> Column:
+        text = state["text"]
+        times = F.when(e["find"] == "", F.lit(0)).otherwise((F.length(text) - F.length(F.replace(text, e["find"], F.lit("")))) / F.length(e["find"])).cast("int")
+        made = F.struct(F.replace(text, e["find"], e["replace"]).alias("text"), state["faults"].alias("faults"))
+        told = F.concat(state["faults"], F.array(F.concat(F.lit("edit "), e["position"].cast("string"), F.lit(" matches "), times.cast("string"), F.lit(" times"))))
+        return F.when(times == 1, made).otherwise(F.struct(text.alias("text"), told.alias("faults")))
+
+    start = F.struct(F.coalesce("content", F.lit("")).alias("text"), F.array().cast("array<string>").alias("faults"))
+    folded = joined.withColumn("__made", F.when(F.col("__edits").isNotNull() & F.col("__here"), F.aggregate("__edits", start, step)))
+    edited = folded.where("__here").select("path", F.when(F.size("__made.faults") < F.size("__edits"), F.col("__made.text")).otherwise(F.col("content")).alias("content"))
+    bad_edits = folded.where("__here").select("path", F.explode("__made.faults").alias("fault")).unionByName(folded.where("__here is null").select("path", F.lit("no such file").alias("fault")))
+
+    there = edited.select("path", F.lit(True).alias("__there"))
+    added = adds.join(there, "path", "left").withColumn("fault", F.when(F.col("__there"), "already exists"))
+    all_ = edited.unionByName(added.where("fault is null").select("path", "content"))
+    gone = removes.select("path").distinct().join(all_.select("path", F.lit(True).alias("__there")), "path", "left").withColumn("fault", F.when(F.col("__there").isNull(), "no such file"))
+    faults = fault(judged, "rename", "old").unionByName(fault(bad_edits, "edit", "path")).unionByName(fault(added, "add", "path")).unionByName(fault(gone, "remove", "path"))
+    return all_.join(gone.where("fault is null"), "path", "left_anti"), faults
 
 
 def candidate_tests(files: DataFrame, changed: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera.functions import text as X
 from tessera.operators import evaluation as V
 from tessera.plans.common import Registry
 from tessera.plans.retrieval import RANKS_SQL, ranked_chunks
+from tessera.sources.shared import materialize
 from tessera.sources.tables import ONCE_SQL, lines_once, table
 
 query = Registry()
@@ -194,14 +195,17 @@ def sample_until(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sample_until(table(spark, sf_dir, "documents", "doc_id", "source"), "source", "doc_id", 7)
 
 
-@query("""WITH j AS (SELECT l_orderkey AS review, CAST(l_linenumber AS INT) AS n, '{"a": {"evidence_ids": ["E' || l_linenumber || '", "E1"]}, "b": [{"evidence_ids": ["E' || (l_linenumber * 7) || '"]}]}' AS body, '{"k": ' || l_linenumber || ', "x": "y"}' AS p, '{"k": "' || l_returnflag || '", "z": [1, 2]}' AS q FROM lineitem)
-SELECT review, n, array_to_string(list_transform(list_sort(list_transform(list_distinct(['E' || n, 'E1', 'E' || (n * 7)]), lambda x: {'n': length(x), 'x': x})), lambda x: x.x), ',') AS cited, '{"k":"' || json_extract_string(q, '$.k') || '","x":"y","z":[1,2]}' AS merged FROM j""")
+@query("""WITH j AS (SELECT l_orderkey AS review, CAST(l_linenumber AS INT) AS n, '{"k": ' || l_linenumber || ', "x": "y"}' AS p, '{"k": "' || l_returnflag || '", "z": [1, 2]}' AS q FROM lineitem)
+SELECT review, n, array_to_string(list_transform(list_sort(list_transform(list_distinct(['E' || n, 'E1', 'E' || (n * 7), 'x]y', 'EZ']), lambda x: {'n': length(x), 'x': x})), lambda x: x.x), ',') AS cited, '{"k":"' || json_extract_string(q, '$.k') || '","x":"y","z":[1,2]}' AS merged FROM j""")
 def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")  # noqa: E741
     n = F.col("l_linenumber")
-    body = F.format_string('{"a": {"evidence_ids": ["E%d", "E1"]}, "b": [{"evidence_ids": ["E%d"]}]}', n, n * 7)
+    body = F.format_string('{"a": {"evidence_ids": ["E%d", "E1", "x]y", 5], "t": "\\"evidence_ids\\": [\\"no\\"]"}, "b": [[{"evidence_ids": ["E%d"]}], {"evidence_ids": {"evidence_ids": ["\\u0045Z"]}}]}', n, n * 7)
     first, second = F.format_string('{"k": %d, "x": "y"}', n), F.format_string('{"k": "%s", "z": [1, 2]}', F.col("l_returnflag"))
-    return l.select(F.col("l_orderkey").alias("review"), n.cast("int").alias("n"), F.array_join(X.cited_labels(body), ",").alias("cited"), X.merged_json(first, second).alias("merged"))
+    rows = l.select(F.monotonically_increasing_id().alias("row"), F.col("l_orderkey").alias("review"), n.cast("int").alias("n"), body.alias("result"), X.merged_json(first, second).alias("merged"))
+    made = materialize(rows, "results")
+    labels = V.cited_labels(made, "row")
+    return made.join(labels, "row").select("review", "n", F.array_join("labels", ",").alias("cited"), "merged")
 
 
 @query(f"""WITH {ONCE_SQL}, p AS (SELECT review, n AS position, CASE pk % 4 WHEN 0 THEN [] WHEN 1 THEN ['E1'] WHEN 2 THEN ['E9', 'E2', 'E8'] ELSE ['E2', 'E3'] END AS cited FROM one),

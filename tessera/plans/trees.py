@@ -134,21 +134,40 @@ def unchanged_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.join(base.select("path", "sha256"), ["path", "sha256"], "left_anti").select("path", F.sha2("content", 256).alias("content_sha256"))
 
 
-@query("""WITH f AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'n/' ELSE 'o/' END || doc_id AS path, doc_id, text FROM documents),
-e AS (SELECT path, CASE WHEN doc_id % 3 = 0 AND (length(text) - length(replace(text, 'license', ''))) / 7 = 1 THEN replace(text, 'license', 'permit') ELSE text END AS content FROM f WHERE doc_id % 5 <> 0)
-SELECT path, sha256(content) AS content_sha256 FROM e UNION ALL SELECT 'extra', sha256('added')""")
-def tree_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+OVERLAY_SQL = """f AS (SELECT CASE WHEN doc_id % 7 = 0 AND doc_id % 14 <> 0 THEN 'n/' ELSE 'o/' END || doc_id AS path, doc_id, text FROM documents),
+e1 AS (SELECT *, doc_id % 3 = 0 AS edited, doc_id % 3 = 0 AND (length(text) - length(replace(text, 'license', ''))) / 7 = 1 AS first FROM f),
+e2 AS (SELECT *, CASE WHEN first THEN replace(text, 'license', 'permit') ELSE text END AS t1 FROM e1),
+e3 AS (SELECT *, edited AND (length(t1) - length(replace(t1, 'permit', ''))) / 6 = 1 AS second FROM e2),
+e4 AS (SELECT *, CASE WHEN second THEN replace(t1, 'permit', 'grant') ELSE t1 END AS content FROM e3)"""
+
+
+def overlaid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Renames of every seventh document, half of them onto paths that are taken, and two edits each of every third."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    old = F.concat(F.lit("o/"), F.col("doc_id").cast("string"))
-    new = F.concat(F.when(F.col("doc_id") % 7 == 0, "n/").otherwise("o/"), F.col("doc_id").cast("string"))
-    made, _ = T.overlay(
+    i = F.col("doc_id").cast("string")
+    old, new = F.concat(F.lit("o/"), i), F.concat(F.when((F.col("doc_id") % 7 == 0) & (F.col("doc_id") % 14 != 0), "n/").otherwise("o/"), i)
+    edit = lambda n, find, put: docs.where("doc_id % 3 = 0").select(new.alias("path"), F.lit(n).alias("position"), F.lit(find).alias("find"), F.lit(put).alias("replace"))
+    one = lambda *paths: spark.range(1).select(F.explode(F.array(*map(F.lit, paths))).alias("path"))
+    return T.overlay(
         docs.select(old.alias("path"), F.col("text").alias("content")),
-        docs.where("doc_id % 7 = 0").select(old.alias("old"), new.alias("new")),
-        docs.where("doc_id % 3 = 0").select(new.alias("path"), F.lit("license").alias("find"), F.lit("permit").alias("replace")),
-        spark.range(1).select(F.lit("extra").alias("path"), F.lit("added").alias("content")),
-        docs.where("doc_id % 5 = 0").select(new.alias("path")),
+        docs.where("doc_id % 7 = 0").select(old.alias("old"), F.when(F.col("doc_id") % 14 == 0, "o/1").otherwise(new).alias("new")),
+        edit(2, "permit", "grant").unionByName(edit(1, "license", "permit")).unionByName(one("nowhere").select("path", F.lit(1).alias("position"), F.lit("a").alias("find"), F.lit("b").alias("replace"))),
+        one("extra", "o/2").withColumn("content", F.lit("added")),
+        docs.where("doc_id % 5 = 0").select(new.alias("path")).unionByName(one("absent", "extra")),
     )
-    return made.select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"WITH {OVERLAY_SQL} SELECT path, sha256(content) AS content_sha256 FROM e4 WHERE doc_id % 5 <> 0")
+def tree_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaid(spark, sf_dir)[0].select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query(f"""WITH {OVERLAY_SQL} SELECT 'rename' AS step, 'o/' || doc_id AS path, 'already exists' AS fault FROM f WHERE doc_id % 14 = 0
+UNION ALL SELECT 'edit', path, 'edit 1 matches ' || CAST((length(text) - length(replace(text, 'license', ''))) // 7 AS INT) || ' times' FROM e4 WHERE edited AND NOT first
+UNION ALL SELECT 'edit', path, 'edit 2 matches ' || CAST((length(t1) - length(replace(t1, 'permit', ''))) // 6 AS INT) || ' times' FROM e4 WHERE edited AND NOT second
+UNION ALL SELECT * FROM (VALUES ('edit', 'nowhere', 'no such file'), ('add', 'o/2', 'already exists'), ('remove', 'absent', 'no such file'))""")
+def overlay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaid(spark, sf_dir)[1]
 
 
 TESTED_SQL = """f AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'tests/test_d' || (doc_id % 90) || '_' || doc_id || '.py' WHEN doc_id % 4 = 1 THEN 'tests/test_d' || (doc_id + 1) || '.py' ELSE 'src/d' || doc_id || '.py' END AS path, doc_id, text AS content FROM documents),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators.fulltext import full_text_top
+from tessera.operators.trigrams import candidates
 
 RRF_K = 60
 EVIDENCE_ITEMS, EVIDENCE_TOKENS, ITEM_TOKENS = 12, 16_000, 4_000
@@ -41,12 +42,17 @@ def similar(name: str, query: str, least: float) -> tuple[Column, Column]:
     return (whole >= least) | (part >= WORD_SIMILARITY), F.round(F.greatest(whole, part), 9)
 
 
-def path_search(files: DataFrame, query: str, limit: int, least_similarity: float = 0.3) -> DataFrame:
-    """``(path, tier, similarity, start_line, end_line)``: exact path or name first, then substrings, then similar paths; all of the file's lines."""
+def path_search(files: DataFrame, query: str, limit: int, least_similarity: float = 0.3, index: DataFrame | None = None) -> DataFrame:
+    """``(path, tier, similarity, start_line, end_line)``: exact path or name first, then substrings, then similar paths; all of the file's lines.
+
+    ``index`` is a trigram index of the paths; with it only paths that may match are looked at.
+    """
+    some = candidates(index, query, least_similarity) if index is not None else None
+    paths = files.select("path") if some is None else some.select(F.col("key").alias("path"))
     name = X.basename("path")
     alike, score = similar("path", query, least_similarity)
     tier = F.when((F.col("path") == query) | (name == query), 0).when(X.contains_folded("path", query), 1).otherwise(2)
-    scored = files.select("path", tier.alias("tier"), score.alias("similarity"), alike.alias("alike"))
+    scored = paths.select("path", tier.alias("tier"), score.alias("similarity"), alike.alias("alike"))
     ranked = scored.where((F.col("tier") < 2) | F.col("alike")).drop("alike").orderBy("tier", F.desc("similarity"), F.length("path"), "path").limit(limit)
     # at most `limit` rows read content
     content = files.select("path", F.greatest(X.line_count("content"), F.lit(1)).alias("end_line"))
@@ -60,11 +66,14 @@ def declared_symbols(files: DataFrame, pattern: str = r"[\p{Lu}][\p{L}]{5,}") ->
     return names.groupBy("path", "name").agg(F.min("line").alias("line"))
 
 
-def symbol_search(symbols: DataFrame, files: DataFrame, query: str, limit: int, least_similarity: float = 0.3) -> DataFrame:
+def symbol_search(symbols: DataFrame, files: DataFrame, query: str, limit: int, least_similarity: float = 0.3, index: DataFrame | None = None) -> DataFrame:
     """``(path, name, qualified_name, kind, start_line, end_line, tier, similarity, excerpt)`` of declarations, by name or qualified name.
 
     Symbols are ranked first; only the ranked ones read content, three lines of their own at most. Resemblance is that of the plain name.
+    ``index`` is a trigram index of the qualified names; with it only symbols that may match are looked at.
     """
+    some = candidates(index, query, least_similarity, whole_texts=False) if index is not None else None
+    symbols = symbols if some is None else symbols.join(some, symbols.qualified_name == some.key, "left_semi")
     alike, score = similar("name", query, least_similarity)
     either = lambda test: test(F.col("name")) | test(F.col("qualified_name"))
     tier = F.when(either(lambda c: c == query), 0).when(either(lambda c: X.contains_folded(c, query)), 1).otherwise(2)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions import text as X
 from tessera.operators import ingestion as I
 from tessera.operators import retrieval as R
-from tessera.operators.fulltext import full_text_index, full_text_top
+from tessera.operators.fulltext import full_text_blocks, full_text_index, full_text_top
+from tessera.operators.trigrams import trigram_index
 from tessera.plans.common import Registry
+from tessera.sources.kept import kept
 from tessera.sources.shared import dealt_out
 from tessera.sources.tables import DECLARED_SQL, FILES_SQL, code, files, table
 
@@ -76,10 +78,19 @@ s AS (SELECT path, content, whole, part, CASE WHEN path = '{PATH_QUERY}' OR stri
 SELECT path, CAST(tier AS INT) AS tier, round(greatest(whole, CASE WHEN part >= 0.6 THEN part ELSE 0 END), 9) AS similarity, 1 AS start_line, CAST(greatest(len({lines_sql("content")}), 1) AS INT) AS end_line
 FROM s WHERE tier < 2 OR whole >= 0.3 OR part >= 0.6 ORDER BY tier, similarity DESC, length(path), path LIMIT 50""")
 def search_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.path_search(files(spark, sf_dir), PATH_QUERY, 50)
+    f = files(spark, sf_dir)
+    index = kept(spark, "path-trigrams", f"{sf_dir}/documents.parquet", lambda: trigram_index(f.select("path"), "path", "path"), "part")
+    return R.path_search(f, PATH_QUERY, 50, index=index)
 
 
 DECLARED = "AttionBox"
+
+
+def symbols_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the documents' modules declare, parsed once."""
+    return kept(spark, "symbols", f"{sf_dir}/documents.parquet", lambda: I.declarations(I.parsed_files(dealt_out(code(spark, sf_dir)))))
+
+
 SYMBOLS_SQL = f"""l AS (SELECT path, unnest({lines_sql("content")}) AS line, generate_subscripts({lines_sql("content")}, 1) AS n FROM files),
 symbols AS (SELECT path, name, CAST(min(n) AS INT) AS line FROM (SELECT path, n, unnest(regexp_extract_all(line, '[\\p{{Lu}}][\\p{{L}}]{{5,}}')) AS name FROM l) GROUP BY ALL)"""
 
@@ -106,7 +117,10 @@ SELECT path, name, qualified_name, kind, start_line, end_line, CAST(tier AS INT)
 def search_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In the declarations of the documents' modules, by plain and qualified name."""
     own = code(spark, sf_dir)
-    return R.symbol_search(I.declarations(I.parsed_files(dealt_out(own))), own, DECLARED, 50)
+    symbols = symbols_table(spark, sf_dir)
+    names = symbols.select("qualified_name").distinct()
+    index = kept(spark, "symbol-trigrams", f"{sf_dir}/documents.parquet", lambda: trigram_index(names, "qualified_name", "qualified_name"), "part")
+    return R.symbol_search(symbols, own, DECLARED, 50, index=index)
 
 
 @query(f"""WITH {FILES_SQL}, r AS (SELECT path, substring(path, length('src0/') + 1) AS rest, language, length(content) - length(replace(content, '\n', '')) + CASE WHEN content <> '' AND content NOT LIKE '%\n' THEN 1 ELSE 0 END AS n FROM files WHERE starts_with(path, 'src0/')),
@@ -185,7 +199,8 @@ CHUNK = ("file_id", "start_line", "end_line")
 
 def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full-text index of the windows of all files; texts are dealt by file once."""
-    return full_text_index(R.window_chunks(files(spark, sf_dir).select("file_id", "content").repartition("file_id"), 60, 10, "file_id"), *CHUNK)
+    windows = lambda: R.window_chunks(files(spark, sf_dir).select("file_id", "content").repartition("file_id"), 60, 10, "file_id")
+    return kept(spark, "full-text", f"{sf_dir}/documents.parquet", lambda: full_text_blocks(windows(), *CHUNK))
 
 
 def ranked_chunks(spark: SparkSession, sf_dir: str, most: int = 20) -> DataFrame:

@@ -11,24 +11,21 @@ the tasks is a bit set of bounded size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bits import bit_set, is_set
 from tessera.llm.common import TEXT_KEYS, bounded_batches, join_counted, materialize, text_keys, text_or_empty
+from tessera.llm.words import grams, joined, words_of_batch, words_of_text
 
 NGRAM = 3
 THRESHOLD = 0.5
 #: An n-gram is rare with so many pairs of words around it, or fewer.
 RARE = 1000
 LEAST_SEEDS = 20
-#: Words whose hashes a task keeps.
-HELD_WORDS = 200_000
 PUNCTUATION = bytes(32 if 33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 else b for b in range(256))
 
 
@@ -37,33 +34,6 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(PUNCTUATION).split()
 
 
-class WordHashes(dict):
-    """The hashes of words, which are kept up to a number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One hash of two, which differs with their order."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def grams_of(coded: np.ndarray, n: int) -> np.ndarray:
-    """The hashes of a text's n-grams, by their first word; none for fewer words."""
-    if len(coded) < n:
-        return np.zeros(0, np.uint64)
-    return reduce(joined, (coded[k : len(coded) - n + 1 + k] for k in range(n)))
-
-
 def _best(item: np.ndarray, window: np.ndarray, match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
     """The best local score and the first cell, by row and then column, that has it. Two rows of the matrix are held."""
     ramp = gap * np.arange(len(window) + 1)
@@ -132,56 +102,55 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
     """``(item, gram, place)`` of the n-grams of each item; items of fewer words have none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for item, text in zip(batch.column(0), batch.column(1), strict=True):
-                grams = grams_of(hashes.of(words_of(text.as_py())), n).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), item.as_py())), pa.array(grams), pa.array(np.arange(len(grams), dtype=np.int32))], names=["item", "gram", "place"])
+            for low, hashes, rows in words_of_batch(batch.column(1)):
+                at, made = grams(hashes, rows, n)
+                item = batch.column(0).to_numpy()[low + rows[at]]
+                place = at - np.searchsorted(rows, rows[at])
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(made.view(np.int64)), pa.array(place.astype(np.int32))], names=["item", "gram", "place"])
 
-    return items.select("item", "text").mapInArrow(make, "item long, gram long, place int")
+    return items.select("item", F.lower("text").alias("text")).mapInArrow(make, "item long, gram long, place int")
 
 
 def met_grams(docs: DataFrame, bits: np.ndarray, n: int, contexts: bool) -> DataFrame:
     """Where n-grams of the set ``bits`` stand: ``(gram, context)``, the words beside them, or ``(k1, k2, gram, at)``, the text and the word."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
+    schema = "gram long, context long" if contexts else "k1 long, k2 long, gram long, at int"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            parts: list[tuple] = []
-            for k1, k2, text in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
-                coded = hashes.of(words_of(text.as_py()))
-                grams = grams_of(coded, n)
-                at = np.flatnonzero(is_set(sent.value, grams))
+            for low, hashes, rows in words_of_batch(batch.column(2)):
+                at, made = grams(hashes, rows, n)
+                here = np.flatnonzero(is_set(sent.value, made))
+                at, made = at[here], made[here]
                 if not len(at):
                     continue
-                if contexts:
-                    edged = np.concatenate((np.zeros(1, np.uint64), coded, np.zeros(1, np.uint64)))
-                    parts.append((grams[at].view(np.int64), joined(edged[at], edged[at + n + 1]).view(np.int64)))
+                if contexts:  # each once in a batch; zero stands for no word
+                    edged, inside = np.concatenate(([np.uint64(0)], hashes, [np.uint64(0)])), np.concatenate(([-1], rows, [-1]))
+                    before = np.where(inside[at] == rows[at], edged[at], np.uint64(0))
+                    after = np.where(inside[at + n + 1] == rows[at], edged[at + n + 1], np.uint64(0))
+                    columns = list(np.unique(np.stack((made.view(np.int64), joined(before, after).view(np.int64))), axis=1))
                 else:
-                    parts.append((np.full(len(at), k1), np.full(len(at), k2), grams[at].view(np.int64), at.astype(np.int32)))
-            if parts:
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                if contexts:  # each once in a batch
-                    columns = list(np.unique(np.stack(columns), axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+                    keys = (batch.column(i).to_numpy()[low + rows[at]] for i in (0, 1))
+                    columns = [*keys, made.view(np.int64), (at - np.searchsorted(rows, rows[at])).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    schema = "gram long, context long" if contexts else "k1 long, k2 long, gram long, at int"
-    return docs.select(*text_keys(), text_or_empty().alias("text")).mapInArrow(make, schema)
+    return docs.select(*text_keys(), F.lower(text_or_empty()).alias("text")).mapInArrow(make, schema)
 
 
-def rare_seeds(docs: DataFrame, grams: DataFrame, n: int, rare: int = RARE, least: int = LEAST_SEEDS) -> DataFrame:
+def rare_seeds(docs: DataFrame, placed: DataFrame, n: int, rare: int = RARE, least: int = LEAST_SEEDS) -> DataFrame:
     """``(item, gram, place)``: the n-grams of each item that are rare in the corpus, or its ``least`` rarest ones if they are more.
 
     An n-gram is as common as there are words around it: the pairs of the words before and after it, over the
     whole corpus, and the items that hold it. Copies of an item don't count, as there the same words stand beside its n-grams.
     """
-    every = grams.select("gram").distinct()
+    every = placed.select("gram").distinct()
     around = met_grams(docs, bit_set(every, every.count()), n, True).groupBy("gram").agg(F.approx_count_distinct("context").alias("around"))
-    held = grams.groupBy("gram").agg(F.count_distinct("item").alias("items"))
+    held = placed.groupBy("gram").agg(F.count_distinct("item").alias("items"))
     told = held.join(around, "gram", "left").select("gram", (F.coalesce("around", F.lit(0)) + F.col("items")).alias("common"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("common", "gram", "place"))
-    return grams.join(told, "gram").withColumn("rank", rank).where((F.col("common") <= rare) | (F.col("rank") <= least)).select("item", "gram", "place")
+    return placed.join(told, "gram").withColumn("rank", rank).where((F.col("common") <= rare) | (F.col("rank") <= least)).select("item", "gram", "place")
 
 
 def candidates(docs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
@@ -211,19 +180,19 @@ def found_in_texts(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     """``(k1, k2, item_id, score, first_word, last_word)`` of each distinct text and item whose best alignment reaches ``threshold``."""
     bounded_batches(docs.sparkSession)
     items = materialize(items_of(benchmark), "items")
-    grams = materialize(item_grams(items, n), "item-grams")
-    pairs = materialize(candidates(docs, materialize(rare_seeds(docs, grams, n), "seeds"), n), "candidates")
-    told = pairs.join(items, "item").groupBy(*TEXT_KEYS).agg(F.collect_list(F.struct("item_id", "text", "starts")).alias("items"))
+    seeds = materialize(rare_seeds(docs, materialize(item_grams(items, n), "item-grams"), n), "seeds")
+    pairs = materialize(candidates(docs, seeds, n), "candidates")
+    told = pairs.join(items, "item").groupBy(*TEXT_KEYS).agg(F.collect_list(F.struct("item_id", F.lower("text").alias("text"), "starts")).alias("items"))
     keys = pairs.select("k1").distinct()
     texts = only_keys(docs, bit_set(keys, keys.count())).dropDuplicates(list(TEXT_KEYS))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), {}
+        known: dict[tuple[bytes, bytes], tuple[float, int, int]] = {}
         for batch in batches:
             for k1, k2, text, own in zip(*batch.columns, strict=True):
-                coded, out = hashes.of(words_of(text.as_py())), []
+                coded, out = words_of_text(text.as_py()), []
                 for x in own.as_py():
-                    item, best = hashes.of(words_of(x["text"])), (0.0, 0, 0)
+                    item, best = words_of_text(x["text"]), (0.0, 0, 0)
                     for low, end in places(item, coded, sorted(x["starts"]), threshold):
                         window = coded[low:end]
                         key = (item.tobytes(), window.tobytes())
@@ -240,7 +209,7 @@ def found_in_texts(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
                     types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=FOUND_NAMES)
 
-    return texts.join(told, list(TEXT_KEYS)).select(*TEXT_KEYS, "text", "items").mapInArrow(verify, FOUND)
+    return texts.join(told, list(TEXT_KEYS)).select(*TEXT_KEYS, F.lower("text").alias("text"), "items").mapInArrow(verify, FOUND)
 
 
 FOUND = "k1 long, k2 long, item_id long, score double, first_word long, last_word long"

@@ -81,3 +81,30 @@ def test_tables_without_items(spark, n):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "x y")], "item_id long, text string").limit(n)
     assert decontam.contaminated(docs, benchmark).count() == 0 and decontam.decontaminate(docs, benchmark).count() == 1
+
+
+def test_words_of_a_batch(monkeypatch):
+    """Words by row as splitting gives them, over rows that touch, slices, and words longer than the stride."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import words
+
+    rng = random.Random(6)
+    texts = ["", "a", "ab cd", "cd-ab", " \t", "é,ß.x", "w" * 40 + " " + "w" * 41, "w" * 32 + "!" + "w" * 33] + ["".join(rng.choice("abé .,-\n") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    want = [decontam.words_of(t) for t in texts]
+    by_word: dict = {}
+    for held in (1 << 22, 50):
+        monkeypatch.setattr(words, "HELD_BYTES", held)
+        for cut in (0, 5):
+            got = [[] for _ in texts[cut:]]
+            for low, hashes, rows in words.words_of_batch(pa.array(texts)[cut:]):
+                for h, r in zip(hashes.tolist(), rows.tolist(), strict=True):
+                    got[low + r].append(h)
+            for own, hashed in zip(want[cut:], got, strict=True):
+                assert len(own) == len(hashed)
+                for w, h in zip(own, hashed, strict=True):
+                    assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    at, made = words.grams(np.arange(6, dtype=np.uint64), np.array([0, 0, 0, 1, 1, 2]), 2)
+    assert at.tolist() == [0, 1, 3] and len(set(made.tolist())) == 3

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators.fulltext import full_text_top
 from tessera.operators.trigrams import candidates
 
 RRF_K = 60
@@ -278,29 +277,3 @@ def symbol_first(fused: DataFrame, *keys: str) -> DataFrame:
     """``place`` counted anew: symbols before all else, each in fused order."""
     order = Window.partitionBy(*keys).orderBy(F.col("source_type") != "symbol", "place")
     return fused.withColumn("place", F.row_number().over(order))
-
-
-def without_overlaps(hits: DataFrame, limit: int) -> DataFrame:
-    """Of hits ``(path, start_line, end_line, place, ...)``, a pool of bounded size, those that overlap no better one."""
-    names = hits.columns
-    pool = hits.agg(F.array_sort(F.collect_list(F.struct("place", *[c for c in names if c != "place"]))).alias("h"))
-    meets = lambda a, b: (a["path"] == b["path"]) & (a["start_line"] <= b["end_line"]) & (b["start_line"] <= a["end_line"])
-    kept = F.aggregate("h", F.slice("h", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: meets(k, x)) | (F.size(acc) >= limit), acc).otherwise(F.concat(acc, F.array(x))))
-    return pool.select(F.explode(kept).alias("x")).select(*[F.col(f"x.{c}") for c in names])
-
-
-def search_docs(chunks: DataFrame, index: DataFrame, terms: DataFrame, vector: list[float] | None, limit: int) -> DataFrame:
-    """``(path, start_line, end_line, score, place, degraded)``: keywords and vectors of one question, fused.
-
-    Each list has the larger of 20 and ``limit`` entries; without a vector the keywords alone count, marked as degraded.
-    """
-    pool, unit = max(20, limit), ("path", "start_line", "end_line")
-    scored = full_text_top(index, terms, pool).orderBy(F.desc("score"), *unit).limit(pool)
-    numbered = lambda df, no, *order: df.select(F.lit(no).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("rank"), F.struct(*unit).alias("item"))
-    lists = numbered(scored, 0, F.desc("score"), *unit)
-    if vector is not None:
-        distance = cosine_distance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
-        near = chunks.select(*unit, distance.alias("distance")).where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", *unit).limit(pool)
-        lists = lists.unionByName(numbered(near, 1, "distance", *unit))
-    fused = reciprocal_rank_fusion(lists).select("item.*", "score", "place")
-    return without_overlaps(fused, limit).withColumn("degraded", F.lit(vector is None))

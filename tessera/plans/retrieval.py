@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
+from tessera.functions.stems import stem
+from tessera.operators import docs as D
 from tessera.operators import ingestion as I
 from tessera.operators import retrieval as R
 from tessera.operators.fulltext import full_text_blocks, full_text_index, full_text_top
 from tessera.operators.trigrams import trigram_index
 from tessera.plans.common import Registry
 from tessera.sources.kept import kept
-from tessera.sources.shared import dealt_out
+from tessera.sources.shared import dealt_out, materialize
 from tessera.sources.tables import DECLARED_SQL, FILES_SQL, code, files, table
 
 query = Registry()
@@ -256,14 +258,39 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_ranges(R.capped_spans(symbols.unionByName(code)).drop("source_type"), "question_id", "path")
 
 
+def doc_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, start_line, end_line, text, embedding)``: the sections of all documents, whose first line counts as a heading."""
+    texts = files(spark, sf_dir).select("path", F.concat(F.lit("# "), F.coalesce("content", F.lit(""))).alias("content"))
+    return kept(spark, "doc-sections", f"{sf_dir}/documents.parquet", lambda: I.with_embeddings(I.heading_chunks(dealt_out(texts)).drop("heading_path")))
+
+
+def doc_hits(spark: SparkSession, sf_dir: str, limit: int = D.DOC_CANDIDATES) -> DataFrame:
+    """The best sections for each question, by English keywords and by vectors."""
+    sections = doc_sections(spark, sf_dir)
+    index = kept(spark, "doc-full-text", f"{sf_dir}/documents.parquet", lambda: full_text_blocks(sections, *SECTION, words=D.english_words, stem=stem))
+    asked_ = I.with_embeddings(questions(spark, sf_dir), text="question")
+    return D.search_docs(index, D.english_terms(questions(spark, sf_dir)), sections, asked_, limit)
+
+
+SECTION = ("path", "start_line", "end_line")
+
+
+@query()
+def docs_for_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_hits(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
 @query()
 def question_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """End to end: candidates, merging, fused order, and the token budget of each question."""
-    merged = merged_ranges(spark, sf_dir).withColumnRenamed("place", "best")
-    order = Window.partitionBy("question_id").orderBy(F.col("fused.place"), "start_line")
-    fused = fused_paths(spark, sf_dir).select("question_id", F.col("item").alias("path"), "place").alias("fused")
-    ranked = merged.join(fused, ["question_id", "path"]).select("question_id", "path", "start_line", "end_line", F.row_number().over(order).alias("place"))
-    return R.build_evidence(ranked, files(spark, sf_dir)).drop("excerpt")
+    """End to end: symbols, code and documentation fused, their ranges merged, and the token budget of each question."""
+    symbols = path_candidates(spark, sf_dir).select("question_id", F.lit(0).alias("list_no"), F.col("place").alias("rank"), "path", F.col("line").alias("start_line"), (F.col("line") + 5).alias("end_line"), F.lit("symbol").alias("source_type"))
+    code_ = ranked_chunks(spark, sf_dir).select("question_id", F.lit(1).alias("list_no"), F.col("place").alias("rank"), *SECTION, F.lit("code").alias("source_type"))
+    docs = doc_hits(spark, sf_dir).select("question_id", F.lit(2).alias("list_no"), F.col("place").alias("rank"), *SECTION, F.lit("doc").alias("source_type"))
+    lists = materialize(symbols.unionByName(code_).unionByName(docs), "lists")
+    fused = R.reciprocal_rank_fusion(lists.withColumn("item", F.struct(*SECTION, "source_type")), "question_id").select("question_id", "item.*", "place")
+    merged = R.merge_ranges(R.capped_spans(fused).drop("source_type"), "question_id", "path")
+    order = Window.partitionBy("question_id").orderBy("place")
+    return R.build_evidence(merged.withColumn("place", F.row_number().over(order)), files(spark, sf_dir)).drop("excerpt")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,12 +344,19 @@ def symbol_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keywords and vectors of one question over all windows of all documents."""
-    from tessera.operators.ingestion import hash_embedding, with_embeddings
-
-    unit, question = ("path", "start_line", "end_line"), "bleed reaning license heating"
+    question = spark.range(1).select(F.lit(1).alias("question_id"), F.lit("bleed reaning license heating").alias("question"))
     chunks = R.window_chunks(files(spark, sf_dir), 60, 10, "path")
-    terms = R.query_terms(spark.range(1).select(F.lit(1).alias("question_id"), F.lit(question).alias("question")))
-    return R.search_docs(with_embeddings(chunks), full_text_index(chunks, *unit), terms, hash_embedding(question, 64), 20)
+    found = D.search_docs(full_text_index(chunks, *SECTION), R.query_terms(question), I.with_embeddings(chunks), I.with_embeddings(question, text="question"), 20)
+    return found.drop("question_id")
+
+
+@query()
+def english_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(term, positions, files)`` of the English stems of whole documents."""
+    own = files(spark, sf_dir).select("file_id", D.english_words("content").alias("words")).select("file_id", F.explode("words").alias("question"))
+    counts = own.groupBy("file_id", "question").agg(F.count(F.lit(1)).alias("n"))
+    stems = D.english_terms(counts.select("question").distinct(), key="question").select("question", "term")
+    return counts.join(stems, "question").groupBy("term").agg(F.sum("n").alias("positions"), F.count_distinct("file_id").alias("files"))
 
 
 @query("SELECT page_id, 'https://example.com/r/' || replace(replace(url_encode(url), '%2F', '/'), '+', '%20') AS link, length(html) / 3.5 AS tokens FROM pages")

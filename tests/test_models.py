@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
-from tessera.operators import evaluation, fulltext, ingestion, operations, retrieval, trees
+from tessera.operators import docs, evaluation, fulltext, ingestion, operations, retrieval, trees
 from tessera.sources import archives
 
 
@@ -264,18 +264,19 @@ def test_set_digest_does_not_depend_on_order(spark):
 
 def test_overlapping_hits_give_way_to_better_ones(spark):
     h = rows(spark, "path string, start_line int, end_line int, place int", ("a", 1, 60, 1), ("a", 51, 110, 2), ("b", 51, 110, 3), ("a", 111, 150, 4), ("c", 1, 1, 5))
-    got = {(r.path, r.start_line) for r in retrieval.without_overlaps(h, 3).collect()}
+    got = {(r.path, r.start_line) for r in docs.without_overlaps(h, 3).collect()}
     assert got == {("a", 1), ("b", 51), ("a", 111)}
 
 
 def test_docs_search_is_degraded_without_a_vector(spark):
     files = rows(spark, "path string, content string", ("a", "license text\nmore"), ("b", "other words"))
     chunks = ingestion.with_embeddings(retrieval.window_chunks(files, 60, 10, "path"), 8)
-    unit = ("path", "start_line", "end_line")
-    terms = retrieval.query_terms(rows(spark, "question_id int, question string", (1, "what license")))
-    keywords = retrieval.search_docs(chunks, fulltext.full_text_index(chunks, *unit), terms, None, 5).collect()
+    unit, question = ("path", "start_line", "end_line"), rows(spark, "question_id int, question string", (1, "what license"))
+    index, terms = fulltext.full_text_index(chunks, *unit), retrieval.query_terms(question)
+    keywords = docs.search_docs(index, terms, None, None, 5).collect()
     assert [(r.path, r.degraded) for r in keywords] == [("a", True)]
-    both = retrieval.search_docs(chunks, fulltext.full_text_index(chunks, *unit), terms, ingestion.hash_embedding("other words", 8), 5).orderBy("place").collect()
+    asked = rows(spark, "question_id int, question string", (1, "other words"))
+    both = docs.search_docs(index, terms, chunks, ingestion.with_embeddings(asked, 8, "question"), 5).orderBy("place").collect()
     assert {r.path for r in both} == {"a", "b"} and not both[0].degraded
 
 
@@ -333,25 +334,6 @@ def lines_of(text):
     return rows[:-1] if rows[-1] == "" else rows
 
 
-def test_question_evidence_query(spark, sf_dir):
-    """The budget spent again from the ranges and the fused order, each of which SQL checks."""
-    from tessera.plans import retrieval as plans
-
-    texts = {r.path: r.content for r in plans.files(spark, sf_dir).collect()}
-    place = {(r.question_id, r.item): r.place for r in plans.hybrid_retrieval(spark, sf_dir).collect()}
-    ranked = {}
-    for r in plans.merged_ranges(spark, sf_dir).collect():
-        ranked.setdefault(r.question_id, []).append((place[r.question_id, r.path], r.start_line, r.end_line, r.path))
-    want = set()
-    for question, found in ranked.items():
-        items = [(k, lines_of(texts[path])[start - 1 : end]) for k, (_, start, end, path) in enumerate(sorted(found)[:60])]
-        for n, (k, count) in enumerate(evidence_model(items, 16_000, 12, 4_000), 1):
-            _, start, _, path = sorted(found)[k]
-            want.add((question, f"E{n}", path, start, start + count - 1, hashlib.sha256("\n".join(items[k][1][:count]).encode()).hexdigest()))
-    got = {(r.question_id, r.label, r.path, r.start_line, r.end_line, r.excerpt_sha256) for r in plans.question_evidence(spark, sf_dir).collect()}
-    assert got == want and want
-
-
 def test_search_docs_query(spark, sf_dir):
     """Keyword and vector ranks of every window, made again one window at a time."""
     from tessera.plans import retrieval as plans

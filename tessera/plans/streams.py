@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.plans import operations
 from tessera.plans.common import Registry
+from tessera.sources.shared import fresh
+from tessera.streaming import coalescing as C
 from tessera.streaming import stateful as S
 
 query = Registry()
@@ -58,3 +60,43 @@ SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", user_id, count(*)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.finished(S.session_counts(events(spark, sf_dir), "12 hours", "user_id"), "sessions", "complete")
     return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+
+#: Files that the events are dealt to, each a batch of its own.
+BATCHES = 4
+
+
+def in_batches(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
+    """The events by day as a stream of several batches, the rows of a batch in no order; a last batch moves the time on."""
+    folder = fresh(spark, "events")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumns(columns).select("event_id", "ts", *columns)
+    days = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    part = F.least(F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(days["first"]))) / ((F.unix_timestamp(F.lit(days["last"])) - F.unix_timestamp(F.lit(days["first"]))) / BATCHES + 1)), F.lit(BATCHES - 1)).cast("int")
+    for number in range(BATCHES):
+        rows.where(part == number).coalesce(1).write.mode("append").parquet(folder)
+    tick = rows.limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(days["last"]) + F.expr("INTERVAL 400 DAYS")).alias("ts"), *(F.lit("tick" if c == "key" else None).cast(rows.schema[c].dataType).alias(c) for c in columns))
+    tick.coalesce(1).write.mode("append").parquet(folder)
+    return S.read_stream(spark, folder, rows.schema, 1)
+
+
+@query("""WITH o AS (SELECT user_id || ':' || event_type AS key, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' ELSE 'request' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'push' WHEN event_id % 11 = 4 THEN 'user' ELSE 'check' END AS trigger, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id END AS commit FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN kind = 'start' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS span FROM o),
+g AS (SELECT key, span, arg_min(event_id, (ts, event_id)) AS event_id, coalesce(arg_min(trigger, (ts, event_id)) FILTER (WHERE trigger <> 'check'), 'check') AS trigger, arg_max(commit, (ts, event_id)) FILTER (WHERE commit IS NOT NULL) AS pushed, count(*) AS requests FROM s WHERE kind <> 'start' GROUP BY key, span)
+SELECT key, event_id, trigger, pushed, requests, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.key = g.key AND s.span = g.span AND kind = 'start') THEN 'started' ELSE 'expired' END AS ended FROM g""")
+def stream_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests of each user and kind as they join waiting jobs, over several batches; jobs that nothing starts expire at the end."""
+    i = F.col("event_id")
+    requests = in_batches(
+        spark, sf_dir, key=F.concat_ws(":", "user_id", "event_type"), kind=F.when(i % 5 == 0, "start").otherwise("request"),
+        trigger=F.when(i % 3 == 0, "push").when(i % 11 == 4, "user").otherwise("check"), commit=F.when(i % 3 == 0, F.concat(F.lit("c"), i.cast("string"))),
+    )
+    with C.state_store(spark):
+        return S.finished(C.coalesced_jobs(requests, patience=370 * 86_400), "coalescing").where("key <> 'tick'")
+
+
+@query("SELECT DISTINCT CAST(event_id // 3 AS VARCHAR) AS id FROM events")
+def stream_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of each delivery over several batches, by ids that are kept for a time."""
+    deliveries = in_batches(spark, sf_dir, id=F.floor(F.col("event_id") / 3).cast("string"), payload=F.col("event_type")).where("event_id >= 0")
+    with C.state_store(spark, idle=False):
+        return S.finished(C.remembered(deliveries), "remembered").select("id")

@@ -22,9 +22,10 @@ from tessera.sources.shared import fresh
 LATE = "1 day"
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stream of parquet files; timestamps without a zone become instants in UTC, as watermarks need them."""
-    rows = spark.readStream.schema(schema).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int | None = None) -> DataFrame:
+    """A stream of parquet files, ``files`` of them a batch if given; timestamps without a zone become instants in UTC, as watermarks need them."""
+    reader = spark.readStream.schema(schema)
+    rows = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return rows.select(*[F.col(f.name).cast("timestamp").alias(f.name) if isinstance(f.dataType, T.TimestampNTZType) else F.col(f.name) for f in schema.fields])
 
 

@@ -258,3 +258,16 @@ def quoted_url(base: str, path: str | Column) -> Column:
 def is_test_path(path: str | Column) -> Column:
     """A file below tests, test or __tests__, or named like a test."""
     return _c(path).rlike(r"(^|/)(tests|test|__tests__)/|(^|/)(test_[^/]*\.py|[^/]*_test\.py|[^/]*\.(test|spec)\.tsx?)$")
+
+
+# fixed values: the fields that a log may hold
+LOGGED = (
+    "method", "route", "status", "duration_ms", "kind", "outcome", "attempt", "provider", "queued_jobs", "oldest_runnable_job_age_seconds", "database_revision", "release_revision",
+    "commit", "reported_commit", "object_key", "bytes", "pruned",
+)
+
+
+def log_entry(fields: str | Column) -> Column:
+    """``name=value`` of the fields of a map that may be logged, by name; all others are left out, whatever they hold."""
+    kept = F.map_filter(_c(fields), lambda k, v: k.isin(*LOGGED) & v.isNotNull())
+    return F.array_join(F.transform(F.array_sort(F.map_keys(kept)), lambda k: F.concat(k, F.lit("="), F.element_at(kept, k))), ",")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+DELIVERY_DAYS = 14
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -320,6 +321,18 @@ def access_views(repositories: DataFrame, keep_days: int) -> DataFrame:
     return repositories.select("repository_id", access.alias("access"), purge.alias("purge_after"), F.when(F.col("access_state") == "paused", "paused").otherwise("on").alias("updates"))
 
 
+def expired_records(sessions: DataFrame, keys: DataFrame, deliveries: DataFrame, now: str, days: int = DELIVERY_DAYS) -> DataFrame:
+    """``(what, id)``: sessions past their time or revoked, idempotency keys past their time, and deliveries older than ``days``."""
+    at = F.lit(now).cast("timestamp_ntz")
+    old = {
+        "session": sessions.where((F.col("expires_at") < at) | F.col("revoked_at").isNotNull()),
+        "key": keys.where(F.col("expires_at") < at),
+        "delivery": deliveries.where(F.col("received_at") < at - F.expr(f"INTERVAL {days} DAYS")),
+    }
+    parts = [df.select(F.lit(what).alias("what"), F.col("id").cast("string").alias("id")) for what, df in old.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def audit_events(attempts: DataFrame) -> DataFrame:
     """One row of the audit log for each attempt ``(at, actor, action, resource, allowed)``; what was not allowed is a denial."""
     action = F.when(F.col("allowed"), F.col("action")).otherwise("access_denied")

@@ -21,6 +21,11 @@ SYMBOL_SPAN = 120
 MAX_TERMS = 64
 
 
+def in_snapshot(files: DataFrame, snapshot: str) -> DataFrame:
+    """The files of one snapshot: what each search of contents reads."""
+    return files.where(F.col("snapshot_id") == snapshot)
+
+
 def line_search(files: DataFrame, query: str, limit: int) -> DataFrame:
     """``(path, line, snippet)`` of the first ``limit`` lines, by path and line, that contain ``query``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.operators import operations as O
 from tessera.plans.common import Registry
 from tessera.sources.shared import fresh
@@ -213,6 +214,25 @@ def other_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.other_expired(runs, snapshots, "1995-06-01 00:00:00")
 
 
+@query("""SELECT 'session' AS what, CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' OR o_orderkey % 7 = 0
+UNION ALL SELECT 'key', l_orderkey || ':' || l_linenumber FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01'
+UNION ALL SELECT 'delivery', CAST(event_id AS VARCHAR) FROM events WHERE ts < TIMESTAMP '1995-06-01' - INTERVAL 14 DAY + INTERVAL 10461 DAY""")
+def expired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sessions, their lines as idempotency keys, and events, moved back by as many days, as deliveries."""
+    sessions = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("expires_at"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderdate")).alias("revoked_at"))
+    keys = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.col("l_shipdate").alias("expires_at"))
+    deliveries = events(spark, sf_dir).select(F.col("event_id").alias("id"), (F.col("ts") - F.expr("INTERVAL 10461 DAYS")).alias("received_at"))
+    return O.expired_records(sessions, keys, deliveries, "1995-06-01 00:00:00")
+
+
+@query("SELECT event_id, 'bytes=' || (event_id % 90) || ',kind=' || event_type || CASE WHEN event_id % 2 = 0 THEN ',status=' || (event_id % 5) ELSE '' END AS entry FROM events")
+def log_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of what is to be logged with each event, the fields that may be."""
+    i = F.col("event_id")
+    fields = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("token"), F.col("props"), F.lit("bytes"), (i % 90).cast("string"), F.lit("user"), F.col("user_id").cast("string"), F.when(i % 2 == 0, "status").otherwise("Status"), (i % 5).cast("string"))
+    return table(spark, sf_dir, "events", "event_id", "event_type", "props", "user_id").select("event_id", X.log_entry(fields).alias("entry"))
+
+
 @query("""SELECT o_orderkey AS review, CASE o_orderkey % 6 WHEN 0 THEN 'running' WHEN 1 THEN 'running' WHEN 2 THEN CASE WHEN o_custkey % 2 = o_orderkey % 5 % 2 THEN 'current' ELSE 'outdated' END WHEN 3 THEN 'failed' WHEN 4 THEN 'failed' ELSE 'queued' END AS state FROM orders""")
 def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")

@@ -57,7 +57,7 @@ def score_sql(rows: str, text: str, query: str) -> str:
 scored AS (SELECT * EXCLUDE (g, q, hits), {similarity_sql("list_distinct(g)", "q")} AS whole, coalesce(list_max(flatten(list_transform(hits, lambda i: list_transform(list_filter(hits, lambda j: j >= i), lambda j: {stretch})))), 0.0) AS part FROM ga)"""
 
 
-QUERY, LIMIT = "license", 50
+QUERY, LIMIT, SNAPSHOT = "license", 50, "src3"
 
 
 @query(f"""
@@ -71,6 +71,24 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.line_search(files(spark, sf_dir), QUERY, LIMIT)
 
 
+@query(f"""
+WITH {FILES_SQL}, l AS (SELECT path, unnest({lines_sql("content")}) AS line, generate_subscripts({lines_sql("content")}, 1) AS n FROM files WHERE snapshot_id = '{SNAPSHOT}'),
+hit AS (SELECT path, n, line, rtrim(ltrim(line)) AS t, instr(lower(line), '{QUERY}') - 1 - (length(line) - length(ltrim(line))) AS p FROM l WHERE contains(lower(line), '{QUERY}')),
+cut AS (SELECT path, n, t, greatest(0, least(p - 100, length(t) - 300)) AS s FROM hit)
+SELECT path, CAST(n AS INT) AS line, CASE WHEN length(t) <= 300 THEN t ELSE
+  (CASE WHEN s > 0 THEN '…' ELSE substring(t, 1, 1) END) || substring(t, s + 2, 298) || (CASE WHEN s + 300 < length(t) THEN '…' ELSE substring(t, s + 300, 1) END) END AS snippet
+FROM cut ORDER BY path, n LIMIT {LIMIT}""")
+def search_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in one snapshot."""
+    return R.line_search(R.in_snapshot(files(spark, sf_dir), SNAPSHOT), QUERY, LIMIT)
+
+
+@query()
+def neutral_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a line of Markdown each that does nothing when shown."""
+    return files(spark, sf_dir).select("file_id", X.neutral_markdown("content", True).alias("line"))
+
+
 PATH_QUERY = "en/doc_12"
 
 

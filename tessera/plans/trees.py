@@ -89,9 +89,11 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.diff_sizes(diff_hunks(spark, sf_dir))
 
 
-@query(f"WITH {TREES_SQL} SELECT c.path, CAST(1 AS BIGINT) AS additions, CAST(0 AS BIGINT) AS deletions FROM changes c WHERE change = 'modified'")
+@query(f"""WITH {TREES_SQL}, l AS (SELECT c.path, {lines_sql("b.content")}[-3:] AS l FROM changes c JOIN base b ON b.path = c.path WHERE change = 'modified')
+SELECT path, 1 AS hunks, 1 AS additions, 0 AS deletions, round((list_sum(list_transform(l, lambda x: length(x) + 2)) + length('Added line token_name here.') + 2) / 3.5, 6) AS tokens FROM l""")
 def diff_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sizes(spark, sf_dir).select("path", "additions", "deletions")
+    """Each changed text has a line more at its end: three lines before it and the line itself are its hunk."""
+    return sizes(spark, sf_dir).withColumn("tokens", F.round("tokens", 6))
 
 
 @query()
@@ -181,12 +183,33 @@ n AS (SELECT path, o FROM (SELECT path, regexp_extract(string_split(path, '/')[-
 b AS (SELECT path, 'refers to ' || first AS reason, names FROM h UNION ALL SELECT path, 'named after ' || o, 0 FROM n)
 SELECT path, reason, names, CAST(row_number() OVER (ORDER BY names DESC, path) AS INT) AS place FROM b QUALIFY place <= 40""")
 def candidate_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, names = tested(spark, sf_dir)
+    return T.candidate_tests(f, f.where("doc_id % 9 = 2"), names, 40)
+
+
+def tested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as sources and tests, and the names that changed."""
     i = F.col("doc_id")
     path = F.when(i % 4 == 0, F.concat(F.lit("tests/test_d"), i % 90, F.lit("_"), i, F.lit(".py"))).when(i % 4 == 1, F.concat(F.lit("tests/test_d"), i + 1, F.lit(".py"))).otherwise(F.concat(F.lit("src/d"), i, F.lit(".py")))
     f = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", path.alias("path"), F.col("text").alias("content"))
     words = F.filter(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.length(x) >= 11)
-    names = table(spark, sf_dir, "benchmark", "text").select(F.explode(words).alias("name"))
-    return T.candidate_tests(f, f.where("doc_id % 9 = 2"), names, 40)
+    return f, table(spark, sf_dir, "benchmark", "text").select(F.explode(words).alias("name"))
+
+
+@query(f"""WITH {TESTED_SQL}, w AS (SELECT DISTINCT path, unnest(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM t), h AS (SELECT path, count(*) AS names FROM w JOIN nm USING (name) GROUP BY path),
+s AS (SELECT regexp_replace(string_split(path, '/')[-1], '^(.+)\\.[^.]*$', '\\1') AS subject FROM c WHERE path NOT LIKE 'tests/%' GROUP BY 1),
+n AS (SELECT path FROM (SELECT path, regexp_extract(string_split(path, '/')[-1], '^test_(.+)\\.py$', 1) AS subject FROM t WHERE path NOT IN (SELECT path FROM h)) JOIN s USING (subject)),
+b AS (SELECT path, row_number() OVER (ORDER BY names DESC, path) AS place FROM (SELECT path, names FROM h UNION ALL SELECT path, 0 FROM n) QUALIFY place <= 5),
+fl AS (SELECT path, {lines_sql("content")} AS l FROM f JOIN b USING (path)), e AS (SELECT path, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM fl),
+m AS (SELECT DISTINCT path, n FROM (SELECT path, n, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM e) JOIN nm USING (name)),
+tw AS (SELECT path, min(n) AS a, max(n) AS z FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY path ORDER BY n) <= 2) GROUP BY path),
+p AS (SELECT path, l, CASE WHEN a IS NULL THEN 1 ELSE greatest(1, a - 6) END AS s, CASE WHEN a IS NULL THEN least(len(l), 13) ELSE least(len(l), z + 6, greatest(1, a - 6) + 39) END AS e FROM fl LEFT JOIN tw USING (path) WHERE len(l) > 0)
+SELECT path, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line, sha256(array_to_string(l[s:e], '\n')) AS excerpt_sha256 FROM p""")
+def candidate_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The excerpts of the first five candidate tests, around the changed names that they hold."""
+    f, names = tested(spark, sf_dir)
+    first = T.candidate_tests(f, f.where("doc_id % 9 = 2"), names, 5)
+    return T.excerpts(first, f, names).withColumn("excerpt_sha256", F.sha2("excerpt", 256)).drop("excerpt")
 
 
 @query("""WITH r AS (SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS repository_id, l_partkey % 50 AS commit, l_linenumber % 2 AS version FROM lineitem)

@@ -314,6 +314,14 @@ def test_markdown_does_nothing(spark):
     assert got == {c: (markdown_model(c), markdown_model(c, True)) for c in cases}
 
 
+def test_neutral_markdown_query(spark, sf_dir):
+    from tessera.plans import retrieval as plans
+
+    texts = {r.file_id: r.content for r in plans.files(spark, sf_dir).collect()}
+    got = {r.file_id: r.line for r in plans.neutral_markdown(spark, sf_dir).collect()}
+    assert got == {i: markdown_model(t, True) for i, t in texts.items()}
+
+
 def test_word_similarity(spark):
     def grams(t):
         return [f"  {w} "[i : i + 3] for w in re.findall(r"[a-z0-9]+", t.lower()) for i in range(len(w) + 1)]

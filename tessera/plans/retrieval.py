@@ -351,6 +351,22 @@ def symbol_token_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exact_candidates(R.identifier_tokens(asked(spark, sf_dir)), forms, "path", "line", "name")
 
 
+NAMED = " or attionbox.attion_m, TherheanBox"
+
+
+@query(f"""WITH {DECLARED_SQL}, {TOKENS_SQL.replace("Thation-x", "Thation-x" + NAMED)},
+forms AS (SELECT path, qualified_name, start_line, name AS form FROM declared UNION SELECT path, qualified_name, start_line, qualified_name FROM declared),
+s AS (SELECT question_id, path, qualified_name, start_line, n, round(CASE WHEN form = token THEN 1.0 ELSE 0.8 END::DOUBLE * CASE WHEN regexp_matches(token, {_ident}) THEN 1.0 ELSE 0.5 END::DOUBLE, 9) AS score FROM tokens JOIN forms ON lower(form) = lower(token)),
+b AS (SELECT question_id, path, qualified_name, start_line, max(score) AS score, arg_max(n, (score, -n)) AS n FROM s GROUP BY ALL)
+SELECT question_id, path, qualified_name, start_line, score, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, n, path, qualified_name, start_line) AS INT) AS place FROM b QUALIFY place <= 20""")
+def qualified_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations whose name or qualified name a question holds."""
+    own = asked(spark, sf_dir).withColumn("question", F.concat("question", F.lit(NAMED)))
+    names = F.explode(F.array_distinct(F.array("name", "qualified_name")))
+    forms = symbols_table(spark, sf_dir).select("path", "qualified_name", "start_line", names.alias("form"), F.lit(1.0).alias("weight"))
+    return R.exact_candidates(R.identifier_tokens(own), forms, "path", "qualified_name", "start_line")
+
+
 @query(f"""WITH {CANDIDATES_SQL}, t AS (SELECT question_id, item, place, item IN (SELECT path FROM symr s WHERE s.question_id = p.question_id) AS symbol FROM placed p)
 SELECT question_id, item, CAST(row_number() OVER (PARTITION BY question_id ORDER BY NOT symbol, place) AS INT) AS place FROM t""")
 def symbol_first(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,3 +236,53 @@ def cited_labels(results: DataFrame, *keys: str, json: str = "result", name: str
     labels = F.array_sort(F.collect_set(F.struct(F.length("label").alias("n"), F.col("label").alias("label"))))
     labelled = F.filter(labels, lambda x: x["label"].isNotNull())
     return found.groupBy(*keys).agg(F.transform(labelled, lambda x: x["label"]).alias("labels"))
+
+
+def listed(df: DataFrame, name: str, by: str, *keys: str) -> DataFrame:
+    """``(*keys, name)``: all other columns of ``df`` as one list for each key, in order of ``by``, a place that no two rows of a key share."""
+    own = [c for c in df.columns if c not in (*keys, by)]
+    rows = F.array_sort(F.collect_list(F.struct(F.col(by).alias("__by"), F.struct(*own).alias("__row"))))
+    return df.groupBy(*keys).agg(F.transform(rows, lambda x: x["__row"]).alias(name))
+
+
+def review_results(reviews: DataFrame, risks: DataFrame, rules: DataFrame, points: DataFrame, checklist: DataFrame, reviewed: DataFrame, *keys: str) -> DataFrame:
+    """``(*keys, result)``: the stored result of each of ``reviews`` (*keys, overview, partial, changed_files, omitted), as JSON.
+
+    ``risks`` (*keys, position, severity, title) are the model's, ``rules`` (*keys, position, title, path) count as high and come
+    after them; they are numbered R1, R2, ... by severity and then position. ``points`` (*keys, position, area, text) are grouped by
+    area, areas in order of their first point. ``checklist`` (*keys, position, text, paths, risk_indexes) keeps the names of
+    ``reviewed`` files (*keys, name, path), as their paths, and the identifiers of the risks at its positions, each once; an
+    item with neither is left out, and counted as omitted. A review has a bounded number of each.
+    """
+    model = risks.select(*keys, "position", "severity", "title", F.lit("model").alias("origin"), F.lit(None).cast("string").alias("path"), F.lit(0).alias("turn"))
+    rule = rules.select(*keys, "position", F.lit("high").alias("severity"), "title", F.lit("rule").alias("origin"), "path", F.lit(1).alias("turn"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(severity_rank(F.col("severity")), "turn", "position"))
+    numbered = model.unionByName(rule).withColumn("number", number).withColumn("id", F.concat(F.lit("R"), F.col("number").cast("string")))
+    told = listed(numbered.select(*keys, "number", "id", "severity", "title", "origin", "path"), "risks", "number", *keys)
+
+    grouped = grouped_by_area(points.withColumn("point", F.col("text")), F.col("area"), *keys)
+    summary = listed(grouped, "summary", "place", *keys)
+
+    item = [*keys, "position"]
+    once = lambda name: F.transform(F.array_sort(F.collect_list(F.struct("__at", F.col("__told").alias("told")))), lambda x: x["told"]).alias(name)
+    named = checklist.select(*item, F.posexplode("paths").alias("__at", "name")).join(reviewed.select(*keys, "name", F.col("path").alias("__told")), [*keys, "name"])
+    paths = named.groupBy(*item, "__told").agg(F.min("__at").alias("__at")).groupBy(*item).agg(once("kept_paths"))
+    at = checklist.select(*item, F.posexplode("risk_indexes").alias("__at", "__index"))
+    meant = at.join(numbered.where("turn = 0").select(*keys, F.col("position").alias("__index"), F.col("id").alias("__told")), [*keys, "__index"])
+    ids = meant.groupBy(*item, "__told").agg(F.min("__at").alias("__at")).groupBy(*item).agg(once("risk_ids"))
+    empty = F.array().cast("array<string>")
+    items = checklist.select(*item, "text").join(paths, item, "left").join(ids, item, "left").select(*item, "text", F.coalesce("kept_paths", empty).alias("paths"), F.coalesce("risk_ids", empty).alias("risk_ids"))
+    judged = items.withColumn("stays", (F.size("paths") > 0) | (F.size("risk_ids") > 0))
+    dropped = judged.groupBy(*keys).agg(F.count_if(~F.col("stays")).alias("__dropped"))
+    kept = listed(judged.where("stays").drop("stays"), "checklist", "position", *keys)
+
+    files = reviewed.groupBy(*keys).agg(F.count_distinct("path").alias("__files"))
+    joined = reviews
+    for part in (told, summary, kept, dropped, files):
+        joined = joined.join(part, list(keys), "left")
+    whole = F.struct(
+        F.struct(F.coalesce(F.get("risks", F.lit(0))["severity"], F.lit("none")).alias("level"), F.col("partial")).alias("overall_risk"), "overview",
+        *(F.coalesce(F.col(c), F.array().cast(joined.schema[c].dataType)).alias(c) for c in ("summary", "risks", "checklist")),
+        F.struct("changed_files", F.coalesce("__files", F.lit(0)).alias("reviewed_files")).alias("coverage"), (F.col("omitted") + F.coalesce("__dropped", F.lit(0))).alias("omitted_items"),
+    )
+    return joined.select(*keys, F.to_json(whole, {"ignoreNullFields": "false"}).alias("result"))

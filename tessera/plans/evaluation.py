@@ -226,3 +226,20 @@ def renumbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, n = lines_once(spark, sf_dir), F.col("n")  # noqa: E741
     items = l.select("review", n.alias("item"), F.array(n % 4, F.lit(0), n - 1).alias("indexes"))
     return V.renumbered(items, l.where("pk % 3 > 0").select("review", (n - 1).alias("position")), "review").withColumn("indexes", F.array_join(F.transform("indexes", lambda x: x.cast("string")), ","))
+
+
+@query()
+def review_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviews: their lines are risks, points and items of the checklist."""
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").select(F.col("o_orderkey").alias("review"), F.concat(F.lit("Order "), "o_orderkey").alias("overview"), (F.col("o_orderstatus") == "P").alias("partial"), (F.col("o_orderkey") % 9).alias("changed_files"), (F.col("o_orderkey") % 3).alias("omitted"))
+    l, n = lines_once(spark, sf_dir), F.col("n")  # noqa: E741
+    lines = l.select("review", n.cast("int").alias("position"), "pk", "sk", "q", F.concat(F.lit("line "), n.cast("string")).alias("text"))
+    severity = F.when(F.col("q") > 40, "high").when(F.col("q") > 20, "medium").otherwise("low")
+    risks = lines.where("pk % 3 > 0").select("review", "position", severity.alias("severity"), F.col("text").alias("title"))
+    rules = lines.where("pk % 7 = 0").select("review", "position", F.lit("Credential file changed").alias("title"), F.concat(F.lit(".env"), F.col("position").cast("string")).alias("path"))
+    points = lines.select("review", "position", F.concat(F.lit("area"), (F.col("sk") % 3).cast("string")).alias("area"), "text")
+    path = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    paths = F.when(F.col("sk") % 2 == 0, F.array(path(F.col("position")), path(F.col("position") + 1), F.concat(F.lit("old"), F.col("position").cast("string")))).otherwise(F.array().cast("array<string>"))
+    checklist = lines.select("review", "position", "text", paths.alias("paths"), F.array(F.col("position") + 1, F.lit(1), F.col("position") + 1).alias("risk_indexes"))
+    reviewed = lines.where("position % 2 = 1").select("review", F.explode(F.array(path(F.col("position")), F.concat(F.lit("old"), F.col("position").cast("string")))).alias("name"), path(F.col("position")).alias("path"))
+    return V.review_results(orders, risks, rules, points, checklist, reviewed, "review")

@@ -420,6 +420,38 @@ def test_faults_of_citations(spark):
     assert got == {(1, 2): ([], True), (1, 3): (["E9", "E8"], False), (1, 4): ([], True), (1, 5): ([], True), (2, 1): (["E1"], True)}
 
 
+def test_review_results_query(spark, sf_dir):
+    """Each review's result made again from its rows."""
+    from tessera.plans import evaluation as plans
+    from tessera.sources.tables import lines_once, table
+
+    lines = {}
+    for r in lines_once(spark, sf_dir).collect():
+        lines.setdefault(r.review, []).append(r)
+    got = {r.review: json.loads(r.result) for r in plans.review_results(spark, sf_dir).collect()}
+    rank = {"high": 0, "medium": 1, "low": 2}
+    for o in table(spark, sf_dir, "orders").collect():
+        own = sorted(lines.get(o.o_orderkey, []), key=lambda r: r.n)
+        risks = [{"severity": "high" if r.q > 40 else "medium" if r.q > 20 else "low", "title": f"line {r.n}", "origin": "model", "path": None, "at": r.n} for r in own if r.pk % 3]
+        risks += [{"severity": "high", "title": "Credential file changed", "origin": "rule", "path": f".env{r.n}", "at": None} for r in own if r.pk % 7 == 0]
+        risks = [{"id": f"R{i}", **r} for i, r in enumerate(sorted(risks, key=lambda r: rank[r["severity"]]), 1)]
+        ids = {r["at"]: r["id"] for r in risks if r["at"]}
+        names = {name: f"p{r.n}" for r in own if r.n % 2 for name in (f"p{r.n}", f"old{r.n}")}
+        items = []
+        for r in own:
+            paths = list(dict.fromkeys(names[p] for p in ([f"p{r.n}", f"p{r.n + 1}", f"old{r.n}"] if r.sk % 2 == 0 else []) if p in names))
+            items.append({"text": f"line {r.n}", "paths": paths, "risk_ids": list(dict.fromkeys(ids[i] for i in (r.n + 1, 1) if i in ids))})
+        kept = [i for i in items if i["paths"] or i["risk_ids"]]
+        areas = {}
+        for r in own:
+            areas.setdefault(f"area{r.sk % 3}", []).append(f"line {r.n}")
+        assert got[o.o_orderkey] == {
+            "overall_risk": {"level": risks[0]["severity"] if risks else "none", "partial": o.o_orderstatus == "P"}, "overview": f"Order {o.o_orderkey}", "summary": [{"area": a, "points": p} for a, p in areas.items()],
+            "risks": [{k: v for k, v in r.items() if k != "at"} for r in risks], "checklist": kept, "coverage": {"changed_files": o.o_orderkey % 9, "reviewed_files": len(set(names.values()))},
+            "omitted_items": o.o_orderkey % 3 + len(items) - len(kept),
+        }, o.o_orderkey
+
+
 def test_positions_after_rows_went(spark):
     items = rows(spark, "k int, item int, indexes array<int>", (1, 1, [0, 2, 3]), (1, 2, [1]), (1, 3, None), (2, 1, [0, 0]))
     kept = rows(spark, "k int, position int", (1, 0), (1, 3), (2, 0))

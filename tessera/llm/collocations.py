@@ -3,7 +3,8 @@
 A pass over the texts counts the k-grams of which both overlapping (k-1)-grams are frequent; others can't be.
 The frequent (k-1)-grams are sent to the tasks as a bit set of bounded size, whatever their number: a bit that is set
 by chance lets a k-gram be counted that the count itself then drops, so the tables are exact at every size.
-Texts are coded as numbers of a block of words, and blocks are counted by sorting; blocks' counts are added up by Spark.
+The words of a block of texts are hashed at once, and the block's k-grams are counted by sorting their hashes; two hashes of
+64 bits tell them apart. Blocks' counts are added up by Spark, by the phrases themselves.
 """
 
 from __future__ import annotations
@@ -11,118 +12,128 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bits import bit_set, is_set
 from tessera.llm.common import bounded_batches, materialize, text_or_empty
+from tessera.llm.words import hashed, joined, spread, stretches
 
 LEAST_COUNT, LONGEST, SCALE, REPORTED = 30, 4, 2_000_000, 2000
 #: A phrase goes where a longer one has so many hundredths of its occurrences.
 CONTAINED = 80
 NO_LANG = "und"
-#: Words that a task holds before it counts them.
-HELD_WORDS = 2_000_000
-BREAK = b"\xff"  # stands in no UTF-8 text
-TABLE = bytes(ord(BREAK) if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of texts that a task holds before it counts them; a longer text is a block by itself.
+HELD_BYTES = 8 << 20
+ROWS = 50_000
+# what a byte is: 0 of a word, 1 between words, 2 between pieces
+KINDS = np.array([2 if b in b".,;:!?\n\v\f\r" else 1 if b in b" \t" else 0 for b in range(256)], np.uint8)
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 COUNTS = "lang string, phrase string, n long"
 
 
-def pieces(text: str) -> list[bytes]:
-    """The lower-cased words of a text in order, with ``BREAK`` between its pieces and at its end."""
-    return (text.encode().translate(TABLE).replace(BREAK, b" " + BREAK + b" ") + b" " + BREAK).split()
+class Words:
+    """The words of texts of one language: where they stand in the lower-cased bytes, in which piece, and two hashes of each."""
 
+    def __init__(self, texts: list[bytes], lang: str):
+        # a text's end ends a piece; the last byte is there to be read behind the last word
+        self.octets = LOWER[np.frombuffer(b"\n".join([*texts, b""]) or b"\n", np.uint8)]
+        kinds = KINDS[self.octets]
+        self.starts, self.lengths = stretches(kinds == 0)
+        self.piece = np.cumsum(kinds == 2)[self.starts]
+        self.lang = lang
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    def hashes(self, turn: int) -> np.ndarray:
+        return hashed(self.octets, self.starts, self.lengths, xxhash.xxh64_intdigest(self.lang, turn))
 
+    def phrases(self, at: np.ndarray, k: int) -> pa.Array:
+        """The phrases of ``k`` words that start at the words ``at``, joined by blanks."""
+        places = at[:, None] + np.arange(k)
+        lengths = self.lengths[places]
+        lengths[:, :-1] += 1
+        ends = np.cumsum(lengths.ravel())
+        made = self.octets[spread(self.starts[places].ravel(), lengths.ravel())]
+        made[(ends.reshape(-1, k)[:, :-1] - 1).ravel()] = 32
+        offsets = np.concatenate(([0], ends[k - 1 :: k])).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(made)])
 
-def word_hashes(words: list[bytes], lang: str) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang) & 0xFFFFFFFF
-    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
 
+def chained(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of all runs of ``k`` words."""
+    return reduce(joined, (hashes[i : len(hashes) - k + 1 + i] for i in range(k)))
 
-def joined(hashes: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """The hashes of phrases that one more word follows."""
-    return mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + following)
 
+def told_apart(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct pair of hashes stands first, and how often it stands."""
+    _, at, slot, n = np.unique(first, return_index=True, return_inverse=True, return_counts=True)
+    if (second[at][slot] != second).any():
+        _, at, n = np.unique(np.stack((first, second), axis=1), axis=0, return_index=True, return_counts=True)
+    return at, n
 
-def hashed(grams: DataFrame) -> DataFrame:
-    """``(hash)`` of phrases ``(lang, phrase)``, as :func:`joined` makes them word by word."""
+
+def counted_block(words: Words, k: int, frequent: np.ndarray | None) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Phrases of ``k`` words of a block, and how often each stands there; some rows at a time."""
+    if len(words.starts) < k:
+        return
+    first, second = words.hashes(0), words.hashes(1)
+    if k == 1:
+        places = np.arange(len(first))
+    else:
+        shorter = is_set(frequent, chained(first, k - 1))
+        places = np.flatnonzero(shorter[:-1] & shorter[1:] & (words.piece[: len(words.piece) - k + 1] == words.piece[k - 1 :]))
+    at, n = told_apart(chained(first, k)[places], chained(second, k)[places])
+    for low in range(0, len(at), ROWS):
+        yield words.phrases(places[at[low : low + ROWS]], k), n[low : low + ROWS]
+
+
+def hashed_phrases(grams: DataFrame, k: int) -> DataFrame:
+    """``(hash)`` of phrases ``(lang, phrase)`` of ``k`` words, as the texts' are made."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.zeros(batch.num_rows, np.uint64)
-            for i, (lang, phrase) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                own = word_hashes(phrase.encode().split(b" "), lang)
-                made[i] = reduce(joined, (own[k : k + 1] for k in range(len(own))))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=["hash"])
+            by_lang = defaultdict(list)
+            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang[lang].append(phrase.encode())
+            for lang, phrases in by_lang.items():
+                own = Words(phrases, lang).hashes(0).reshape(-1, k)
+                made = reduce(joined, (own[:, i] for i in range(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64))], names=["hash"])
 
     return grams.select("lang", "phrase").mapInArrow(make, "hash long")
 
 
-def counted_block(lang: str, coded: np.ndarray, words: list[bytes], k: int, frequent: np.ndarray | None) -> tuple[pa.Array, np.ndarray]:
-    """Phrases of ``k`` words of a block, and how often each stands there; word 0 is the break."""
-    names = pa.array([w.decode() if i else "" for i, w in enumerate(words)], pa.string())
-    if k == 1:
-        n = np.bincount(coded, minlength=len(words))
-        n[0] = 0
-        at = np.flatnonzero(n)
-        return names.take(pa.array(at)), n[at]
-    own = word_hashes(words, lang)[coded]
-    hashes, inside = own, coded != 0
-    for size in range(1, k - 1):  # of the (k-1)-gram at each place
-        hashes = joined(hashes[:-1], own[size:])
-        inside = inside[:-1] & (coded[size:] != 0)
-    inside &= is_set(frequent, hashes)
-    at = np.flatnonzero(inside[:-1] & inside[1:])
-    ids = coded[at]
-    for size in range(1, k):  # exact numbers of phrases in this block, one word longer each time
-        ids = np.unique((ids << 32) | coded[at + size], return_inverse=True)[1]
-    _, first, n = np.unique(ids, return_index=True, return_counts=True)
-    parts = [names.take(pa.array(coded[at[first] + i])) for i in range(k)]
-    return pc.binary_join_element_wise(*parts, " "), n
-
-
 def grams(docs: DataFrame, k: int, frequent: np.ndarray | None = None) -> DataFrame:
     """``(lang, phrase, n)``: the k-grams of ``(lang, text)`` whose (k-1)-grams are ``frequent``; for words also a null phrase with all occurrences."""
     spark = docs.sparkSession
     sent = None if frequent is None else spark.sparkContext.broadcast(frequent)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[defaultdict, list[np.ndarray]]] = {}
-        n = 0
+        held: defaultdict[str, list[bytes]] = defaultdict(list)
+        size = 0
+
+        def row(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for lang, (ids, arrays) in held.items():
-                coded = np.concatenate(arrays)
-                phrases, times = counted_block(lang, coded, list(ids), k, sent and sent.value)
+            for lang, texts in held.items():
+                words = Words(texts, lang)
+                for phrases, n in counted_block(words, k, sent and sent.value):
+                    yield row(lang, phrases, n)
                 if k == 1:
-                    phrases, times = pa.concat_arrays([phrases, pa.nulls(1, pa.string())]), np.append(times, times.sum())
-                for low in range(0, len(phrases), 50_000):
-                    some = phrases.slice(low, 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(times[low : low + 50_000])], names=["lang", "phrase", "n"])
+                    yield row(lang, pa.nulls(1, pa.string()), np.array([len(words.starts)]))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if lang not in held:
-                    ids = defaultdict(count(1).__next__)
-                    ids[BREAK] = 0
-                    held[lang] = (ids, [np.zeros(1, np.int64)])
-                ids, arrays = held[lang]
-                own = pieces(text.as_py())
-                arrays.append(np.fromiter(map(ids.__getitem__, own), np.int64, len(own)))
-                n += len(own)
-                if n >= HELD_WORDS:
+                held[lang].append(text.as_buffer().to_pybytes() if text.is_valid else b"")
+                size += len(held[lang][-1]) + 1
+                if size >= HELD_BYTES:
                     yield from counted()
-                    held, n = {}, 0
+                    held.clear()
+                    size = 0
         yield from counted()
 
     bounded_batches(spark)
@@ -162,7 +173,7 @@ def frequent_grams(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LON
         n = level.count()
         if not n:
             break
-        level = materialize(grams(own, k, bit_set(hashed(level), n)).where(F.col("n") >= least), f"grams-{k}")
+        level = materialize(grams(own, k, bit_set(hashed_phrases(level, k - 1), n)).where(F.col("n") >= least), f"grams-{k}")
         levels = levels.unionByName(level)
     return levels, words.where("phrase is null").select("lang", "n")
 

@@ -25,18 +25,34 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * FACTOR + b)
 
 
-def _hashed(octets: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def stretches(inside: np.ndarray, edges: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(starts, lengths)`` of the runs of bytes ``inside`` words; none goes on over one of ``edges``."""
+    before, after = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    if edges is not None:
+        before[edges[edges < len(inside)]] = False
+        after[edges[edges > 0] - 1] = False
+    starts = np.flatnonzero(inside & ~before)
+    return starts, np.flatnonzero(inside & ~after) + 1 - starts
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length."""
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
+
+
+def hashed(octets: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 0) -> np.ndarray:
     """A hash of each stretch of bytes; those of one length are gone through together, byte by byte."""
     order = np.argsort(-np.minimum(lengths, LONG + 1), kind="stable")
     ordered = lengths[order]
-    at, h = starts[order], ordered.astype(np.uint64)
+    at, h = starts[order], ordered.astype(np.uint64) ^ np.uint64(seed)
     longer = int(np.searchsorted(-ordered, -LONG, "left"))
     for j in range(min(LONG, int(ordered[0])) if len(ordered) else 0):
         upto = int(np.searchsorted(-ordered, -j, "left"))
         h[:upto] = (h[:upto] ^ octets[at[:upto] + j]) * FACTOR
         h[:upto] ^= h[:upto] >> np.uint64(29)
     for i in range(longer):
-        h[i] = xxhash.xxh64_intdigest(octets[at[i] : at[i] + ordered[i]].tobytes())
+        h[i] = xxhash.xxh64_intdigest(octets[at[i] : at[i] + ordered[i]].tobytes(), seed)
     out = np.empty_like(h)
     out[order] = mixed(h)
     return out
@@ -56,14 +72,8 @@ def words_of_batch(texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
         own = offsets[low : high + 1] - offsets[low]
         octets = data[offsets[low] : offsets[high]]
         inside = ~SEPARATES[octets]
-        before, after = np.zeros(len(octets), bool), np.zeros(len(octets), bool)
-        before[1:], after[:-1] = inside[:-1], inside[1:]
-        edges = own[own < len(octets)]
-        before[edges] = False
-        after[own[own > 0] - 1] = False
-        starts = np.flatnonzero(inside & ~before)
-        lengths = np.flatnonzero(inside & ~after) + 1 - starts
-        out.append((low, _hashed(octets, starts, lengths), np.searchsorted(own, starts, "right") - 1))
+        starts, lengths = stretches(inside, own)
+        out.append((low, hashed(octets, starts, lengths), np.searchsorted(own, starts, "right") - 1))
         low = high
     return out
 

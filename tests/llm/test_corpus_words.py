@@ -248,7 +248,8 @@ def test_op13_planted(spark, monkeypatch, most_bits):
 
     rows = [(rng.choice(["en", "en", "en", None, "und", ""]), text()) for _ in range(400)] + [(None, None), ("en", ""), ("de", "the the the the the the " * 40), ("en", "the " * 30_000)]
     rows += [("en", "so be it. " * 29), ("fr", "so be it. " * 30)]
-    monkeypatch.setattr(collocations, "HELD_WORDS", 700)
+    monkeypatch.setattr(collocations, "HELD_BYTES", 5000)
+    monkeypatch.setattr(collocations, "ROWS", 7)
     monkeypatch.setattr(bits, "LEAST_BITS", 64)
     real = collocations.bit_set
     monkeypatch.setattr(collocations, "bit_set", lambda grams, n: real(grams, n, most_bits))
@@ -259,6 +260,12 @@ def test_op13_planted(spark, monkeypatch, most_bits):
     assert collocations.collocations(df.limit(0)).count() == 0
 
 
+def test_op13_hashes_that_collide_are_told_apart():
+    first, second = np.array([5, 5, 7, 5, 7], np.uint64), np.array([1, 2, 3, 1, 3], np.uint64)
+    at, n = collocations.told_apart(first, second)
+    assert sorted(zip(first[at].tolist(), second[at].tolist(), n.tolist(), strict=True)) == [(5, 1, 2), (5, 2, 1), (7, 3, 2)]
+
+
 def test_op13_products_beyond_64_bits(spark):
     n = 9 * 10**12
     counts = spark.createDataFrame([("en", "a", n + 7), ("en", "b", n), ("en", "a b", n)], "lang string, phrase string, n long")

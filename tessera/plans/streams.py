@@ -90,7 +90,7 @@ def stream_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, key=F.concat_ws(":", "user_id", "event_type"), kind=F.when(i % 5 == 0, "start").otherwise("request"),
         trigger=F.when(i % 3 == 0, "push").when(i % 11 == 4, "user").otherwise("check"), commit=F.when(i % 3 == 0, F.concat(F.lit("c"), i.cast("string"))),
     )
-    with C.state_store(spark):
+    with C.state_store(spark, partitions=spark.sparkContext.defaultParallelism):
         return S.finished(C.coalesced_jobs(requests, patience=370 * 86_400), "coalescing").where("key <> 'tick'")
 
 
@@ -98,5 +98,5 @@ def stream_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of each delivery over several batches, by ids that are kept for a time."""
     deliveries = in_batches(spark, sf_dir, id=F.floor(F.col("event_id") / 3).cast("string"), payload=F.col("event_type")).where("event_id >= 0")
-    with C.state_store(spark, idle=False):
+    with C.state_store(spark, idle=False, partitions=spark.sparkContext.defaultParallelism):
         return S.finished(C.remembered(deliveries), "remembered").select("id")

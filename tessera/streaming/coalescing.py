@@ -16,12 +16,15 @@ WAITING = "event_id long, at long, trigger string, pushed string, requests long"
 
 
 @contextmanager
-def state_store(spark: SparkSession, idle: bool = True) -> Iterator[None]:
+def state_store(spark: SparkSession, idle: bool = True, partitions: int | None = None) -> Iterator[None]:
     """The store that timers and a time to live need, for the streams that start within; the session's own settings come back after.
 
     Without ``idle``, no batch runs that has no rows: a stream that counts processing time would have one after another.
+    ``partitions`` are those of the state, which a stream keeps from its first batch on: each has a store of its own.
     """
     settings = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower()}
+    if partitions:
+        settings["spark.sql.shuffle.partitions"] = str(partitions)
     before = {key: spark.conf.get(key, None) for key in settings}
     try:
         for key, value in settings.items():

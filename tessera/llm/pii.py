@@ -186,8 +186,28 @@ def described(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(make, "text_key binary, entities array<string>, terms array<string>")
 
 
+def grouped_entities(each: DataFrame, support: int) -> DataFrame:
+    """``(entity, n_entity, group)`` of the entities that stand in ``support`` texts of ``(text_key, entity)``: those that stand in the same texts are one group.
+
+    What a term discloses of an entity depends on the entity's texts alone, so a list that is repeated, however long, is one
+    group and not as many entities. Sets of texts are told apart by their number and 128 bits.
+    """
+    same = ("n_entity", "a", "b")
+    bits = [F.bit_xor(F.xxhash64(F.lit(seed), "text_key")).alias(name) for seed, name in enumerate("ab")]
+    counted = each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *bits).where(F.col("n_entity") >= support)
+    counted = materialize(counted, "entity-texts")
+    groups = counted.groupBy(*same).agg(F.min("entity").alias("group"))
+    return materialize(counted.join(groups, list(same)).select("entity", "n_entity", "group"), "entities")
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """``(text_key, entity, term, share)``: what a term discloses, ``share`` >= ``disclosure``, of an entity of the same text.
+    """``(text_key, entity, term, share)``: what a term discloses, ``share`` >= ``disclosure``, of an entity of the same text."""
+    told, entities = disclosing_groups(docs, found, texts, support, disclosure)
+    return told.join(entities.select("entity", "group"), "group").select("text_key", "entity", "term", "share")
+
+
+def disclosing_groups(docs: DataFrame, found: DataFrame, texts: DataFrame, support: int, disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """``(text_key, group, term, share)`` for groups of entities, and :func:`grouped_entities`.
 
     Pairs, entities and terms are counted over distinct texts, so copies are no evidence. As
     n(t,e) <= n(t) and n(t,e) <= n(e), no pair whose term stands in fewer than ``support`` texts, or in more than
@@ -195,9 +215,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, texts: DataFrame, suppor
     """
     parts = described(texts)
     each = parts.select("text_key", F.explode("entities").alias("entity"))
-    entities = materialize(each.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support), "entities")
+    entities = grouped_entities(each, support)
     if entities.isEmpty():
-        return each.select("text_key", "entity", F.lit("").alias("term"), F.lit(1.0).alias("share")).limit(0)
+        return each.select("text_key", F.col("entity").alias("group"), F.lit("").alias("term"), F.lit(1.0).alias("share")).limit(0), entities
     known = materialize(copies(found), "copies")
     total = F.lit(float(max(known.count(), 1)))
     most = lambda n: F.pow(total, F.lit(1 - disclosure)) * F.pow(n, F.lit(disclosure)) * 1.000001
@@ -207,21 +227,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, texts: DataFrame, suppor
     # of a thousandth of all texts are no more than a thousand times the terms of a text
     counts = materialize(counts.withColumn("n", F.col("n_term")), "term-counts")
     held = join_counted(each, entities.withColumn("n", F.col("n_entity")), "entity", "n", sizes["rows"]).where(F.col("n_entity") < total)
+    held = held.select("text_key", "group", "n_entity").distinct()
     words = join_counted(parts.select("text_key", F.explode("terms").alias("term")), counts, "term", "n", known.count())
     words = words.where(F.col("n_term") <= most(F.lit(float(sizes["most"]))))
     near = materialize(held.join(words, "text_key").where(F.col("n_term") <= most(F.col("n_entity"))), "near")
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pairs = near.groupBy("group", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
     content = -F.log2(F.col("n_entity") / total)
     gain = F.log2(total * F.col("n_pair") / (F.col("n_entity") * F.greatest("n_term", "n_pair")))
     telling = pairs.where(F.col("n_pair") >= support).withColumn("share", gain / content).where(F.col("share") >= disclosure)
-    telling = materialize(telling.select("entity", "term", "share", "n_pair"), "telling")
-    return join_counted(near.select("text_key", "entity", "term"), telling, ["entity", "term"], "n_pair", near.count())
+    telling = materialize(telling.select("group", "term", "share", "n_pair"), "telling")
+    return join_counted(near.select("text_key", "group", "term"), telling, ["group", "term"], "n_pair", near.count()), entities
 
 
 def added_spans(docs: DataFrame, found: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
     """``(text_key, added)``: for each text, sorted spans ``(kind, start, end)`` of every occurrence of its disclosing terms."""
     texts = holders(found)
-    marks = disclosing_terms(docs, found, texts, support, disclosure).groupBy("text_key", "term").agg((F.max("share") >= removal).alias("removed"))
+    told, _ = disclosing_groups(docs, found, texts, support, disclosure)
+    marks = told.groupBy("text_key", "term").agg((F.max("share") >= removal).alias("removed"))
     marked = texts.join(marks.groupBy("text_key").agg(F.collect_list(F.struct("term", "removed")).alias("marks")), "text_key")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tessera.llm import chunks, decontam, licenses, packing, pii, quality, queries, secrets, simhash, tokens
+from tessera.llm import chunks, collocations, decontam, licenses, mixing, packing, pii, quality, queries, secrets, simhash, spelling, tokens
 
 LONG = "A long text, with some words. " * 40_000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -53,11 +53,15 @@ def cases(labels, benchmark, forest, spark):
         "packing": (lambda d: packing.best_fit_packing(d, path), None),
         "contaminated": (lambda d: decontam.contaminated(d, benchmark), None),
         "decontaminate": (lambda d: decontam.decontaminate(d, benchmark), None),
+        "spelling": (spelling.spelling_variants, 1),
+        "mixture": (mixing.mixture, len(ROWS)),
+        "mixed_documents": (mixing.mixed_documents, None),
+        "collocations": (lambda d: collocations.collocations(d, least=3), None),
     }
 
 
-NAMES = ("chunks", "without_repeats", "quality", "accepted", "licenses", "secrets", "pii", "sanitise", "simhash", "one_of_each", "tokens", "packing", "contaminated", "decontaminate")
-KEEP_COLUMNS = {"without_repeats", "accepted", "sanitise", "one_of_each", "decontaminate"}
+NAMES = ("chunks", "without_repeats", "quality", "accepted", "licenses", "secrets", "pii", "sanitise", "simhash", "one_of_each", "tokens", "packing", "contaminated", "decontaminate", "spelling", "mixture", "mixed_documents", "collocations")
+KEEP_COLUMNS = {"without_repeats", "accepted", "sanitise", "one_of_each", "decontaminate", "mixed_documents"}
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -517,6 +517,24 @@ def test_op6_terms_against_brute_force(spark):
     assert set(got) == set(want) and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_op6_repeated_lists_are_no_pairs(spark, monkeypatch):
+    """Three texts with one list of addresses and names: their rows grow with the list, not with its square."""
+    real, counts = pii.materialize, {}
+
+    def counting(df, name):
+        out = real(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(pii, "materialize", counting)
+    rng = random.Random(46)
+    listed = " ".join(f"person{k}x mail{k}@mail.example.com" for k in range(400))
+    rows = [(i, f"{prose(rng, 9)} {listed} {prose(rng, 9)}") for i in range(3)] + [(10 + i, prose(rng, 30)) for i in range(300)]
+    found = {r.doc_id: r.added for r in pii.personal_data(frame(spark, rows)).collect()}
+    assert len({rows[0][1][s.start : s.end] for s in found[0]} & {f"person{k}x" for k in range(400)}) == 400 and not found[12]
+    assert counts["near"] < 3 * 700 and counts["entities"] == 400
+
+
 def test_op6_generalised_terms_name_their_kind():
     assert pii.redact("Zebulon has 42 cats", [("term_general", 0, 7), ("term_general", 12, 14), ("term_general", 15, 19)]) == "[NAME] has [NUMBER] [WORD]"
     assert pii.redact("see a@b.c now", [("email", 4, 9), ("term_removed", 10, 13)]) == "see [EMAIL] "

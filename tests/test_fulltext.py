@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.operators import fulltext, retrieval
+from tessera.plans import registry
 
 
 def model(chunks, terms, k):
@@ -74,3 +77,44 @@ def test_search_of_documents_uses_the_index(spark):
     index = fulltext.full_text_index(retrieval.window_chunks(files, 60, 10, "path"), "path", "start_line", "end_line")
     terms = retrieval.query_terms(spark.createDataFrame([(1, "what license")], "question_id int, question string"))
     assert [(r.path, round(r.score, 6)) for r in fulltext.full_text_top(index, terms, 3).collect()] == [("a", 0.1)]
+
+
+@pytest.fixture(scope="module")
+def long_texts(spark, tmp_path_factory):
+    """Texts beyond each of the store's limits: 256 places of a term, place 16,383 and 100,000 characters."""
+    at = str(tmp_path_factory.mktemp("long"))
+    texts = ["heat " * 300, "heat " * 700, "rare " * 20_000 + "heat heat", None, "", "heat\nrare"]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    asked = [(1, 0, "user", "heat"), (2, 0, "user", "where is the rare heating")]
+    spark.createDataFrame(asked, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{at}/conversations.parquet")
+    return at
+
+
+def test_full_text_search_counts_every_place_of_whole_texts(spark, long_texts):
+    found = [tuple(r) for r in registry.QUERIES["full_text_search"](spark, long_texts).select("question_id", "place", "path", "score").orderBy("question_id", "place").collect()]
+    doc = "s/en/doc_{}.txt".format
+    assert found == [
+        (1, 1, doc(1), 70.0), (1, 2, doc(0), 30.0), (1, 3, doc(2), 0.2), (1, 4, doc(5), 0.1),
+        (2, 1, doc(2), 2000.2), (2, 2, doc(1), 70.0), (2, 3, doc(0), 30.0), (2, 4, doc(5), 0.2),
+    ]
+
+
+@pytest.mark.parametrize("name", ["full_text_search", "hybrid_retrieval", "merged_ranges"])
+def test_long_texts_match_the_sql(spark, long_texts, name):
+    """Whole or within the limits, as each query's SQL has it."""
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.sql(f"create view {table} as select * from '{long_texts}/{table}.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    assert sorted(map(tuple, registry.QUERIES[name](spark, long_texts).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_long_texts_close_a_block_early(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "heat " * (i % 7)) for i in range(100)], "unit long, text string").coalesce(1)
+    asked = spark.createDataFrame([(1, "heat", False)], "q long, term string, prefix boolean")
+    told = lambda: sorted(map(tuple, fulltext.full_text_top(fulltext.full_text_index(df, "unit", whole=True), asked, 5, "q").collect()))
+    want = told()
+    assert {round(r[2], 9) for r in want} == {0.6} and len(want) == 14
+    monkeypatch.setattr(fulltext, "BLOCK_BYTES", 40)
+    assert fulltext.full_text_index(df, "unit", whole=True).count() > 2
+    assert told() == want

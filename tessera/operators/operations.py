@@ -59,13 +59,17 @@ def failing_window(failures: DataFrame, minutes: int = 60, *keys: str) -> DataFr
 
 
 def alert_conditions(failures: DataFrame, heartbeats: DataFrame, waiting: DataFrame, backups: DataFrame, now: str) -> DataFrame:
-    """One row: seconds since the last heartbeat, since the oldest runnable job, most failures in an hour, since the last backup."""
+    """One row: seconds since the last heartbeat, since the oldest runnable job, most failures in an hour, since the last backup.
+
+    The silence since the last heartbeat is rounded to the nearest second, halves to the even one; the other ages are whole seconds that have passed.
+    """
     at = F.unix_micros(F.lit(now).cast("timestamp_ntz").cast("timestamp"))
-    age = lambda c: ((at - F.unix_micros(c.cast("timestamp"))) / 1e6).cast("long")
+    seconds = lambda c: (at - F.unix_micros(c.cast("timestamp"))) / 1e6
+    age = lambda c: seconds(c).cast("long")
     since = lambda minutes: F.col("finished_at") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTES")
     # the windows of the last hour's failures reach two hours back: the single task of the window gets no more
     recent = failing_window(failures.where(since(120)), 60).where(since(60))
-    silent = heartbeats.agg(age(F.max("beat_at")).alias("worker_silence"))
+    silent = heartbeats.agg(F.rint(seconds(F.max("beat_at"))).cast("long").alias("worker_silence"))
     oldest = waiting.where(F.col("run_after") <= F.lit(now).cast("timestamp_ntz")).agg(age(F.min("run_after")).alias("oldest_runnable"))
     most = recent.agg(F.coalesce(F.max("count_in_window"), F.lit(0)).alias("failures_in_window"))
     backup = backups.agg(age(F.max("completed_at")).alias("backup_age"))

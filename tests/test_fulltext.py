@@ -118,3 +118,23 @@ def test_long_texts_close_a_block_early(spark, monkeypatch):
     monkeypatch.setattr(fulltext, "BLOCK_BYTES", 40)
     assert fulltext.full_text_index(df, "unit", whole=True).count() > 2
     assert told() == want
+
+
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_a_task_holds_no_more_than_the_best_of_a_question(spark, monkeypatch, held):
+    """Of 3,000 chunks of one score the first by name are told, and no task keeps more of them than are asked for."""
+    monkeypatch.setattr(fulltext, "HELD", held)
+    names = [f"{i * 7919 % 3000:04d}" for i in range(3000)]
+    index = fulltext.full_text_index(spark.createDataFrame([(n, "heat rare" if n < "0002" else "heat") for n in names], "unit string, text string").repartition(2), "unit")
+    assert index.count() > fulltext.LEADING  # so the longest are scored first
+    asked = spark.createDataFrame([(1, "heat", False), (2, "heat", True), (2, "rare", False), (2, "heated", True)], "q long, term string, prefix boolean")
+    found = fulltext.full_text_top(index, asked, 4, "q", ties=False)
+    assert sorted((r.q, r.unit, round(r.score, 6)) for r in found.collect()) == [(1, f"000{i}", 0.1) for i in range(4)] + [(2, f"000{i}", 0.2 if i < 2 else 0.1) for i in range(4)]
+    scorer = fulltext.Scorer(fulltext.Asked(pa.table({"q": [1], "term": ["heat"]}), "q"), 4)
+    told = fulltext.Told(scorer, ties=False)
+    for at in range(0, 3000, fulltext.BLOCK):
+        own = names[at : at + fulltext.BLOCK]
+        block_terms, *lists = fulltext.block_of([pa.array(["heat"])] * len(own))
+        told.add(pa.StructArray.from_arrays([pa.array(own)], ["unit"]), scorer.block(block_terms, *map(np.asarray, lists)))
+        assert told.held <= 2 * max(held, 4) + fulltext.BLOCK
+    assert len(told.best()) == 4

@@ -457,3 +457,23 @@ def test_positions_after_rows_went(spark):
     kept = rows(spark, "k int, position int", (1, 0), (1, 3), (2, 0))
     got = {(r.k, r.item): r.indexes for r in evaluation.renumbered(items, kept, "k").collect()}
     assert got == {(1, 1): [0, 1], (1, 2): [], (1, 3): [], (2, 1): [0, 0]}
+
+
+def test_a_hot_name_gives_its_first_units_to_the_questions(spark):
+    """A name that all files declare is joined with the questions for as many units as they can take, and the candidates stay those of all pairs."""
+    forms = [(f"p{i:03d}", form, w) for i in range(90) for form, w in (("Heat", 0.9), ("heat" if i % 2 else "HEAT", 1.0), ("Heat", 0.8))] + [("p500", "other", 1.0), ("p501", "Other", 0.8)] * 2
+    tokens = [(q, at, t, t == "HEAT") for q in range(6) for at, t in enumerate((("Heat", "other"), ("HEAT",), ("other", "heat"))[q % 3])]
+    f = spark.createDataFrame(forms, "path string, form string, weight double")
+    held = retrieval.first_of_each(f, 5, ("form", "weight"), "path")
+    assert max(r["count"] for r in held.distinct().groupBy("form", "weight").count().collect()) == 5
+    got = retrieval.exact_candidates(spark.createDataFrame(tokens, "question_id long, at int, token string, is_identifier boolean"), f, "path", most=5)
+    want = []
+    for q in range(6):
+        best = {}
+        for own, at, token, known in tokens:
+            for path, form, w in forms if own == q else []:
+                if form.lower() == token.lower():
+                    s = round(w * (1.0 if form == token else 0.8) * (1.0 if known else 0.5), 9)
+                    best[path] = max(best.get(path, (0, 0)), (s, -at))
+        want += [(q, path, s, place) for place, (path, (s, _)) in enumerate(sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0]))[:5], 1)]
+    assert sorted((r.question_id, r.path, r.score, r.place) for r in got.collect()) == sorted(want)

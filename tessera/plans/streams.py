@@ -62,8 +62,8 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-#: Files that the events are dealt to, each a batch of its own.
-BATCHES = 4
+#: Batches that the events are dealt to, and rows of a file of them.
+BATCHES, FILE_ROWS = 4, 250_000
 
 
 def in_batches(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
@@ -72,11 +72,14 @@ def in_batches(spark: SparkSession, sf_dir: str, **columns) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withColumns(columns).select("event_id", "ts", *columns)
     days = rows.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
     part = F.least(F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit(days["first"]))) / ((F.unix_timestamp(F.lit(days["last"])) - F.unix_timestamp(F.lit(days["first"]))) / BATCHES + 1)), F.lit(BATCHES - 1)).cast("int")
+    counts = {r.part: r["count"] for r in rows.groupBy(part.alias("part")).count().collect()}
+    # each batch has as many files, none of them empty unless the batch is
+    files = max(1, min(counts.get(number, 0) for number in range(BATCHES)) // FILE_ROWS)
     for number in range(BATCHES):
-        rows.where(part == number).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(part == number).repartition(files).write.mode("append").parquet(folder)
     tick = rows.limit(1).select(F.lit(-1).cast("long").alias("event_id"), (F.lit(days["last"]) + F.expr("INTERVAL 400 DAYS")).alias("ts"), *(F.lit("tick" if c == "key" else None).cast(rows.schema[c].dataType).alias(c) for c in columns))
     tick.coalesce(1).write.mode("append").parquet(folder)
-    return S.read_stream(spark, folder, rows.schema, 1)
+    return S.read_stream(spark, folder, rows.schema, files)
 
 
 @query("""WITH o AS (SELECT user_id || ':' || event_type AS key, event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'start' ELSE 'request' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'push' WHEN event_id % 11 = 4 THEN 'user' ELSE 'check' END AS trigger, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id END AS commit FROM events),

@@ -61,3 +61,20 @@ def test_an_id_comes_again_after_its_time(spark, tmp_path):
         assert len([p for p in query.recentProgress if p["numInputRows"]]) == 3
         found[name] = sorted(r.id for r in spark.read.parquet(out).collect())
     assert found["long"] == ["a", "b", "c"] and found["short"] == ["a", "a", "b", "b", "c"]
+
+
+def test_a_job_that_opens_and_expires_behind_one_watermark(spark, tmp_path):
+    """Requests of the last minutes are taken when the last watermark passes them, and their jobs have expired by then; equal rows count each."""
+    request = lambda key, n, s: (key, n, s, "request", "check", None)
+    batches = [[request("a", 1, 100), request("b", 2, 110), request("b", 2, 110), ("c", 3, 120, "start", None, None)], [request("tick", 99, 10**6)]]
+    with C.state_store(spark):
+        got = S.finished(C.coalesced_jobs(stream(spark, tmp_path, *batches), patience=3600), "jobs").where("key <> 'tick'").collect()
+    assert sorted((r.key, r.event_id, r.requests, r.ended) for r in got) == [("a", 1, 1, "expired"), ("b", 2, 2, "expired")]
+
+
+def test_a_batch_of_several_files(spark, sf_dir, monkeypatch):
+    from tessera.plans import streams
+
+    want = sorted(map(tuple, streams.stream_coalescing(spark, sf_dir).collect()), key=repr)
+    monkeypatch.setattr(streams, "FILE_ROWS", 60)
+    assert sorted(map(tuple, streams.stream_coalescing(spark, sf_dir).collect()), key=repr) == want

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json as json_
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ranges import with_meets
-from tessera.sources.shared import materialize
 
 
 def rate(hit: Column, of: Column) -> Column:
@@ -212,30 +214,51 @@ def renumbered(items: DataFrame, kept: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys, "item").agg(F.transform(own, lambda x: x["__new"]).alias("indexes"))
 
 
+def labels_of(text: str | None, name: str) -> list[str]:
+    """Every string in a list called ``name`` anywhere in a JSON text, each once, by length and then value; what is no JSON has none."""
+
+    def once(pairs: list[tuple]) -> dict:
+        made = dict(pairs)
+        if len(made) < len(pairs):
+            raise ValueError("a name stands twice")
+        return made
+
+    def refused(constant: str) -> None:
+        raise ValueError(constant)
+
+    try:
+        rest = [json_.loads(text or "", object_pairs_hook=once, parse_constant=refused)]
+    except (ValueError, RecursionError):
+        return []
+    found = set()
+    while rest:
+        value = rest.pop()
+        for key, inner in value.items() if isinstance(value, dict) else [(None, x) for x in value] if isinstance(value, list) else []:
+            if key == name and isinstance(inner, list):
+                found |= {x.encode("utf-8", "replace").decode() for x in inner if isinstance(x, str)}
+            elif isinstance(inner, (dict, list)):
+                rest.append(inner)
+    return sorted(found, key=lambda x: (len(x), x))
+
+
+def cited(json: str | Column, name: str = "evidence_ids") -> Column:
+    """The labels of :func:`labels_of` as a list; of the texts of a batch only the distinct ones are read."""
+
+    @F.arrow_udf("array<string>")
+    def labels(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        told = pa.array([*(labels_of(t, name) for t in coded.dictionary.to_pylist()), []], pa.list_(pa.string()))
+        return told.take(coded.indices.fill_null(len(told) - 1))
+
+    return labels(json)
+
+
 def cited_labels(results: DataFrame, *keys: str, json: str = "result", name: str = "evidence_ids") -> DataFrame:
     """``(*keys, labels)``: every string in a list called ``name`` anywhere in a JSON text, each once, by length and then value.
 
-    The values are walked level by level, as variants: what lies in objects and lists is one row each, so no text is searched
-    and a text may be nested as it likes. What is no JSON, or null, has no labels. ``keys`` name a row.
+    What is no JSON, or null, has no labels. ``keys`` name a row.
     """
-    spark = results.sparkSession
-    level = results.select(*keys, F.try_parse_json(F.col(json)).alias("v"))
-    kind = lambda c: F.schema_of_variant(c)
-    found = results.select(*keys, F.lit(None).cast("string").alias("label"))
-    while True:
-        inner = level.where("v is not null").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*keys, "key", "value")
-        told = inner.where((F.col("key") == name) & F.startswith(kind("value"), F.lit("ARRAY")))
-        items = told.select(*keys, F.col("value").alias("v")).lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*keys, "value")
-        strings = items.where(kind("value") == "STRING").select(*keys, F.expr("variant_get(value, '$', 'string')").alias("label"))
-        found = found.unionByName(strings)
-        is_list = F.startswith(kind("value"), F.lit("ARRAY"))
-        rest = inner.where((F.startswith(kind("value"), F.lit("OBJECT")) | is_list) & ~(F.col("key").eqNullSafe(F.lit(name)) & is_list))
-        level = materialize(rest.select(*keys, F.col("value").alias("v")), "json-level")
-        if level.isEmpty():
-            break
-    labels = F.array_sort(F.collect_set(F.struct(F.length("label").alias("n"), F.col("label").alias("label"))))
-    labelled = F.filter(labels, lambda x: x["label"].isNotNull())
-    return found.groupBy(*keys).agg(F.transform(labelled, lambda x: x["label"]).alias("labels"))
+    return results.select(*keys, cited(json, name).alias("labels"))
 
 
 def listed(df: DataFrame, name: str, by: str, *keys: str) -> DataFrame:

@@ -9,7 +9,6 @@ from tessera.functions import text as X
 from tessera.operators import evaluation as V
 from tessera.plans.common import Registry
 from tessera.plans.retrieval import RANKS_SQL, ranked_chunks
-from tessera.sources.shared import materialize
 from tessera.sources.tables import ONCE_SQL, lines_once, table
 
 query = Registry()
@@ -202,10 +201,8 @@ def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     body = F.format_string('{"a": {"evidence_ids": ["E%d", "E1", "x]y", 5], "t": "\\"evidence_ids\\": [\\"no\\"]"}, "b": [[{"evidence_ids": ["E%d"]}], {"evidence_ids": {"evidence_ids": ["\\u0045Z"]}}]}', n, n * 7)
     first, second = F.format_string('{"k": %d, "x": "y"}', n), F.format_string('{"k": "%s", "z": [1, 2]}', F.col("l_returnflag"))
-    rows = l.select(F.monotonically_increasing_id().alias("row"), F.col("l_orderkey").alias("review"), n.cast("int").alias("n"), body.alias("result"), X.merged_json(first, second).alias("merged"))
-    made = materialize(rows, "results")
-    labels = V.cited_labels(made, "row")
-    return made.join(labels, "row").select("review", "n", F.array_join("labels", ",").alias("cited"), "merged")
+    rows = l.select(F.col("l_orderkey").alias("review"), n.cast("int").alias("n"), body.alias("result"), X.merged_json(first, second).alias("merged"))
+    return rows.select("review", "n", F.array_join(V.cited("result"), ",").alias("cited"), "merged")
 
 
 @query(f"""WITH {ONCE_SQL}, p AS (SELECT review, n AS position, CASE pk % 4 WHEN 0 THEN [] WHEN 1 THEN ['E1'] WHEN 2 THEN ['E9', 'E2', 'E8'] ELSE ['E2', 'E3'] END AS cited FROM one),
